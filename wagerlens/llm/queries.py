@@ -13,6 +13,12 @@ from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .mixing import MIX_SQL, mix
 from .quality import fit, score
 from .sharding import shard_rows
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +42,10 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_bytes")
 
@@ -45,6 +55,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("evidence")
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS xx, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT xx, k, array_to_string(w[k + 1 : k + 35], ' ') AS window_text FROM (SELECT xx, w, unnest(range(greatest(len(w) - 34, 0))) AS k FROM d)),
+repeated AS (SELECT window_text FROM windows GROUP BY window_text HAVING count(*) > 1),
+gone AS (SELECT xx, list(DISTINCT p) AS g FROM (SELECT xx, unnest(range(k, k + 35)) AS p FROM windows SEMI JOIN repeated USING (window_text)) GROUP BY xx),
+words AS (SELECT xx, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+lost AS (SELECT xx, unnest(g) AS p FROM gone),
+kept AS (SELECT xx, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN lost USING (xx, p) GROUP BY xx)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (xx) LEFT JOIN kept USING (xx)
+"""
+
+SUFFIX_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS xx, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT xx, doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT xx, doc_id, h, unnest(range(greatest(len(h) // 2 - 49, 0))) AS k FROM d)),
+firsts AS (SELECT s, min(doc_id) AS best FROM strings GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT xx, k FROM strings JOIN firsts USING (s) WHERE doc_id IS NULL AND best IS NOT NULL OR doc_id > best),
+runs AS (
+  SELECT xx, min(k) AS a, max(k) + 50 AS z
+  FROM (SELECT xx, k, sum(new) OVER (PARTITION BY xx ORDER BY k) AS run
+        FROM (SELECT xx, k, CASE WHEN k <= lag(k) OVER (PARTITION BY xx ORDER BY k) + 50 THEN 0 ELSE 1 END AS new FROM hits))
+  GROUP BY xx, run),
+gaps AS (
+  SELECT xx, z AS a, lead(a) OVER (PARTITION BY xx ORDER BY a) AS z FROM runs
+  UNION ALL SELECT xx, 0, min(a) FROM runs GROUP BY xx),
+summed AS (SELECT xx, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM runs GROUP BY xx),
+kept AS (SELECT xx, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, len(h) // 2) - a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (xx) GROUP BY xx)
+SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, CASE WHEN n_spans IS NULL THEN d.h ELSE '' END))) AS kept_sha256
+FROM d LEFT JOIN summed USING (xx) LEFT JOIN kept USING (xx)
+"""
+
 EXACT_SQL = r"""
 WITH t AS (
   SELECT doc_id, row_number() OVER () AS xx, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -56,11 +101,13 @@ FROM t WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, xx)
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_line_dedup": op3_line_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
         "op6_shard": op6_shard,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality": op10_quality,
     }
@@ -68,8 +115,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": SUBSTRING_SQL,
         "op3_line_dedup": LINE_DEDUP_SQL,
         "op4_decontaminate": DECONTAMINATE_SQL,
         "op5_mix_sources": MIX_SQL,
+        "op8_suffix_dedup": SUFFIX_SQL,
         "op9_exact_dedup": EXACT_SQL,
     }
