@@ -51,7 +51,7 @@ def targets(by_source: DataFrame, *, total: float = 1.5, cap: float = 2.0, weigh
 def mix(docs: DataFrame, *, total: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken, source, copies (taken = copies x size)."""
     sized = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash48(F.col("doc_id")).alias("h")))
-    thresholds = _thresholds(sized, total, cap, weights)
+    thresholds = _small(_thresholds(sized, total, cap, weights))
     joined = sized.alias("d").join(thresholds.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     copies = (F.col("t.whole") + F.when(F.col("d.h") <= F.col("t.threshold"), 1).otherwise(0)).cast("long")
     return joined.select(
@@ -65,6 +65,21 @@ def mix(docs: DataFrame, *, total: float = 1.5, cap: float = 2.0, weights: tuple
     )
 
 
+def mixed_docs(docs: DataFrame, *, total: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The rows that the mix takes, each as often as it is taken, with their columns unchanged."""
+    sized = keep(docs.select("source", word_count(F.col("text")).alias("size"), hash48(F.col("doc_id")).alias("h")))
+    limits = _small(_thresholds(sized, total, cap, weights).select(F.col("source").alias("of"), "whole", "threshold"))
+    joined = docs.withColumn("row_hash", hash48(F.col("doc_id"))).join(limits, F.col("source").eqNullSafe(F.col("of")))
+    copies = (F.col("whole") + F.when(F.col("row_hash") <= F.col("threshold"), 1).otherwise(0)).cast("int")
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _small(thresholds: DataFrame, most: int = 100_000) -> DataFrame:
+    """The sources' thresholds, to be broadcast if their number is at most `most`, else joined by a shuffle."""
+    kept = keep(thresholds)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def _thresholds(sized: DataFrame, total: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
     """Per source: source_size, target, whole (times all is taken), threshold (a hash, -1 for none)."""
     shift = HASH_BITS - BUCKET_BITS

@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .mixing import MIX_SQL, mix
+from .near_dedup import near_dedup
 from .quality import fit, score
 from .sharding import shard_rows
 from .substring_dedup import substring_dedup
@@ -42,6 +43,10 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -107,6 +112,7 @@ def queries() -> dict:
         "op4_decontaminate": op4_decontaminate,
         "op5_mix_sources": op5_mix_sources,
         "op6_shard": op6_shard,
+        "op7_near_dedup": op7_near_dedup,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality": op10_quality,
