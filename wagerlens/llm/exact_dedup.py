@@ -49,6 +49,7 @@ class DigestIndex:
             entries.sortWithinPartitions("digest")
             .write.option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")  # as large as a file's digests need
             .option("parquet.bloom.filter.max.bytes", str(1 << 20))
             .parquet(run)
         )
