@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def ratio4(part: Column, whole: Column) -> Column:
@@ -38,7 +38,7 @@ def upper_tail(hits: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(terms - top).sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_upper_tail(hits: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """Exact one-sided p-value; a window of a few units, on one row a Uid."""
     return pd.Series([upper_tail(int(a), int(b), float(c)) for a, b, c in zip(hits, n, p, strict=True)])

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..config import BUILDER_MARKETS
 
@@ -25,7 +25,7 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_exact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The same over all of Unicode, by canonical decomposition."""
     import unicodedata
