@@ -36,6 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Let Arrow batches to Python workers end at `limit` bytes: 10,000 long texts would not fit a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name)
+    if not have.isdigit() or int(have) > limit:
+        spark.conf.set(name, str(limit))
+
+
 def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

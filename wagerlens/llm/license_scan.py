@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import FOLD_TABLE, text_bytes
+from .common import FOLD_TABLE, small_batches, text_bytes
 
 #: Phrases of the base labels.
 PHRASES = (
@@ -131,6 +131,7 @@ def license_scan(docs: DataFrame, notices=NOTICES, phrases=PHRASES) -> DataFrame
 
     spans: bytes of the folded text (words joined by one space) that match a notice, with the errors.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = [
         ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 BLOCK = 2048
 LEVEL = 3
@@ -177,6 +177,7 @@ def _to_prior(model: CompressionModel, share: dict[int, int], per_class: int) ->
 
 def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
     """Per row: doc_id, held_out, evidence, score, predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +204,7 @@ def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: CompressionModel) -> DataFrame:
     """The rows that the classifier does not reject, with their columns unchanged."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
