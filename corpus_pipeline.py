@@ -13,7 +13,7 @@ from wagerlens.llm.decontaminate import keep_clean
 from wagerlens.llm.mixing import mixed_docs
 from wagerlens.llm.near_dedup import keep_one
 from wagerlens.llm.quality import fit, keep_good
-from wagerlens.llm.sharding import shard_rows
+from wagerlens.llm.sharding import sharded_docs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows get a shard and a slot there."""
-    return shard_rows(docs, columns=docs.columns)
+    return sharded_docs(docs)
 
 
 STAGES = [

@@ -52,10 +52,11 @@ def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """For small frames: Spark's own reliable checkpoint, which its cleaner removes again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def whole_rows(df: DataFrame, *keys: Column) -> DataFrame:
+    """df's rows as one struct, row, beside keys: no column of df can clash with an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *keys)
+
+
 
 
 def fold_case(text: Column) -> Column:

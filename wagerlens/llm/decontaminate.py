@@ -9,7 +9,8 @@ into spans a document.
 The set is broadcast in blocks of at most `block_rows` windows, counted before: a larger benchmark makes
 more blocks, each probed against all documents, never a larger broadcast.
 
-Defined results: null text has no words and no hits; items without words have no windows; repeated rows
+Defined results: null text has no words and no hits; items without words have no windows; an item without id is named by the empty
+text; repeated rows
 of one doc_id and text get the same result each; null doc_id is a key like any other; an empty table or
 benchmark gives no hits; further columns are not read.
 """
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BREAK_CLASS, fold_case
+from .common import BREAK_CLASS, fold_case, whole_rows
 
 
 def words_of(text: Column) -> Column:
@@ -39,7 +40,7 @@ def _windows(words: Column, length: int) -> Column:
 
 def grams_of(items: DataFrame, n: int) -> DataFrame:
     """The benchmark's windows: gram, n_gram (its words), items (ids, as text)."""
-    worded = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words"))
+    worded = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words"))
     short = F.array(F.struct(F.lit(0).alias("at"), F.array_join("words", " ").alias("gram")))
     size = F.size("words")
     return (
@@ -111,21 +112,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int = 20) -> DataFrame:
     """The rows of docs that are not contaminated, with their columns unchanged."""
-    marked = spans(hits(docs, items, n=n)).select("doc_id", "text_key", F.col("n_hit").alias("hit_words")).alias("h")
-    d = docs.withColumn("row_text_key", F.xxhash64("text")).alias("d")
-    joined = d.join(
-        marked,
-        F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.row_text_key") == F.col("h.text_key")),
-        "left",
+    marked = spans(hits(docs, items, n=n)).alias("h")
+    rows = whole_rows(docs, *_key(docs)).alias("d")
+    joined = rows.join(
+        marked, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left"
     )
-    clean = F.col("hit_words").isNull() | (share * F.col("hit_words") < F.size(words_of(F.col("d.text"))))
-    return joined.filter(clean).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    clean = F.col("h.n_hit").isNull() | (share * F.col("h.n_hit") < F.size(words_of(F.col("row.text"))))
+    return joined.filter(clean).select("row.*")
 
 
 #: The same rows in DuckDB's SQL, by joining all windows.
 DECONTAMINATE_SQL = r"""
 WITH i AS (
-  SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  SELECT coalesce(item_id::VARCHAR, '') AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
   FROM benchmark),
 grams AS (
   SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k + 1 : k + least(len(w), 13)], ' ') AS gram

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, word_count
+from .common import keep, whole_rows, word_count
 
 BUCKET_BITS, HASH_BITS = 16, 48
 
@@ -69,9 +69,10 @@ def mixed_docs(docs: DataFrame, *, total: float = 1.5, cap: float = 2.0, weights
     """The rows that the mix takes, each as often as it is taken, with their columns unchanged."""
     sized = keep(docs.select("source", word_count(F.col("text")).alias("size"), hash48(F.col("doc_id")).alias("h")))
     limits = _small(_thresholds(sized, total, cap, weights).select(F.col("source").alias("of"), "whole", "threshold"))
-    joined = docs.withColumn("row_hash", hash48(F.col("doc_id"))).join(limits, F.col("source").eqNullSafe(F.col("of")))
-    copies = (F.col("whole") + F.when(F.col("row_hash") <= F.col("threshold"), 1).otherwise(0)).cast("int")
-    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = whole_rows(docs, hash48(F.col("doc_id")).alias("h"))
+    joined = rows.join(limits, F.col("row.source").eqNullSafe(F.col("of")))
+    copies = (F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
 def _small(thresholds: DataFrame, most: int = 100_000) -> DataFrame:

@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ring(shards: int, virtual: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,48 +65,54 @@ def plan(owners: list[int], counts: list[int], shards: int) -> list[tuple[int, i
     return out
 
 
-def shard_rows(docs: DataFrame, *, shards: int = 16, virtual: int = 256, columns: list[str] | None = None) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard; or `columns` and shard, slot."""
+def _placed(docs: DataFrame, shards: int, virtual: int, *columns) -> DataFrame:
+    """The given columns of docs, size and text_crc32 with each row's shard and slot."""
     spark = docs.sparkSession
     points, owners = ring(shards, virtual)
     where = spark.sparkContext.broadcast(points)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def arc_of(position: pd.Series) -> pd.Series:
         return pd.Series((np.searchsorted(where.value, position.to_numpy(), side="left") % len(where.value)).astype("int32"))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = [
+    rows = docs.select(
+        *columns,
+        F.col("doc_id").alias("own_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64("doc_id", text).alias("position"),
-    ]
-    rows = docs.select(*(columns or ["doc_id"]), *facts).withColumn("arc", arc_of("position"))
+    ).withColumn("arc", arc_of("position"))
     counted = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}
     stretches = plan(owners.tolist(), [counted.get(a, 0) for a in range(len(points))], shards)
     plan_rows = spark.createDataFrame(
         stretches or [(0, 0, 0, 0, 0)], "arc int, low long, high long, shard int, start long"
     )
-    ranked = rows.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("arc").orderBy("position", "doc_id", "size")) - 1
-    )
-    placed = ranked.join(F.broadcast(plan_rows), "arc").filter(
-        (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    )
-    slot = (F.col("start") + F.col("rank") - F.col("low")).alias("slot")
-    if columns:
-        return placed.select(*columns, "shard", slot)
-    return placed.select(
-        "doc_id",
+    order = Window.partitionBy("arc").orderBy("position", "own_id", "size")
+    ranked = rows.withColumn("rank", F.row_number().over(order) - 1)
+    inside = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    return ranked.join(F.broadcast(plan_rows), "arc").filter(inside).withColumn("slot", F.col("start") + F.col("rank") - F.col("low"))
+
+
+def shard_rows(docs: DataFrame, *, shards: int = 16, virtual: int = 256) -> DataFrame:
+    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    return _placed(docs, shards, virtual).select(
+        F.col("own_id").alias("doc_id"),
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
-        slot,
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
+def sharded_docs(docs: DataFrame, *, shards: int = 16, virtual: int = 256) -> DataFrame:
+    """The rows with all their columns, and shard and slot (which replace columns of these names)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    return _placed(docs, shards, virtual, F.struct(*rest).alias("row")).select("row.*", "shard", "slot")
+
+
 def brute_force(positions: list[int], shards: int = 16, virtual: int = 256) -> list[int]:
     """The same law row by row, for tests: shards of rows given in the order of their positions."""
     points, owners = ring(shards, virtual)
