@@ -266,8 +266,8 @@ SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS
       SELECT bin, lo / 1000.0::DOUBLE AS low, hi / 1000.0::DOUBLE AS high, (SELECT count(*) FROM priced WHERE value_micro IS NOT NULL AND (value_micro >= lo * 1000 OR bin = 0) AND (value_micro < hi * 1000 OR bin = 11)) AS legs FROM bins WHERE hi IS NOT NULL""",
     "gini": f"""WITH {POPULATIONS} SELECT population, n AS n_units, total::DOUBLE AS total, round(2.0 * sum(r * v)::DOUBLE / (n::DOUBLE * total::DOUBLE) - (n::DOUBLE + 1) / n::DOUBLE, 4) AS gini FROM ranked WHERE n >= 2 AND total > 0 GROUP BY population, n, total""",
     "top_shares": f"""WITH {POPULATIONS}, cuts AS (SELECT DISTINCT population, n, total, unnest([{{'cut': 'top_1pct', 'units': greatest(1, round_even(n * 0.01, 0)::BIGINT)}}, {{'cut': 'top_5pct', 'units': greatest(1, round_even(n * 0.05, 0)::BIGINT)}},
-      {{'cut': 'top_10pct', 'units': greatest(1, round_even(n * 0.10, 0)::BIGINT)}}, {{'cut': 'top_10_units', 'units': least(10, n)}}]) AS c FROM ranked WHERE n >= 2 AND total > 0)
-      SELECT cuts.population, c.cut AS cut, c.units AS units, round(sum(v)::DOUBLE / any_value(cuts.total)::DOUBLE, 4) AS share FROM cuts JOIN ranked r ON r.population = cuts.population AND r.r > cuts.n - c.units GROUP BY 1, 2, 3""",
+      {{'cut': 'top_10pct', 'units': greatest(1, round_even(n * 0.10, 0)::BIGINT)}}, {{'cut': 'top_10_units', 'units': least(10, n)}}]) AS k FROM ranked WHERE n >= 2 AND total > 0)
+      SELECT cuts.population, k.cut AS cut, k.units AS units, round(sum(v)::DOUBLE / any_value(cuts.total)::DOUBLE, 4) AS share FROM cuts JOIN ranked r ON r.population = cuts.population AND r.r > cuts.n - k.units GROUP BY 1, 2, 3""",
     "turnover_spikes": f"WITH {LEGS}, {SPIKES} SELECT currency, day::VARCHAR AS day, turnover, betslips, median, mad, threshold, excess_ratio FROM spikes",
     "repeat_backing": f"WITH {PRICED}, {BACKING} SELECT * FROM backing",
     "sharp_moves": f"WITH {MOVES} SELECT direction, count(*) AS moves, sum(legs)::BIGINT AS legs, sum(distinct_uids)::BIGINT AS uids FROM moves WHERE is_sharp_move GROUP BY 1",
