@@ -4,11 +4,13 @@ An item sequence (words or bytes of documents) is cut so that equal windows of `
 minimiser of a window is its smallest hashed run of `k` items, consecutive windows of one document that
 share it form a piece, and a piece travels as one string to the bucket that its minimiser names.
 
-    documents -> chunks (by a hash of the document) -> pieces, one copy a chunk, packed by bucket
+    documents -> chunks (by a hash of the document) -> pieces, of which 24 bits of the minimiser are sent
+    buckets   -> which pieces share their minimiser with another chunk's or may repeat by themselves
+    chunks    -> those pieces' strings, one copy a chunk, packed by bucket
     buckets   -> windows of all chunks compared exactly -> verdicts, packed by chunk
-    chunks    -> the same pieces again, verdicts applied to every place of a piece
+    chunks    -> verdicts applied to every place of a piece
 
-Hot groups: a piece is sent once a chunk however often the chunk has it, and a verdict is returned once,
+Most pieces are alone and never travel.  Hot groups: a piece is sent once a chunk however often the chunk has it, and a verdict is returned once,
 so that a passage in a third of all documents costs its bucket one string a chunk.  Chunks are dealt by
 document, so copies never share one.  Pieces are rebuilt, not stored: a chunk's documents are sorted by
 their content, which makes its pieces the same whenever and wherever they are computed.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -106,8 +108,11 @@ class Pieces:
     twice: np.ndarray  # the minimiser occurs again within the piece, so that windows may
 
 
-def cut(corpus: Corpus, window: int, k: int, buckets: int) -> Pieces:
-    """All pieces of the corpus, a run of documents of about SEGMENT bytes at a time."""
+def cut(corpus: Corpus, window: int, k: int, buckets: int, repeats: bool = True) -> Pieces:
+    """All pieces of the corpus, a run of documents of about SEGMENT bytes at a time.
+
+    repeats: find out which pieces have their minimiser twice.
+    """
     found: list[tuple[np.ndarray, ...]] = []
     low, n_docs = 0, len(corpus.first)
     bounds = corpus.item_start
@@ -118,14 +123,14 @@ def cut(corpus: Corpus, window: int, k: int, buckets: int) -> Pieces:
             limit = bounds[a] + SEGMENT
             ends = np.where(corpus.last[low:] > corpus.first[low:], corpus.item_end[np.maximum(corpus.last[low:] - 1, 0)], 0)
             high = max(high, low + int(np.searchsorted(np.maximum.accumulate(ends), limit, side="right")))
-        found += _cut_segment(corpus, low, high, window, k)
+        found += _cut_segment(corpus, low, high, window, k, repeats)
         low = high
     if not found:
         found = [tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, *[np.int64] * 4, bool))]
     return _distinct(corpus.data, *(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
 
 
-def _cut_segment(corpus: Corpus, low: int, high: int, window: int, k: int) -> list[tuple[np.ndarray, ...]]:
+def _cut_segment(corpus: Corpus, low: int, high: int, window: int, k: int, repeats: bool) -> list[tuple[np.ndarray, ...]]:
     a, b = corpus.first[low], corpus.last[high - 1]
     if b - a < window:
         return []
@@ -147,19 +152,21 @@ def _cut_segment(corpus: Corpus, low: int, high: int, window: int, k: int) -> li
     item = at[begins]
     last = at[np.append(begins[1:], len(at)) - 1] + window - 1
     s, e = start[item], end[last]
-    sizes = last - item + 2 - k
-    again = grams[expand(item, sizes)] == np.repeat(least[item], sizes)
-    twice = np.add.reduceat(again.astype(np.int32), np.cumsum(sizes) - sizes) > 1
+    twice = np.zeros(len(item), dtype=bool)
+    if repeats:
+        sizes = last - item + 2 - k
+        again = grams[expand(item, sizes)] == np.repeat(least[item], sizes)
+        twice = np.add.reduceat(again.astype(np.int32), np.cumsum(sizes) - sizes) > 1
     return [(least[item], ranges(s, e), s + origin, e + origin, item + a, docs[item], twice)]
 
 
 def _distinct(data, minimiser, content, start, end, item, doc, twice, buckets: int) -> Pieces:
     """Equal strings become one piece; equal hashes are compared byte by byte."""
     while True:
-        order = np.lexsort((item, end - start, content, minimiser))
-        m, c, n = minimiser[order], content[order], (end - start)[order]
+        order = np.argsort(content, kind="stable")  # places come in order and stay so
+        c, n = content[order], (end - start)[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])
+        new[1:] = (c[1:] != c[:-1]) | (n[1:] != n[:-1])
         group = np.cumsum(new) - 1
         heads = order[new]
         again = np.flatnonzero(~new)
@@ -222,7 +229,7 @@ NO_ID = np.iinfo(np.int64).max
 def exchange(
     docs: DataFrame,
     corpus_of: Callable[[list[bytes]], Corpus],
-    judge: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
+    judge: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
     finish: Callable[[list, list[bytes], Corpus, np.ndarray], list[pa.Array]],
     schema: str,
     *,
@@ -232,10 +239,11 @@ def exchange(
     chunk_bytes: int = 4 << 20,
     bucket_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """Run the three steps over docs (doc_id, text).
+    """Run the steps over docs (doc_id, text).
 
-    judge(strings, counts, smallest, largest) sees a bucket's distinct pieces, how often each occurs and
-    the smallest and largest doc_id that has it; it returns runs (piece, first window, windows, limit).
+    judge(strings, counts, tags, smallest, largest) sees a bucket's distinct pieces, how often each occurs,
+    bits of its minimiser (pieces with a common window have equal ones) and the smallest and largest doc_id
+    that has it; it returns runs (piece, first window, windows, limit).
     A run marks its windows at every place of the piece whose doc_id is over the limit.
     finish(ids, texts, corpus, marked items) makes the result's columns.  A piece whose minimiser no other
     piece shares is judged only if it may repeat by itself: in several documents, or, unless across_docs,
@@ -249,51 +257,79 @@ def exchange(
     def ids_of(ids: list) -> np.ndarray:
         return np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
 
-    def send(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    def pieces_of(rows: pa.Table) -> tuple[list, list[bytes], Corpus, np.ndarray, Pieces]:
         ids, texts = sorted_docs(rows)
-        numbers = ids_of(ids)
         corpus = corpus_of(texts)
-        p = cut(corpus, window, k, buckets)
-        smallest = numbers[p.place_doc[p.place_first]] if len(p.bucket) else np.empty(0, dtype=np.int64)
-        largest = np.maximum.reduceat(numbers[p.place_doc], p.place_first) if len(p.bucket) else smallest
-        alone = largest > smallest if across_docs else (p.place_count > 1) | p.twice
+        return ids, texts, corpus, ids_of(ids), cut(corpus, window, k, buckets, not across_docs)
+
+    def extremes(numbers: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        if not len(p.bucket):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return numbers[p.place_doc[p.place_first]], np.maximum.reduceat(numbers[p.place_doc], p.place_first)
+
+    def by_bucket(p: Pieces) -> list[tuple[int, slice]]:
         edges = np.flatnonzero(np.diff(p.bucket, prepend=-1))
+        return [(int(p.bucket[a]), slice(a, b)) for a, b in zip(edges, np.append(edges[1:], len(p.bucket)), strict=True)]
+
+    def mail(key: tuple[pa.Scalar, ...], name: str, to: list[int], blobs: list[bytes], what: str) -> pa.Table:
+        own = "chunk" if name == "bucket" else "bucket"
+        return pa.table({name: pa.array(to, pa.int64()), own: pa.array([key[0].as_py()] * len(to), pa.int64()), what: pa.array(blobs, pa.binary())})
+
+    def announce(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        *_, numbers, p = pieces_of(rows)
+        smallest, largest = extremes(numbers, p)
+        alone = largest > smallest if across_docs else (p.place_count > 1) | p.twice
+        parts = by_bucket(p)
+        return mail(key, "bucket", [b for b, _ in parts], [packed(p.tag[part], alone[part].astype(np.uint8)) for _, part in parts], "tags")
+
+    def answer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        read = [unpacked(blob) for blob in rows.column("tags").to_pylist()]
+        _, inverse, often = np.unique(np.concatenate([r[0] for r in read]), return_inverse=True, return_counts=True)
+        wanted = (often[inverse] > 1) | (np.concatenate([r[1] for r in read]) != 0)
+        ends = np.cumsum([len(r[0]) for r in read])
+        masks = [np.flatnonzero(m).astype(np.uint32) for m in np.split(wanted, ends[:-1])]
+        to = [(chunk, packed(np.diff(m, prepend=np.uint32(0)))) for chunk, m in zip(rows.column("chunk").to_pylist(), masks, strict=True) if len(m)]
+        return mail(key, "chunk", [c for c, _ in to], [blob for _, blob in to], "wanted")
+
+    def send(key: tuple[pa.Scalar, ...], rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return mail(key, "bucket", [], [], "pieces")
+        *_, corpus, numbers, p = pieces_of(rows)
+        smallest, largest = extremes(numbers, p)
         to, blobs = [], []
-        for low, high in zip(edges, np.append(edges[1:], len(p.bucket)), strict=True):
-            part = slice(low, high)
-            length = p.byte_end[part] - p.byte_start[part]
+        for bucket, blob in zip(wanted.column("bucket").to_pylist(), wanted.column("wanted").to_pylist(), strict=True):
+            (steps,) = unpacked(blob)
+            at = np.cumsum(steps, dtype=np.int64) + np.searchsorted(p.bucket, bucket)
+            length = p.byte_end[at] - p.byte_start[at]
             blobs.append(packed(
-                length.astype(np.uint32), p.place_count[part].astype(np.uint32), p.tag[part], alone[part].astype(np.uint8),
-                smallest[part], largest[part] - smallest[part], corpus.data[expand(p.byte_start[part], length)],
+                steps, length.astype(np.uint32), p.place_count[at].astype(np.uint32), p.tag[at],
+                smallest[at], largest[at] - smallest[at], corpus.data[expand(p.byte_start[at], length)],
             ))
-            to.append(int(p.bucket[low]))
-        return pa.table({"bucket": pa.array(to, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(to), pa.int64()), "pieces": pa.array(blobs, pa.binary())})
+            to.append(bucket)
+        return mail(key, "bucket", to, blobs, "pieces")
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         places = sorted(zip(rows.column("chunk").to_pylist(), rows.column("pieces").to_pylist(), strict=True))
-        read = [unpacked(blob) for _, blob in places]
-        tags = np.concatenate([r[2] for r in read])
-        _, inverse, often = np.unique(tags, return_inverse=True, return_counts=True)
-        shared = often[inverse] > 1
         known: dict[bytes, int] = {}
         strings: list[bytes] = []
         counts: list[int] = []
         smallest: list[int] = []
         largest: list[int] = []
+        tags: list[int] = []
         entries: list[tuple[np.ndarray, np.ndarray]] = []
-        at = 0
-        for length, count, tag, alone, small, spread, text in read:
-            here = np.flatnonzero(shared[at : at + len(tag)] | (alone != 0))
-            at += len(tag)
+        for _, blob in places:
+            steps, length, count, tag, small, spread, text = unpacked(blob)
             end = np.cumsum(length.astype(np.int64))
             raw = text.tobytes()
-            piece = np.empty(len(here), dtype=np.int64)
-            for j, (i, s, e, c, lo, up) in enumerate(zip(here.tolist(), (end - length)[here].tolist(), end[here].tolist(), count[here].tolist(), small[here].tolist(), (small + spread)[here].tolist(), strict=True)):
+            piece = np.empty(len(steps), dtype=np.int64)
+            facts = zip((end - length).tolist(), end.tolist(), count.tolist(), tag.tolist(), small.tolist(), (small + spread).tolist(), strict=True)
+            for j, (s, e, c, t, lo, up) in enumerate(facts):
                 string = raw[s:e]
                 n = known.setdefault(string, len(strings))
                 if n == len(strings):
                     strings.append(string)
                     counts.append(c)
+                    tags.append(t)
                     smallest.append(lo)
                     largest.append(up)
                 else:
@@ -301,12 +337,10 @@ def exchange(
                     smallest[n] = min(smallest[n], lo)
                     largest[n] = max(largest[n], up)
                 piece[j] = n
-            entries.append((here, piece))
-        del read, known
-        if strings:
-            runs, first, many, limit = judge(strings, np.array(counts), np.array(smallest, dtype=np.int64), np.array(largest, dtype=np.int64))
-        else:
-            runs = first = many = limit = np.empty(0, dtype=np.int64)
+            entries.append((np.cumsum(steps, dtype=np.int64), piece))
+        del known
+        facts = np.array(counts), np.array(tags), np.array(smallest, dtype=np.int64), np.array(largest, dtype=np.int64)
+        runs, first, many, limit = judge(strings, *facts)
         edges = np.searchsorted(runs, np.arange(len(strings) + 1))
         to, blobs = [], []
         for (chunk, _), (here, piece) in zip(places, entries, strict=True):
@@ -315,15 +349,16 @@ def exchange(
                 pick = expand(edges[piece], of)
                 to.append(chunk)
                 blobs.append(packed(np.repeat(here, of).astype(np.uint32), first[pick].astype(np.uint32), many[pick].astype(np.uint32), limit[pick]))
-        return pa.table({"chunk": pa.array(to, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(to), pa.int64()), "verdicts": pa.array(blobs, pa.binary())})
+        return mail(key, "chunk", to, blobs, "verdicts")
 
     def apply(key: tuple[pa.Scalar, ...], rows: pa.Table, verdicts: pa.Table) -> pa.Table:
-        ids, texts = sorted_docs(rows)
-        corpus = corpus_of(texts)
+        if verdicts.num_rows:
+            ids, texts, corpus, numbers, p = pieces_of(rows)
+        else:
+            ids, texts = sorted_docs(rows)
+            corpus = corpus_of(texts)
         change = np.zeros(len(corpus.item_start) + 1, dtype=np.int32)
         if verdicts.num_rows:
-            numbers = ids_of(ids)
-            p = cut(corpus, window, k, buckets)
             for bucket, blob in zip(verdicts.column("bucket").to_pylist(), verdicts.column("verdicts").to_pylist(), strict=True):
                 piece, first, many, limit = unpacked(blob)
                 piece = piece.astype(np.int64) + np.searchsorted(p.bucket, bucket)
@@ -337,6 +372,9 @@ def exchange(
         columns = finish(ids, texts, corpus, np.cumsum(change[:-1]) > 0)
         return pa.table(dict(zip(names, columns, strict=True)))
 
-    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, pieces binary")
+    chunked = dealt.groupBy("chunk")
+    announced = chunked.applyInArrow(announce, "bucket long, chunk long, tags binary")
+    answered = announced.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, wanted binary")
+    sent = chunked.cogroup(answered.groupBy("chunk")).applyInArrow(send, "bucket long, chunk long, pieces binary")
     met = sent.groupBy("bucket").applyInArrow(meet, "chunk long, bucket long, verdicts binary")
-    return dealt.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(apply, schema)
+    return chunked.cogroup(met.groupBy("chunk")).applyInArrow(apply, schema)

@@ -14,6 +14,7 @@ result; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ def window_numbers(ids: np.ndarray, window: int) -> np.ndarray:
 
 
 def repeated_windows(window: int):
-    def judge(strings, counts, smallest, largest):
+    def judge(strings, counts, tags, smallest, largest):
         words = pa.array(b" ".join(strings).split(b" "), pa.binary()).dictionary_encode().indices.to_numpy()
         sizes = np.array([s.count(b" ") + 1 for s in strings], dtype=np.int64)
         ends = np.cumsum(sizes)
@@ -75,7 +76,7 @@ def repeated_windows(window: int):
     return judge
 
 
-def _finish(ids, texts, corpus: Corpus, marked: np.ndarray) -> list[pa.Array]:
+def _finish(ids, texts, corpus: Corpus, marked: np.ndarray, with_text: bool) -> list[pa.Array]:
     removed = np.concatenate([[0], np.cumsum(marked)])
     lost = removed[corpus.last] - removed[corpus.first]
     digests, kept_texts = [], []
@@ -86,17 +87,18 @@ def _finish(ids, texts, corpus: Corpus, marked: np.ndarray) -> list[pa.Array]:
             words = [words[j] for j in np.flatnonzero(keep).tolist()]
         kept = b" ".join(words)
         digests.append(hashlib.sha256(kept).hexdigest())
-        kept_texts.append(kept)
+        kept_texts.append(kept if with_text else None)
     return [
         pa.array(ids, pa.int64()), pa.array(corpus.last - corpus.first, pa.int64()), pa.array(lost, pa.int64()),
         pa.array(digests, pa.string()), pa.array(kept_texts, pa.binary()).cast(pa.string()),
     ]
 
 
-def substring_dedup(docs: DataFrame, *, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space)."""
+def substring_dedup(docs: DataFrame, *, window: int = WINDOW, k: int = K, with_text: bool = True) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space; null
+    unless with_text)."""
     return exchange(
-        docs, word_corpus, repeated_windows(window), _finish,
+        docs, word_corpus, repeated_windows(window), partial(_finish, with_text=with_text),
         "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string",
         window=window, k=k, across_docs=False,
     )

@@ -16,12 +16,13 @@ an empty result; further columns are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import Corpus, exchange
+from .pieces import Corpus, RangeHash, exchange, expand
 
 LENGTH, K = 50, 16
 SHARD_BYTES = 2 << 20
@@ -49,7 +50,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.empty(0, dtype=np.int64)
     heads = _heads(data)
-    tail = np.arange(max(n - 8, 0), n)  # zeros beyond the end would equal zero bytes: the shorter go first
+    tail = np.arange(max(n - 8, 0), n)  # padded with zeros, which may equal zero bytes: the shorter go first
     order = np.lexsort((np.minimum(n - np.arange(n), 8), heads)) if (data == 0).any() else np.argsort(heads, kind="stable")
     key = heads[order]
     new = np.ones(n, dtype=bool)
@@ -122,37 +123,77 @@ def strings_of_shard(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[
 
 
 def judge_strings(length: int, shard_bytes: int):
-    def judge(strings, counts, smallest, largest):
+    """Runs of windows whose smallest document is under the largest that has the piece.
+
+    A piece that no other shares its minimiser with is decided outright.  Of the others, hashes of their
+    windows leave out those that share none (equal windows have equal hashes); the rest are indexed.
+    """
+
+    def judge(strings, counts, tags, smallest, largest):
+        _, inverse, often = np.unique(tags, return_inverse=True, return_counts=True)
+        lone = np.flatnonzero((often[inverse] == 1) & (smallest < largest))
         sizes = np.array([len(s) for s in strings], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(strings), dtype=np.uint8)
-        piece = np.repeat(np.arange(len(strings)), sizes)
-        at = np.arange(len(data)) - (ends - sizes)[piece]
-        valid = at + length <= sizes[piece]
-        least = np.full(len(data), np.iinfo(np.int64).max)
-        shard = (ends - 1) // shard_bytes
-        cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(strings))
-        shards = []
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            a, b = ends[low] - sizes[low], ends[high - 1]
-            places, number = strings_of_shard(data[a:b], valid[a:b], length)
+        several = np.flatnonzero(often[inverse] > 1)
+        lone_too, several = _sharing(strings, several, length)
+        lone = np.concatenate([lone, lone_too[smallest[lone_too] < largest[lone_too]]])
+        found = [(lone, np.zeros(len(lone), dtype=np.int64), sizes[lone] - length + 1, smallest[lone])]
+        if len(several):
+            piece, first, many, least = _indexed([strings[i] for i in several.tolist()], smallest[several], largest[several], length, shard_bytes)
+            found.append((several[piece], first, many, least))
+        runs = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.argsort(runs[0], kind="stable")
+        return tuple(x[order] for x in runs)
+
+    return judge
+
+
+def _sharing(strings: list[bytes], of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Split pieces into those all of whose windows' hashes are their own, and the others."""
+    if not len(of):
+        return of, of
+    sizes = np.array([len(strings[i]) for i in of.tolist()], dtype=np.int64)
+    data = np.frombuffer(b"".join([strings[i] for i in of.tolist()]), dtype=np.uint8)
+    windows = sizes - length + 1
+    start = expand(np.cumsum(sizes) - sizes, windows)
+    hashes = RangeHash(data)(start, start + length)
+    order = np.argsort(hashes)
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    shared = np.zeros(len(hashes), dtype=bool)
+    shared[order[1:]] |= equal
+    shared[order[:-1]] |= equal
+    some = np.add.reduceat(shared.astype(np.int32), np.cumsum(windows) - windows) > 0
+    return of[~some], of[some]
+
+
+def _indexed(strings: list[bytes], smallest: np.ndarray, largest: np.ndarray, length: int, shard_bytes: int) -> tuple[np.ndarray, ...]:
+    """The runs of pieces that may share strings: suffix arrays of their shards, merged."""
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    piece = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+    at = np.arange(len(data), dtype=np.int64) - (ends - sizes)[piece]
+    valid = at + length <= sizes[piece]
+    least = np.full(len(data), np.iinfo(np.int64).max)
+    shard = (ends - 1) // shard_bytes
+    cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(strings))
+    shards = []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        a, b = ends[low] - sizes[low], ends[high - 1]
+        places, number = strings_of_shard(data[a:b], valid[a:b], length)
+        if len(places):
             places = places + a
-            if not len(places):
-                continue
             first = np.flatnonzero(np.diff(number, prepend=-1))
             shards.append([places, number, places[first], np.minimum.reduceat(smallest[piece[places]], first)])
-        if len(shards) > 1:
-            _merge(shards, data, length)
-        for places, number, _, best in shards:
-            least[places] = best[number]
-        hit = np.flatnonzero(valid & (least < largest[piece]))
-        new = np.ones(len(hit), dtype=bool)
-        new[1:] = (hit[1:] != hit[:-1] + 1) | (piece[hit[1:]] != piece[hit[:-1]]) | (least[hit[1:]] != least[hit[:-1]])
-        begins = np.flatnonzero(new)
-        head = hit[begins]
-        return piece[head], at[head], np.diff(np.append(begins, len(hit))), least[head]
-
-    return judge
+    if len(shards) > 1:
+        _merge(shards, data, length)
+    for places, number, _, best in shards:
+        least[places] = best[number]
+    hit = np.flatnonzero(valid & (least < largest[piece]))
+    new = np.ones(len(hit), dtype=bool)
+    new[1:] = (hit[1:] != hit[:-1] + 1) | (piece[hit[1:]] != piece[hit[:-1]]) | (least[hit[1:]] != least[hit[:-1]])
+    begins = np.flatnonzero(new)
+    head = hit[begins]
+    return piece[head].astype(np.int64), at[head], np.diff(np.append(begins, len(hit))), least[head]
 
 
 def _merge(shards: list[list[np.ndarray]], data: np.ndarray, length: int) -> None:
@@ -174,7 +215,7 @@ def _merge(shards: list[list[np.ndarray]], data: np.ndarray, length: int) -> Non
             shards[j][3][spot[mine]] = best
 
 
-def _finish(ids, texts, corpus: Corpus, marked: np.ndarray) -> list[pa.Array]:
+def _finish(ids, texts, corpus: Corpus, marked: np.ndarray, with_text: bool) -> list[pa.Array]:
     total = np.concatenate([[0], np.cumsum(marked)])
     lost = total[corpus.last] - total[corpus.first]
     begins = np.flatnonzero(marked & ~np.concatenate([[False], marked[:-1]])) if len(marked) else np.empty(0, dtype=np.int64)
@@ -193,14 +234,15 @@ def _finish(ids, texts, corpus: Corpus, marked: np.ndarray) -> list[pa.Array]:
         kept.append(text)
     return [
         pa.array(ids, pa.int64()), pa.array(corpus.last - corpus.first, pa.int64()), pa.array(lost, pa.int64()),
-        pa.array(spans, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()), pa.array(kept, pa.binary()),
+        pa.array(spans, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()),
+        pa.array(kept if with_text else [None] * len(kept), pa.binary()),
     ]
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, k: int = K, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
+def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, k: int = K, shard_bytes: int = SHARD_BYTES, with_text: bool = True) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay; null unless with_text)."""
     return exchange(
-        docs, byte_corpus, judge_strings(length, shard_bytes), _finish,
+        docs, byte_corpus, judge_strings(length, shard_bytes), partial(_finish, with_text=with_text),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
         window=length, k=k, across_docs=True,
     )
