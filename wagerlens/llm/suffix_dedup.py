@@ -50,7 +50,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.empty(0, dtype=np.int64)
     heads = _heads(data)
-    tail = np.arange(max(n - 8, 0), n)  # padded with zeros, which may equal zero bytes: the shorter go first
+    tail = np.arange(max(n - 7, 0), n)  # padded with zeros, which may equal zero bytes: the shorter go first
     order = np.lexsort((np.minimum(n - np.arange(n), 8), heads)) if (data == 0).any() else np.argsort(heads, kind="stable")
     key = heads[order]
     new = np.ones(n, dtype=bool)
