@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import odds, stats, text
 from .operators import anomalies, breakdown, concentration, legs as leg_ops, money, players, prices, quality, sharp, timing
+from .sources.staged import staged
 from .sources.standin import raw_legs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,21 +18,36 @@ Query = Callable[[SparkSession, str], DataFrame]
 EXPOSURE = {"quantile": 0.5, "share": 0.02, "fixture_legs": 5, "fixtures": 5, "selection_legs": 1}
 
 
+#: Columns of legs before enrichment.
+RAW_COLUMNS = (
+    "uid", "placed_at", "event_at", "bet_type", "match_id", "fixture", "competition", "market", "player", "selection", "management_unit", "currency",
+    "price", "turnover", "ggr", "version", "net_revenue", "row_key",
+)
+
+
+def _staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return staged(spark, name, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders")], build)
+
+
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leg_ops.enrich(raw_legs(spark, sf_dir))
+    return _staged(spark, sf_dir, "legs", lambda: leg_ops.enrich(raw_legs(spark, sf_dir)))
 
 
 def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leg_ops.betslips(legs(spark, sf_dir))
+    return _staged(spark, sf_dir, "betslips", lambda: leg_ops.betslips(legs(spark, sf_dir)))
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices.attach_value(legs(spark, sf_dir))
+    return _staged(spark, sf_dir, "priced", lambda: prices.attach_value(legs(spark, sf_dir)))
 
 
 def version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The legs as placements, a tenth of them reversed by a later version, and some delivered twice."""
-    rows = raw_legs(spark, sf_dir).withColumn("event_kind", F.lit("placement"))
+    return _staged(spark, sf_dir, "log", lambda: _version_log(spark, sf_dir))
+
+
+def _version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = legs(spark, sf_dir).select(*RAW_COLUMNS, F.lit("placement").alias("event_kind"))
     turned = rows.filter(F.col("version") % 10 == 3).select(
         *[c for c in rows.columns if c not in ("ggr", "net_revenue", "version", "event_kind")],
         F.col("turnover").alias("ggr"), (F.col("turnover") * F.lit("0.08").cast("decimal(3,2)")).cast("decimal(18,2)").alias("net_revenue"),
@@ -42,7 +58,7 @@ def version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping files of legs, one with repeats."""
-    rows = raw_legs(spark, sf_dir)
+    rows = legs(spark, sf_dir).select(*RAW_COLUMNS)
     one = rows.filter(F.col("version") % 3 < 2).withColumn("source_file", F.lit("one"))
     two = rows.filter(F.col("version") % 3 > 0).withColumn("source_file", F.lit("two"))
     return one.unionByName(two).unionByName(one.filter(F.col("version") % 11 == 0))
@@ -115,8 +131,7 @@ def sharp_moves(spark, sf_dir):
 
 
 def populations(spark, sf_dir):
-    rows = legs(spark, sf_dir)
-    return concentration.populations(rows, leg_ops.betslips(rows))
+    return concentration.populations(legs(spark, sf_dir), slips(spark, sf_dir))
 
 
 def repeat_backing(spark, sf_dir):
@@ -134,7 +149,7 @@ def abnormal_exposure(spark, sf_dir):
 
 def alert_counts(spark, sf_dir):
     rows = priced(spark, sf_dir)
-    bets = leg_ops.betslips(rows)
+    bets = slips(spark, sf_dir)
     found = anomalies.alerts(
         sharp.score(rows).filter("flagged"), anomalies.abnormal_exposure(rows, **EXPOSURE), anomalies.turnover_spikes(bets, multiplier=2.0),
         anomalies.same_second_clusters(rows), anomalies.repeat_backing(rows),

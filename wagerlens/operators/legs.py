@@ -120,14 +120,15 @@ def fingerprint(log: DataFrame) -> DataFrame:
 
 
 def universe(legs: DataFrame) -> DataFrame:
-    return legs.agg(
+    """One row of counters.  Each count of different values reads its own column and combines before its
+    shuffle; one aggregation with several of them would multiply every row by their number."""
+    out = legs.agg(
         F.count("*").alias("legs"),
-        F.countDistinct("betslip_id").alias("betslips"),
-        F.countDistinct("uid").alias("uids"),
-        F.countDistinct("match_id").alias("fixtures"),
-        F.countDistinct("competition").alias("competitions"),
-        F.countDistinct("market_normalised").alias("markets"),
         F.min(F.to_date("placed_at")).cast("string").alias("first_day"),
         F.max(F.to_date("placed_at")).cast("string").alias("last_day"),
         F.count_if("is_inplay").alias("inplay_legs"),
     )
+    kinds = {"betslips": "betslip_id", "uids": "uid", "fixtures": "match_id", "competitions": "competition", "markets": "market_normalised"}
+    for name, column in kinds.items():
+        out = out.crossJoin(F.broadcast(legs.agg(F.countDistinct(column).alias(name))))  # one row each
+    return out
