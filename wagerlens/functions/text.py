@@ -38,11 +38,11 @@ def strip_accents_exact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def management_unit(raw: Column) -> Column:
     """A region's one name: without accents, upper case, without the brand before or after it."""
+    # one chain: an expression that is used twice is evaluated twice
     name = F.trim(F.upper(strip_accents(raw)))
-    name = F.regexp_replace(F.regexp_replace(name, "^RETABET ", ""), "^RETA ", "")
-    name = F.regexp_replace(name, " RETA$", "")
-    name = F.when(name == "C. LA MANCHA", "CASTILLA LA MANCHA").otherwise(name)
-    return F.when(F.coalesce(name, F.lit("")) == "", "UNKNOWN").otherwise(name)
+    for pattern, by in (("^RETABET ", ""), ("^RETA ", ""), (" RETA$", ""), (r"^C\. LA MANCHA$", "CASTILLA LA MANCHA"), ("^$", "UNKNOWN")):
+        name = F.regexp_replace(name, pattern, by)
+    return F.coalesce(name, F.lit("UNKNOWN"))
 
 
 def is_brand_unit(raw: Column) -> Column:
@@ -51,9 +51,10 @@ def is_brand_unit(raw: Column) -> Column:
 
 def market(raw: Column) -> Column:
     """A market's one name: slots in braces removed, except where they are the whole name."""
-    label = F.regexp_replace(F.regexp_replace(raw, r"\{[^}]*\}", ""), r"\s+", " ")
-    label = F.regexp_replace(label, r"^[ :-]+|[ :-]+$", "")
-    out = F.when(F.coalesce(label, F.lit("")) == "", "UNKNOWN").otherwise(label)
+    label = raw
+    for pattern, by in ((r"\{[^}]*\}", ""), (r"\s+", " "), (r"^[ :-]+|[ :-]+$", ""), ("^$", "UNKNOWN")):
+        label = F.regexp_replace(label, pattern, by)
+    out = F.coalesce(label, F.lit("UNKNOWN"))
     for token, name in BUILDER_MARKETS.items():
         out = F.when(F.trim(raw) == token, name).otherwise(out)
     return out

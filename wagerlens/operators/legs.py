@@ -20,29 +20,32 @@ def enrich(legs: DataFrame) -> DataFrame:
     """Add region, is_brand_unit, uid_format, minutes_to_kickoff, is_inplay, market_normalised, base_id,
     betslip_id, had_key_collision and leg_count.
 
-    One shuffle, by base_id: its windows all refine that key.
+    One shuffle, by base_id: its windows all refine that key.  Names are normalised behind it, in a stage
+    of their own: fused with the scan and its joins they would make one method too long to be compiled.
     """
-    minutes = clock.minutes_between(F.col("placed_at"), F.col("event_at"))
     base = F.concat_ws("|", "uid", F.coalesce(F.date_format("placed_at", "yyyyMMddHHmmss"), F.lit("NaT")))
     simple = F.col("bet_type") == "SIMPLE"
-    rows = legs.select(
+    second = Window.partitionBy("base_id")
+    kind = Window.partitionBy("base_id", "bet_type")
+    rows = legs.withColumn("base_id", base).select(
         "*",
+        F.count("*").over(second).alias("in_second"),
+        F.count("*").over(kind).alias("of_kind"),
+        (F.row_number().over(kind.orderBy(*ORDER)) - 1).alias("place"),
+    )
+    minutes = clock.minutes_between(F.col("placed_at"), F.col("event_at"))
+    return rows.select(
+        *legs.columns,
         text.management_unit(F.col("management_unit")).alias("region"),
         text.is_brand_unit(F.col("management_unit")).alias("is_brand_unit"),
         text.uid_format(F.col("uid")).alias("uid_format"),
         text.market(F.col("market")).alias("market_normalised"),
         minutes.alias("minutes_to_kickoff"),
-        F.coalesce(minutes > 0, F.lit(False)).alias("is_inplay"),
-        base.alias("base_id"),
-    )
-    second = Window.partitionBy("base_id")
-    kind = Window.partitionBy("base_id", "bet_type")
-    place = F.row_number().over(kind.orderBy(*ORDER)) - 1
-    return rows.select(
-        "*",
-        (simple & (F.count("*").over(second) > 1)).alias("had_key_collision"),
-        F.when(simple, F.lit(1)).otherwise(F.count("*").over(kind)).cast("long").alias("leg_count"),
-        F.when(simple, F.concat("base_id", F.lit("#"), place.cast("string"))).otherwise(F.col("base_id")).alias("betslip_id"),
+        F.coalesce(F.col("placed_at") > F.col("event_at"), F.lit(False)).alias("is_inplay"),
+        "base_id",
+        (simple & (F.col("in_second") > 1)).alias("had_key_collision"),
+        F.when(simple, F.lit(1)).otherwise(F.col("of_kind")).cast("long").alias("leg_count"),
+        F.when(simple, F.concat("base_id", F.lit("#"), F.col("place").cast("string"))).otherwise(F.col("base_id")).alias("betslip_id"),
     )
 
 
