@@ -120,9 +120,9 @@ def movement(legs: DataFrame, *, least_group: int = DEFAULTS.movement_group, sha
 
 
 def movers(moves: DataFrame, direction: str, *, limit: int = DEFAULTS.movers) -> DataFrame:
-    """The largest moves of one direction; the limit is the report's."""
+    """The largest sharp moves of one direction; the limit is the report's."""
     key = F.desc("implied_prob_move") if direction == "steamer" else F.asc("implied_prob_move")
-    return moves.filter(F.col("direction") == direction).orderBy(key, *GROUP).limit(limit)
+    return moves.filter(F.col("is_sharp_move") & (F.col("direction") == direction)).orderBy(key, *GROUP).limit(limit)
 
 
 #: Histogram edges of the price value, in thousandths.

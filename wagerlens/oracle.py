@@ -260,8 +260,8 @@ SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS
         (SELECT count(*) FROM g WHERE n >= 5) AS groups_for_movement, beats / eligible_legs AS population_beat_rate FROM a""",
     "price_movement": f"""WITH {MOVES} SELECT match_id, market_normalised, player, selection, legs, first_price::DOUBLE AS first_price, last_price::DOUBLE AS last_price, fixture, {TIME.format("kickoff")} AS kickoff,
       CASE WHEN nc <= 1 THEN turnover::DOUBLE END AS turnover, CASE WHEN nc <= 1 THEN currency END AS currency, distinct_uids, round(mv, 9) AS implied_prob_move, direction, is_sharp_move FROM moves""",
-    "steamers": f"""WITH {MOVES} SELECT match_id, market_normalised, player, selection, legs, round(mv, 9) AS implied_prob_move, is_sharp_move FROM moves WHERE direction = 'steamer' ORDER BY mv DESC, match_id, market_normalised, player, selection LIMIT 25""",
-    "drifters": f"""WITH {MOVES} SELECT match_id, market_normalised, player, selection, legs, round(mv, 9) AS implied_prob_move, is_sharp_move FROM moves WHERE direction = 'drifter' ORDER BY mv, match_id, market_normalised, player, selection LIMIT 25""",
+    "steamers": f"""WITH {MOVES} SELECT match_id, market_normalised, player, selection, legs, round(mv, 9) AS implied_prob_move, is_sharp_move FROM moves WHERE is_sharp_move AND direction = 'steamer' ORDER BY mv DESC, match_id, market_normalised, player, selection LIMIT 25""",
+    "drifters": f"""WITH {MOVES} SELECT match_id, market_normalised, player, selection, legs, round(mv, 9) AS implied_prob_move, is_sharp_move FROM moves WHERE is_sharp_move AND direction = 'drifter' ORDER BY mv, match_id, market_normalised, player, selection LIMIT 25""",
     "value_histogram": f"""WITH {PRICED}, e AS (SELECT unnest([-1000, -500, -250, -100, -50, -10, 0, 10, 50, 100, 250, 500, 1000]) AS x), bins AS (SELECT (row_number() OVER (ORDER BY x) - 1)::INT AS bin, x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM e)
       SELECT bin, lo / 1000.0::DOUBLE AS low, hi / 1000.0::DOUBLE AS high, (SELECT count(*) FROM priced WHERE value_micro IS NOT NULL AND (value_micro >= lo * 1000 OR bin = 0) AND (value_micro < hi * 1000 OR bin = 11)) AS legs FROM bins WHERE hi IS NOT NULL""",
     "gini": f"""WITH {POPULATIONS} SELECT population, n AS n_units, total::DOUBLE AS total, round(2.0 * sum(r * v)::DOUBLE / (n::DOUBLE * total::DOUBLE) - (n::DOUBLE + 1) / n::DOUBLE, 4) AS gini FROM ranked WHERE n >= 2 AND total > 0 GROUP BY population, n, total""",
