@@ -20,6 +20,16 @@ UNDECOMPOSED_PLAIN = "OoDdLld"
 CLUB_SUFFIXES = ("fc", "afc", "cf", "sc")
 
 
+#: What a management unit's name loses or becomes, in this order.
+UNIT_RULES = (
+    ("^RETABET ", ""),
+    ("^RETA ", ""),
+    (" RETA$", ""),
+    (r"^C\. LA MANCHA$", "CASTILLA LA MANCHA"),
+    ("^$", "UNKNOWN"),
+)
+
+
 def strip_accents(text: Column) -> Column:
     """Letters without accents: precomposed ones by translation, combining marks removed."""
     return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}", "")
@@ -40,7 +50,7 @@ def management_unit(raw: Column) -> Column:
     """A region's one name: without accents, upper case, without the brand before or after it."""
     # one chain: an expression that is used twice is evaluated twice
     name = F.trim(F.upper(strip_accents(raw)))
-    for pattern, by in (("^RETABET ", ""), ("^RETA ", ""), (" RETA$", ""), (r"^C\. LA MANCHA$", "CASTILLA LA MANCHA"), ("^$", "UNKNOWN")):
+    for pattern, by in UNIT_RULES:
         name = F.regexp_replace(name, pattern, by)
     return F.coalesce(name, F.lit("UNKNOWN"))
 

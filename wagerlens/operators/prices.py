@@ -5,7 +5,7 @@ Values are whole millionths, rounded half up, so that sums don't depend on their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -32,38 +32,34 @@ def attach_value(legs: DataFrame, *, strict_ties: bool = False, winsor: int = DE
     """Add reference_price, value_micro, value_winsorised, value_eligible, reference_is_own_bet,
     group_leg_count and group_price_moves.
 
-    The reference is the group's last price, and every leg but the last has one; with strict_ties only
-    legs at an earlier time.  Legs out of scope keep nulls; all windows share one shuffle by the group.
+    The reference is the group's last price, and every leg before the last has one; with strict_ties only
+    legs at an earlier time.  Legs out of scope keep nulls.  A group's last leg is found by an aggregation,
+    combined before its shuffle, and joined back: Spark splits the legs of a hot group over several tasks,
+    which it can't for a window.  Legs equal in the whole order are one observation.
     """
-    scope = in_scope()
-    rows = legs.withColumn("in_scope", F.coalesce(scope, F.lit(False)))
-    # legs out of scope would only swell the groups: they get keys of their own
-    spread = F.when(F.col("in_scope"), F.lit(None).cast("long")).otherwise(F.xxhash64("row_key", "version"))
-    rows = rows.withColumn("aside", spread)
-    group = Window.partitionBy(*GROUP, "aside")
-    whole = group.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    from_end = F.row_number().over(group.orderBy(*[F.desc(c) for c in ORDER]))
-    rows = rows.select(
-        "*",
-        F.last("price").over(whole).alias("last_price"),
-        F.last("uid").over(whole).alias("last_uid"),
-        F.last("placed_at").over(whole).alias("last_at"),
-        F.count("*").over(whole).alias("size"),
-        (F.min("price").over(whole) < F.max("price").over(whole)).alias("moves"),
-        from_end.alias("from_end"),
+    scope = F.coalesce(in_scope(), F.lit(False))
+    groups = legs.filter(scope).groupBy(*GROUP).agg(
+        F.max(F.struct(*ORDER, F.col("price").alias("last_price"), F.col("uid").alias("last_uid"))).alias("last"),
+        F.count("*").alias("group_size"),
+        (F.min("price") < F.max("price")).alias("group_moves"),
     )
-    later = F.col("placed_at") < F.col("last_at") if strict_ties else F.col("from_end") > 1
+    rows = legs.withColumn("in_scope", scope).join(groups, list(GROUP), "left")
+    order = F.struct(*[F.col(c) for c in ORDER])
+    later = F.col("placed_at") < F.col("last.placed_at") if strict_ties else order < F.struct(*[F.col(f"last.{c}") for c in ORDER])
     eligible = F.col("in_scope") & F.coalesce(later, F.lit(False))
-    micro = F.when(eligible, value_micro(milli(F.col("price")), milli(F.col("last_price"))))
+    rows = rows.withColumn("value_eligible", eligible)
+    micro = F.when(F.col("value_eligible"), value_micro(milli(F.col("price")), milli(F.col("last.last_price"))))
+    rows = rows.withColumn("value_micro", micro)
+    clipped = F.greatest(F.least("value_micro", F.lit(winsor)), F.lit(-winsor))
     return rows.select(
         *legs.columns,
-        F.when(eligible, F.col("last_price")).alias("reference_price"),
-        micro.alias("value_micro"),
-        F.when(micro.isNotNull(), F.greatest(F.least(micro, F.lit(winsor)), F.lit(-winsor))).alias("value_winsorised"),
-        eligible.alias("value_eligible"),
-        (eligible & (F.col("uid") == F.col("last_uid"))).alias("reference_is_own_bet"),
-        F.when(F.col("in_scope"), F.col("size")).otherwise(0).alias("group_leg_count"),
-        (F.col("in_scope") & F.col("moves")).alias("group_price_moves"),
+        F.when(F.col("value_eligible"), F.col("last.last_price")).alias("reference_price"),
+        "value_micro",
+        F.when(F.col("value_micro").isNotNull(), clipped).alias("value_winsorised"),
+        "value_eligible",
+        F.coalesce(F.col("value_eligible") & (F.col("uid") == F.col("last.last_uid")), F.lit(False)).alias("reference_is_own_bet"),
+        F.when(F.col("in_scope"), F.col("group_size")).otherwise(0).alias("group_leg_count"),
+        (F.col("in_scope") & F.coalesce("group_moves", F.lit(False))).alias("group_price_moves"),
     )
 
 
