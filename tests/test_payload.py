@@ -54,3 +54,21 @@ def test_command_of_reconciliation(spark, tmp_path):
     (doc,) = json.loads((tmp_path / "out" / "canonical.json").read_text())
     assert doc["score"]["value"] == {"home": 1, "away": 0} and len(json.loads((tmp_path / "out" / "reviews.json").read_text())) == len(doc["reviews"])
     assert rows(spark.range(1))
+
+
+def test_findings(spark, tmp_path):
+    import pytest
+
+    from wagerlens.operators import findings
+    from wagerlens.plans import artifacts
+    from wagerlens.sources.sinks import write_json
+
+    assert [findings.freshness(s) for s in (None, 3, 100, 500, 5000)] == ["unknown", "fresh", "ageing", "stale", "down"] and findings.oldest([1, 9]) == 9 and findings.oldest([]) is None
+    with pytest.raises(ValueError):
+        findings.by_dimension(None, None, "uid; drop table")
+    write_json(artifacts.envelope("a", {"n": 1}, {}), tmp_path / "a.json")
+    assert artifacts.read_artifacts(str(tmp_path)) == {"a": {"n": 1}}
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "p"))
+    assert artifacts.dataset_fingerprint(spark.read.parquet(str(tmp_path / "p"))) == artifacts.dataset_fingerprint(spark.read.parquet(str(tmp_path / "p")))
+    table = spark.createDataFrame([("Alpha", 1), ("beta", 3), ("ALPINE", 2)], "label string, n int")
+    assert [r["label"] for r in findings.view(table, label="label", contains="alp", order="n").collect()] == ["ALPINE", "Alpha"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import odds, stats, text
-from .operators import anomalies, breakdown, concentration, legs as leg_ops, money, players, prices, quality, sharp, timing
+from .operators import anomalies, breakdown, concentration, findings, legs as leg_ops, money, players, prices, quality, sharp, timing
 from .sources.staged import staged
 from .sources.standin import raw_legs
 
@@ -297,6 +297,17 @@ def generated_events(spark, sf_dir):
     return _doubles(now.groupBy("currency", "event_kind").agg(F.count("*").alias("legs"), F.sum("turnover").alias("turnover"), F.sum("ggr").alias("ggr")))
 
 
+def current_scan(spark, sf_dir):
+    """The current state of a few fixtures: the predicate reaches the log's files."""
+    now = findings.current_legs(version_log(spark, sf_dir), "match_id <= 3 AND bet_type = 'SIMPLE'")
+    return _doubles(now.select("row_key", "version", "event_kind", "ggr", "placed_at"))
+
+
+def table_view(spark, sf_dir):
+    counts, _ = findings.by_dimension(legs(spark, sf_dir), slips(spark, sf_dir), "competition")
+    return findings.view(counts, label="label", contains="BRAND#1", order="legs", limit=5)
+
+
 def single_pass_query(spark, sf_dir):
     rows = breakdown.single_pass(legs(spark, sf_dir))
     return _doubles(rows.groupBy("dimension").agg(F.countDistinct("key").alias("n_keys"), F.sum("legs").alias("legs"), F.sum("turnover").alias("turnover"), F.max("legs").alias("largest")))
@@ -322,6 +333,11 @@ QUERIES: dict[str, Query] = {
     "breakdowns_single_pass": single_pass_query,
     "phases": phases,
     "phase_money": phase_money,
+    "key_findings": lambda s, d: findings.key_findings(phases(s, d)),
+    "ranked_currencies": lambda s, d: _doubles(findings.ranked_currencies(slips(s, d))),
+    "current_scan": current_scan,
+    "table_view": table_view,
+    "book_shape": lambda s, d: quality.shape(version_log(s, d)),
     "daily": lambda s, d: _doubles(timing.daily(slips(s, d))),
     "daily_money": lambda s, d: _doubles(timing.daily_money(slips(s, d))),
     "monthly": lambda s, d: timing.monthly(slips(s, d)),

@@ -317,4 +317,14 @@ SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS
     "event_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2)
       SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max(n) AS longest FROM c GROUP BY 1""",
+    "key_findings": f"""WITH {PHASED}, p AS (SELECT position, names.phase, is_pre_match, count(row_key) AS legs FROM names LEFT JOIN phased ON names.phase = phased.phase GROUP BY 1, 2, 3),
+      t AS (SELECT sum(legs)::BIGINT AS n, sum(CASE WHEN is_pre_match THEN legs ELSE 0 END)::BIGINT AS pre FROM p), b AS (SELECT phase, legs FROM p ORDER BY legs DESC, position LIMIT 1)
+      SELECT {_ratio("pre", "n")} AS pre_match_share, phase AS peak_phase, {_ratio("legs", "(SELECT count(*) FROM legs)")} AS peak_share FROM t, b""",
+    "ranked_currencies": f"WITH {LEGS} SELECT currency, count(*) AS n_rows, sum(turnover)::DOUBLE AS amount FROM betslips GROUP BY 1",
+    "current_scan": f"""WITH {LOG} SELECT row_key, version, event_kind, ggr::DOUBLE AS ggr, {TIME.format("placed_at")} AS placed_at FROM now WHERE match_id <= 3 AND bet_type = 'SIMPLE'""",
+    "table_view": f"""WITH {LEGS}, k AS (SELECT competition, count(*) AS legs, count(DISTINCT betslip_id) AS betslips FROM legs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15)
+      SELECT competition AS key, competition AS label, legs, {_ratio("legs", "(SELECT count(*) FROM legs)")} AS share, betslips FROM k WHERE contains(lower(competition), 'brand#1') ORDER BY legs DESC, competition LIMIT 5""",
+    "book_shape": f"""WITH {LOG}, u AS (SELECT median(n) AS m FROM (SELECT count(*) AS n FROM log GROUP BY uid))
+      SELECT count(*) AS legs, count(*) FILTER (bet_type = 'SIMPLE') / count(*) AS simple_share, count(*) FILTER (currency = 'EUR') / count(currency) AS eur_share, count(*) FILTER (currency = 'PEN') / count(currency) AS pen_share,
+        count(*) FILTER (event_kind = 'reversal') AS reversals, count(*) FILTER (event_kind = 'reversal' AND ggr <> turnover) AS odd_reversals, any_value(m) AS median_legs_per_uid FROM log, u""",
 }

@@ -10,6 +10,7 @@ import json
 import math
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,19 @@ def envelope(name: str, data, meta: dict) -> dict:
     return {"artifact": name, "hash": payload_hash(data), "meta": plain(meta), "data": data}
 
 
+def read_artifacts(folder: str) -> dict:
+    """All artifacts of a folder by name, without their envelopes."""
+    found = {p.stem: json.loads(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("*.json"))}
+    return {name: value["data"] if isinstance(value, dict) and "data" in value else value for name, value in found.items()}
+
+
+def dataset_fingerprint(raw: DataFrame) -> str:
+    """A digest of the input's file names and sizes; raw is read from files."""
+    files = raw.select("_metadata.file_name", "_metadata.file_size").distinct()
+    digest = F.sum(F.xxhash64("file_name", "file_size").cast("decimal(38,0)"))
+    return hashlib.sha256(str(files.agg(digest, F.count("*")).first()).encode()).hexdigest()[:16]
+
+
 def resolve_ref(payload: dict, ref: str):
     """'section/table#key=value' to the rows of that table with that value."""
     path, _, test = ref.partition("#")
