@@ -80,6 +80,7 @@ def test_line_dedup(spark):
     assert got[1]["kept_text"] == "own 1" and got[1]["n_lines"] == 4 and got[1]["n_dropped"] == 3 and got[None]["n_dropped"] == 1 and got[None]["host"] == "a.com"
     assert got[9]["n_dropped"] == 0 and got[10]["kept_text"] == "x" and got[11]["n_lines"] == 0 and got[10]["host"] == "" and got[12]["n_lines"] == 0
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
+    assert rows(line_dedup.line_dedup(df, broadcast_hashes=0)) == rows(line_dedup.line_dedup(df))
 
 
 def test_line_ratio_is_strict(spark):

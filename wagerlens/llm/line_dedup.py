@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
@@ -45,10 +47,14 @@ def boilerplate(pages: DataFrame, *, ratio: float, least_pages: int) -> DataFram
     )
 
 
-def line_dedup(pages: DataFrame, *, ratio: float = 0.3, least_pages: int = 3) -> DataFrame:
+def line_dedup(pages: DataFrame, *, ratio: float = 0.3, least_pages: int = 3, broadcast_hashes: int = 1_000_000) -> DataFrame:
     """Per page: page_id, host, n_lines, n_dropped, kept_text (lines that stay, one a row)."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
-    joined = rows.join(boilerplate(pages, ratio=ratio, least_pages=least_pages), "host", "left")
+    # written first: counted, it can be broadcast if small; if not, the join's inputs are plain shuffles, of
+    # which Spark splits the pages of a hot host over many tasks
+    lists = keep(boilerplate(pages, ratio=ratio, least_pages=least_pages))
+    size = lists.agg(F.coalesce(F.sum(F.size("drop") + 4), F.lit(0)).alias("n")).first()["n"]
+    joined = rows.join(F.broadcast(lists) if size <= broadcast_hashes else lists, "host", "left")
     drop = F.coalesce("drop", F.array().cast("array<bigint>"))
     joined = joined.select("page_id", "host", lines_of(F.col("html")).alias("lines"), drop.alias("drop"))
     kept = F.filter("lines", lambda line: ~F.array_contains(F.col("drop"), F.xxhash64(line)))
