@@ -3,7 +3,7 @@
 Targets are filled like water: all sources share the wanted total by weight, a source stops at `cap`
 times its size, and the excess is shared again by weight among the rest.  A source then gives all its
 documents a whole number of times, and the remainder from the documents below a hash threshold.  The
-threshold comes from a histogram of sizes by source and hash bucket (65,536 of a 48-bit hash): the
+threshold comes from a histogram of sizes by source and hash bucket (4,096 of a 48-bit hash): the
 budget ends in one bucket, the boundary, and only that bucket's documents are summed hash by hash.
 The final filter compares each document's hash with its source's threshold, so nothing is sorted, and a
 larger budget always takes a superset.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, whole_rows, word_count
 
-BUCKET_BITS, HASH_BITS = 16, 48
+BUCKET_BITS, HASH_BITS = 12, 48
 
 
 def hash48(doc_id: Column) -> Column:
