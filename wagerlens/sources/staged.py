@@ -7,10 +7,13 @@ its input files are the same (names, sizes and times); a changed input makes a n
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("spark.wagerlens.scratch", None)
         if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="wagerlens-")
+            own = tempfile.mkdtemp(prefix="wagerlens-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            folder = f"file://{own}"
             spark.conf.set("spark.wagerlens.scratch", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -43,12 +48,16 @@ def state_of(spark: SparkSession, paths: list[str]) -> int:
 def staged(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame], *, cluster_by: str | None = None) -> DataFrame:
     """The table that build makes of the inputs; cluster_by deals its rows by a key and sorts them within files."""
     key = (spark.sparkContext.applicationId, name, *inputs, state_of(spark, inputs))
-    if key not in _known:
-        path = f"{shared_folder(spark).rstrip('/')}/staged-{name}-{uuid.uuid4().hex}"
-        df = build()
-        if cluster_by:
-            df = df.repartition(cluster_by).sortWithinPartitions(cluster_by)
-        df.write.option("compression", "zstd").parquet(path)
-        _known[key] = (path, df.schema)
-    path, schema = _known[key]
-    return spark.read.schema(schema).parquet(path)
+    if key in _known:
+        path, schema = _known[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # its folder was cleared meanwhile
+            del _known[key]
+    path = f"{shared_folder(spark).rstrip('/')}/staged-{name}-{uuid.uuid4().hex}"
+    df = build()
+    if cluster_by:
+        df = df.repartition(cluster_by).sortWithinPartitions(cluster_by)
+    df.write.option("compression", "zstd").parquet(path)
+    _known[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
