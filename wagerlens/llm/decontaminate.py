@@ -29,6 +29,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(fold_case(F.coalesce(text, F.lit(""))), BREAK_CLASS), lambda w: w != "")
 
 
+def count_of(text: Column) -> Column:
+    """Number of words_of(text), whose case doesn't matter: it splits at the same breaks, letters unfolded."""
+    breaks = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), breaks), lambda w: w != "")).cast("long")
+
+
 def _windows(words: Column, length: int) -> Column:
     """Structs of the place and text of all windows of one length."""
     last = F.size(words) - length
@@ -93,7 +99,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int
 
     contaminated: at least one word in `share` is covered by benchmark windows.
     """
-    counted = docs.select(*_key(docs), F.size(words_of(F.col("text"))).cast("long").alias("n_words")).alias("d")
+    counted = docs.select(*_key(docs), count_of(F.col("text")).alias("n_words")).alias("d")
     marked = spans(hits(docs, items, n=n)).alias("h")
     joined = counted.join(
         marked, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left"
@@ -117,7 +123,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int = 2
     joined = rows.join(
         marked, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left"
     )
-    clean = F.col("h.n_hit").isNull() | (share * F.col("h.n_hit") < F.size(words_of(F.col("row.text"))))
+    clean = F.col("h.n_hit").isNull() | (share * F.col("h.n_hit") < count_of(F.col("row.text")))
     return joined.filter(clean).select("row.*")
 
 
