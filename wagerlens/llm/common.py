@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staged import shared_folder
+
 #: Words of a text as the contracts define them: runs without ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: What stands between words once A-Z are lower-cased: ASCII other than digits and letters.
@@ -23,19 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.wagerlens.scratch", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="wagerlens-")
-            spark.conf.set("spark.wagerlens.scratch", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Let Arrow batches to Python workers end at `limit` bytes: 10,000 long texts would not fit a worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
