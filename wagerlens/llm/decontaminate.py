@@ -2,8 +2,8 @@
 
 Items and documents are folded alike (A-Z lower-cased, words between ASCII breaks).  An item's windows
 are its runs of `n` words, or all of it if it is shorter.  The windows, joined by spaces, form a set;
-a document's windows of the same lengths are probed against it by a broadcast hash join on the window
-text itself, so a hit is verified by the equality of the words.  Only hits are shuffled, to be merged
+a document's windows of the same lengths, where their outer words pass a filter of fixed size, are probed
+against it by a broadcast hash join on the window text itself, so a hit is verified by the equality of the words.  Only hits are shuffled, to be merged
 into spans a document.
 
 The set is broadcast in blocks of at most `block_rows` windows, counted before: a larger benchmark makes
@@ -35,10 +35,39 @@ def count_of(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), breaks), lambda w: w != "")).cast("long")
 
 
-def _windows(words: Column, length: int) -> Column:
-    """Structs of the place and text of all windows of one length."""
+#: Words of the filter: 1,024 of 64 bits, whatever the size of the benchmark.
+FILTER_WORDS = 1024
+
+
+def _slot(first: Column, last: Column) -> tuple[Column, Column]:
+    """Word and bit of the filter for a window with these outer words."""
+    h = F.xxhash64(first, last)
+    return h.bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
+
+
+def outer_words(grams: DataFrame) -> Column:
+    """A filter of fixed size over the windows' first and last words, as an array of 64-bit numbers.
+
+    It lets every window of the benchmark pass; a large benchmark only lets more others pass too.
+    """
+    word, bit = _slot(F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1))
+    slots = grams.select(word.alias("word"), bit.alias("bit"))
+    rows = slots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    masks = {r["word"]: r["mask"] for r in rows.collect()}  # at most FILTER_WORDS rows
+    return F.array(*[F.lit(masks.get(i, 0)).cast("long") for i in range(FILTER_WORDS)])
+
+
+def _windows(words: Column, length: int, outer: Column | None = None) -> Column:
+    """Structs of the place and text of all windows of one length, or of those whose outer words pass."""
     last = F.size(words) - length
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    if outer is not None:
+
+        def passes(i: Column) -> Column:
+            word, bit = _slot(F.get(words, i), F.get(words, i + (length - 1)))
+            return F.getbit(F.get(outer, word), bit) == 1
+
+        at = F.filter(at, passes)
     return F.transform(
         at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, length), " ").alias("gram"))
     )
@@ -67,7 +96,8 @@ def hits(docs: DataFrame, items: DataFrame, *, n: int = 13, block_rows: int = 50
     facts = grams.groupBy("n_gram").agg(F.count("*").alias("n")).collect()  # at most n rows
     blocks = -(-sum(r["n"] for r in facts) // block_rows) or 1
     words = docs.select(*_key(docs), words_of(F.col("text")).alias("words"))
-    windows = F.concat(*[_windows(F.col("words"), r["n_gram"]) for r in facts]) if facts else _windows(F.col("words"), n)
+    outer = outer_words(grams)
+    windows = F.concat(*[_windows(F.col("words"), r["n_gram"], outer) for r in facts]) if facts else _windows(F.col("words"), n, outer)
     probed = words.select("doc_id", "text_key", F.explode(windows).alias("w")).select("doc_id", "text_key", "w.at", "w.gram")
     parts = [grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b) if blocks > 1 else grams for b in range(blocks)]
     found = [probed.join(F.broadcast(part), "gram") for part in parts]
