@@ -10,10 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F, types as T
 
 
+def floor_div(x: Column, y: Column) -> Column:
+    """Whole numbers' quotient, rounded down; exact, without decimals or binary fractions."""
+    return F.call_function("div", x - F.pmod(x, y), y)
+
+
 def ratio4(part: Column, whole: Column) -> Column:
     """part / whole of whole numbers, half up to four decimals without a detour over binary fractions."""
     p, w = part.cast("long"), whole.cast("long")
-    return F.when(w > 0, F.floor((p * 20000 + w).cast("decimal(38,0)") / (2 * w)).cast("double") / 10000.0)
+    return F.when(w > 0, floor_div(p * 20000 + w, 2 * w).cast("double") / 10000.0)
 
 
 def wilson_lower(hits: Column, n: Column, z: float = 1.96) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.odds import milli
+from ..functions.stats import floor_div
 from .legs import ORDER
 
 GROUP = ("match_id", "market_normalised", "player", "selection")
@@ -25,7 +26,7 @@ def in_scope() -> Column:
 
 def value_micro(taken: Column, reference: Column) -> Column:
     """taken / reference - 1 in millionths, both prices in thousandths."""
-    return (F.floor((2 * taken * 1_000_000 + reference).cast("decimal(38,0)") / (2 * reference)) - 1_000_000).cast("long")
+    return floor_div(2 * taken * 1_000_000 + reference, 2 * reference) - 1_000_000
 
 
 def attach_value(legs: DataFrame, *, strict_ties: bool = False, winsor: int = DEFAULTS.winsor_micro) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions.stats import binomial_upper_tail, wilson_lower
+from ..functions.stats import binomial_upper_tail, floor_div, wilson_lower
 from .legs import ORDER
 from .prices import GROUP
 
@@ -18,7 +18,7 @@ from .prices import GROUP
 def scoring_units(priced: DataFrame) -> DataFrame:
     """Per Uid and price group: legs, value_sum, mean_value, stake, currency, beat (mean > 0, strictly)."""
     scope = priced.filter(F.col("value_eligible") & ~F.col("reference_is_own_bet"))
-    return scope.groupBy("uid", *GROUP).agg(
+    units = scope.groupBy("uid", *GROUP).agg(
         F.count("*").alias("legs"),
         F.sum("value_winsorised").alias("value_sum"),
         (F.sum("value_winsorised") / F.count("*") / 1e6).alias("mean_value"),
@@ -27,6 +27,8 @@ def scoring_units(priced: DataFrame) -> DataFrame:
         F.min("placed_at").alias("placed_at"),
         (F.sum("value_winsorised") > 0).alias("beat"),
     )
+    # the mean in whole billionths, so that sums over units don't depend on their order
+    return units.withColumn("mean_nano", floor_div(2000 * F.col("value_sum") + F.col("legs"), 2 * F.col("legs")))
 
 
 def dominant_currency(units: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def dominant_currency(units: DataFrame) -> DataFrame:
     per = known.groupBy("uid", "currency").agg(
         F.count("*").alias("n"),
         F.sum("stake").alias("stake"),
-        F.sum(F.col("stake").cast("double") * F.col("mean_value")).alias("weighted"),
+        F.sum(F.col("stake").cast("decimal(18,2)") * F.col("mean_nano").cast("decimal(12,0)")).alias("weighted"),
     )
     facts = F.struct("currency", "stake", "weighted")
     return per.groupBy("uid").agg(
@@ -45,7 +47,7 @@ def dominant_currency(units: DataFrame) -> DataFrame:
     ).select(
         "uid",
         F.col("top.currency").alias("dominant_currency"),
-        F.when(F.col("top.stake") > 0, F.col("top.weighted") / F.col("top.stake").cast("double")).alias("stake_weighted_price_value"),
+        F.when(F.col("top.stake") > 0, F.col("top.weighted").cast("double") / F.col("top.stake").cast("double") / 1e9).alias("stake_weighted_price_value"),
         "multi_currency",
     )
 
@@ -78,7 +80,7 @@ def windows(priced: DataFrame) -> DataFrame:
     per_uid = units.groupBy("uid").agg(
         F.count("*").alias("priced_units"),
         F.count_if("beat").alias("beats"),
-        F.avg("mean_value").alias("mean_price_value"),
+        (F.sum("mean_nano") / F.count("*") / 1e9).alias("mean_price_value"),
         F.countDistinct("match_id").alias("distinct_fixtures"),
     )
     return per_uid.join(dominant_currency(units), "uid", "left").join(uid_context(priced), "uid")

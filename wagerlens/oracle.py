@@ -65,16 +65,17 @@ priced AS (
   FROM valued)"""
 
 UNITS = PRICED + r""",
-units AS (
+units0 AS (
   SELECT uid, match_id, market_normalised, player, selection, count(*) AS legs, sum(value_winsorised)::BIGINT AS value_sum,
          sum(value_winsorised)::BIGINT / count(*) / 1e6 AS mean_value, sum(turnover) AS stake,
          first(currency ORDER BY currency IS NULL, placed_at, row_key, version, ggr) AS currency, sum(value_winsorised) > 0 AS beat
   FROM priced WHERE value_eligible AND NOT reference_is_own_bet GROUP BY 1, 2, 3, 4, 5),
+units AS (SELECT *, (2000 * value_sum + legs - (((2000 * value_sum + legs) % (2 * legs) + 2 * legs) % (2 * legs))) // (2 * legs) AS mean_nano FROM units0),
 per_currency AS (
-  SELECT uid, currency, count(*) AS n, sum(stake) AS stake, sum(stake::DOUBLE * mean_value) AS weighted FROM units WHERE currency IS NOT NULL GROUP BY 1, 2),
+  SELECT uid, currency, count(*) AS n, sum(stake) AS stake, sum(stake::DECIMAL(18,2) * mean_nano::DECIMAL(12,0)) AS weighted FROM units WHERE currency IS NOT NULL GROUP BY 1, 2),
 dominant AS (
   SELECT uid, arg_min(currency, (-n, currency)) AS dominant_currency,
-         arg_min(CASE WHEN stake > 0 THEN weighted / stake::DOUBLE END, (-n, currency)) AS swv, count(*) > 1 AS multi_currency
+         arg_min(CASE WHEN stake > 0 THEN weighted::DOUBLE / stake::DOUBLE / 1e9 END, (-n, currency)) AS swv, count(*) > 1 AS multi_currency
   FROM per_currency GROUP BY uid),
 context AS (
   SELECT uid, count(DISTINCT betslip_id) AS betslips, count(*) AS legs, min(placed_at) AS first_seen, max(placed_at) AS last_seen,
@@ -87,7 +88,7 @@ context AS (
 tops AS (SELECT uid, arg_min(market_normalised, (-n, market_normalised)) AS top_market FROM (SELECT uid, market_normalised, count(*) AS n FROM legs GROUP BY 1, 2) GROUP BY uid),
 windows AS (
   SELECT u.*, d.dominant_currency, d.swv, d.multi_currency, c.* EXCLUDE (uid), t.top_market
-  FROM (SELECT uid, count(*) AS priced_units, count(*) FILTER (beat) AS beats, avg(mean_value) AS mean_price_value, count(DISTINCT match_id) AS distinct_fixtures FROM units GROUP BY uid) u
+  FROM (SELECT uid, count(*) AS priced_units, count(*) FILTER (beat) AS beats, sum(mean_nano)::BIGINT / count(*) / 1e9 AS mean_price_value, count(DISTINCT match_id) AS distinct_fixtures FROM units GROUP BY uid) u
   LEFT JOIN dominant d USING (uid) JOIN context c USING (uid) LEFT JOIN tops t USING (uid)),
 scored AS (
   SELECT *, beats / priced_units AS beat_rate,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import canonical_instant
+from ..functions.stats import floor_div
 
 IDENTITY = ("uid", "placed_at", "bet_type", "match_id", "market", "player", "selection", "price")
 
@@ -43,7 +44,7 @@ def raw_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = F.col("o_orderdate").cast("timestamp")
     minutes = (F.col("l_partkey") * 37 + F.col("l_suppkey") * 11 + F.col("l_linenumber")) % 12000 - 600
     cents, quantity = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long")
-    price = F.lit(1000) + F.floor((2 * cents + 100 * quantity).cast("decimal(38,0)") / (200 * quantity)).cast("long")
+    price = F.lit(1000) + floor_div(2 * cents + 100 * quantity, 200 * quantity)
     turnover = F.col("o_totalprice").cast("decimal(18,2)")
     margin = F.col("l_tax").cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
     legs = rows.select(
