@@ -218,6 +218,22 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert got[0] == 400 and sum(n == 1 for n in got.values()) == 50
 
 
+def test_near_copies_meet_although_longer_texts_share_their_passage(spark):
+    data = []
+    for g in range(4):
+        passage = text(9_000 + g, 40)
+        data += [(10_000 * g, passage + " alpha"), (10_000 * g + 1, passage + " beta")]
+        data += [(10_000 * g + 10 + i, text(20_000 + 1_000 * g + i, 40) + " " + passage) for i in range(900)]
+    found = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_dedup(docs_of(spark, data)))}
+    assert [found[10_000 * g + 1] for g in range(4)] == [10_000 * g for g in range(4)]
+    assert len(set(found.values())) == len(data) - 4
+
+
+def test_a_bucket_of_several_blocks_compares_all_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    test_near_dedup_equals_brute_force(spark)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=60), st.lists(st.integers(0, 4), max_size=60), st.integers(0, 60))
 def test_banded_alignment(a, b, limit):

@@ -5,18 +5,21 @@ each labelled with how often it occurred before in the text.  Every sketch takes
 with the smallest hashes and keeps them in text order, so that equal sketches ask for shared runs in the
 same order, as a small edit distance does.
 
-Equal texts are one text with many documents from the start.  Texts with a common sketch form a bucket;
-each is compared with the bucket's smallest text, never all with all, and a group of near copies of any
-size meets through its few smallest members.  Candidates are verified by banded alignment of their words:
-a link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.  Linked texts form
-classes, by connected components.
+Equal texts are one text with many documents from the start.  Texts with a common sketch form a bucket,
+and two texts of a bucket are candidates.  First each meets its bucket's smallest text, so that a group of
+near copies of any size becomes one class.  Then all candidates that are still in different classes meet,
+unless their numbers of words or of words by hash show that they are too far apart; a large bucket is
+dealt to pairs of blocks.  So the classes are those of all candidates.  Candidates are verified by banded
+alignment of their words: a link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.
+Linked texts form classes, by connected components.
 
 What two texts with the same share s of labelled k-mers have in common: a sketch with chance of about
 s squared, so that 24 sketches miss a pair with s = 0.8 once in 10^10, s = 0.5 once in 1,000.
 
 Defined results: null and empty texts, and texts without words, are linked to equal texts only; texts of
-fewer than five words are one k-mer; repeated rows are further documents of their text; a null doc_id
-ranks after all others; an empty table gives an empty result; further columns are not read.
+fewer than five words are one k-mer; repeated
+rows are further documents of their text; a null doc_id ranks after all others; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -34,22 +37,30 @@ from .pieces import RangeHash, expand, mixed
 from .substring_dedup import word_corpus
 
 K, TAKEN, SKETCHES = 5, 2, 24
+COUNTERS = 128
+BLOCK = 1024
 SIMILARITY = 0.8
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sketches_of(texts: list[bytes], *, k: int = K, sketches: int = SKETCHES) -> np.ndarray:
-    """A row of sketches for each text; texts without words get zeros (callers leave them out)."""
+def sketches_of(texts: list[bytes], *, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, sketches) for each text with words, then each text's words, and its words by
+    hash in COUNTERS counters that stop at 255."""
     corpus = word_corpus([t.translate(FOLD_TABLE) for t in texts])
-    out = np.zeros((len(texts), sketches), dtype=np.uint64)
     words = corpus.last - corpus.first
+    item = expand(corpus.first, words)
+    of = RangeHash(corpus.data)
+    kind = (mixed(of(corpus.item_start[item], corpus.item_end[item])) % np.uint64(COUNTERS)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(texts)), words) * COUNTERS + kind, minlength=len(texts) * COUNTERS)
+    counts = np.minimum(counts, 255).astype(np.uint8).reshape(len(texts), COUNTERS)
     some = np.flatnonzero(words > 0)
+    out = np.zeros((len(some), sketches), dtype=np.uint64)
     if not len(some):
-        return out
-    grams = np.maximum(words[some] - k + 1, 1)
+        return some, out, words, counts
+    grams = np.maximum(words[some] - K + 1, 1)
     first = expand(corpus.first[some], grams)
-    last = np.minimum(first + k, np.repeat(corpus.last[some], grams)) - 1
-    value = RangeHash(corpus.data)(corpus.item_start[first], corpus.item_end[last])
+    last = np.minimum(first + K, np.repeat(corpus.last[some], grams)) - 1
+    value = of(corpus.item_start[first], corpus.item_end[last])
     starts = np.cumsum(grams) - grams
     doc = np.repeat(np.arange(len(some)), grams)
     order = np.lexsort((value, doc))  # stable: places of one k-mer stay in text order
@@ -71,8 +82,8 @@ def sketches_of(texts: list[bytes], *, k: int = K, sketches: int = SKETCHES) ->
             picked.append((where, least))
             hashed[where] = TOP
         (p, a), (q, b) = picked
-        out[some, j] = mixed(np.where(p <= q, a, b) * np.uint64(3) + mixed(np.where(p <= q, b, a)) + salt)
-    return out
+        out[:, j] = mixed(np.where(p <= q, a, b) * np.uint64(3) + mixed(np.where(p <= q, b, a)) + salt)
+    return some, out, words, counts
 
 
 def _banded(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
@@ -185,7 +196,7 @@ def _verify(similarity: float):
 
 
 def _sketched(rows: DataFrame, sketches: int) -> DataFrame:
-    """(node, sketch) for every sketch of every row (node, text) with words."""
+    """Per row (node, text) with words: node, its sketches, n_words, and its words by hash."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,18 +207,33 @@ def _sketched(rows: DataFrame, sketches: int) -> DataFrame:
                 while high < len(texts) and (high == low or size + len(texts[high]) <= 1 << 20):
                     size += len(texts[high])
                     high += 1
-                got = sketches_of(texts[low:high], sketches=sketches).view(np.int64)
-                real = np.flatnonzero(got.any(axis=1))
+                owner, made, words, counts = sketches_of(texts[low:high], sketches=sketches)
+                order = np.argsort(owner, kind="stable")
+                real, kinds = np.unique(owner, return_counts=True)
+                ends = np.concatenate([[0], np.cumsum(kinds * sketches)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         nodes.slice(low, high - low).take(pa.array(real)),
-                        pa.FixedSizeListArray.from_arrays(pa.array(got[real].ravel(), pa.int64()), sketches).cast(pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(made[order].view(np.int64).ravel())),
+                        pa.array(words[real], pa.int32()),
+                        pa.array([c.tobytes() for c in counts[real]], pa.binary()),
                     ],
-                    ["node", "sketches"],
+                    ["node", "sketches", "n_words", "counts"],
                 )
                 low = high
 
-    return rows.mapInArrow(sketch, "node binary, sketches array<long>")
+    return rows.mapInArrow(sketch, "node binary, sketches array<long>, n_words int, counts binary")
+
+
+def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, most, counts_a, counts_b) those whose words by hash allow at most `most` edits."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 8192):
+            part = batch.slice(low, 8192)
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in part.columns[3:])
+            apart = x - y
+            least = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+            yield part.select(["a", "b"]).filter(pa.array(least <= part.column(2).to_numpy()))
 
 
 def _node():
@@ -218,53 +244,97 @@ def _rank():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
 
 
+def _key(name: str):
+    """A node in 8 bytes; pairs of keys become nodes again, all that have the key, before they are verified."""
+    return F.xxhash64(name)
+
+
+def _apart(members: DataFrame, links: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of keys that share a bucket, are not in one class of links, and may be near enough.
+
+    members has sketch, key and n, the bucket's size; facts has key, n_words, counts.  A bucket is dealt to
+    blocks of some BLOCK members, and each two blocks meet in a group of their own.
+    """
+    spark = members.sparkSession
+    roots = components(links.select("a", "b")).select(_key("node").alias("key"), _key("root").alias("root"))
+    placed = members.join(roots, "key", "left").select("sketch", "key", "n", F.coalesce("root", "key").alias("root"))
+    placed = keep(placed)
+    several = placed.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sketch")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    split = placed.join(several, "sketch").join(facts, "key").select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).alias("own"))
+    split = keep(split)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(name: str, own: str, others) -> DataFrame:
+        other = "high" if own == "low" else "low"
+        fields = [F.col(c).alias(f"{c}_{name}") for c in ("key", "root", "n_words", "counts")]
+        return split.select("sketch", F.col("own").alias(own), F.explode(others).alias(other), *fields).repartition(tasks, "sketch", "low", "high")
+
+    left = side("a", "low", F.sequence("own", F.col("blocks") - 1))
+    right = side("b", "high", F.sequence(F.lit(0).cast("long"), F.col("own")))
+    longer = F.greatest("n_words_a", "n_words_b")
+    most = F.floor(longer * (1 - similarity) + 1e-9)
+    met = left.join(right, ["sketch", "low", "high"]).filter("(low < high or key_a < key_b) and root_a <> root_b")
+    met = met.filter(F.abs(F.col("n_words_a") - F.col("n_words_b")) <= most)
+    pairs = met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), most.alias("most"), F.col("counts_a"), F.col("counts_b"))
+    # the counters' differences don't depend on which of the two is a
+    return pairs.mapInArrow(_near_enough, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
     """(texts, links): texts has node (digest of the text), best (its smallest document), n; links has a, b,
-    similarity between different texts."""
+    similarity between different texts, enough of them for the classes of all candidates."""
     small_batches(docs.sparkSession)
     texts = keep(docs.select("doc_id", _node()).groupBy("node").agg(F.min(_rank()).alias("best"), F.count("*").alias("n")))
-    sketched = _sketched(docs.select(_node(), "text"), sketches)
-    rows = keep(sketched.groupBy("node").agg(F.first("sketches").alias("sketches"))).select("node", F.explode("sketches").alias("sketch"))
-    leaders = rows.groupBy("sketch").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = rows.join(leaders, "sketch").filter("node <> leader").select("node", "leader").distinct()
-    pairs = keep(pairs)
-
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
-    chosen = texts.join(wanted, "node").select(F.col("node").alias("key"), F.col("best.doc_id").alias("best_id"))
-    d = docs.select("doc_id", "text", _node())
-    found = d.join(chosen, (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
-    candidates = keep(found.groupBy("node").agg(F.first("text").alias("text")))
-
-    first = candidates.select("node", F.col("text").alias("text_a"))
-    second = candidates.select(F.col("node").alias("leader"), F.col("text").alias("text_b"))
-    compared = pairs.join(first, "node").join(second, "leader").select("node", "leader", "text_a", "text_b")
-    return texts, keep(compared.mapInArrow(_verify(similarity), "a binary, b binary, similarity double"))
+    sketched = _sketched(docs.select(_node(), "text"), sketches).groupBy("node")
+    sketched = keep(sketched.agg(*[F.first(c).alias(c) for c in ("sketches", "n_words", "counts")]))
+    rows = sketched.select(_key("node").alias("key"), F.explode("sketches").alias("sketch"))
+    leaders = rows.groupBy("sketch").agg(F.min("key").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    members = keep(rows.join(leaders, "sketch"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, b) of keys."""
+        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        chosen = texts.withColumn("key", _key("node")).join(wanted, "key").select(F.col("node").alias("wanted"), F.col("best.doc_id").alias("best_id"))
+        d = docs.select("doc_id", "text", _node())
+        found = d.join(chosen, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
+        candidates = keep(found.groupBy("node").agg(F.first("text").alias("text")))
+        first = candidates.select(_key("node").alias("a"), F.col("node").alias("node_a"), F.col("text").alias("text_a"))
+        second = candidates.select(_key("node").alias("b"), F.col("node").alias("node_b"), F.col("text").alias("text_b"))
+        both = pairs.join(first, "a").join(second, "b").select("node_a", "node_b", "text_a", "text_b")
+        return keep(both.mapInArrow(_verify(similarity), "a binary, b binary, similarity double"))
+
+    pairs = keep(members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
+    led = compared(pairs)
+    facts = sketched.select(_key("node").alias("key"), "n_words", "counts")
+    rest = keep(_apart(members.select("sketch", "key", "n"), led, facts, similarity).join(pairs, ["a", "b"], "left_anti"))
+    return texts, keep(led.unionByName(compared(rest)))
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
-    """Per different text: node, best (document), class_best (the class's smallest document), n_links, class_size."""
+    """Per different text: node, best (document), class_best (the class's smallest document), n_found_links, class_size."""
     texts, linked = links(docs, similarity=similarity, sketches=sketches)
     roots = components(linked.select("a", "b"))
     # both are written, so that a class of very many texts is split in the join of the two
     rooted = keep(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))))
     heads = keep(rooted.groupBy("root").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size")))
-    many = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    many = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_found_links"))
     return (
         rooted.join(heads, "root")
         .join(many, "node", "left")
-        .select("node", "best", "class_best", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("node", "best", "class_best", "class_size", F.coalesce("n_found_links", F.lit(0)).alias("n_found_links"))
     )
 
 
 def near_dedup(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row: doc_id, class_id (smallest doc_id of its class), class_size (documents), n_links (of its text
-    to other texts), kept (it is the document that stays)."""
+    """Per row: doc_id, class_id (smallest doc_id of its class), class_size (documents), n_found_links (links
+    of its text that were verified: enough to join its class, not all that exist), kept (it is the document that stays)."""
     of_text = keep(classes(docs, similarity=similarity))
     return docs.select("doc_id", _node()).join(of_text, "node").select(
         "doc_id",
         F.col("class_best.doc_id").alias("class_id"),
         "class_size",
-        "n_links",
+        "n_found_links",
         ((F.col("best") == F.col("class_best")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).alias("kept"),
     )
 
