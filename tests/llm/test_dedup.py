@@ -229,6 +229,24 @@ def test_near_copies_meet_although_longer_texts_share_their_passage(spark):
     assert len(set(found.values())) == len(data) - 4
 
 
+def test_near_dedup_finds_pairs_at_its_threshold(spark):
+    """Scattered replacements down to a similarity of 0.8, and short texts with one middle word replaced."""
+    rng, data, pairs = random.Random(3), [], []
+    for i in range(300):
+        n = rng.choice([5, 6, 7, 8, 9]) if i < 100 else rng.randrange(30, 50) if i < 200 else rng.randrange(60, 200)
+        words = [f"t{i}w{rng.randrange(10**6)}" for _ in range(n)]
+        other = list(words)
+        for p in [n // 2] if i < 100 else rng.sample(range(n), int(n * 0.2)):
+            other[p] = f"x{i}p{p}"
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i, 2 * i + 1))
+    assert all(brute_classes(data[a : b + 1]) == [[a, b]] for a, b in pairs)
+    found = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.near_dedup(docs_of(spark, data)))}
+    assert all(found[b] in (a, b) for a, b in pairs)
+    assert all(found[b] == a for a, b in pairs[:100])
+    assert sum(found[b] == a for a, b in pairs[100:]) >= 196
+
+
 def test_a_bucket_of_several_blocks_compares_all_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     test_near_dedup_equals_brute_force(spark)
