@@ -95,6 +95,20 @@ def test_refresh_touches_its_class_only_and_holds_invariants(spark, generated, t
     assert any("market" in f for f in A.check_invariants(broken)) and any("hash" in f for f in A.check_invariants(broken))
 
 
+def test_refresh_cuts_long_tables_with_an_account(spark, monkeypatch):
+    names = ("uid", "cluster_size", "placed_at", "excess_ratio", "share", "day", "match_id", "score")
+    many = spark.range(60).selectExpr(*[f"id AS {n}" for n in names], "'EUR' AS currency", "true AS flagged")
+    monkeypatch.setattr(refresh.leg_ops, "betslips", lambda legs: legs)
+    monkeypatch.setattr(refresh.prices, "attach_value", lambda legs: legs)
+    monkeypatch.setattr(refresh.sharp, "score", lambda priced: many)
+    for name in ("turnover_spikes", "abnormal_exposure", "same_second_clusters"):
+        monkeypatch.setattr(refresh.anomalies, name, lambda rows: many)
+    data = refresh._anomalies(many) | {"flagged": refresh._sharp(many)["flagged"]}
+    accounts = data.pop("truncation") | refresh._sharp(many)["truncation"]
+    assert len(data) == 4 and all([r["uid"] for r in rows_] == list(range(59, 9, -1)) for rows_ in data.values())
+    assert all(accounts[name] == {"total": 60, "shipped": 50, "omitted": 10} for name in data)
+
+
 def test_log_is_partitioned_and_compacted(spark, generated, tmp_path):
     path = str(tmp_path / "log")
     rows_ = E.canonicalise(generated).drop("placed_month")

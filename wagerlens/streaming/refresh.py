@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..config import REFRESH_CLASSES
+from ..config import DEFAULTS, REFRESH_CLASSES
 from ..operators import anomalies, breakdown, concentration, legs as leg_ops, money, prices, quality, sharp, timing
-from ..plans.artifacts import envelope, rows_of
+from ..plans.artifacts import envelope, rows_of, truncate
 from ..sources.sinks import write_json
 
 
@@ -50,18 +51,24 @@ def _prices(legs: DataFrame) -> dict:
     }
 
 
+def _cut(**tables: tuple[DataFrame, list[Column]]) -> dict:
+    """The first rows of each table in its order, and under truncation an account of what each leaves out."""
+    cut = {name: truncate(df, order, DEFAULTS.table_rows) for name, (df, order) in tables.items()}
+    return {name: shown for name, (shown, _) in cut.items()} | {"truncation": {name: account for name, (_, account) in cut.items()}}
+
+
 def _anomalies(legs: DataFrame) -> dict:
     slips = leg_ops.betslips(legs)
-    return {
-        "turnover_spikes": rows_of(anomalies.turnover_spikes(slips), limit=50),
-        "abnormal_exposure": rows_of(anomalies.abnormal_exposure(legs), limit=50),
-        "same_second_clusters": rows_of(anomalies.same_second_clusters(legs), limit=50),
-    }
+    return _cut(
+        turnover_spikes=(anomalies.turnover_spikes(slips), [F.desc("excess_ratio"), F.asc("currency"), F.asc("day")]),
+        abnormal_exposure=(anomalies.abnormal_exposure(legs), [F.desc("share"), F.asc("currency"), F.asc("match_id")]),
+        same_second_clusters=(anomalies.same_second_clusters(legs), [F.desc("cluster_size"), F.asc("uid"), F.asc("placed_at")]),
+    )
 
 
 def _sharp(legs: DataFrame) -> dict:
     scored = sharp.score(prices.attach_value(legs))
-    return {"flagged": rows_of(scored.filter("flagged"), limit=50)}
+    return _cut(flagged=(scored.filter("flagged"), [F.desc("score"), F.asc("uid")]))
 
 
 def _concentration(legs: DataFrame) -> dict:
