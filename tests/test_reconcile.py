@@ -97,3 +97,16 @@ def test_canonical_is_whole_and_repeatable(result):
     one_run, two_run = rows(R.canonical(result)), rows(R.canonical(result))
     assert one_run == two_run and len(one_run) == 2 and len(one_run[0]["players"]) == 7
     assert {(r["kind"], r["value"]) for r in rows(R.summary(result))} >= {("player", "matched"), ("review", "high")}
+
+
+def test_the_command_writes_every_match(spark, tmp_path, monkeypatch):
+    from wagerlens.__main__ import main
+
+    (tmp_path / "m_alpha.json").write_text(json.dumps(ALPHA, indent=1))
+    (tmp_path / "m_beta.json").write_text(json.dumps(BETA, indent=1))
+    many = spark.range(1500).selectExpr("id AS match_ref", "CASE WHEN id > 0 THEN id END AS other")
+    monkeypatch.setattr(R, "canonical", lambda result: many)
+    assert main(["reconcile", "--alpha", f"{tmp_path}/*_alpha.json", "--beta", f"{tmp_path}/*_beta.json", "--out", f"{tmp_path}/out"]) == 0
+    found = json.loads((tmp_path / "out" / "canonical.json").read_text())
+    assert sorted(r["match_ref"] for r in found) == list(range(1500)) and {"match_ref": 0, "other": None} in found
+    assert json.loads((tmp_path / "out" / "reviews.json").read_text())

@@ -67,7 +67,7 @@ def reconcile(args) -> int:
     from .operators.reconcile import canonical, reconcile as run, summary
     from .sources.feeds import load_alpha, load_beta
     from .plans.artifacts import plain, rows_of
-    from .sources.sinks import write_json
+    from .sources.sinks import write_json_rows
 
     spark = _session()
     result = run(load_alpha(spark, args.alpha), load_beta(spark, args.beta))
@@ -75,8 +75,8 @@ def reconcile(args) -> int:
         canonical(result).write.mode("overwrite").parquet(str(Path(args.out) / "canonical"))
         result.reviews.write.mode("overwrite").parquet(str(Path(args.out) / "reviews"))
     else:
-        write_json([plain(r) for r in canonical(result).limit(1000).collect()], Path(args.out) / "canonical.json")
-        write_json(rows_of(result.reviews), Path(args.out) / "reviews.json")
+        for rows, name in ((canonical(result), "canonical"), (result.reviews, "reviews")):
+            write_json_rows((plain(r) for r in rows.toLocalIterator()), Path(args.out) / f"{name}.json")
     print(json.dumps(rows_of(summary(result))))
     return 0
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -65,6 +66,19 @@ def write_json(value, path: str | Path, *, compact: bool = False) -> None:
     os.replace(beside, path)
 
 
+def write_json_rows(rows: Iterable, path: str | Path) -> None:
+    """A JSON array of any length, one value a line, that never stands whole in memory; renamed like write_json."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    handle, beside = tempfile.mkstemp(dir=path.parent, suffix=".part")
+    with os.fdopen(handle, "w", encoding="utf-8") as f:
+        f.write("[")
+        for i, row in enumerate(rows):
+            f.write((",\n" if i else "\n") + json.dumps(row, ensure_ascii=False, allow_nan=False))
+        f.write("\n]\n")
+    os.replace(beside, path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """A whole table as CSV, in as many files as it has partitions; nothing for an empty table."""
     if not rows.isEmpty():
