@@ -1,16 +1,21 @@
-"""Near-duplicate detection by MinHash and banded alignment.
+"""Near-duplicate detection by order MinHash and banded alignment.
 
 Words are folded (A-Z lower-cased, between ASCII breaks).  A text's grams are its single words (up to 40
 words) or its pairs of neighbours (from 33 words on), each labelled with how often it occurred before in
-the text; texts of 33 to 40 words have both.  64 minima of the grams' hashes make 64 sketches of three
-minima each.
+the text; texts of 33 to 40 words have both.  64 hash functions each have a minimum among the grams; a
+sketch is three of these minima in the order in which they stand in the text, and a text has 64 sketches.
 
 Equal texts are one text with many documents from the start.  Texts with a common sketch form a bucket,
 and two texts of a bucket are candidates.  First each meets its bucket's smallest text, so that a group of
-near copies of any size becomes one class.  Then all candidates that are still in different classes meet,
-unless their numbers of words or of words by hash show that they are too far apart; a large bucket is
-dealt to pairs of blocks.  So the classes are those of all candidates.  Candidates are verified by banded
-alignment of their words: a link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.
+near copies of any size becomes one class.  Then all texts of a bucket that are still in different classes
+meet.  A bucket of over BLOCK texts (a passage that very many documents share) is not compared pair by pair:
+of each of its texts the rarest grams are taken, as many as an edit distance within the limit can destroy and
+one more, so that linked texts have one of them in common (the prefix lemma), and the texts of a rare gram
+meet instead.  So the classes are those of all candidates.
+
+Candidates carry two summaries that bound their edit distance from below, words counted by hash (an edit
+changes one) and a bitmap of labelled pairs of words (an edit changes two); what these leave is verified by
+banded alignment of the words: a link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.
 Linked texts form classes, by connected components.
 
 Two texts with the same share s of labelled grams have a given sketch in common with chance s^3.  A
@@ -19,8 +24,10 @@ replaced; 0.47 if scattered).  In a simulation of 200,000 draws no sketch was co
 s = 0.43, 0.5 % with 0.47, 0.02 % with 0.55, and to none with 0.667.
 
 Defined results: null and empty texts, and texts without words, are linked to equal texts only; repeated
-rows are further documents of their text; a null doc_id ranks after all others; an empty table gives an
-empty result; further columns are not read.
+rows are further documents of their text, and exactly one row of a class is kept, of equal rows the first of
+the table as it was read; ties of doc_id are broken so too; a null doc_id ranks after all others; very long
+texts are compared whole, in time that grows with words x edits; an empty table gives an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLD_TABLE, keep, small_batches, text_bytes, whole_rows
@@ -42,55 +49,91 @@ SKETCHES = 64
 STEPS = (0, 1, 5)
 #: Texts of at most SHORT words by single words, those over 0.8 SHORT by pairs: linked texts share a kind.
 SHORT = 40
-COUNTERS = 128
-BLOCK = 1024
+COUNTERS, PAIR_BITS = 128, 2048
+#: Texts of a bucket that are compared pair by pair in one group.
+BLOCK = 512
 SIMILARITY = 0.8
 
 
-def sketches_of(texts: list[bytes], *, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, sketches) for each text and kind of gram that it has, then each text's words, and its words by
-    hash in COUNTERS counters that stop at 255."""
-    corpus = word_corpus([t.translate(FOLD_TABLE) for t in texts])
-    words = corpus.last - corpus.first
-    item = expand(corpus.first, words)
-    of = RangeHash(corpus.data)
-    kind = (mixed(of(corpus.item_start[item], corpus.item_end[item])) % np.uint64(COUNTERS)).astype(np.int64)
-    counts = np.bincount(np.repeat(np.arange(len(texts)), words) * COUNTERS + kind, minlength=len(texts) * COUNTERS)
-    counts = np.minimum(counts, 255).astype(np.uint8).reshape(len(texts), COUNTERS)
-    owners, made = [], []
-    for k, some in ((1, (words > 0) & (words <= SHORT)), (2, words * 5 > SHORT * 4)):
-        some = np.flatnonzero(some)
-        if not len(some):
-            continue
-        grams = words[some] - k + 1
-        first = expand(corpus.first[some], grams)
-        value = of(corpus.item_start[first], corpus.item_end[first + k - 1])
-        starts = np.cumsum(grams) - grams
-        doc = np.repeat(np.arange(len(some)), grams)
+class Grams:
+    """Texts' words and labelled grams: of each kind, the texts that have it, their grams' hashes and counts."""
+
+    def __init__(self, texts: list[bytes]):
+        corpus = word_corpus([t.translate(FOLD_TABLE) for t in texts])
+        self.words = corpus.last - corpus.first
+        self._corpus, self._of = corpus, RangeHash(corpus.data)
+
+    def word_counts(self) -> np.ndarray:
+        """Each text's words by hash, in COUNTERS counters that stop at 255."""
+        item = expand(self._corpus.first, self.words)
+        kind = (mixed(self._of(self._corpus.item_start[item], self._corpus.item_end[item])) % np.uint64(COUNTERS)).astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(len(self.words)), self.words) * COUNTERS + kind, minlength=len(self.words) * COUNTERS)
+        return np.minimum(counts, 255).astype(np.uint8).reshape(len(self.words), COUNTERS)
+
+    def labelled(self, k: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the runs of k words of some texts, with their occurrence labels, in text order; how many of each)."""
+        many = np.maximum(self.words[some] - k + 1, 0)
+        first = expand(self._corpus.first[some], many)
+        value = self._of(self._corpus.item_start[first], self._corpus.item_end[first + k - 1])
+        doc = np.repeat(np.arange(len(some)), many)
         order = np.lexsort((value, doc))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (value[order[1:]] != value[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
         at = np.arange(len(order))
         label = np.empty(len(order), dtype=np.uint64)
         label[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-        value = mixed(value + label * np.uint64(0x9E3779B97F4A7C15))
+        return mixed(value + label * np.uint64(0x9E3779B97F4A7C15)), many
+
+    def kinds(self) -> list[tuple[int, np.ndarray]]:
+        kinds = ((1, (self.words > 0) & (self.words <= SHORT)), (2, self.words * 5 > SHORT * 4))
+        return [(k, np.flatnonzero(some)) for k, some in kinds if some.any()]
+
+
+def sketches_of(grams: Grams, *, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """(text, its sketches) for each text and kind of gram that it has."""
+    owners, made = [], []
+    for k, some in grams.kinds():
+        value, many = grams.labelled(k, some)
+        starts = np.cumsum(many) - many
+        place = np.minimum(np.arange(len(value)) - np.repeat(starts, many), (1 << 24) - 1).astype(np.uint64)
+        # a minimum is 40 bits of the gram's hash and then its place in the text
         least = np.empty((sketches, len(some)), dtype=np.uint64)
         for j in range(sketches):
             salt = np.uint64((0xD1B54A32D192ED03 * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF)
             hashed = (value ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
             hashed ^= hashed >> np.uint64(29)
-            least[j] = np.minimum.reduceat(hashed, starts)
+            least[j] = np.minimum.reduceat((hashed & np.uint64(0xFFFFFFFFFF000000)) | place, starts)
+        placed = (least << np.uint64(40)) | (least >> np.uint64(24))
         out = np.empty((len(some), sketches), dtype=np.uint64)
         for j in range(sketches):
+            chosen = np.sort(np.stack([placed[(j + step) % sketches] for step in STEPS]), axis=0)  # in text order
             value = np.full(len(some), 2 * j + k, dtype=np.uint64)
-            for step in STEPS:
-                value = mixed(value * np.uint64(3) + least[(j + step) % sketches])
+            for minimum in chosen:
+                value = mixed(value * np.uint64(3) + (minimum & np.uint64((1 << 40) - 1)))
             out[:, j] = value
         owners.append(some)
         made.append(out)
     if not made:
-        return np.empty(0, dtype=np.int64), np.empty((0, sketches), dtype=np.uint64), words, counts
-    return np.concatenate(owners), np.concatenate(made), words, counts
+        return np.empty(0, dtype=np.int64), np.empty((0, sketches), dtype=np.uint64)
+    return np.concatenate(owners), np.concatenate(made)
+
+
+def summaries_of(grams: Grams) -> np.ndarray:
+    """Per text its words by hash and, in bits, its labelled pairs of words by hash."""
+    every = np.arange(len(grams.words))
+    value, many = grams.labelled(2, every)
+    bits = np.zeros((len(every), PAIR_BITS), dtype=bool)
+    bits[np.repeat(every, many), (value % np.uint64(PAIR_BITS)).astype(np.int64)] = True
+    return np.concatenate([grams.word_counts(), np.packbits(bits, axis=1)], axis=1)
+
+
+def least_edits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lower bounds of the edit distances of pairs with summaries x and y."""
+    a, b = x[:, :COUNTERS].astype(np.int16), y[:, :COUNTERS].astype(np.int16)
+    words = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
+    p, q = (np.ascontiguousarray(z[:, COUNTERS:]).view(np.uint64) for z in (x, y))
+    lost = np.maximum(np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64), np.bitwise_count(q & ~p).sum(axis=1, dtype=np.int64))
+    return np.maximum(words, (lost + 1) // 2)
 
 
 def _banded(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
@@ -202,19 +245,28 @@ def _verify(similarity: float):
     return verify
 
 
+def _in_parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most `most` bytes together, or of one text."""
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (high == low or size + len(texts[high]) <= most):
+            size += len(texts[high])
+            high += 1
+        yield low, high
+        low = high
+
+
 def _sketched(rows: DataFrame, sketches: int) -> DataFrame:
-    """Per row (node, text) with words: node, its sketches, n_words, and its words by hash."""
+    """Per row (node, text) with words: node, its sketches, n_words, and its summary."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, texts = batch.column(0), [text_bytes(t) for t in batch.column(1)]
-            low = 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and (high == low or size + len(texts[high]) <= 1 << 20):
-                    size += len(texts[high])
-                    high += 1
-                owner, made, words, counts = sketches_of(texts[low:high], sketches=sketches)
+            for low, high in _in_parts(texts):
+                grams = Grams(texts[low:high])
+                owner, made = sketches_of(grams, sketches=sketches)
+                summary = summaries_of(grams)
                 order = np.argsort(owner, kind="stable")
                 real, kinds = np.unique(owner, return_counts=True)
                 ends = np.concatenate([[0], np.cumsum(kinds * sketches)]).astype(np.int32)
@@ -222,25 +274,60 @@ def _sketched(rows: DataFrame, sketches: int) -> DataFrame:
                     [
                         nodes.slice(low, high - low).take(pa.array(real)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(made[order].view(np.int64).ravel())),
-                        pa.array(words[real], pa.int32()),
-                        pa.array([c.tobytes() for c in counts[real]], pa.binary()),
+                        pa.array(grams.words[real], pa.int32()),
+                        pa.array([c.tobytes() for c in summary[real]], pa.binary()),
                     ],
-                    ["node", "sketches", "n_words", "counts"],
+                    ["node", "sketches", "n_words", "summary"],
                 )
-                low = high
 
-    return rows.mapInArrow(sketch, "node binary, sketches array<long>, n_words int, counts binary")
+    return rows.mapInArrow(sketch, "node binary, sketches array<long>, n_words int, summary binary")
+
 
+def _summaries(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
-def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b, most, counts_a, counts_b) those whose words by hash allow at most `most` edits."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 8192):
-            part = batch.slice(low, 8192)
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in part.columns[3:])
-            apart = x - y
-            least = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
-            yield part.select(["a", "b"]).filter(pa.array(least <= part.column(2).to_numpy()))
+
+def _limits(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    return np.floor(np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+def _near_enough(similarity: float):
+    """Of pairs (a, b, words_a, words_b, summary_a, summary_b) those whose summaries allow a link."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                n, m = part.column(2).to_numpy(), part.column(3).to_numpy()
+                least = np.maximum(np.abs(n - m), least_edits(_summaries(part.column(4)), _summaries(part.column(5))))
+                yield part.select(["a", "b"]).filter(pa.array(least <= _limits(n, m, similarity)))
+
+    return near
+
+
+def _meet(similarity: float):
+    """Of a cell's texts the pairs in different classes whose summaries allow a link.  A cell has one block
+    of a bucket, or two of which each text meets the other's."""
+
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        _, low, high = (k.as_py() for k in key)
+        rows = rows.sort_by("n_words")
+        keys, roots, n, own = (rows.column(c).to_numpy() for c in ("key", "root", "n_words", "own"))
+        summary = _summaries(rows.column("summary").combine_chunks())
+        found = []
+        for i in range(len(keys)):
+            # only texts that are not too long, and come later in the order of length
+            end = int(np.searchsorted(n, n[i] / similarity + 1, side="right"))
+            others = np.arange(i + 1, end)
+            others = others[(roots[others] != roots[i]) & ((own[others] != own[i]) if low < high else (keys[others] != keys[i]))]
+            if len(others):
+                least = least_edits(summary[i][None, :], summary[others])
+                others = others[np.maximum(least, n[others] - n[i]) <= _limits(n[others], n[i], similarity)]
+                found.append(np.stack([np.minimum(keys[i], keys[others]), np.maximum(keys[i], keys[others])]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return meet
 
 
 def _node():
@@ -248,7 +335,7 @@ def _node():
 
 
 def _rank():
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("place").alias("place"))
 
 
 def _key(name: str):
@@ -256,48 +343,75 @@ def _key(name: str):
     return F.xxhash64(name)
 
 
-def _apart(members: DataFrame, links: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+def _rare_grams(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(cell, key) of the rarest grams of the texts of nodes (key, node): linked texts have one in common.
+
+    A text of n words loses at most k grams with an edit, of which a link has e at most, e = (1 - similarity)
+    / similarity * n if the other is longer.  So k e + 1 of its grams, in an order that is the same for all
+    texts, are enough; the order is by the number of these texts that have a gram.
+    """
+    loss = (1 - similarity) / similarity
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_numpy(), [text_bytes(t) for t in batch.column(1)]
+            for low, high in _in_parts(texts):
+                grams = Grams(texts[low:high])
+                for k, some in grams.kinds():
+                    value, many = grams.labelled(k, some)
+                    most = k * np.floor(grams.words[some] * loss + 1e-9).astype(np.int64) + 1
+                    value = mixed(value + np.uint64(k)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(keys[low:high][some], many)), pa.array(np.full(len(value), k, dtype=np.int32)), pa.array(np.repeat(most, many)), pa.array(value)],
+                        ["key", "kind", "most", "cell"],
+                    )
+
+    wanted = nodes.select("key", F.col("node").alias("wanted"))
+    texts = docs.select(_node(), "text").join(wanted, F.col("node") == F.col("wanted")).groupBy("key").agg(F.first("text").alias("text"))
+    grams = keep(texts.mapInArrow(grams_of, "key long, kind int, most long, cell long"))
+    often = grams.groupBy("cell").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("key", "kind").orderBy("n", "cell")  # the grams of one text
+    return grams.join(often, "cell").withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= F.col("most")).select("cell", "key")
+
+
+def _apart(members: DataFrame, links: DataFrame, facts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a < b) of keys that share a bucket, are not in one class of links, and may be near enough.
 
-    members has sketch, key and n, the bucket's size; facts has key, n_words, counts.  A bucket is dealt to
-    blocks of some BLOCK members, and each two blocks meet in a group of their own.
+    members has sketch, key and n, the bucket's size; facts has node, key, n_words, summary.
     """
-    spark = members.sparkSession
     roots = components(links.select("a", "b")).select(_key("node").alias("key"), _key("root").alias("root"))
-    placed = members.join(roots, "key", "left").select("sketch", "key", "n", F.coalesce("root", "key").alias("root"))
-    placed = keep(placed)
+    placed = keep(members.join(roots, "key", "left").select("sketch", "key", "n", F.coalesce("root", "key").alias("root")))
     several = placed.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sketch")
+    split = keep(placed.join(several, "sketch"))
+    cells = split.filter(F.col("n") <= BLOCK).select(F.col("sketch").alias("cell"), "key", "root")
+    hot = keep(split.filter(F.col("n") > BLOCK).select("key", "root").distinct())
+    if not hot.isEmpty():
+        cells = cells.unionByName(_rare_grams(facts.join(hot, "key").select("key", "node"), docs, similarity).join(hot, "key").select("cell", "key", "root"))
+    cells = keep(cells)
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     blocks = F.ceil(F.col("n") / BLOCK)
-    split = placed.join(several, "sketch").join(facts, "key").select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).alias("own"))
-    split = keep(split)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def side(name: str, own: str, others) -> DataFrame:
-        other = "high" if own == "low" else "low"
-        fields = [F.col(c).alias(f"{c}_{name}") for c in ("key", "root", "n_words", "counts")]
-        return split.select("sketch", F.col("own").alias(own), F.explode(others).alias(other), *fields).repartition(tasks, "sketch", "low", "high")
-
-    left = side("a", "low", F.sequence("own", F.col("blocks") - 1))
-    right = side("b", "high", F.sequence(F.lit(0).cast("long"), F.col("own")))
-    longer = F.greatest("n_words_a", "n_words_b")
-    most = F.floor(longer * (1 - similarity) + 1e-9)
-    met = left.join(right, ["sketch", "low", "high"]).filter("(low < high or key_a < key_b) and root_a <> root_b")
-    met = met.filter(F.abs(F.col("n_words_a") - F.col("n_words_b")) <= most)
-    pairs = met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), most.alias("most"), F.col("counts_a"), F.col("counts_b"))
-    # the counters' differences don't depend on which of the two is a
-    return pairs.mapInArrow(_near_enough, "a long, b long").distinct()
-
-
-def links(docs: DataFrame, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
+    dealt = cells.join(sizes.select("cell", "n"), "cell").join(facts.drop("node"), "key").select("*", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "root", "n_words", "own", "summary")
+    return dealt.groupBy("cell", "low", "high").applyInArrow(_meet(similarity), "a long, b long").distinct()
+
+
+def _logged(docs: DataFrame) -> DataFrame:
+    """doc_id, node and place of each row, written once so that a row's place is the same for all its readers."""
+    return keep(docs.select("doc_id", _node(), F.monotonically_increasing_id().alias("place")))
+
+
+def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
     """(texts, links): texts has node (digest of the text), best (its smallest document), n; links has a, b,
     similarity between different texts, enough of them for the classes of all candidates."""
     small_batches(docs.sparkSession)
-    texts = keep(docs.select("doc_id", _node()).groupBy("node").agg(F.min(_rank()).alias("best"), F.count("*").alias("n")))
+    log = _logged(docs) if log is None else log
+    texts = keep(log.groupBy("node").agg(F.min(_rank()).alias("best"), F.count("*").alias("n")))
     sketched = _sketched(docs.select(_node(), "text"), sketches).groupBy("node")
-    sketched = keep(sketched.agg(*[F.first(c).alias(c) for c in ("sketches", "n_words", "counts")]))
+    sketched = keep(sketched.agg(*[F.first(c).alias(c) for c in ("sketches", "n_words", "summary")]))
     rows = sketched.select(_key("node").alias("key"), F.explode("sketches").alias("sketch"))
     leaders = rows.groupBy("sketch").agg(F.min("key").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     members = keep(rows.join(leaders, "sketch"))
+    facts = sketched.select("node", _key("node").alias("key"), "n_words", "summary")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b) of keys."""
@@ -311,16 +425,19 @@ def links(docs: DataFrame, *, similarity: float = SIMILARITY, sketches: int = SK
         both = pairs.join(first, "a").join(second, "b").select("node_a", "node_b", "text_a", "text_b")
         return keep(both.mapInArrow(_verify(similarity), "a binary, b binary, similarity double"))
 
-    pairs = keep(members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
-    led = compared(pairs)
-    facts = sketched.select(_key("node").alias("key"), "n_words", "counts")
-    rest = keep(_apart(members.select("sketch", "key", "n"), led, facts, similarity).join(pairs, ["a", "b"], "left_anti"))
-    return texts, keep(led.unionByName(compared(rest)))
+    led = keep(members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
+    side = lambda s: facts.select(F.col("key").alias(s), F.col("n_words").alias(f"words_{s}"), F.col("summary").alias(f"summary_{s}"))
+    near = led.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b", "summary_a", "summary_b")
+    near = keep(near.mapInArrow(_near_enough(similarity), "a long, b long"))
+    first = compared(near)
+    met = _apart(members.select("sketch", "key", "n"), first, facts, docs, similarity)
+    rest = keep(met.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    return texts, keep(first.unionByName(compared(rest)))
 
 
-def classes(docs: DataFrame, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+def classes(docs: DataFrame, log: DataFrame | None = None, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """Per different text: node, best (document), class_best (the class's smallest document), n_found_links, class_size."""
-    texts, linked = links(docs, similarity=similarity, sketches=sketches)
+    texts, linked = links(docs, log, similarity=similarity, sketches=sketches)
     roots = components(linked.select("a", "b"))
     # both are written, so that a class of very many texts is split in the join of the two
     rooted = keep(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))))
@@ -335,21 +452,27 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, sketches: int =
 
 def near_dedup(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, class_id (smallest doc_id of its class), class_size (documents), n_found_links (links
-    of its text that were verified: enough to join its class, not all that exist), kept (it is the document that stays)."""
-    of_text = keep(classes(docs, similarity=similarity))
-    return docs.select("doc_id", _node()).join(of_text, "node").select(
+    of its text that were verified: enough to join its class, not all that exist), kept (it is the row that stays)."""
+    log = _logged(docs)
+    of_text = keep(classes(docs, log, similarity=similarity))
+    return log.join(of_text, "node").select(
         "doc_id",
         F.col("class_best.doc_id").alias("class_id"),
         "class_size",
         "n_found_links",
-        ((F.col("best") == F.col("class_best")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).alias("kept"),
+        (_rank() == F.col("class_best")).alias("kept"),
     )
 
 
+def _whole_hash(df: DataFrame) -> Column:
+    """Orders rows of one doc_id and text that differ elsewhere."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+
+
 def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, the smallest doc_id's, with its columns unchanged."""
     heads = classes(docs, similarity=similarity).filter(F.col("best") == F.col("class_best"))
     heads = keep(heads.select(F.col("node").alias("head"), F.col("best.doc_id").alias("head_id")).dropDuplicates(["head"]))
-    rows = whole_rows(docs, F.col("doc_id").alias("own_id"), _node())
+    rows = whole_rows(docs, F.col("doc_id").alias("own_id"), _node(), _whole_hash(docs).alias("tie"))
     joined = rows.join(heads, (F.col("node") == F.col("head")) & F.col("own_id").eqNullSafe(F.col("head_id")))
-    return joined.groupBy("node").agg(F.first("row").alias("row")).select("row.*")
+    return joined.groupBy("node").agg(F.min_by("row", "tie").alias("row")).select("row.*")
