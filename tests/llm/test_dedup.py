@@ -110,6 +110,36 @@ def test_suffix_array_and_common_prefixes(raw):
         assert common[k] == n
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([0, 1, 97]), min_size=1, max_size=70).map(bytes), min_size=1, max_size=12))
+def test_suffixes_end_with_their_pieces(parts):
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    end = np.repeat(np.cumsum([len(p) for p in parts]), [len(p) for p in parts])
+    raw = data.tobytes()
+    order = suffix_dedup.suffix_array(data, end)
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: (raw[i : end[i]], i))
+    common = suffix_dedup.common_prefixes(data, order, end)
+    for k in range(1, len(raw)):
+        a, b = raw[order[k - 1] : end[order[k - 1]]], raw[order[k] : end[order[k]]]
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        assert common[k] == n
+
+
+def test_every_removed_byte_comes_from_the_suffix_arrays(spark, monkeypatch):
+    """Without the arrays nothing is removed: no other path decides."""
+    monkeypatch.setattr(suffix_dedup, "strings_of_shard", lambda data, end, valid, length: (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)))
+    judge = suffix_dedup.judge_strings(50, 1 << 20)
+    data = np.frombuffer(text(1, 40).encode() * 2, dtype=np.uint8)
+    n = len(data) // 2
+    facts = (np.array([n, n]), np.array([1, 3]), np.array([1, 2]), np.array([1, 9]))
+    assert len(judge(data, *facts)[0]) == 0
+    monkeypatch.undo()
+    piece, first, many, least = judge(data, *facts)
+    assert piece.tolist() == [1] and first.tolist() == [0] and many.tolist() == [n - 49] and least.tolist() == [1]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=200), st.integers(1, 40))
 def test_window_numbers(ids, window):

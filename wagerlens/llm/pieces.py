@@ -1,8 +1,13 @@
 """Windows of a corpus, brought together by super-k-mers.
 
 An item sequence (words or bytes of documents) is cut so that equal windows of `window` items meet: the
-minimiser of a window is its smallest hashed run of `k` items, consecutive windows of one document that
-share it form a piece, and a piece travels as one string to the bucket that its minimiser names.
+minimiser of a window is its rarest run of `k` items, consecutive windows of one document that share it form
+a piece, and a piece travels as one string to the bucket that its minimiser names.
+
+Runs are ordered by how often a bounded sample of the documents has them, then by hash.  So a common run
+is a minimiser only where a window has no rarer one, and no bucket gathers what is merely common.  The order
+is the same for all documents, and whatever it is, equal windows have equal minimisers: it decides how much
+travels and never what is found.
 
     documents -> chunks (by a hash of the document) -> pieces, of which 24 bits of the minimiser are sent
     buckets   -> which pieces share their minimiser with another chunk's or may repeat by themselves
@@ -28,9 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, text_bytes
+
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SEGMENT = 1 << 17
+#: Runs are counted by hash in so many counters; the sample has so many documents of so many bytes at most.
+SLOT_BITS, SAMPLE_DOCS, SAMPLE_BYTES = 20, 512, 32768
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -108,7 +117,18 @@ class Pieces:
     twice: np.ndarray  # the minimiser occurs again within the piece, so that windows may
 
 
-def cut(corpus: Corpus, window: int, k: int, buckets: int, repeats: bool = True) -> Pieces:
+def ranks_of(corpus: Corpus, k: int) -> np.ndarray:
+    """Per slot of a run's hash, how often the corpus has such runs, on a logarithmic scale from 0 to 15."""
+    counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    sizes = np.maximum(corpus.last - corpus.first - k + 1, 0)
+    at = expand(corpus.first, sizes)
+    if len(at):
+        grams = RangeHash(corpus.data)(corpus.item_start[at], corpus.item_end[at + k - 1])
+        counts += np.bincount((grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+    return np.minimum(np.ceil(np.log2(counts + 1)), 15).astype(np.uint8)
+
+
+def cut(corpus: Corpus, window: int, k: int, buckets: int, ranks: np.ndarray, repeats: bool = True) -> Pieces:
     """All pieces of the corpus, a run of documents of about SEGMENT bytes at a time.
 
     repeats: find out which pieces have their minimiser twice.
@@ -123,14 +143,14 @@ def cut(corpus: Corpus, window: int, k: int, buckets: int, repeats: bool = True)
             limit = bounds[a] + SEGMENT
             ends = np.where(corpus.last[low:] > corpus.first[low:], corpus.item_end[np.maximum(corpus.last[low:] - 1, 0)], 0)
             high = max(high, low + int(np.searchsorted(np.maximum.accumulate(ends), limit, side="right")))
-        found += _cut_segment(corpus, low, high, window, k, repeats)
+        found += _cut_segment(corpus, low, high, window, k, ranks, repeats)
         low = high
     if not found:
         found = [tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, *[np.int64] * 4, bool))]
     return _distinct(corpus.data, *(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
 
 
-def _cut_segment(corpus: Corpus, low: int, high: int, window: int, k: int, repeats: bool) -> list[tuple[np.ndarray, ...]]:
+def _cut_segment(corpus: Corpus, low: int, high: int, window: int, k: int, ranks: np.ndarray, repeats: bool) -> list[tuple[np.ndarray, ...]]:
     a, b = corpus.first[low], corpus.last[high - 1]
     if b - a < window:
         return []
@@ -138,6 +158,7 @@ def _cut_segment(corpus: Corpus, low: int, high: int, window: int, k: int, repea
     start, end = corpus.item_start[a:b] - origin, corpus.item_end[a:b] - origin
     ranges = RangeHash(corpus.data[origin : corpus.item_end[b - 1]])
     grams = ranges(start[: b - a - k + 1], end[k - 1 :])
+    grams = (ranks[(grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (grams >> np.uint64(4))
     least = sliding_min(grams, window - k + 1)
     sizes = corpus.last[low:high] - corpus.first[low:high]
     docs = np.repeat(np.arange(low, high), sizes)[: len(least)]
@@ -223,36 +244,63 @@ def sorted_docs(rows: pa.Table) -> tuple[list, list[bytes]]:
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
+def runs_of(piece: np.ndarray, at: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places (piece, at) in order: the first of each run of consecutive ones with equal `more`, and its length."""
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])
+    for x in more:
+        new[1:] |= x[1:] != x[:-1]
+    begins = np.flatnonzero(new)
+    return begins, np.diff(np.append(begins, len(at)))
+
+
+def may_repeat(hashes: np.ndarray, piece: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Pieces that are sure to repeat or of which another piece may have a window: the windows of all others
+    are proved to be their own, as equal windows have equal hashes."""
+    order = np.argsort(hashes)
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    keep = sure.copy()
+    keep[piece[order[1:][equal]]] = True
+    keep[piece[order[:-1][equal]]] = True
+    return np.flatnonzero(keep)
+
+
 NO_ID = np.iinfo(np.int64).max
 
 
 def exchange(
     docs: DataFrame,
     corpus_of: Callable[[list[bytes]], Corpus],
-    judge: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
+    judge: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
     finish: Callable[[list, list[bytes], Corpus, np.ndarray], list[pa.Array]],
     schema: str,
     *,
     window: int,
     k: int,
     across_docs: bool,
-    chunk_bytes: int = 4 << 20,
+    chunk_bytes: int = 2 << 20,
     bucket_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """Run the steps over docs (doc_id, text).
+    """Run the steps over docs (doc_id, text); doc_id is a whole number.
 
-    judge(strings, counts, tags, smallest, largest) sees a bucket's distinct pieces, how often each occurs,
-    bits of its minimiser (pieces with a common window have equal ones) and the smallest and largest doc_id
-    that has it; it returns runs (piece, first window, windows, limit).
-    A run marks its windows at every place of the piece whose doc_id is over the limit.
+    judge(data, sizes, counts, smallest, largest) sees a bucket's pieces, one after another in data: a piece
+    is there once for each chunk that has it, with how often the chunk has it and the smallest and largest
+    doc_id there; it returns runs (piece, first window, windows, limit) in order of pieces.
+    A run marks its windows at every place of the piece in its chunk whose doc_id is over the limit.
     finish(ids, texts, corpus, marked items) makes the result's columns.  A piece whose minimiser no other
     piece shares is judged only if it may repeat by itself: in several documents, or, unless across_docs,
     at several places.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spark = docs.sparkSession
+    small_batches(spark)
+    facts = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    total = facts["bytes"] or 0
     chunks, buckets = total // chunk_bytes + 1, total // bucket_bytes + 1
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
     names = [field.split()[0] for field in schema.split(", ")]
+    drawn = F.pmod(F.xxhash64("text"), F.lit(facts["n"] // SAMPLE_DOCS + 1)) == 0
+    sample = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES) & drawn).select("text").limit(SAMPLE_DOCS).collect()
+    shared_ranks = spark.sparkContext.broadcast(ranks_of(corpus_of([text_bytes(r["text"]) for r in sample]), k))  # 2 ** SLOT_BITS bytes
 
     def ids_of(ids: list) -> np.ndarray:
         return np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
@@ -260,7 +308,7 @@ def exchange(
     def pieces_of(rows: pa.Table) -> tuple[list, list[bytes], Corpus, np.ndarray, Pieces]:
         ids, texts = sorted_docs(rows)
         corpus = corpus_of(texts)
-        return ids, texts, corpus, ids_of(ids), cut(corpus, window, k, buckets, not across_docs)
+        return ids, texts, corpus, ids_of(ids), cut(corpus, window, k, buckets, shared_ranks.value, not across_docs)
 
     def extremes(numbers: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
         if not len(p.bucket):
@@ -302,7 +350,7 @@ def exchange(
             at = np.cumsum(steps, dtype=np.int64) + np.searchsorted(p.bucket, bucket)
             length = p.byte_end[at] - p.byte_start[at]
             blobs.append(packed(
-                steps, length.astype(np.uint32), p.place_count[at].astype(np.uint32), p.tag[at],
+                steps, length.astype(np.uint32), p.place_count[at].astype(np.uint32),
                 smallest[at], largest[at] - smallest[at], corpus.data[expand(p.byte_start[at], length)],
             ))
             to.append(bucket)
@@ -310,45 +358,19 @@ def exchange(
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         places = sorted(zip(rows.column("chunk").to_pylist(), rows.column("pieces").to_pylist(), strict=True))
-        known: dict[bytes, int] = {}
-        strings: list[bytes] = []
-        counts: list[int] = []
-        smallest: list[int] = []
-        largest: list[int] = []
-        tags: list[int] = []
-        entries: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, blob in places:
-            steps, length, count, tag, small, spread, text = unpacked(blob)
-            end = np.cumsum(length.astype(np.int64))
-            raw = text.tobytes()
-            piece = np.empty(len(steps), dtype=np.int64)
-            facts = zip((end - length).tolist(), end.tolist(), count.tolist(), tag.tolist(), small.tolist(), (small + spread).tolist(), strict=True)
-            for j, (s, e, c, t, lo, up) in enumerate(facts):
-                string = raw[s:e]
-                n = known.setdefault(string, len(strings))
-                if n == len(strings):
-                    strings.append(string)
-                    counts.append(c)
-                    tags.append(t)
-                    smallest.append(lo)
-                    largest.append(up)
-                else:
-                    counts[n] += c
-                    smallest[n] = min(smallest[n], lo)
-                    largest[n] = max(largest[n], up)
-                piece[j] = n
-            entries.append((np.cumsum(steps, dtype=np.int64), piece))
-        del known
-        facts = np.array(counts), np.array(tags), np.array(smallest, dtype=np.int64), np.array(largest, dtype=np.int64)
-        runs, first, many, limit = judge(strings, *facts)
-        edges = np.searchsorted(runs, np.arange(len(strings) + 1))
+        read = [unpacked(blob) for _, blob in places]
+        sizes, counts, smallest, spread, data = (np.concatenate(x) for x in list(zip(*read, strict=True))[1:])
+        piece, first, many, limit = judge(data, sizes.astype(np.int64), counts.astype(np.int64), smallest, smallest + spread)
+        ends = np.cumsum([len(r[0]) for r in read])
+        edges = np.searchsorted(piece, np.concatenate([[0], ends]))
         to, blobs = [], []
-        for (chunk, _), (here, piece) in zip(places, entries, strict=True):
-            of = edges[piece + 1] - edges[piece]
-            if of.any():
-                pick = expand(edges[piece], of)
+        for i, (chunk, _) in enumerate(places):
+            part = slice(edges[i], edges[i + 1])
+            if part.start < part.stop:
+                here = np.cumsum(read[i][0], dtype=np.int64)
+                mine = here[piece[part] - (ends[i] - len(here))]
                 to.append(chunk)
-                blobs.append(packed(np.repeat(here, of).astype(np.uint32), first[pick].astype(np.uint32), many[pick].astype(np.uint32), limit[pick]))
+                blobs.append(packed(mine.astype(np.uint32), first[part].astype(np.uint32), many[part].astype(np.uint32), limit[part]))
         return mail(key, "chunk", to, blobs, "verdicts")
 
     def apply(key: tuple[pa.Scalar, ...], rows: pa.Table, verdicts: pa.Table) -> pa.Table:

@@ -1,14 +1,15 @@
 """Substring deduplication by super-k-mer partitioning.
 
 A window is `window` consecutive words of one document.  Consecutive windows that share a minimiser (the
-smallest hashed run of `k` words) travel as one packed string to the minimiser's bucket.  There words
+rarest run of `k` words) travel as one packed string to the minimiser's bucket.  There words
 become numbers, and sorting pairs of ranks of runs of 1, 2, 4 ... words numbers the windows exactly; the
-places of each are summed.  Every word covered by a window that occurs more than once, in the same
+places of each are summed.  Pieces none of whose windows' hashes occur twice need no numbers.  Every word covered by a window that occurs more than once, in the same
 document or another, is removed; windows are judged on the input.
 
-Defined results: null text has no words; documents shorter than a window lose nothing; repeated rows are
-further documents, so their windows repeat; null doc_id is kept as null; an empty table gives an empty
-result; further columns are not read.
+Defined results: null text has no words; documents shorter than a window lose nothing; repeated rows and
+rows of one doc_id are further documents, so their windows repeat; null doc_id is kept as null; a very long
+text is cut whole, in a worker with some 60 bytes of memory for each of its bytes; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import Corpus, exchange
+from .pieces import Corpus, RangeHash, exchange, expand, may_repeat, runs_of
 
 WINDOW, K = 35, 3
 
@@ -55,23 +56,41 @@ def window_numbers(ids: np.ndarray, window: int) -> np.ndarray:
     return ranks
 
 
+def spaced(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces with a space behind each, and where each starts there."""
+    start = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(len(data) + len(sizes), 32, dtype=np.uint8)
+    out[expand(start, sizes)] = data
+    return out, start
+
+
 def repeated_windows(window: int):
-    def judge(strings, counts, tags, smallest, largest):
-        words = pa.array(b" ".join(strings).split(b" "), pa.binary()).dictionary_encode().indices.to_numpy()
-        sizes = np.array([s.count(b" ") + 1 for s in strings], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        piece = np.repeat(np.arange(len(strings)), sizes)
-        at = np.arange(len(words)) - (ends - sizes)[piece]
-        numbers = window_numbers(words, window)
-        inside = np.flatnonzero((at + window <= sizes[piece])[: len(numbers)])
-        total = np.bincount(numbers[inside], weights=counts[piece[inside]], minlength=1)
+    def judge(data, sizes, counts, smallest, largest):
+        lined, start = spaced(data, sizes)
+        word_end = np.flatnonzero(lined == 32) + 1  # a word and the space behind it
+        word_start = np.concatenate([[0], word_end[:-1]]).astype(np.int64)
+        first = np.searchsorted(word_start, start)
+        many = np.diff(np.append(first, len(word_start)))
+        windows = np.maximum(many - window + 1, 0)
+        at = expand(first, windows)
+        piece = np.repeat(np.arange(len(sizes)), windows)
+        hashes = RangeHash(lined)(word_start[at], word_end[at + window - 1])
+        some = may_repeat(hashes, piece, counts > 1)
+        # the others' windows are their own; of these, sorting counts each window exactly
+        offsets = np.concatenate([[0], word_end]).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(word_end), [None, pa.py_buffer(offsets), pa.py_buffer(lined)])
+        chosen = expand(first[some], many[some])
+        ids = words.take(pa.array(chosen)).dictionary_encode().indices.to_numpy()
+        piece = np.repeat(np.arange(len(some)), many[some])
+        ends = np.cumsum(many[some])
+        at = np.arange(len(ids)) - (ends - many[some])[piece]
+        numbers = window_numbers(ids, window)
+        inside = np.flatnonzero((at + window <= many[some][piece])[: len(numbers)])
+        total = np.bincount(numbers[inside], weights=counts[some][piece[inside]], minlength=1)
         hit = inside[total[numbers[inside]] > 1]
-        new = np.ones(len(hit), dtype=bool)
-        new[1:] = (hit[1:] != hit[:-1] + 1) | (piece[hit[1:]] != piece[hit[:-1]])
-        begins = np.flatnonzero(new)
-        many = np.diff(np.append(begins, len(hit)))
+        begins, long = runs_of(some[piece[hit]], hit)
         head = hit[begins]
-        return piece[head], at[head], many, np.full(len(head), np.iinfo(np.int64).min)
+        return some[piece[head]], at[head], long, np.full(len(head), np.iinfo(np.int64).min)
 
     return judge
 

@@ -1,16 +1,20 @@
 """Suffix-array deduplication: bytes covered by a string that an earlier document has too.
 
 Texts are cut into pieces by content (see pieces.py), so that equal strings of `length` bytes are always
-in one bucket.  A bucket's distinct pieces are split into shards of bounded size.  Each shard gets a
+in one bucket.  A bucket's pieces, one copy for each chunk of documents that has it, are split into shards of
+bounded size.  Pieces none of whose strings' hashes occur twice, and which stand in one document only, are
+proved to repeat nothing and left out; suffix arrays decide all others.  Each shard gets a
 suffix array by Larsson-Sadakane refinement (groups by the first 8 bytes, then unsorted groups only,
-doubling the sorted depth by the ranks there) and its common prefixes by Kasai's relation: they are
-compared only where the byte before differs and carried on, less one, elsewhere.  Neighbours with common
-prefixes of at least `length` have the same string; shards are merged by binary search of one's strings
-among another's.  Each string's smallest document then decides: later documents lose its bytes.
+doubling the sorted depth by the ranks there; a suffix ends with its piece) and its common prefixes by
+Kasai's relation: they are compared only where the byte before differs and carried on, less one, elsewhere.
+Neighbours with common prefixes of at least `length` have the same string; shards are merged by binary search
+of one's strings among another's.  Each string's smallest document then decides: later documents lose its
+bytes.
 
 Defined results: null text is empty; strings are judged on the input and never cross documents; rows of
-one doc_id do not count against each other; a null doc_id ranks after all others; an empty table gives
-an empty result; further columns are not read.
+one doc_id do not count against each other; a null doc_id ranks after all others, and such rows not against
+each other; repeated rows lose the same bytes; a very long text is cut whole, in a worker with some 60 bytes
+of memory for each of its bytes; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import Corpus, RangeHash, exchange, expand
+from .pieces import Corpus, RangeHash, exchange, expand, may_repeat, runs_of
 
 LENGTH, K = 50, 16
 SHARD_BYTES = 2 << 20
@@ -35,32 +39,36 @@ def byte_corpus(texts: list[bytes]) -> Corpus:
     return Corpus(data, at[:-1], at[1:], np.concatenate([[0], last[:-1]]).astype(np.int64) if len(last) else last, last)
 
 
-def _heads(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place, as numbers in the bytes' order; zeros beyond the end."""
+def _heads(data: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """The 8 bytes from each place, as numbers in the bytes' order; zeros beyond the end, or beyond its room."""
     wide = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     out = np.zeros(len(data), dtype=np.uint64)
     for i in range(8):
-        out = (out << np.uint64(8)) | wide[i : i + len(data)].astype(np.uint64)
+        byte = wide[i : i + len(data)].astype(np.uint64)
+        out = (out << np.uint64(8)) | (byte if room is None else np.where(room > i, byte, np.uint64(0)))
     return out
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Places of all suffixes in order; a suffix stands before those that it begins."""
+def suffix_array(data: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
+    """Places of all suffixes in order; a suffix stands before those that it begins, equal ones by place.
+
+    end: where each place's piece ends, and with it the suffix.
+    """
     n = len(data)
     if n == 0:
         return np.empty(0, dtype=np.int64)
-    heads = _heads(data)
-    tail = np.arange(max(n - 7, 0), n)  # padded with zeros, which may equal zero bytes: the shorter go first
-    order = np.lexsort((np.minimum(n - np.arange(n), 8), heads)) if (data == 0).any() else np.argsort(heads, kind="stable")
+    room = (n if end is None else end) - np.arange(n)
+    heads = _heads(data, room)
+    # padded with zeros, which may equal zero bytes: the shorter go first
+    order = np.lexsort((np.minimum(room, 8), heads)) if (data == 0).any() else np.argsort(heads, kind="stable")
     key = heads[order]
     new = np.ones(n, dtype=bool)
     new[1:] = key[1:] != key[:-1]
-    short = np.zeros(n, dtype=bool)
-    short[tail] = True
-    new |= short[order]
-    new[1:] |= short[order][:-1]
-    # the rank of a suffix is the first place of its group; beyond the end it is -1
-    rank = np.full(n + 1, -1, dtype=np.int64)
+    short = (room < 8)[order]  # equal ones among these are in order already
+    new |= short
+    new[1:] |= short[:-1]
+    # the rank of a suffix is the first place of its group
+    rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     depth = 8
     while True:
@@ -70,27 +78,31 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             return order
         places = order[open_at]
         group = rank[places]
-        follow = rank[np.minimum(places + depth, n)] + 1
+        follow = np.where(room[places] > depth, rank[np.minimum(places + depth, n - 1)] + 1, 0)
         by = np.argsort(group * (n + 1) + follow, kind="stable")
         places, group, follow = places[by], group[by], follow[by]
         order[open_at] = places
-        fresh = np.ones(len(places), dtype=bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+        fresh = follow == 0  # ended: equal suffixes stay in order of place
+        fresh[0] = True
+        fresh[1:] |= (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
         new[open_at] = fresh
         rank[places] = np.maximum.accumulate(np.where(fresh, open_at, 0))
         depth *= 2
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
     """For each place in the suffix array, the common prefix with its predecessor there."""
     n = len(data)
     if n == 0:
         return np.empty(0, dtype=np.int64)
+    end = np.full(n, n) if end is None else end
+    first = np.ones(n, dtype=bool)  # of its piece
+    first[1:] = end[1:] != end[:-1]
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     place = np.arange(n)
-    prior = np.where(place > 0, data[np.maximum(place - 1, 0)].astype(np.int16), -1)
-    theirs = np.where(before > 0, data[np.maximum(before - 1, 0)].astype(np.int16), -2)
+    prior = np.where(first, -1, data[np.maximum(place - 1, 0)].astype(np.int16))
+    theirs = np.where((before < 0) | first[before], -2, data[np.maximum(before - 1, 0)].astype(np.int16))
     measured = np.flatnonzero((before >= 0) & (prior != theirs))
     wide = _heads(data)
     left, right = measured, before[measured]
@@ -98,7 +110,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     going = np.arange(len(measured))
     while len(going):
         a, b = left[going] + length[going], right[going] + length[going]
-        room = n - np.maximum(a, b)
+        room = np.minimum(end[left[going]] - a, end[right[going]] - b)
         inside = room > 0
         going, a, b, room = going[inside], a[inside], b[inside], room[inside]
         odd = wide[a] ^ wide[b]
@@ -113,73 +125,44 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum.accumulate(known) - place, 0)[order]
 
 
-def strings_of_shard(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def strings_of_shard(data: np.ndarray, end: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the strings of `length` bytes at valid places, in order: (places by order, their number)."""
-    order = suffix_array(data)
-    apart = common_prefixes(data, order) < length
+    order = suffix_array(data, end)
+    apart = common_prefixes(data, order, end) < length
     number = np.cumsum(apart) - 1
     real = valid[order]
     return order[real], np.unique(number[real], return_inverse=True)[1] if real.any() else number[:0]
 
 
 def judge_strings(length: int, shard_bytes: int):
-    """Runs of windows whose smallest document is under the largest that has the piece.
-
-    A piece that no other shares its minimiser with is decided outright.  Of the others, hashes of their
-    windows leave out those that share none (equal windows have equal hashes); the rest are indexed.
-    """
+    """Runs of strings whose smallest document is under the largest that has the piece, by suffix arrays."""
 
-    def judge(strings, counts, tags, smallest, largest):
-        _, inverse, often = np.unique(tags, return_inverse=True, return_counts=True)
-        lone = np.flatnonzero((often[inverse] == 1) & (smallest < largest))
-        sizes = np.array([len(s) for s in strings], dtype=np.int64)
-        several = np.flatnonzero(often[inverse] > 1)
-        lone_too, several = _sharing(strings, several, length)
-        lone = np.concatenate([lone, lone_too[smallest[lone_too] < largest[lone_too]]])
-        found = [(lone, np.zeros(len(lone), dtype=np.int64), sizes[lone] - length + 1, smallest[lone])]
-        if len(several):
-            piece, first, many, least = _indexed([strings[i] for i in several.tolist()], smallest[several], largest[several], length, shard_bytes)
-            found.append((several[piece], first, many, least))
-        runs = [np.concatenate(x) for x in zip(*found, strict=True)]
-        order = np.argsort(runs[0], kind="stable")
-        return tuple(x[order] for x in runs)
+    def judge(data, sizes, counts, smallest, largest):
+        windows = np.maximum(sizes - length + 1, 0)
+        start = expand(np.cumsum(sizes) - sizes, windows)
+        hashes = RangeHash(data)(start, start + length)
+        some = may_repeat(hashes, np.repeat(np.arange(len(sizes)), windows), smallest < largest)
+        chosen = data[expand((np.cumsum(sizes) - sizes)[some], sizes[some])]
+        piece, first, many, least = _indexed(chosen, sizes[some], smallest[some], largest[some], length, shard_bytes)
+        return some[piece], first, many, least
 
     return judge
 
 
-def _sharing(strings: list[bytes], of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Split pieces into those all of whose windows' hashes are their own, and the others."""
-    if not len(of):
-        return of, of
-    sizes = np.array([len(strings[i]) for i in of.tolist()], dtype=np.int64)
-    data = np.frombuffer(b"".join([strings[i] for i in of.tolist()]), dtype=np.uint8)
-    windows = sizes - length + 1
-    start = expand(np.cumsum(sizes) - sizes, windows)
-    hashes = RangeHash(data)(start, start + length)
-    order = np.argsort(hashes)
-    equal = hashes[order[1:]] == hashes[order[:-1]]
-    shared = np.zeros(len(hashes), dtype=bool)
-    shared[order[1:]] |= equal
-    shared[order[:-1]] |= equal
-    some = np.add.reduceat(shared.astype(np.int32), np.cumsum(windows) - windows) > 0
-    return of[~some], of[some]
-
-
-def _indexed(strings: list[bytes], smallest: np.ndarray, largest: np.ndarray, length: int, shard_bytes: int) -> tuple[np.ndarray, ...]:
+def _indexed(data: np.ndarray, sizes: np.ndarray, smallest: np.ndarray, largest: np.ndarray, length: int, shard_bytes: int) -> tuple[np.ndarray, ...]:
     """The runs of pieces that may share strings: suffix arrays of their shards, merged."""
-    sizes = np.array([len(s) for s in strings], dtype=np.int64)
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    piece = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
-    at = np.arange(len(data), dtype=np.int64) - (ends - sizes)[piece]
+    piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    end = ends[piece]
+    at = np.arange(len(data), dtype=np.int64) - (end - sizes[piece])
     valid = at + length <= sizes[piece]
     least = np.full(len(data), np.iinfo(np.int64).max)
     shard = (ends - 1) // shard_bytes
-    cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(strings))
+    cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(sizes))
     shards = []
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         a, b = ends[low] - sizes[low], ends[high - 1]
-        places, number = strings_of_shard(data[a:b], valid[a:b], length)
+        places, number = strings_of_shard(data[a:b], end[a:b] - a, valid[a:b], length)
         if len(places):
             places = places + a
             first = np.flatnonzero(np.diff(number, prepend=-1))
@@ -189,11 +172,9 @@ def _indexed(strings: list[bytes], smallest: np.ndarray, largest: np.ndarray, le
     for places, number, _, best in shards:
         least[places] = best[number]
     hit = np.flatnonzero(valid & (least < largest[piece]))
-    new = np.ones(len(hit), dtype=bool)
-    new[1:] = (hit[1:] != hit[:-1] + 1) | (piece[hit[1:]] != piece[hit[:-1]]) | (least[hit[1:]] != least[hit[:-1]])
-    begins = np.flatnonzero(new)
+    begins, many = runs_of(piece[hit], hit, least[hit])
     head = hit[begins]
-    return piece[head].astype(np.int64), at[head], np.diff(np.append(begins, len(hit))), least[head]
+    return piece[head].astype(np.int64), at[head], many, least[head]
 
 
 def _merge(shards: list[list[np.ndarray]], data: np.ndarray, length: int) -> None:
