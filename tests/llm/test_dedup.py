@@ -167,13 +167,41 @@ def test_exact_dedup(spark):
     assert [r["doc_id"] for r in by[hashlib.sha256(b"a b ").hexdigest()]] == [9]
 
 
-def test_index_compacts_runs_of_many_batches(spark):
-    index = exact_dedup.DigestIndex(spark)
-    for batch in ([(5, 1, b"a"), (6, 2, b"b")], [(2, 3, b"a")], [(9, 4, b"c"), (1, 5, b"b")]):
-        index.flush(spark.createDataFrame(batch, "doc_id long, row long, digest binary"))
-    assert len(index.runs) == 3
-    got = {bytes(r["digest"]): (r["best"]["doc_id"], r["n"]) for r in index.compact().collect()}
-    assert got == {b"a": (2, 2), b"b": (1, 2), b"c": (9, 1)} and len(index.runs) == 1
+def test_index_probes_older_runs_and_compacts_levels(spark):
+    index = exact_dedup.DigestIndex(spark, fanout=2)
+    found = []
+    for batch in ([(5, 1, b"a"), (6, 2, b"b")], [(2, 3, b"a"), (3, 9, b"e")], [(9, 4, b"c"), (1, 5, b"b"), (8, 6, b"c")], [(4, 7, b"d")], [(7, 8, b"d")]):
+        found.append({bytes(r["digest"]) for r in index.insert(spark.createDataFrame(batch, "doc_id long, row long, digest binary")).collect()})
+    assert found == [set(), {b"a"}, {b"b", b"c"}, set(), {b"d"}]
+    assert [len(level) for level in index.levels] == [1, 0, 1]
+    hits = spark.createDataFrame([(d,) for d in set().union(*found)], "digest binary")
+    got = {bytes(r["digest"]): (r["best"]["doc_id"], r["n"]) for r in index.groups(hits).collect()}
+    assert got == {b"a": (2, 2), b"b": (1, 2), b"c": (8, 2), b"d": (4, 2)}
+
+
+def test_filters_pass_what_they_were_built_of_and_little_else(spark):
+    digests = lambda low, high: spark.range(low, high).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    n = 5_000
+    rows = n * 16 // exact_dedup.ROW_BITS + 1
+    bits = exact_dedup.filter_of(digests(0, n), rows)
+    assert exact_dedup.passing(digests(0, n), bits, rows).count() == n
+    assert exact_dedup.passing(digests(n, 3 * n), bits, rows).count() < 0.1 * 2 * n
+
+
+def test_exact_dedup_over_many_memtables_equals_brute_force(spark):
+    rng = random.Random(8)
+    data = [(rng.randrange(300) if rng.random() < 0.9 else None, rng.choice([None, "", "a  b", "a\nb", f"t{rng.randrange(150)}  x", "hot copy"])) for _ in range(600)]
+    df = docs_of(spark, data).repartition(12, F.rand(1))
+    got = rows(exact_dedup.exact_dedup(df, memtable_rows=25, fanout=3))
+    norm = lambda t: " ".join((t or "").split(" ")) if t is None else __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t)
+    groups = {}
+    for i, t in data:
+        groups.setdefault(norm(t), []).append(i)
+    key = lambda i: (i is None, i or 0)
+    wanted = sorted(((i, min(groups[norm(t)], key=key), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in data), key=repr)
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=repr) == wanted
+    kept = [r for r in got if r["kept"]]
+    assert sorted(r["text_sha256"] for r in kept) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
 
 
 def edited(base, seed, share):

@@ -1,27 +1,37 @@
 """Exact deduplication through a log-structured merge index of text digests.
 
 A document's digest is the SHA-256 of its text with every run of ASCII white space made one space.
-Digests first go to a log table.  Each batch of the log is a memtable: Spark aggregates it to one entry
-a digest, (smallest document, count), and flushes it as a run, Parquet sorted by digest with Bloom
-filters and minima and maxima on that column.  Compaction merges all runs into one and keeps the
-smallest identifier and the summed count.  Entries with more than one row are hits, and hits receive
-byte verification: the smallest and the largest normalised text of a digest must be the same bytes.
+Digests first go to a log table, whose input splits are taken into batches of at most `memtable_rows` rows
+for each parallel task.  A batch is a memtable: one entry a digest, (smallest document, count), combined
+before and after a shuffle.  It is flushed as a run, Parquet files sorted by digest, with a filter, a bitmap of
+16 bits an entry in rows of 4 KB.  Before, its digests are probed against all older runs: only those whose bit
+is set in a run's filter are looked up there.  `fanout` runs of a level are compacted to one of the next, in
+which the smallest identifier of a digest survives.
+
+Digests that a probe finds, or that a memtable has more than once, are hits.  Only hits are merged across
+runs, and only hits receive byte verification: the smallest and the largest normalised text of a digest must
+be the same bytes.  The texts that travel for it are those whose bit is set in a filter of the hits.
 
 A group of copies never meets in one task: every step combines rows of a digest before its shuffle.
 
-Defined results: null text counts as empty; a null doc_id ranks after all others; of repeated rows with
-the same doc_id and text one stays; an empty table gives an empty result; two texts with one digest
-would raise an error rather than lose a text; further columns are not read.
+Defined results: null text counts as empty; a null doc_id ranks after all others; of rows with the same
+doc_id and text, ties and repeated rows, the first of the log stays; very long texts are digested and compared
+whole; an empty table gives an empty result; two texts with one digest would raise an error rather than lose
+a text; further columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, keep, shared_folder
+from .common import SPACE_CLASS, keep
+
+#: Bits of one row of a filter, as bitmap_construct_agg makes them, and rows of a filter that is broadcast.
+ROW_BITS, MOST_ROWS = 32768, 2048
 
 
 def normalised(text: Column) -> Column:
@@ -33,52 +43,111 @@ def _rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
 
 
-class DigestIndex:
-    """Sorted runs of (digest, best, n) in the shared folder; best is the smallest document."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or f"{shared_folder(spark).rstrip('/')}/digests-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self._schema = None
-
-    def _write(self, entries: DataFrame, level: int) -> str:
-        run = f"{self.path}/level={level}/run-{uuid.uuid4().hex}"
-        self._schema = entries.schema
-        (
-            entries.sortWithinPartitions("digest")
-            .write.option("compression", "zstd")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")  # as large as a file's digests need
-            .option("parquet.bloom.filter.max.bytes", str(1 << 20))
-            .parquet(run)
-        )
-        return run
+def _slot(rows: int) -> tuple[Column, Column]:
+    """A digest's row in a filter of so many rows, and its bit there."""
+    h = F.pmod(F.xxhash64("digest"), F.lit(rows * ROW_BITS))
+    return F.shiftright(h, 15), h.bitwiseAND(F.lit(ROW_BITS - 1))
+
+
+def filter_of(digests: DataFrame, rows: int) -> DataFrame:
+    """(slot, bits): a bitmap of the digests' hashes, ROW_BITS bits a row."""
+    slot, bit = _slot(rows)
+    return digests.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
-    def flush(self, rows: DataFrame) -> None:
-        """One memtable, rows of (doc_id, row, digest), becomes one run."""
-        entries = rows.groupBy("digest").agg(F.min(_rank()).alias("best"), F.count("*").alias("n"))
-        self.runs.append(self._write(entries, 0))
 
-    def compact(self) -> DataFrame:
-        """Merge all runs into one; the smallest identifier of each digest survives."""
-        merged = self.entries().groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        self.runs = [self._write(merged, 1)] if len(self.runs) > 1 else self.runs
-        return self.entries()
+def passing(digests: DataFrame, bits: DataFrame, rows: int) -> DataFrame:
+    """The rows of digests that a filter may have; those left out are not among what it was built of."""
+    slot, bit = _slot(rows)
+    probed = digests.withColumn("probe_slot", slot).withColumn("probe_bit", bit.cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(bits, probe_bit DIV 8 + 1, 1)")), 16, 10).cast("long")
+    found = probed.join(bits, (F.col("probe_slot") == F.col("slot")) & (F.getbit(byte, F.expr("probe_bit % 8")) == 1))
+    return found.select(*[F.col(f"`{c}`") for c in digests.columns])
 
-    def entries(self) -> DataFrame:
-        return self.spark.read.schema(self._schema).parquet(*self.runs)
 
+@dataclass(frozen=True)
+class Run:
+    """Entries (digest, best, n) sorted by digest, and their filter."""
 
-def verified(docs: DataFrame) -> DataFrame:
-    """Per digest, whether all its texts are the same bytes."""
+    entries: DataFrame
+    bits: DataFrame
+    rows: int  # of the filter
+
+
+class DigestIndex:
+    """Levels of sorted runs in the shared folder; best is the smallest document of a digest."""
+
+    def __init__(self, spark: SparkSession, *, fanout: int = 4):
+        self.spark, self.fanout = spark, fanout
+        self.levels: list[list[Run]] = []
+
+    def runs(self) -> list[Run]:
+        return [run for level in self.levels for run in level]
+
+    def _flush(self, entries: DataFrame, level: int) -> None:
+        run = keep(entries.sortWithinPartitions("digest"))
+        rows = run.count() * 16 // ROW_BITS + 1
+        if len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(Run(run, keep(filter_of(run, rows)), rows))
+
+    def insert(self, rows: DataFrame) -> DataFrame:
+        """Take a memtable, rows of (doc_id, row, digest); returns its digests that are hits."""
+        older = self.runs()
+        self._flush(rows.groupBy("digest").agg(F.min(_rank()).alias("best"), F.count("*").alias("n")), 0)
+        new = self.levels[0][-1].entries
+        hits = [new.filter("n > 1").select("digest")]
+        for run in older:
+            maybe = passing(new.select("digest"), run.bits, run.rows)
+            hits.append(maybe.join(run.entries.select("digest"), "digest", "left_semi"))
+        found = keep(reduce(DataFrame.unionByName, hits))
+        self._compact()
+        return found
+
+    def _compact(self) -> None:
+        """Merge the runs of every level that has `fanout` of them into one of the next."""
+        level = 0
+        while level < len(self.levels):
+            if len(self.levels[level]) >= self.fanout:
+                several = self.levels[level]
+                self.levels[level] = []
+                self._flush(self._merged([r.entries for r in several]), level + 1)
+            level += 1
+
+    @staticmethod
+    def _merged(entries: list[DataFrame]) -> DataFrame:
+        together = reduce(DataFrame.unionByName, entries)
+        return together.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+    def groups(self, hits: DataFrame) -> DataFrame:
+        """(digest, best, n) of the digests that are hits, over all runs."""
+        return self._merged([run.entries.join(hits, "digest", "left_semi") for run in self.runs()])
+
+
+def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per digest that is a hit, whether all its texts are the same bytes."""
+    rows = min(hits.count() * 16 // ROW_BITS + 1, MOST_ROWS)
+    bits = F.broadcast(keep(filter_of(hits, rows)))  # MOST_ROWS rows of 4 KB at most
     text = docs.select(normalised(F.col("text")).alias("norm"))
-    text = text.select(F.unhex(F.sha2("norm", 256)).alias("digest"), "norm")
+    text = passing(text.select(F.unhex(F.sha2("norm", 256)).alias("digest"), "norm"), bits, rows)
     return text.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
 
 
-def exact_dedup(docs: DataFrame, *, memtables: int = 4) -> DataFrame:
+def _batches(log: DataFrame, most: int) -> list[Column]:
+    """Conditions on row that take whole splits of the log, as many as have `most` rows together, or one."""
+    split = F.shiftright("row", 33)
+    sizes = sorted((r["split"], r["n"]) for r in log.groupBy(split.alias("split")).agg(F.count("*").alias("n")).collect())  # a row a split
+    out, first, rows = [], None, 0
+    for number, n in sizes:
+        if first is not None and rows + n > most:
+            out.append(F.col("row").between(first << 33, (number << 33) - 1))
+            first, rows = None, 0
+        first, rows = number if first is None else first, rows + n
+    return [*out, F.col("row") >= ((first or 0) << 33)]
+
+
+def exact_dedup(docs: DataFrame, *, memtable_rows: int = 16_384, fanout: int = 4) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_bytes (of the normalised text)."""
+    spark = docs.sparkSession
     norm = normalised(F.col("text"))
     log = keep(
         docs.select("doc_id", norm.alias("norm")).select(
@@ -88,22 +157,25 @@ def exact_dedup(docs: DataFrame, *, memtables: int = 4) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         )
     )
-    index = DigestIndex(docs.sparkSession)
-    for batch in range(memtables):
-        index.flush(log.filter(F.pmod(F.col("row"), F.lit(memtables)) == batch).select("doc_id", "row", "digest"))
-    groups = index.compact()
-    checked = groups.join(verified(docs), "digest", "left").select(
+    index = DigestIndex(spark, fanout=fanout)
+    found = [index.insert(log.filter(batch).select("doc_id", "row", "digest")) for batch in _batches(log, memtable_rows * spark.sparkContext.defaultParallelism)]
+    hits = keep(reduce(DataFrame.unionByName, found).distinct())
+    groups = index.groups(hits)
+    checked = groups.join(verified(docs, hits), "digest", "left").select(
         "digest",
         "n",
-        F.when(F.coalesce("same", F.lit(False)) | (F.col("n") == 1), F.col("best"))
+        F.when(F.coalesce("same", F.lit(False)), F.col("best"))
         .otherwise(F.raise_error(F.lit("two texts share one SHA-256 digest")).cast(groups.schema["best"].dataType))
         .alias("best"),
     )
-    return log.join(checked, "digest").select(
+    # written: log and groups are plain shuffles of the join, of which Spark splits a large group of copies
+    joined = log.join(keep(checked), "digest", "left")
+    alone = F.col("n").isNull()
+    return joined.select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("best.row") == F.col("row")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("best.row") == F.col("row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "n_bytes",
     )
