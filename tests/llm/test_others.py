@@ -257,6 +257,29 @@ def test_classifier_on_held_out_labels(spark):
     assert joined["n"] > 500 and joined["accuracy"] > 0.97 and joined["accuracy"] > joined["base"] + 0.08 and clean > 0.985
 
 
+def test_scores_equal_brute_force(spark, sf):
+    """Every document of a table against both dictionaries by zstandard's plain interface."""
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+
+    def size(text, dictionary):
+        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(press.compress(text[i : i + 512])) for i in range(0, len(text), 512))
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for r in rows(quality.score(docs, model)):
+        t = texts[r["doc_id"]]
+        good, bad = size(t, model.good), size(t, model.bad)
+        evidence = (bad - good) / math.sqrt(len(t) * (bad + good) / 2) if t else 0.0
+        assert r["evidence"] == pytest.approx(evidence, abs=1e-12)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.weight * evidence + model.offset))), abs=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5)
+
+
 def test_classifier_edge_cases(spark):
     good, bad = [words(80, i) for i in range(40)], ["### $$$ %%% " * 30 + str(i) for i in range(40)]
     data = [(i, t) for i, t in enumerate(good + bad)] + [(1000, None), (1001, ""), (None, good[0]), (5, good[5]), (1002, words(200_000, 1))]

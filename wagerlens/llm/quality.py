@@ -1,23 +1,25 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, one from text labelled good and one from text labelled bad.
-A text is cut into blocks of fixed size, every block is compressed with both dictionaries, and the
-difference of the summed sizes over their mean is the evidence.  Text that repeats itself shrinks under
-either dictionary, so the mean size per byte goes beside it.  A logistic curve fitted on other labelled
-rows turns both into a probability.  Blocks keep the dictionaries' weight the same over a whole long
-text.
+A text is cut into blocks of fixed size and every block is compressed with both dictionaries.  The evidence
+is the difference of the summed sizes, normalised by the geometric mean of the text's length and its mean
+compressed size: text that repeats itself, which shrinks under either dictionary, keeps little of it.  It is
+the only input of the score: a logistic curve, fitted on other labelled rows, turns it into a probability.
+Blocks keep the dictionaries' weight the same over a whole long text.
 
 Learning uses a bounded sample, chosen by a hash of doc_id: at most `per_class` labelled rows of each
-class, each of at most `longest` bytes.  Half of them build the dictionaries, half fit the curve.
-Scoring covers every whole text.
+class; of these, rows of over `longest` bytes teach nothing.  Half of them build the dictionaries, half fit
+the curve.  Scoring covers every whole text.
 
-Defined results: a null or empty text has evidence 0 and the sample's mean size per byte; null labels and labels without a document teach
-nothing; with no labels of one class every text scores the other class's share (0.5 without labels);
-repeated rows are scored alike; further columns of the input are not read.
+Defined results: a null or empty text has evidence 0; null labels and labels without a document teach
+nothing; with no labels of one class every text scores the other class's share (0.5 without labels); very long
+texts are scored whole, block by block; repeated rows and ties are scored alike; an empty table gives an empty
+result; further columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_bytes
 
-BLOCK = 2048
+BLOCK = 512
 LEVEL = 3
 
 
@@ -37,21 +39,11 @@ LEVEL = 3
 class CompressionModel:
     good: bytes
     bad: bytes
-    centre: tuple[float, ...] = (0.0, 0.0, 0.0)
-    scale: tuple[float, ...] = (1.0, 1.0, 1.0)
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    weight: float = 0.0
     offset: float = 0.0
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        rows = (_curve_inputs(evidence) - np.array(self.centre)) / np.array(self.scale)
-        rows[np.isnan(evidence[:, 1])] = [-self.centre[0] / self.scale[0], 0.0, 0.0]
-        return 1.0 / (1.0 + np.exp(-np.clip(rows @ np.array(self.weights) + self.offset, -30, 30)))
-
-
-def _curve_inputs(evidence: np.ndarray) -> np.ndarray:
-    """The difference, the log of the size per byte, and its square: both very low and very high are odd."""
-    ratio = np.log(np.maximum(evidence[:, 1], 1e-3))
-    return np.stack([evidence[:, 0], ratio, ratio**2], axis=1)
+        return 1.0 / (1.0 + np.exp(-np.clip(self.weight * evidence + self.offset, -30, 30)))
 
 
 class _Sizer:
@@ -69,22 +61,20 @@ class _Sizer:
 
 
 def evidence_of(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
-    """Columns: (size under bad - size under good) over their mean, and that mean per byte; empty: 0, NaN."""
+    """(size under bad - size under good) / sqrt(length * mean of both sizes) of each text; 0 for an empty one."""
     by_good, by_bad = _Sizer(good), _Sizer(bad)
-    out = np.zeros((len(texts), 2))
+    out = np.zeros(len(texts))
     for i, text in enumerate(texts):
         if text:
             g, b = by_good(text), by_bad(text)
-            out[i] = 2.0 * (b - g) / (b + g), (b + g) / (2.0 * len(text))
-        else:
-            out[i, 1] = np.nan
+            out[i] = (b - g) / math.sqrt(len(text) * (b + g) / 2)
     return out
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
     """A trained dictionary; the sample itself as raw content where it is too small to train on."""
     blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
-    if len(blocks) >= 64:
+    if sum(map(len, blocks)) > size:
         try:
             return zstandard.train_dictionary(size, blocks, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
@@ -92,11 +82,12 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
     return b"".join(blocks)[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and, last, the offset by Newton steps, with a weak pull of the weights towards 0."""
-    rows = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    pull = np.array([0.01] * x.shape[1] + [1e-9])
-    theta = np.zeros(rows.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Weight and offset by Newton steps on the standardised evidence, with a weak pull of the weight towards 0."""
+    centre, scale = x.mean(), max(x.std(), 1e-9)
+    rows = np.stack([(x - centre) / scale, np.ones(len(x))], axis=1)
+    pull = np.array([0.01, 1e-9])
+    theta = np.zeros(2)
     for _ in range(60):
         p = 1.0 / (1.0 + np.exp(-np.clip(rows @ theta, -30, 30)))
         hessian = (rows * (p * (1 - p))[:, None]).T @ rows + np.diag(pull)
@@ -104,10 +95,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         theta -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return theta
+    return float(theta[0] / scale), float(theta[1] - theta[0] * centre / scale)
 
 
-def fit_on_sample(texts: list[bytes], good: list[bool], *, dictionary_bytes: int = 65536) -> CompressionModel:
+def fit_on_sample(texts: list[bytes], good: list[bool], *, dictionary_bytes: int = 262_144) -> CompressionModel:
     """Fit on a list in its given order: even rows build dictionaries, odd rows fit the curve."""
     y = np.array(good, dtype=float)
     if len(y) == 0 or y.min() == y.max():
@@ -124,11 +115,8 @@ def fit_on_sample(texts: list[bytes], good: list[bool], *, dictionary_bytes: int
         place[label] += 1
     bad_dict, good_dict = _dictionary(build[False], dictionary_bytes), _dictionary(build[True], dictionary_bytes)
     rows = held if len({good[i] for i in held}) == 2 else list(range(len(texts)))
-    evidence = evidence_of([texts[i] for i in rows], good_dict, bad_dict)
-    inputs = _curve_inputs(np.nan_to_num(evidence, nan=1.0))
-    centre, scale = inputs.mean(axis=0), np.maximum(inputs.std(axis=0), 1e-9)
-    theta = _logistic((inputs - centre) / scale, y[rows])
-    return CompressionModel(good_dict, bad_dict, tuple(centre), tuple(scale), tuple(theta[:-1]), float(theta[-1]))
+    weight, offset = _logistic(evidence_of([texts[i] for i in rows], good_dict, bad_dict), y[rows])
+    return CompressionModel(good_dict, bad_dict, weight, offset)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, longest: i
 def _to_prior(model: CompressionModel, share: dict[int, int], per_class: int) -> CompressionModel:
     """Undo the change of class shares that a sample bounded per class makes."""
     bad, good = share.get(0, 0), share.get(1, 0)
-    if not bad or not good or not any(model.weights):
+    if not bad or not good or not model.weight:
         return model
     shift = np.log(good / bad) - np.log(min(good, per_class) / min(bad, per_class))
     return replace(model, offset=model.offset + float(shift))
@@ -189,7 +177,7 @@ def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
                 [
                     batch.column(0),
                     batch.column(2),
-                    pa.array(evidence[:, 0], pa.float64()),
+                    pa.array(evidence, pa.float64()),
                     pa.array(p, pa.float64()),
                     pa.array((p >= 0.5).astype(np.int32), pa.int32()),
                 ],
