@@ -63,6 +63,54 @@ def test_every_match_within_the_bound_has_a_seed():
     assert finder.find(b" " + b"nothing of the kind " * 50) == []
 
 
+def test_a_license_of_another_name_is_no_match():
+    finder = license_scan.NoticeFinder()
+    for name in ("MPL", "MS", "NIST", "WIT", "Mitt", "Permit", "XIT"):
+        for form in ("this is licensed under the {} license", "released under the {} license today"):
+            assert finder.find(b" " + form.format(name).lower().encode() + b" ") == [], name
+    assert [f[2] for f in finder.find(b" it is lisensed under the mit licence here ")] == ["mit"]
+    assert [f[2] for f in finder.find(b" under the terms of the gnu lesser general public license ")] == ["lgpl"]
+    assert [f[2] for f in finder.find(b" under the terms of the gnu afero general public license ")] == []
+    assert [f[2] for f in finder.find(b" permission is hereby granted free of charge to any person or organization obtaining a copy ")] == ["boost"]
+    two = b" released under the mit license or licensed under the bsd license released under the mit license "
+    assert [f[2] for f in finder.find(two)] == ["mit", "bsd", "mit"]
+
+
+def substring_distance(notice, text):
+    """Smallest edit distance of the notice to any part of the text, by plain dynamic programming."""
+    line = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(line[j] + 1, new[-1] + 1, line[j - 1] + (c != d)))
+        line = new
+    return min(line)
+
+
+def test_fuzzy_labels_equal_brute_force():
+    """Each notice with up to one error more than allowed: its label and score are those of the nearest notice over all."""
+    finder, rng = license_scan.NoticeFinder(), random.Random(11)
+    for notice, _, _ in license_scan.NOTICES:
+        for extra in (0, 1, 2, license_scan.allowed_edits(notice), license_scan.allowed_edits(notice) + 2):
+            t = list(notice)
+            for _ in range(extra):
+                k = rng.randrange(len(t))
+                t[k : k + 1] = rng.choice([["z"], [], [t[k], "q"]])
+            folded = " ".join(f"pad {''.join(t)} end".split())
+            near = []
+            for other, label, telling in license_scan.NOTICES:
+                errors = substring_distance(other, f" {folded} ")
+                if errors <= license_scan.allowed_edits(other) and set(telling) <= set(folded.split()):
+                    near.append((errors / len(other), -len(other), label))
+            got = license_scan.scan_text(folded.encode(), finder, phrases=())
+            assert got["labels"] == (min(near)[2] if near else ""), folded
+            assert got["score"] == pytest.approx(1 - min(near)[0] if near else 0.0)
+
+
+def test_license_scan_without_documents(spark):
+    assert license_scan.license_scan(docs_of(spark, [])).count() == 0
+
+
 def test_license_scan_reports_spans(spark):
     (r,) = rows(license_scan.license_scan(docs_of(spark, [(1, "x " + NOTICE.replace("granted", "grantd") + " of this")])))
     (s,) = r["spans"]

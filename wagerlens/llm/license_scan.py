@@ -5,11 +5,16 @@ pigeonhole principle, a notice cut into edits + 1 seeds keeps one seed intact in
 exact search for the seeds finds every candidate place; the regex library's bounded-error matching then
 verifies the stretch around it and reports the span and its errors.
 
+The words that tell a notice from another license's must stand in the span exactly: an error in the name of
+the license is another license.  Where matches of several notices overlap, the nearest wins: the smallest
+share of letters in error, then the longer notice.
+
 One pass over the documents, no shuffle.  score: 1 with an exact notice or phrase, less by the share of
 letters in error for the best fuzzy match, 0 without any.
 
 Defined results: null counts as empty, with no words and no labels; whole texts are searched however
-long; repeated rows are scanned alike; further columns are not read.
+long; repeated rows and ties of doc_id are scanned alike; an empty table gives an empty result; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,21 +35,44 @@ PHRASES = (
     ("general public license", "gpl"),
 )
 
-#: Short notices, as folded words, with the labels that the fuzzy search adds.
+#: Short notices, as folded words, the labels that the fuzzy search adds, and their telling words.
 NOTICES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("you may not use this file except in compliance with the license", "apache"),
-    ("under the terms of the gnu general public license", "gpl"),
-    ("under the terms of the gnu lesser general public license", "lgpl"),
-    ("subject to the terms of the mozilla public license", "mpl"),
-    ("redistribution and use in source and binary forms with or without modification", "bsd"),
-    ("released under the mit license", "mit"),
-    ("licensed under the mit license", "mit"),
-    ("this work is licensed under a creative commons attribution", "cc"),
-    ("spdx license identifier", "spdx"),
-    ("all rights reserved", "reserved"),
-    ("without warranty of any kind express or implied", "warranty"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", ()),
+    ("released under the mit license", "mit", ("mit",)),
+    ("licensed under the mit license", "mit", ("mit",)),
+    ("distributed under the terms of the mit license", "mit", ("mit",)),
+    ("licensed under the apache license version 2 0", "apache", ("apache",)),
+    ("released under the apache license", "apache", ("apache",)),
+    ("you may not use this file except in compliance with the license", "apache", ()),
+    ("under the terms of the gnu general public license", "gpl", ("gnu", "general")),
+    ("released under the gnu general public license", "gpl", ("gnu", "general")),
+    ("under the terms of the gnu lesser general public license", "lgpl", ("gnu", "lesser")),
+    ("under the terms of the gnu library general public license", "lgpl", ("gnu", "library")),
+    ("under the terms of the gnu affero general public license", "agpl", ("gnu", "affero")),
+    ("subject to the terms of the mozilla public license", "mpl", ("mozilla",)),
+    ("licensed under the mozilla public license", "mpl", ("mozilla",)),
+    ("redistribution and use in source and binary forms with or without modification", "bsd", ()),
+    ("released under the bsd license", "bsd", ("bsd",)),
+    ("licensed under the bsd license", "bsd", ("bsd",)),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", ()),
+    ("licensed under the isc license", "isc", ("isc",)),
+    ("this software is provided as is without any express or implied warranty", "zlib", ()),
+    ("released under the zlib license", "zlib", ("zlib",)),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy", "boost", ("organization",)),
+    ("distributed under the boost software license", "boost", ("boost",)),
+    ("made available under the terms of the eclipse public license", "epl", ("eclipse",)),
+    ("under the terms of the common development and distribution license", "cddl", ("development", "distribution")),
+    ("this is free and unencumbered software released into the public domain", "unlicense", ("unencumbered",)),
+    ("this work is licensed under a creative commons attribution", "cc", ("creative", "commons")),
+    ("licensed under the creative commons attribution license", "cc", ("creative", "commons")),
+    ("the person who associated a work with this deed has dedicated the work to the public domain", "cc0", ()),
+    ("licensed under the artistic license", "artistic", ("artistic",)),
+    ("licensed under the european union public licence", "eupl", ("european", "union")),
+    ("this font software is licensed under the sil open font license", "ofl", ("font",)),
+    ("licensed under the microsoft public license", "ms-pl", ("microsoft",)),
+    ("released under the postgresql license", "postgresql", ("postgresql",)),
+    ("licensed under the python software foundation license", "psf", ("python", "foundation")),
+    ("licensed under the university of illinois ncsa open source license", "ncsa", ("illinois",)),
 )
 
 
@@ -63,31 +91,39 @@ def seeds_of(notice: str, edits: int) -> list[tuple[int, bytes]]:
 class NoticeFinder:
     def __init__(self, notices=NOTICES):
         self.notices = []
-        for text, label in notices:
+        for text, label, telling in notices:
             edits = allowed_edits(text)
             pattern = regex.compile(b"(?:" + regex.escape(text.encode(), literal_spaces=True) + b"){e<=%d}" % edits, regex.BESTMATCH)
-            self.notices.append((text.encode(), label, edits, seeds_of(text, edits), pattern))
+            self.notices.append((text.encode(), label, {t.encode() for t in telling}, edits, seeds_of(text, edits), pattern))
 
     def find(self, folded: bytes) -> list[tuple[int, int, str, int, int]]:
-        """(start, end, label, errors, letters) of notices in folded text; overlapping candidates count once."""
-        out = []
-        for notice, label, edits, seeds, pattern in self.notices:
+        """(start, end, label, errors, letters) of notices in folded text, in order; of overlapping ones the nearest."""
+        found = []
+        for notice, label, telling, edits, seeds, pattern in self.notices:
             places = set()
             for offset, seed in seeds:
                 at = folded.find(seed)
                 while at >= 0:
                     places.add(at - offset)
                     at = folded.find(seed, at + 1)
-            done = -1
-            for place in sorted(places):
-                low = max(place - edits, done, 0)
-                high = place + len(notice) + edits
-                if low >= high:
-                    continue
-                if m := pattern.search(folded, low, min(high, len(folded))):
-                    if m.end() > m.start():
-                        out.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(notice)))
-                        done = m.end()
+            # seeds of one occurrence agree in its place but for the errors
+            places = sorted(places)
+            begins = [p for i, p in enumerate(places) if not i or p - places[i - 1] > 2 * edits]
+            ends = [p for i, p in enumerate(places) if i + 1 == len(places) or places[i + 1] - p > 2 * edits]
+            stretches = [(max(a - edits, 0), min(b + len(notice) + edits, len(folded))) for a, b in zip(begins, ends, strict=True)]
+            while stretches:
+                low, high = stretches.pop()
+                m = pattern.search(folded, low, high) if high - low >= len(notice) - edits else None
+                if m:
+                    stretches += [(low, m.start()), (m.end(), high)]
+                    first, last = folded.rfind(b" ", 0, m.start() + 1) + 1, folded.find(b" ", max(m.end() - 1, 0))
+                    if telling <= set(folded[first : last if last >= 0 else None].split()):
+                        found.append((sum(m.fuzzy_counts) / len(notice), -len(notice), m.start(), m.end(), label, sum(m.fuzzy_counts)))
+        out: list[tuple[int, int, str, int, int]] = []
+        for _, length, start, end, label, errors in sorted(set(found)):
+            at = bisect.bisect_left(out, (start,))
+            if (not at or out[at - 1][1] <= start) and (at == len(out) or out[at][0] >= end):
+                out.insert(at, (start, end, label, errors, -length))
         return out
 
 
