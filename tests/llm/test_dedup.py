@@ -305,6 +305,27 @@ def test_near_dedup_finds_pairs_at_its_threshold(spark):
     assert sum(found[b] == a for a, b in pairs[100:]) >= 196
 
 
+def test_links_at_and_beyond_the_limit():
+    rng = random.Random(5)
+    for n in (10, 45, 200, 3_000):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(n)]
+        for edits, wanted in ((n // 5, True), (n // 5 + 1, False)):
+            for kind in ("replace", "drop"):
+                other = list(words)
+                for p in sorted(rng.sample(range(n), edits), reverse=True):
+                    other[p : p + 1] = ["x"] if kind == "replace" else []
+                assert near_dedup.linked([" ".join(words).encode()], [" ".join(other).encode()]) == [wanted]
+
+
+def test_exactly_one_row_of_a_class_stays(spark):
+    base = text(31, 60)
+    data = [(1, base), (1, base), (1, edited(base, 3, 0.03)), (2, base), (None, base), (5, text(32, 60)), (5, text(32, 60)), (None, None), (None, None)]
+    got = rows(near_dedup.near_dedup(docs_of(spark, data).repartition(3)))
+    kept = Counter(r["class_id"] for r in got if r["kept"])
+    assert kept == {1: 1, 5: 1, None: 1} and all(r["doc_id"] == r["class_id"] for r in got if r["kept"])
+    assert sorted(near_dedup.keep_one(docs_of(spark, data)).select("doc_id").collect(), key=repr) == sorted([(None,), (1,), (5,)], key=repr)
+
+
 def test_a_bucket_of_several_blocks_compares_all_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     test_near_dedup_equals_brute_force(spark)
@@ -319,6 +340,7 @@ def test_banded_alignment(a, b, limit):
         for j, y in enumerate(b, 1):
             new.append(min(line[j] + 1, new[-1] + 1, line[j - 1] + (x != y)))
         line = new
+    assert not a or not b or near_dedup.anchored_edits(np.array(a), np.array(b)) >= line[-1]
     (got,) = near_dedup.edits_within([(np.array(a, dtype=np.int32), np.array(b, dtype=np.int32))], [limit])
     assert got == (line[-1] if line[-1] <= limit else -1)
 

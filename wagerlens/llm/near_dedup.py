@@ -15,7 +15,7 @@ meet instead.  So the classes are those of all candidates.
 
 Candidates carry two summaries that bound their edit distance from below, words counted by hash (an edit
 changes one) and a bitmap of labelled pairs of words (an edit changes two); what these leave is verified by
-banded alignment of the words: a link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.
+alignment of the words, along common anchors if that stays within the limit, else in bands: a link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.
 Linked texts form classes, by connected components.
 
 Two texts with the same share s of labelled grams have a given sketch in common with chance s^3.  A
@@ -214,22 +214,58 @@ def edits_within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int])
     return out
 
 
-def similar(left: list[bytes], right: list[bytes], similarity: float = SIMILARITY) -> list[float | None]:
-    """Edit similarity of the folded words of each pair, None below `similarity`."""
+def anchored_edits(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of the edit distance: the alignment along pairs of neighbours that both have once.
+
+    Of these the ones that stand in the same order on both sides are anchors; what lies between two is
+    compared place by place if it is as long on both sides, and taken for all different if not.
+    """
+    n, m = len(x), len(y)
+    if min(n, m) < 2:
+        return max(n, m)
+    wide = np.int64(max(int(x.max()), int(y.max())) + 1)
+    once = []
+    for words in (x, y):
+        pairs, at, count = np.unique(words[:-1] * wide + words[1:], return_index=True, return_counts=True)
+        once.append((pairs[count == 1], at[count == 1]))
+    _, a, b = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    a, b = once[0][1][a], once[1][1][b]
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    same = (b == np.maximum.accumulate(b)) & (b == np.minimum.accumulate(b[::-1])[::-1])
+    a, b = np.concatenate([[0], a[same]]), np.concatenate([[0], b[same]])
+    long, wide = np.diff(np.append(a, n)), np.diff(np.append(b, m))
+    even = long == wide
+    different = int((x[expand(a[even], long[even])] != y[expand(b[even], wide[even])]).sum())
+    # what follows an anchor begins with a word that both have
+    begins = np.minimum(np.minimum(long, wide), 1)
+    begins[0] = 0
+    return different + int((np.maximum(long, wide) - begins)[~even].sum())
+
+
+def linked(left: list[bytes], right: list[bytes], similarity: float = SIMILARITY) -> list[bool]:
+    """Whether the edit similarity of the folded words of each pair is at least `similarity`.
+
+    Pairs of which an alignment along common anchors needs few enough edits are linked; the others are
+    aligned in bands.
+    """
     numbers: dict[bytes, int] = {}
     known: dict[bytes, np.ndarray] = {}
 
     def numbered(text: bytes) -> np.ndarray:
         got = known.get(text)
         if got is None:
-            got = known[text] = np.array([numbers.setdefault(w, len(numbers)) for w in text.translate(FOLD_TABLE).split()], dtype=np.int32)
+            got = known[text] = np.array([numbers.setdefault(w, len(numbers)) for w in text.translate(FOLD_TABLE).split()], dtype=np.int64)
         return got
 
     pairs = [(numbered(a), numbered(b)) for a, b in zip(left, right, strict=True)]
     longest = [max(len(a), len(b)) for a, b in pairs]
     limits = [int((1 - similarity) * n + 1e-9) for n in longest]
-    edits = edits_within(pairs, limits)
-    return [None if d < 0 or not n else 1.0 - d / n for d, n in zip(edits.tolist(), longest, strict=True)]
+    out = [bool(n) and anchored_edits(a, b) <= most for (a, b), n, most in zip(pairs, longest, limits, strict=True)]
+    rest = [i for i, n in enumerate(longest) if n and not out[i]]
+    for i, d in zip(rest, edits_within([pairs[i] for i in rest], [limits[i] for i in rest]).tolist(), strict=True):
+        out[i] = d >= 0
+    return out
 
 
 def _verify(similarity: float):
@@ -237,10 +273,8 @@ def _verify(similarity: float):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                found = similar([text_bytes(t) for t in part.column(2)], [text_bytes(t) for t in part.column(3)], similarity)
-                linked = pa.array([s is not None for s in found])
-                rows = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
-                yield rows.filter(linked)
+                found = linked([text_bytes(t) for t in part.column(2)], [text_bytes(t) for t in part.column(3)], similarity)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(found))
 
     return verify
 
@@ -379,7 +413,7 @@ def _apart(members: DataFrame, links: DataFrame, facts: DataFrame, docs: DataFra
 
     members has sketch, key and n, the bucket's size; facts has node, key, n_words, summary.
     """
-    roots = components(links.select("a", "b")).select(_key("node").alias("key"), _key("root").alias("root"))
+    roots = components(links).select(_key("node").alias("key"), _key("root").alias("root"))
     placed = keep(members.join(roots, "key", "left").select("sketch", "key", "n", F.coalesce("root", "key").alias("root")))
     several = placed.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sketch")
     split = keep(placed.join(several, "sketch"))
@@ -401,8 +435,8 @@ def _logged(docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
-    """(texts, links): texts has node (digest of the text), best (its smallest document), n; links has a, b,
-    similarity between different texts, enough of them for the classes of all candidates."""
+    """(texts, links): texts has node (digest of the text), best (its smallest document), n; links has pairs
+    (a, b) of different texts, enough of them for the classes of all candidates."""
     small_batches(docs.sparkSession)
     log = _logged(docs) if log is None else log
     texts = keep(log.groupBy("node").agg(F.min(_rank()).alias("best"), F.count("*").alias("n")))
@@ -423,7 +457,7 @@ def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float =
         first = candidates.select(_key("node").alias("a"), F.col("node").alias("node_a"), F.col("text").alias("text_a"))
         second = candidates.select(_key("node").alias("b"), F.col("node").alias("node_b"), F.col("text").alias("text_b"))
         both = pairs.join(first, "a").join(second, "b").select("node_a", "node_b", "text_a", "text_b")
-        return keep(both.mapInArrow(_verify(similarity), "a binary, b binary, similarity double"))
+        return keep(both.mapInArrow(_verify(similarity), "a binary, b binary"))
 
     led = keep(members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
     side = lambda s: facts.select(F.col("key").alias(s), F.col("n_words").alias(f"words_{s}"), F.col("summary").alias(f"summary_{s}"))
@@ -437,12 +471,12 @@ def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float =
 
 def classes(docs: DataFrame, log: DataFrame | None = None, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """Per different text: node, best (document), class_best (the class's smallest document), n_found_links, class_size."""
-    texts, linked = links(docs, log, similarity=similarity, sketches=sketches)
-    roots = components(linked.select("a", "b"))
+    texts, found = links(docs, log, similarity=similarity, sketches=sketches)
+    roots = components(found)
     # both are written, so that a class of very many texts is split in the join of the two
     rooted = keep(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))))
     heads = keep(rooted.groupBy("root").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size")))
-    many = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_found_links"))
+    many = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_found_links"))
     return (
         rooted.join(heads, "root")
         .join(many, "node", "left")
