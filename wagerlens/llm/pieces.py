@@ -40,6 +40,8 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SEGMENT = 1 << 17
 #: Runs are counted by hash in so many counters; the sample has so many documents of so many bytes at most.
 SLOT_BITS, SAMPLE_DOCS, SAMPLE_BYTES = 20, 512, 32768
+#: Bytes of pieces that are judged at once.
+PART_BYTES = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -257,14 +259,37 @@ def runs_of(piece: np.ndarray, at: np.ndarray, *more: np.ndarray) -> tuple[np.nd
 def may_repeat(hashes: np.ndarray, piece: np.ndarray, sure: np.ndarray) -> np.ndarray:
     """Pieces that are sure to repeat or of which another piece may have a window: the windows of all others
     are proved to be their own, as equal windows have equal hashes."""
-    order = np.argsort(hashes)
-    equal = hashes[order[1:]] == hashes[order[:-1]]
+    bits = max(int(len(sure)).bit_length(), 1)
+    key = (hashes & ~np.uint64((1 << bits) - 1)) | piece.astype(np.uint64)
+    key.sort()
+    equal = key[1:] >> np.uint64(bits) == key[:-1] >> np.uint64(bits)
+    owner = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
     keep = sure.copy()
-    keep[piece[order[1:][equal]]] = True
-    keep[piece[order[:-1][equal]]] = True
+    keep[owner[1:][equal]] = True
+    keep[owner[:-1][equal]] = True
     return np.flatnonzero(keep)
 
 
+def in_parts(judge: Callable, data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tags: np.ndarray, smallest: np.ndarray, largest: np.ndarray) -> list[np.ndarray]:
+    """judge() over all pieces of one minimiser and then another, some PART_BYTES at a time; its runs by piece."""
+    start = np.cumsum(sizes) - sizes
+    order = np.argsort(tags, kind="stable")
+    filled = np.cumsum(sizes[order])
+    last_of_tag = np.flatnonzero(np.append(np.diff(tags[order]), 1) != 0) if len(order) else np.empty(0, dtype=np.int64)
+    runs, low, begun = [], 0, 0
+    for end in last_of_tag:
+        if filled[end] - begun >= PART_BYTES or end == last_of_tag[-1]:
+            part = order[low : end + 1]
+            piece, *rest = judge(data[expand(start[part], sizes[part])], sizes[part], counts[part], smallest[part], largest[part])
+            runs.append((part[piece], *rest))
+            low, begun = end + 1, filled[end]
+    if not runs:
+        return [np.empty(0, dtype=np.int64)] * 4
+    out = [np.concatenate(x) for x in zip(*runs, strict=True)]
+    by = np.argsort(out[0], kind="stable")
+    return [x[by] for x in out]
+
+
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -350,7 +375,7 @@ def exchange(
             at = np.cumsum(steps, dtype=np.int64) + np.searchsorted(p.bucket, bucket)
             length = p.byte_end[at] - p.byte_start[at]
             blobs.append(packed(
-                steps, length.astype(np.uint32), p.place_count[at].astype(np.uint32),
+                steps, length.astype(np.uint32), p.place_count[at].astype(np.uint32), p.tag[at],
                 smallest[at], largest[at] - smallest[at], corpus.data[expand(p.byte_start[at], length)],
             ))
             to.append(bucket)
@@ -359,8 +384,8 @@ def exchange(
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         places = sorted(zip(rows.column("chunk").to_pylist(), rows.column("pieces").to_pylist(), strict=True))
         read = [unpacked(blob) for _, blob in places]
-        sizes, counts, smallest, spread, data = (np.concatenate(x) for x in list(zip(*read, strict=True))[1:])
-        piece, first, many, limit = judge(data, sizes.astype(np.int64), counts.astype(np.int64), smallest, smallest + spread)
+        sizes, counts, tags, smallest, spread, data = (np.concatenate(x) for x in list(zip(*read, strict=True))[1:])
+        piece, first, many, limit = in_parts(judge, data, sizes.astype(np.int64), counts.astype(np.int64), tags, smallest, smallest + spread)
         ends = np.cumsum([len(r[0]) for r in read])
         edges = np.searchsorted(piece, np.concatenate([[0], ends]))
         to, blobs = [], []

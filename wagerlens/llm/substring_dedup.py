@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .pieces import Corpus, RangeHash, exchange, expand, may_repeat, runs_of
 
-WINDOW, K = 35, 3
+WINDOW, K = 35, 6
 
 
 def word_corpus(texts: list[bytes]) -> Corpus:

@@ -4,7 +4,7 @@ Texts are cut into pieces by content (see pieces.py), so that equal strings of `
 in one bucket.  A bucket's pieces, one copy for each chunk of documents that has it, are split into shards of
 bounded size.  Pieces none of whose strings' hashes occur twice, and which stand in one document only, are
 proved to repeat nothing and left out; suffix arrays decide all others.  Each shard gets a
-suffix array by Larsson-Sadakane refinement (groups by the first 8 bytes, then unsorted groups only,
+suffix array by Larsson-Sadakane refinement (groups by the first 5 bytes, then unsorted groups only,
 doubling the sorted depth by the ranks there; a suffix ends with its piece) and its common prefixes by
 Kasai's relation: they are compared only where the byte before differs and carried on, less one, elsewhere.
 Neighbours with common prefixes of at least `length` have the same string; shards are merged by binary search
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from .pieces import Corpus, RangeHash, exchange, expand, may_repeat, runs_of
 
-LENGTH, K = 50, 16
-SHARD_BYTES = 2 << 20
+LENGTH, K = 50, 20
+SHARD_BYTES = 1 << 18
 
 
 def byte_corpus(texts: list[bytes]) -> Corpus:
@@ -39,14 +39,24 @@ def byte_corpus(texts: list[bytes]) -> Corpus:
     return Corpus(data, at[:-1], at[1:], np.concatenate([[0], last[:-1]]).astype(np.int64) if len(last) else last, last)
 
 
-def _heads(data: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
-    """The 8 bytes from each place, as numbers in the bytes' order; zeros beyond the end, or beyond its room."""
+def _heads(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place, as numbers in the bytes' order; zeros beyond the end."""
     wide = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    out = np.zeros(len(data), dtype=np.uint64)
-    for i in range(8):
-        byte = wide[i : i + len(data)].astype(np.uint64)
-        out = (out << np.uint64(8)) | (byte if room is None else np.where(room > i, byte, np.uint64(0)))
-    return out
+    return np.ndarray((len(data),), dtype=">u8", buffer=wide, strides=(1,)).astype(np.uint64)
+
+
+#: Suffixes of shards of up to 2 ** PLACE_BITS bytes are sorted as whole numbers that end with their places.
+PLACE_BITS, FIRST = 20, 5
+
+
+def _by_rank(group: np.ndarray, follow: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, group, follow) in order of group, follow and place."""
+    if n <= 1 << PLACE_BITS:
+        key = (group.astype(np.int64) << (2 * PLACE_BITS + 1)) | (follow.astype(np.int64) << PLACE_BITS) | places
+        key.sort()
+        return (key & ((1 << PLACE_BITS) - 1)).astype(np.int32), key >> (2 * PLACE_BITS + 1), (key >> PLACE_BITS) & ((2 << PLACE_BITS) - 1)
+    by = np.lexsort((places, follow, group))
+    return places[by], group[by], follow[by]
 
 
 def suffix_array(data: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
@@ -58,35 +68,39 @@ def suffix_array(data: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
     if n == 0:
         return np.empty(0, dtype=np.int64)
     room = (n if end is None else end) - np.arange(n)
-    heads = _heads(data, room)
-    # padded with zeros, which may equal zero bytes: the shorter go first
-    order = np.lexsort((np.minimum(room, 8), heads)) if (data == 0).any() else np.argsort(heads, kind="stable")
-    key = heads[order]
+    # the first bytes, padded with zeros, which may equal zero bytes: the shorter go first
+    near = np.minimum(room, FIRST)
+    head = (_heads(data) >> (64 - 8 * near).astype(np.uint64)).astype(np.int64) << (8 * (FIRST - near) + 3) | near
+    if n <= 1 << PLACE_BITS:
+        key = (head << PLACE_BITS) | np.arange(n)
+        key.sort()
+        order, key = (key & ((1 << PLACE_BITS) - 1)).astype(np.int32), key >> PLACE_BITS
+    else:
+        order = np.argsort(head, kind="stable")
+        key = head[order]
     new = np.ones(n, dtype=bool)
     new[1:] = key[1:] != key[:-1]
-    short = (room < 8)[order]  # equal ones among these are in order already
+    short = (key & 7) < FIRST  # equal ones among these are in order already
     new |= short
-    new[1:] |= short[:-1]
     # the rank of a suffix is the first place of its group
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    depth = 8
+    rank = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=rank.dtype), 0))
+    depth = FIRST
     while True:
         lone = new & np.append(new[1:], True)
         open_at = np.flatnonzero(~lone)
         if not len(open_at):
             return order
         places = order[open_at]
-        group = rank[places]
         follow = np.where(room[places] > depth, rank[np.minimum(places + depth, n - 1)] + 1, 0)
-        by = np.argsort(group * (n + 1) + follow, kind="stable")
-        places, group, follow = places[by], group[by], follow[by]
+        places, group, follow = _by_rank(rank[places], follow, places, n)
         order[open_at] = places
         fresh = follow == 0  # ended: equal suffixes stay in order of place
         fresh[0] = True
         fresh[1:] |= (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
         new[open_at] = fresh
-        rank[places] = np.maximum.accumulate(np.where(fresh, open_at, 0))
+        open_at = open_at.astype(rank.dtype)
+        rank[places] = np.maximum.accumulate(np.where(fresh, open_at, open_at.dtype.type(0)))
         depth *= 2
 
 
@@ -131,7 +145,8 @@ def strings_of_shard(data: np.ndarray, end: np.ndarray, valid: np.ndarray, lengt
     apart = common_prefixes(data, order, end) < length
     number = np.cumsum(apart) - 1
     real = valid[order]
-    return order[real], np.unique(number[real], return_inverse=True)[1] if real.any() else number[:0]
+    number = number[real]  # ascending
+    return order[real], np.cumsum(np.diff(number, prepend=number[:1]) > 0)
 
 
 def judge_strings(length: int, shard_bytes: int):
