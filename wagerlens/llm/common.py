@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.staged import shared_folder
@@ -45,6 +45,28 @@ def whole_rows(df: DataFrame, *keys: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *keys)
 
 
+def whole_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's columns (but maps): orders rows that an operator's own columns don't tell apart."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+
+
+def numbered(rows: DataFrame, keys: list[str], place: str, name: str) -> DataFrame:
+    """Adds name: rows of equal keys numbered from 0 in order of place (monotonically_increasing_id).
+
+    No key meets in one task: rows are numbered within their input split, and added to what the splits
+    before have.  rows are read from a written table.
+    """
+    split = F.shiftright(place, 33)
+    several = rows.withColumn("its_split", split)
+    counts = several.groupBy(*keys, "its_split").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("its_split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    offsets = counts.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("its_split").alias("of_split"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    same = F.col("its_split") == F.col("of_split")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    local = Window.partitionBy(*keys, "its_split").orderBy(place)
+    joined = several.withColumn("in_split", F.row_number().over(local) - 1).join(offsets, same)
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("offset") + F.col("in_split")).alias(name))
 
 
 def fold_case(text: Column) -> Column:

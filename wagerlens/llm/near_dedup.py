@@ -36,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD_TABLE, keep, small_batches, text_bytes, whole_rows
+from .common import FOLD_TABLE, keep, small_batches, text_bytes, whole_hash, whole_rows
 from .components import components
 from .pieces import RangeHash, expand, mixed
 from .substring_dedup import word_corpus
@@ -498,15 +498,10 @@ def near_dedup(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
-def _whole_hash(df: DataFrame) -> Column:
-    """Orders rows of one doc_id and text that differ elsewhere."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
-
-
 def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, the smallest doc_id's, with its columns unchanged."""
     heads = classes(docs, similarity=similarity).filter(F.col("best") == F.col("class_best"))
     heads = keep(heads.select(F.col("node").alias("head"), F.col("best.doc_id").alias("head_id")).dropDuplicates(["head"]))
-    rows = whole_rows(docs, F.col("doc_id").alias("own_id"), _node(), _whole_hash(docs).alias("tie"))
+    rows = whole_rows(docs, F.col("doc_id").alias("own_id"), _node(), whole_hash(docs).alias("tie"))
     joined = rows.join(heads, (F.col("node") == F.col("head")) & F.col("own_id").eqNullSafe(F.col("head_id")))
     return joined.groupBy("node").agg(F.min_by("row", "tie").alias("row")).select("row.*")
