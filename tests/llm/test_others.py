@@ -128,7 +128,14 @@ def test_line_dedup(spark):
     assert got[1]["kept_text"] == "own 1" and got[1]["n_lines"] == 4 and got[1]["n_dropped"] == 3 and got[None]["n_dropped"] == 1 and got[None]["host"] == "a.com"
     assert got[9]["n_dropped"] == 0 and got[10]["kept_text"] == "x" and got[11]["n_lines"] == 0 and got[10]["host"] == "" and got[12]["n_lines"] == 0
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
-    assert rows(line_dedup.line_dedup(df, broadcast_hashes=0)) == rows(line_dedup.line_dedup(df))
+    assert rows(line_dedup.line_dedup(df, broadcast_bytes=0)) == rows(line_dedup.line_dedup(df))
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<p>" + "</p><p>".join(f"line {i % 7000}" for i in range(60_000)) + "</p>"
+    data = [(1, "http://h/1", long), (2, "http://h/2", "<p>line 5</p>"), (2, "http://h/2", "<p>line 5</p>"), (3, "http://h/3", "<p>line 6</p>")]
+    got = rows(line_dedup.line_dedup(spark.createDataFrame(data, "page_id long, url string, html string")))
+    assert [(r["page_id"], r["n_lines"], r["n_dropped"]) for r in got] == [(1, 60_000, 60_000 // 7000 + 1), (2, 1, 1), (2, 1, 1), (3, 1, 0)]
 
 
 def test_line_ratio_is_strict(spark):
@@ -239,6 +246,19 @@ def test_mixing_meets_targets(spark):
     assert again == got
 
 
+def test_targets_are_met_where_most_rows_are_equal(spark):
+    """60 % of a source are equal rows without id: its sum is still within half of one document."""
+    data = [(None, words(30, 1), "a")] * 240 + [(i, words(20 + i % 9, i), "a") for i in range(160)] + [(1000 + i, words(25, i), "b") for i in range(200)] + [(7, words(10, 3), None)]
+    for frame in (docs_of(spark, data), docs_of(spark, data).repartition(7)):
+        taken, target = Counter(), {}
+        for r in rows(mixing.mix(frame)):
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - target[s]) <= 15 + 1e-6 for s in target)
+        out = Counter(r["source"] for r in mixing.mixed_docs(frame).collect())
+        assert sum(out.values()) == sum(r["copies"] for r in rows(mixing.mix(frame)))
+
+
 def test_larger_budgets_take_supersets(spark):
     df = docs_of(spark, mixture(300))
     small = {r["doc_id"]: r["copies"] for r in rows(mixing.mix(df, total=0.5))}
@@ -277,6 +297,31 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert dict(alone) == dict(zip(ids, sharding.brute_force(positions), strict=True))
 
 
+def test_equal_rows_are_spread_over_the_ring(spark, monkeypatch):
+    data = [(None, "same")] * 6_000 + [(i, words(4, i)) for i in range(500)]
+    got = rows(sharding.shard_rows(docs_of(spark, data).repartition(5)))
+    count = Counter(r["shard"] for r in got)
+    assert len(got) == 6_500 and max(count.values()) - min(count.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(count[s])) for s in range(16))
+    equal = [r for r in got if r["doc_id"] is None]
+    assert len({r["shard"] for r in equal}) == 16 and len(equal) == 6_000
+
+
+def test_one_more_shard_moves_few_rows():
+    """From 16 to 17 equal shards at least 1/17 of the rows must move; overflow at the exact bound moves more."""
+    rng = random.Random(2)
+    positions = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(20_000)]
+    before, after = sharding.brute_force(positions, 16), sharding.brute_force(positions, 17)
+    moved = sum(a != b for a, b in zip(before, after, strict=True)) / len(positions)
+    assert 1 / 17 <= moved < 0.25, moved
+
+
+def test_slots_of_equal_rows_are_the_same_again(spark):
+    data = [(i % 3, "x" if i % 2 else "y", f"s{i}") for i in range(60)]
+    runs = [sorted((r["source"], r["shard"], r["slot"]) for r in sharding.sharded_docs(docs_of(spark, d).repartition(n)).collect()) for d, n in ((data, 2), (data[::-1], 5))]
+    assert runs[0] == runs[1]
+
+
 def test_sharded_docs_keep_columns(spark):
     df = docs_of(spark, [(i, "x") for i in range(40)])
     out = sharding.sharded_docs(df)

@@ -4,12 +4,13 @@ A page's lines are the runs of its html between tags and line ends, trimmed, wit
 are grouped by host; a line's ratio is the number of the host's pages that contain it over the host's
 number of pages.  Lines over `ratio`, on at least `least_pages` pages, are boilerplate and dropped.
 
-Lines are counted by (host, 64-bit hash of the line), once a page, combined before the shuffle.  Each
+Lines are counted by host and line, once a page, combined before the shuffle.  Each
 boilerplate line is on more than `ratio` of its host's pages, so a host has fewer than (mean lines a
 page) / ratio of them: the list that travels to a host's pages is bounded, whatever their number.
 
-Defined results: null html has no lines; a url without a host has the host ''; repeated rows count as
-pages of their own; an empty table gives an empty result; further columns are not read.
+Defined results: null html has no lines; a url without a host has the host ''; repeated rows and ties of
+page_id count as pages of their own; very long pages are cut into lines whole; an empty table gives an empty
+result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ def lines_of(html: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, *, ratio: float, least_pages: int) -> DataFrame:
-    """Per host that has any: host, drop (hashes of its boilerplate lines)."""
+    """Per host that has any: host, drop (its boilerplate lines)."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.array_distinct(lines_of(F.col("html"))).alias("lines"))
     sites = rows.groupBy("host").agg(F.count("*").alias("pages"))
     counted = (
         rows.select("host", F.explode("lines").alias("line"))
-        .groupBy("host", F.xxhash64("line").alias("line"))
+        .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= least_pages)
     )
@@ -47,17 +48,17 @@ def boilerplate(pages: DataFrame, *, ratio: float, least_pages: int) -> DataFram
     )
 
 
-def line_dedup(pages: DataFrame, *, ratio: float = 0.3, least_pages: int = 3, broadcast_hashes: int = 1_000_000) -> DataFrame:
+def line_dedup(pages: DataFrame, *, ratio: float = 0.3, least_pages: int = 3, broadcast_bytes: int = 8_000_000) -> DataFrame:
     """Per page: page_id, host, n_lines, n_dropped, kept_text (lines that stay, one a row)."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
     # written first: counted, it can be broadcast if small; if not, the join's inputs are plain shuffles, of
     # which Spark splits the pages of a hot host over many tasks
     lists = keep(boilerplate(pages, ratio=ratio, least_pages=least_pages))
-    size = lists.agg(F.coalesce(F.sum(F.size("drop") + 4), F.lit(0)).alias("n")).first()["n"]
-    joined = rows.join(F.broadcast(lists) if size <= broadcast_hashes else lists, "host", "left")
-    drop = F.coalesce("drop", F.array().cast("array<bigint>"))
+    size = lists.agg(F.coalesce(F.sum(F.octet_length(F.array_join("drop", " ")) + 16 * F.size("drop")), F.lit(0)).alias("n")).first()["n"]
+    joined = rows.join(F.broadcast(lists) if size <= broadcast_bytes else lists, "host", "left")
+    drop = F.coalesce("drop", F.array().cast("array<string>"))
     joined = joined.select("page_id", "host", lines_of(F.col("html")).alias("lines"), drop.alias("drop"))
-    kept = F.filter("lines", lambda line: ~F.array_contains(F.col("drop"), F.xxhash64(line)))
+    kept = F.filter("lines", lambda line: ~F.array_contains(F.col("drop"), line))
     joined = joined.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return joined.select(
         "page_id",
