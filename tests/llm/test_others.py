@@ -186,11 +186,16 @@ def test_decontamination_equals_brute_force(spark):
     assert spans[0]["start"] == 100 and spans[0]["end"] == 115
 
 
-def test_blocks_of_the_benchmark_find_the_same(spark):
+def test_large_benchmarks_find_the_same(spark, monkeypatch):
+    """Windows joined by a shuffle, and a filter of the largest and the smallest size."""
     docs, items = contamination()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    whole, split = (decontaminate.spans(decontaminate.hits(docs_of(spark, docs), bench, block_rows=n)).drop("text_key") for n in (500_000, 7))
-    assert rows(whole) == rows(split)
+    run = lambda n: rows(decontaminate.spans(*decontaminate.hits(docs_of(spark, docs), bench, broadcast_rows=n)).drop("text_key"))
+    whole = run(500_000)
+    assert run(7) == whole
+    for sizes in ((1, 1), (4096, 4096)):
+        monkeypatch.setattr(decontaminate, "FILTER_WORDS", sizes)
+        assert run(500_000) == whole
 
 
 def test_keep_clean_returns_all_columns(spark):

@@ -2,27 +2,28 @@
 
 Items and documents are folded alike (A-Z lower-cased, words between ASCII breaks).  An item's windows
 are its runs of `n` words, or all of it if it is shorter.  The windows, joined by spaces, form a set;
-a document's windows of the same lengths, where their outer words pass a filter of fixed size, are probed
-against it by a broadcast hash join on the window text itself, so a hit is verified by the equality of the words.  Only hits are shuffled, to be merged
-into spans a document.
-
-The set is broadcast in blocks of at most `block_rows` windows, counted before: a larger benchmark makes
-more blocks, each probed against all documents, never a larger broadcast.
-
-Defined results: null text has no words and no hits; items without words have no windows; an item without id is named by the empty
-text; repeated rows
-of one doc_id and text get the same result each; null doc_id is a key like any other; an empty table or
-benchmark gives no hits; further columns are not read.
+a document's windows of the same lengths, where their outer words pass a filter, are probed against it by a
+hash join on the window text itself, so a hit is verified by the equality of the words.  Documents are read
+and cut into words once, whatever the benchmark's size.  Only hits are shuffled, to be merged into spans a
+document; the items of a window are looked up for hits alone.
+
+The set is broadcast if it has at most `broadcast_rows` windows, counted before; a larger one is joined by a
+shuffle of the windows that pass.  The filter has 16 bits a window, within 8 KB and 512 KB.
+
+Defined results: null text has no words and no hits; items without words have no windows; an item without id
+is named by the empty text; ties and repeated rows of one doc_id and text get the same result each; null
+doc_id is a key like any other; very long texts are cut into windows whole; an empty table or benchmark gives
+no hits; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BREAK_CLASS, fold_case, whole_rows
+from .common import BREAK_CLASS, fold_case, keep, whole_rows
 
 
 def words_of(text: Column) -> Column:
@@ -35,37 +36,41 @@ def count_of(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), breaks), lambda w: w != "")).cast("long")
 
 
-#: Words of the filter: 1,024 of 64 bits, whatever the size of the benchmark.
-FILTER_WORDS = 1024
+#: Least and most words of the filter, of 64 bits.
+FILTER_WORDS = (1024, 65536)
 
 
-def _slot(first: Column, last: Column) -> tuple[Column, Column]:
-    """Word and bit of the filter for a window with these outer words."""
+def _slot(first: Column, last: Column, size: int) -> tuple[Column, Column]:
+    """Word and bit of a filter of `size` words for a window with these outer words."""
     h = F.xxhash64(first, last)
-    return h.bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
+    return h.bitwiseAND(F.lit(size - 1)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
 
 
-def outer_words(grams: DataFrame) -> Column:
-    """A filter of fixed size over the windows' first and last words, as an array of 64-bit numbers.
+def outer_words(grams: DataFrame, n_grams: int) -> tuple[Column, int]:
+    """A filter over the windows' first and last words, as an array of 64-bit numbers, and its size.
 
-    It lets every window of the benchmark pass; a large benchmark only lets more others pass too.
+    It lets every window of the benchmark pass; beyond its largest size more others pass too.
     """
-    word, bit = _slot(F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1))
+    size = FILTER_WORDS[0]
+    while size < FILTER_WORDS[1] and size * 4 < n_grams:
+        size *= 2
+    word, bit = _slot(F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1), size)
     slots = grams.select(word.alias("word"), bit.alias("bit"))
     rows = slots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    masks = {r["word"]: r["mask"] for r in rows.collect()}  # at most FILTER_WORDS rows
-    return F.array(*[F.lit(masks.get(i, 0)).cast("long") for i in range(FILTER_WORDS)])
+    masks = {r["word"]: r["mask"] for r in rows.collect()}  # at most `size` rows
+    # one constant: the optimiser reads the text once
+    return F.from_json(F.lit(json.dumps([masks.get(i, 0) for i in range(size)])), "array<bigint>"), size
 
 
-def _windows(words: Column, length: int, outer: Column | None = None) -> Column:
+def _windows(words: Column, length: int, outer: tuple[Column, int] | None = None) -> Column:
     """Structs of the place and text of all windows of one length, or of those whose outer words pass."""
     last = F.size(words) - length
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     if outer is not None:
 
         def passes(i: Column) -> Column:
-            word, bit = _slot(F.get(words, i), F.get(words, i + (length - 1)))
-            return F.getbit(F.get(outer, word), bit) == 1
+            word, bit = _slot(F.get(words, i), F.get(words, i + (length - 1)), outer[1])
+            return F.getbit(F.get(outer[0], word), bit) == 1
 
         at = F.filter(at, passes)
     return F.transform(
@@ -74,38 +79,36 @@ def _windows(words: Column, length: int, outer: Column | None = None) -> Column:
 
 
 def grams_of(items: DataFrame, n: int) -> DataFrame:
-    """The benchmark's windows: gram, n_gram (its words), items (ids, as text)."""
+    """The benchmark's windows: gram, n_gram (its words), item (an id, as text)."""
     worded = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words"))
     short = F.array(F.struct(F.lit(0).alias("at"), F.array_join("words", " ").alias("gram")))
     size = F.size("words")
-    return (
-        worded.filter(size > 0)
-        .select("item", F.least(size, F.lit(n)).alias("n_gram"), F.explode(F.when(size < n, short).otherwise(_windows(F.col("words"), n))).alias("w"))
-        .groupBy(F.col("w.gram").alias("gram"), "n_gram")
-        .agg(F.collect_set("item").alias("items"))
-    )
+    rows = worded.filter(size > 0).select("item", F.least(size, F.lit(n)).alias("n_gram"), F.explode(F.when(size < n, short).otherwise(_windows(F.col("words"), n))).alias("w"))
+    return rows.select(F.col("w.gram").alias("gram"), "n_gram", "item").distinct()
 
 
 def _key(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
 
 
-def hits(docs: DataFrame, items: DataFrame, *, n: int = 13, block_rows: int = 500_000) -> DataFrame:
-    """doc_id, text_key, at, n_gram, items of every window of docs that the benchmark has."""
-    grams = grams_of(items, n)
+def hits(docs: DataFrame, items: DataFrame, *, n: int = 13, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, at, n_gram, gram of every window of docs that the benchmark has; grams of items)."""
+    named = keep(grams_of(items, n))
+    grams = named.select("gram", "n_gram").distinct()
     facts = grams.groupBy("n_gram").agg(F.count("*").alias("n")).collect()  # at most n rows
-    blocks = -(-sum(r["n"] for r in facts) // block_rows) or 1
+    total = sum(r["n"] for r in facts)
     words = docs.select(*_key(docs), words_of(F.col("text")).alias("words"))
-    outer = outer_words(grams)
+    outer = outer_words(grams, total)
     windows = F.concat(*[_windows(F.col("words"), r["n_gram"], outer) for r in facts]) if facts else _windows(F.col("words"), n, outer)
     probed = words.select("doc_id", "text_key", F.explode(windows).alias("w")).select("doc_id", "text_key", "w.at", "w.gram")
-    parts = [grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b) if blocks > 1 else grams for b in range(blocks)]
-    found = [probed.join(F.broadcast(part), "gram") for part in parts]
-    return reduce(DataFrame.unionByName, found).select("doc_id", "text_key", "at", "n_gram", "items")
+    found = probed.join(F.broadcast(grams) if total <= broadcast_rows else grams, "gram")
+    return keep(found.select("doc_id", "text_key", "at", "n_gram", "gram")), named
 
 
-def spans(hit_rows: DataFrame) -> DataFrame:
+def spans(hit_rows: DataFrame, named: DataFrame) -> DataFrame:
     """Per document with hits: merged spans [start, end) of words, n_hit, found (item ids, sorted as text)."""
+    which = hit_rows.select("doc_id", "text_key", "gram").distinct().join(named.select("gram", "item"), "gram")
+    which = which.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.array_sort(F.collect_set("item")).alias("found"))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct(F.col("at"), (F.col("at") + F.col("n_gram")).alias("end")))),
         F.array().cast("array<struct<start:int,end:int>>"),
@@ -117,11 +120,10 @@ def spans(hit_rows: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(done, F.array(F.struct(w["at"].alias("start"), w["end"].alias("end"))))),
     )
-    return (
-        hit_rows.groupBy("doc_id", "text_key")
-        .agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"))
-        .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"])))
-    )
+    whole = hit_rows.groupBy("doc_id", "text_key").agg(merged.alias("spans"))
+    joined = whole.join(which, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return joined.select("doc_id", "text_key", "spans", "found", n_hit.alias("n_hit"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int = 20) -> DataFrame:
@@ -130,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int
     contaminated: at least one word in `share` is covered by benchmark windows.
     """
     counted = docs.select(*_key(docs), count_of(F.col("text")).alias("n_words")).alias("d")
-    marked = spans(hits(docs, items, n=n)).alias("h")
+    marked = spans(*hits(docs, items, n=n)).alias("h")
     joined = counted.join(
         marked, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left"
     )
@@ -148,7 +150,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int = 20) -> DataFrame:
     """The rows of docs that are not contaminated, with their columns unchanged."""
-    marked = spans(hits(docs, items, n=n)).alias("h")
+    marked = spans(*hits(docs, items, n=n)).alias("h")
     rows = whole_rows(docs, *_key(docs)).alias("d")
     joined = rows.join(
         marked, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left"
