@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import odds, stats, text
-from .operators import anomalies, breakdown, concentration, findings, legs as leg_ops, money, players, prices, quality, sharp, timing
+from .operators import anomalies, breakdown, concentration, findings, legs as leg_ops, money, players, prices, quality, reconcile, sharp, timing
 from .sources.staged import staged
 from .sources.standin import raw_legs
+from .sources.standin_feeds import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +27,7 @@ RAW_COLUMNS = (
 
 
 def _staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    return staged(spark, name, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders")], build)
+    return staged(spark, name, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")], build)
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +314,33 @@ def single_pass_query(spark, sf_dir):
     return _doubles(rows.groupBy("dimension").agg(F.countDistinct("key").alias("n_keys"), F.sum("legs").alias("legs"), F.sum("turnover").alias("turnover"), F.max("legs").alias("largest")))
 
 
+def reconciled(spark, sf_dir):
+    return reconcile.reconcile(*feeds(spark, sf_dir))
+
+
+def rec_score(spark, sf_dir):
+    flat = [F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("value", "alpha", "beta", "alpha_tally", "beta_tally") for k in ("home", "away")]
+    return reconcile.reconcile_score(*feeds(spark, sf_dir)).select("match_ref", "agreement", "chosen", "basis", *flat)
+
+
+def rec_canonical(spark, sf_dir):
+    """Of each nested record, how many parts it has and how many of them refer to a review."""
+    rows = reconcile.canonical(reconciled(spark, sf_dir))
+    referred = [F.size(F.filter(name, lambda x: x["review_ref"].isNotNull())).alias(f"{name}_to_review") for name in ("teams", "players", "markets", "stats")]
+    return rows.select("match_ref", *[F.size(name).alias(name) for name in ("teams", "players", "markets", "stats", "reviews")], *referred, F.col("score.review_ref").isNotNull().alias("score_to_review"), F.col("kickoff_review_ref").isNotNull().alias("kickoff_to_review"))
+
+
 QUERIES: dict[str, Query] = {
+    "rec_teams": lambda s, d: reconciled(s, d).teams,
+    "rec_candidates": lambda s, d: (lambda f: reconcile.candidates(*f, reconcile.match_teams(*f)))(feeds(s, d)),
+    "rec_players": lambda s, d: reconciled(s, d).players,
+    "rec_markets": lambda s, d: reconciled(s, d).markets.withColumn("place", F.col("place").cast("int")),
+    "rec_score": rec_score,
+    "rec_match": lambda s, d: reconcile.reconcile_match(*feeds(s, d)),
+    "rec_stats": lambda s, d: reconciled(s, d).stats,
+    "rec_reviews": lambda s, d: reconciled(s, d).reviews.select("match_ref", "review_id", "category", "entity_type", "entity_ref", "severity", "reason", "suggested_action", "alpha_id", "beta_id", "resolution", "target"),
+    "rec_summary": lambda s, d: reconcile.summary(reconciled(s, d)),
+    "rec_canonical": rec_canonical,
     "universe": lambda s, d: leg_ops.universe(legs(s, d)),
     "dedup_funnel": lambda s, d: leg_ops.dedup_funnel(tagged(s, d)),
     "cross_source_overlap": lambda s, d: leg_ops.cross_source_overlap(tagged(s, d)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle_feeds
 from .config import PHASES
 
 ORDER = "placed_at, row_key, version, ggr"
@@ -329,3 +330,5 @@ SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS
       SELECT count(*) AS legs, count(*) FILTER (bet_type = 'SIMPLE') / count(*) AS simple_share, count(*) FILTER (currency = 'EUR') / count(currency) AS eur_share, count(*) FILTER (currency = 'PEN') / count(currency) AS pen_share,
         count(*) FILTER (event_kind = 'reversal') AS reversals, count(*) FILTER (event_kind = 'reversal' AND ggr <> turnover) AS odd_reversals, any_value(m) AS median_legs_per_uid FROM log, u""",
 }
+
+SQL |= oracle_feeds.SQL

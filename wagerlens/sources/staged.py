@@ -8,6 +8,7 @@ its input files are the same (names, sizes and times); a changed input makes a n
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -15,15 +16,17 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _known: dict[tuple, tuple[str, object]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share; one of our own only in local mode, where the cluster names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("spark.wagerlens.scratch", None)
         if not folder:
             own = tempfile.mkdtemp(prefix="wagerlens-")
@@ -35,14 +38,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def state_of(spark: SparkSession, paths: list[str]) -> int:
-    """A number for the files under paths; reads their names, sizes and times only."""
-    total = 0
+def state_of(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files under paths: names, sizes and times, as the file system lists them."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
     for path in paths:
-        files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-        row = files.distinct().agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
-        total += int(row[0] or 0)
-    return total
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(conf).listFiles(at, True)
+        while files.hasNext():
+            file = files.next()
+            found.append(f"{file.getPath()} {file.getLen()} {file.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder once and read back: its readers don't derive it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def staged(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame], *, cluster_by: str | None = None) -> DataFrame:
