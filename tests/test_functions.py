@@ -82,7 +82,7 @@ def test_clock(spark):
 @given(st.integers(0, 60), st.integers(1, 60), st.floats(0.05, 0.95))
 def test_upper_tail_is_a_sum_of_terms(k, n, p):
     wanted = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)) if k <= n else 0.0
-    assert stats.upper_tail(k, n, p) == pytest.approx(min(1.0, wanted), abs=1e-9)
+    assert stats.upper_tails([k], [n], [p])[0] == pytest.approx(min(1.0, wanted), abs=1e-9)
 
 
 def test_native_tail_and_wilson(spark):

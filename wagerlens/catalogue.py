@@ -182,7 +182,7 @@ def sharp_scores(spark, sf_dir):
 
 def sharp_flags(spark, sf_dir):
     rows = sharp.score(priced(spark, sf_dir), q=0.9)
-    return rows.select("uid", F.round("p_value", 9).alias("p_value"), "fdr_pass", "flagged")
+    return rows.select("uid", F.round("p_value", 8).alias("p_value"), "fdr_pass", "flagged")
 
 
 def sharp_report(spark, sf_dir):
@@ -197,9 +197,7 @@ def wilson(spark, sf_dir):
 
 def binomial_tail(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("hits"))
-    rows = rows.filter("n <= 200")
-    native = stats.binomial_tail_native(F.col("hits"), F.col("n"), F.lit(0.2))
-    return rows.select("user_id", "n", "hits", F.round(stats.binomial_upper_tail("hits", "n", F.lit(0.2)), 9).alias("p_value"), F.round(native, 9).alias("p_folded"))
+    return rows.select("user_id", "n", "hits", F.round(stats.binomial_upper_tail("hits", "n", F.lit(0.2)), 9).alias("p_value"))
 
 
 def bh_fdr(spark, sf_dir):
@@ -227,9 +225,9 @@ def truncation_report(spark, sf_dir):
 
 def normalise_text(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = rows.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("word")).filter("word <> ''").filter(F.col("word").rlike("^[A-Za-zÀ-ÖØ-öø-ÿ]+$"))
-    folded = text.fold_name(F.col("word"))
-    return words.groupBy("doc_id").agg(F.countDistinct(folded).alias("names"), F.min(folded).alias("first_name"), F.max(folded).alias("last_name"), F.count("*").alias("n"))
+    words = rows.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("word"))
+    folded = text.fold_name(F.when(F.col("word") != "", F.col("word")))
+    return words.groupBy("doc_id").agg(F.countDistinct(folded).alias("names"), F.min(folded).alias("first_name"), F.max(folded).alias("last_name"), F.count(folded).alias("n"))
 
 
 def management_units(spark, sf_dir):

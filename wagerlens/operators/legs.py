@@ -12,6 +12,9 @@ from ..functions import clock, text
 
 ORDER = ("placed_at", "row_key", "version", "ggr")
 
+#: Columns that a fingerprint covers.
+FACTS = ("row_key", "version", "event_kind", "uid", "bet_type", "match_id", "market", "player", "selection", "management_unit", "fixture", "competition", "currency", "price", "turnover", "ggr", "net_revenue")
+
 #: Columns whose identity a later version may not change.
 IMMUTABLE = ("uid", "placed_at", "event_at", "bet_type", "match_id", "market", "player", "selection", "currency", "price", "turnover")
 
@@ -50,13 +53,18 @@ def enrich(legs: DataFrame) -> DataFrame:
 
 
 def betslips(legs: DataFrame) -> DataFrame:
-    """One row a betslip: its first leg's facts, its legs counted, its stake once."""
-    facts = ["uid", "placed_at", "bet_type", "region", "currency", "turnover", "ggr", "net_revenue", "uid_format"]
-    first = F.min_by(F.struct(*facts), F.struct(*ORDER))
+    """One row a betslip: its first leg's facts, its legs counted, its stake once.
+
+    Currency and amounts are those of the first leg that has one: a null on an earlier leg hides nothing.
+    """
+    first = F.min_by(F.struct("uid", "placed_at", "bet_type", "region", "uid_format"), F.struct(*ORDER))
+    known = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*ORDER))).alias(c) for c in ("currency", "turnover", "ggr", "net_revenue")]
     grouped = legs.groupBy("betslip_id").agg(
-        first.alias("first"), F.count("*").alias("legs"), F.bool_or("had_key_collision").alias("had_key_collision")
+        first.alias("first"), *known, F.count("*").alias("legs"), F.bool_or("had_key_collision").alias("had_key_collision")
+    )
+    return grouped.select(
+        "betslip_id", "first.uid", "first.placed_at", "first.bet_type", "first.region", "currency", "turnover", "ggr", "net_revenue", "first.uid_format", "legs", "had_key_collision"
     )
-    return grouped.select("betslip_id", "first.*", "legs", "had_key_collision")
 
 
 def drop_repeats(legs: DataFrame, tag: str = "source_file") -> DataFrame:
@@ -81,7 +89,7 @@ def cross_source_overlap(legs: DataFrame, tag: str = "source_file") -> DataFrame
     return shared.agg(F.count_if("shared").alias("overlap"))
 
 
-def _newest() -> Column:
+def newest() -> Column:
     """Orders the versions of one identity; equal versions by kind of event, then by their facts."""
     kind = F.coalesce(F.array_position(F.array(*map(F.lit, ("placement", "settlement", "reversal"))), F.col("event_kind")), F.lit(0)).cast("int")
     return F.struct(F.col("version"), kind, F.col("ggr"), F.col("net_revenue"))
@@ -93,7 +101,7 @@ def collapse(log: DataFrame) -> DataFrame:
     A partial aggregation before the shuffle; identities with many versions are combined there.
     """
     rest = [c for c in log.columns if c != "row_key"]
-    return log.groupBy("row_key").agg(F.max_by(F.struct(*rest), _newest()).alias("now")).select("row_key", "now.*")
+    return log.groupBy("row_key").agg(F.max_by(F.struct(*rest), newest()).alias("now")).select("row_key", "now.*")
 
 
 def immutable_conflicts(log: DataFrame) -> DataFrame:
@@ -116,10 +124,13 @@ def stream_position(log: DataFrame) -> DataFrame:
 
 
 def fingerprint(log: DataFrame) -> DataFrame:
-    """Rows of the collapsed log and a sum of their hashes, whatever their order."""
-    facts = F.concat_ws("|", "row_key", F.col("version").cast("string"), F.col("ggr").cast("string"), F.col("net_revenue").cast("string"))
-    digest = F.conv(F.substring(F.md5(facts.cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
-    return collapse(log).agg(F.count("*").alias("n_rows"), F.sum(digest).cast("double").alias("digest"))
+    """Rows of the collapsed log and the exact sum of their hashes, as text, whatever their order.
+
+    A hash covers the identity, the version and every fact that a version may bring.
+    """
+    facts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FACTS]
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *facts).cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)")
+    return collapse(log).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("digest"))
 
 
 def universe(legs: DataFrame) -> DataFrame:

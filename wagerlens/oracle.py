@@ -10,7 +10,7 @@ ORDER = "placed_at, row_key, version, ggr"
 #: raw: the tables as legs.
 RAW = r"""
 raw0 AS (
-  SELECT (o_custkey % 50)::VARCHAR AS uid, o_orderdate::TIMESTAMP AS placed_at,
+  SELECT (CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 50 ELSE o_custkey END)::VARCHAR AS uid, o_orderdate::TIMESTAMP AS placed_at,
          o_orderdate::TIMESTAMP + to_minutes(((l_partkey * 37 + l_suppkey * 11 + l_linenumber) % 12000 - 600)::BIGINT) AS event_at,
          CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'SIMPLE' ELSE 'COMBINED' END AS bet_type,
          l_suppkey::BIGINT AS match_id, s_name AS fixture, p_brand AS competition, p_type AS market, r_name AS player,
@@ -43,9 +43,10 @@ legs AS (
          CASE WHEN bet_type = 'SIMPLE' THEN base_id || '#' || (row_number() OVER (PARTITION BY base_id, bet_type ORDER BY placed_at, row_key, version, ggr) - 1) ELSE base_id END AS betslip_id
   FROM legs0),
 slips AS (
-  SELECT betslip_id, f.* FROM (
-    SELECT betslip_id, unnest([first({'uid': uid, 'placed_at': placed_at, 'bet_type': bet_type, 'region': region, 'currency': currency, 'turnover': turnover, 'ggr': ggr,
-                      'net_revenue': net_revenue, 'uid_format': uid_format} ORDER BY placed_at, row_key, version, ggr)]) AS f
+  SELECT betslip_id, f.*, currency, turnover, ggr, net_revenue FROM (
+    SELECT betslip_id, unnest([first({'uid': uid, 'placed_at': placed_at, 'bet_type': bet_type, 'region': region, 'uid_format': uid_format} ORDER BY placed_at, row_key, version, ggr)]) AS f,
+           first(currency ORDER BY placed_at, row_key, version, ggr) FILTER (currency IS NOT NULL) AS currency, first(turnover ORDER BY placed_at, row_key, version, ggr) AS turnover,
+           first(ggr ORDER BY placed_at, row_key, version, ggr) AS ggr, first(net_revenue ORDER BY placed_at, row_key, version, ggr) AS net_revenue
     FROM legs GROUP BY betslip_id)),
 counted AS (SELECT betslip_id, count(*) AS legs, bool_or(had_key_collision) AS had_key_collision FROM legs GROUP BY betslip_id),
 betslips AS (SELECT slips.*, counted.legs, counted.had_key_collision FROM slips JOIN counted USING (betslip_id))"""
@@ -282,9 +283,9 @@ SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS
     "sharp_scores": f"""WITH {UNITS} SELECT uid, priced_units, beats, beat_rate, round(wilson_lb, 9) AS wilson_lb, round((rank() OVER (ORDER BY wilson_lb) + (count(*) OVER (PARTITION BY wilson_lb) - 1) / 2) / count(*) OVER () * 100, 1) AS score FROM scored""",
     "wilson": """WITH r AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS hits FROM lineitem GROUP BY 1)
       SELECT l_suppkey, n, hits, round(greatest(least((hits / n + 1.96::DOUBLE * 1.96 / (2 * n) - 1.96::DOUBLE * sqrt((hits / n) * (1 - hits / n) / n + 1.96::DOUBLE * 1.96 / (4.0 * n * n))) / (1 + 1.96::DOUBLE * 1.96 / n), 1.0), 0.0), 9) AS lower_bound FROM r""",
-    "binomial_tail": """WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS hits FROM events GROUP BY 1 HAVING count(*) <= 200),
+    "binomial_tail": """WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS hits FROM events GROUP BY 1),
       t AS (SELECT user_id, n, hits, CASE WHEN hits <= 0 THEN 1.0::DOUBLE ELSE least(1.0, list_sum(list_transform(range(hits, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.2::DOUBLE) + (n - k) * ln(0.8::DOUBLE))))) END AS p FROM r)
-      SELECT user_id, n, hits, round(p, 9) AS p_value, round(p, 9) AS p_folded FROM t""",
+      SELECT user_id, n, hits, round(p, 9) AS p_value FROM t""",
     "bh_fdr": """WITH r AS (SELECT p_partkey, (p_partkey * 7919 % 10007) / 10007.0::DOUBLE * ((p_partkey % 5) / 5.0::DOUBLE) AS p FROM part),
       k AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM r), l AS (SELECT max(p) AS lim FROM k WHERE p <= 0.25::DOUBLE * i / n) SELECT p_partkey, coalesce(p <= (SELECT lim FROM l), false) AS fdr_pass FROM r""",
     "collapse_current": f"WITH {LOG} SELECT currency, event_kind, count(*) AS legs, sum(turnover)::DOUBLE AS turnover, sum(ggr)::DOUBLE AS ggr, sum(net_revenue)::DOUBLE AS net_revenue, max(version) AS position FROM now GROUP BY 1, 2",
@@ -292,11 +293,11 @@ SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS
       CASE WHEN count(DISTINCT event_at) > 1 THEN 'event_at' END, CASE WHEN count(DISTINCT currency) > 1 OR count(currency) BETWEEN 1 AND count(*) - 1 THEN 'currency' END, CASE WHEN count(DISTINCT turnover) > 1 THEN 'turnover' END) AS changed FROM log GROUP BY 1)
       SELECT * FROM k WHERE changed <> ''""",
     "stream_position": f"WITH {LOG} SELECT max(version) AS position, count(*) AS rows_stored, count(DISTINCT row_key) AS identities, count(*) - count(DISTINCT row_key) AS pending_supersedence FROM log",
-    "fingerprint": f"""WITH {LOG} SELECT count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', row_key, version::VARCHAR, ggr::VARCHAR, net_revenue::VARCHAR)), 1, 12))::BIGINT::HUGEINT)::DOUBLE AS digest FROM now""",
+    "fingerprint": f"""WITH {LOG} SELECT count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', row_key, version::VARCHAR, event_kind, uid, bet_type, match_id::VARCHAR, market, player, selection, management_unit, fixture, competition, coalesce(currency, ''), price::VARCHAR, turnover::VARCHAR, ggr::VARCHAR, net_revenue::VARCHAR)), 1, 12))::BIGINT::HUGEINT)::VARCHAR AS digest FROM now""",
     "truncation_report": f"""WITH {CLUSTERS}, s AS (SELECT * FROM clusters ORDER BY cluster_size DESC, legs DESC, uid, placed_at LIMIT 50)
       SELECT count(*) AS total, sum(cluster_size)::BIGINT AS total_bets, (SELECT count(*) FROM s) AS shipped, (SELECT sum(cluster_size)::BIGINT FROM s) AS shipped_bets, count(*) - (SELECT count(*) FROM s) AS omitted FROM clusters""",
-    "normalise_text": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\s+')) AS word FROM documents), f AS (SELECT doc_id, {FOLD.format("word")} AS name FROM w WHERE regexp_full_match(word, '[A-Za-zÀ-ÖØ-öø-ÿ]+'))
-      SELECT doc_id, count(DISTINCT name) AS names, min(name) AS first_name, max(name) AS last_name, count(*) AS n FROM f GROUP BY 1""",
+    "normalise_text": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+')) AS word FROM documents), f AS (SELECT doc_id, CASE WHEN word <> '' THEN {FOLD.format("word")} END AS name FROM w)
+      SELECT doc_id, count(DISTINCT name) AS names, min(name) AS first_name, max(name) AS last_name, count(name) AS n FROM f GROUP BY 1""",
     "management_units": """WITH u AS (SELECT n_nationkey, unnest(['RETABET ' || n_name, ' reta ' || lower(n_name), n_name || ' RETA', 'C. La Mancha', '  ']) AS unit FROM nation),
       c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(upper(strip_accents(trim(unit))), '^RETABET ', ''), '^RETA ', ''), ' RETA$', '') AS r FROM u)
       SELECT n_nationkey, unit, CASE WHEN r = '' THEN 'UNKNOWN' WHEN r = 'C. LA MANCHA' THEN 'CASTILLA LA MANCHA' ELSE r END AS region, contains(upper(unit), 'RETA') AS is_brand FROM c""",
@@ -331,4 +332,30 @@ SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS
         count(*) FILTER (event_kind = 'reversal') AS reversals, count(*) FILTER (event_kind = 'reversal' AND ggr <> turnover) AS odd_reversals, any_value(m) AS median_legs_per_uid FROM log, u""",
 }
 
+
+def _flagged(q: str) -> str:
+    """scored with p-values, the Benjamini-Hochberg mask at q, and flags; tails summed in the log domain."""
+    return UNITS + f""",
+base AS (SELECT count(*) FILTER (beat) / count(*) AS b FROM units),
+tested AS (
+  SELECT scored.*, CASE WHEN priced_units >= 20 THEN round(CASE WHEN beats <= 0 THEN 1.0::DOUBLE ELSE least(1.0, list_sum(list_transform(range(beats, priced_units + 1),
+    lambda k: exp(lgamma(priced_units + 1) - lgamma(k + 1) - lgamma(priced_units - k + 1) + k * ln(b) + (priced_units - k) * ln(1 - b))))) END, 12) END AS p_value FROM scored, base),
+limits AS (SELECT max(p_value) AS p_limit FROM (SELECT p_value, rank() OVER (ORDER BY p_value) + count(*) OVER (PARTITION BY p_value) - 1 AS i, count(*) OVER () AS n FROM tested WHERE p_value IS NOT NULL) WHERE p_value <= {q}::DOUBLE * i / n),
+flags AS (SELECT tested.*, coalesce(p_value <= p_limit, false) AS fdr_pass, coalesce(p_value <= p_limit, false) AND coalesce(swv > 0, false) AS flagged FROM tested, limits)"""
+
+
+SQL |= {
+    "sharp_flags": f"WITH {_flagged('0.9')} SELECT uid, round(p_value, 8) AS p_value, fdr_pass, flagged FROM flags",
+    "sharp_report": f"""WITH {_flagged('0.1')} SELECT count(*) AS scored_windows, count(*) FILTER (priced_units >= 20) AS flag_eligible_windows, count(*) FILTER (flagged) AS flagged_windows, count(*) FILTER (p_value <= 0.05) AS flags_under_raw_alpha,
+      round_even(count(*) * 0.10, 0)::BIGINT AS flags_under_top_decile, count(*) FILTER (multi_currency) AS multi_currency_windows, median(priced_units)::DOUBLE AS median_units_per_window, (0.1 * count(*) FILTER (flagged))::DOUBLE AS expected_false_discoveries,
+      (SELECT count(*) FROM units) AS scoring_units_total, (SELECT sum(legs)::BIGINT FROM units) AS legs_in_scope FROM flags""",
+    "lorenz_points": f"""WITH {POPULATIONS}, steps AS (SELECT *, sum(v) OVER (PARTITION BY population ORDER BY r ROWS UNBOUNDED PRECEDING) AS upto FROM ranked WHERE n >= 2 AND total > 0),
+      grid AS (SELECT DISTINCT population, n, total, unnest(range(0, 101)) AS i FROM steps)
+      SELECT g.population, g.i AS point, round(g.i / 100, 4) AS p, round(CASE WHEN g.i = 0 THEN 0.0 ELSE ((s.upto - s.v)::DOUBLE + s.v::DOUBLE * (g.i / 100 * g.n - (s.r - 1))) / g.total::DOUBLE END, 6) AS share
+      FROM grid g LEFT JOIN steps s ON s.population = g.population AND s.r = CASE WHEN g.i = 0 THEN 1 ELSE (g.i * g.n + 99) // 100 END""",
+    "alert_counts": f"""WITH {_flagged('0.1')}, {SPIKES}, {EXPOSURE}, {BACKING},
+      pairs AS (SELECT 'sharp' AS section, 'critical' AS severity, count(*) AS alerts FROM flags WHERE flagged UNION ALL SELECT 'exposure', 'serious', count(*) FROM exposure UNION ALL SELECT 'spikes', 'warning', count(*) FROM spikes
+        UNION ALL SELECT 'clusters', 'signature', count(*) FROM (SELECT DISTINCT uid, placed_at FROM legs WHERE had_key_collision) UNION ALL SELECT 'repeat_backing', 'signature', count(*) FROM backing)
+      SELECT * FROM pairs WHERE alerts > 0""",
+}
 SQL |= oracle_feeds.SQL

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -34,10 +35,12 @@ def write_events(events: DataFrame, target: str, *, brokers: str = "", topic: st
         raise ValueError(f"unknown sink: {target!r}")
 
 
-def append_log(legs: DataFrame, path: str) -> None:
-    """Append versions to the log, partitioned by the month of placed_at, sorted for its row groups' statistics."""
-    rows = legs.withColumn("placed_month", F.date_format("placed_at", "yyyy-MM"))
-    rows.sortWithinPartitions("placed_month", "placed_at", "row_key").write.mode("append").partitionBy("placed_month").parquet(path)
+def append_log(legs: DataFrame, path: str, *, batch: str | None = None) -> None:
+    """Append versions to the log, partitioned by the month of placed_at and by batch, sorted for its row groups'
+    statistics.  A batch that is written again replaces itself."""
+    rows = legs.withColumn("placed_month", F.date_format("placed_at", "yyyy-MM")).withColumn("batch", F.lit(batch or f"append-{uuid.uuid4().hex}"))
+    writer = rows.sortWithinPartitions("placed_month", "placed_at", "row_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("placed_month", "batch").parquet(path)
 
 
 def file_counts(table: DataFrame) -> DataFrame:
@@ -46,13 +49,23 @@ def file_counts(table: DataFrame) -> DataFrame:
 
 
 def compact_month(spark, path: str, month: str, collapse) -> None:
-    """Rewrite one sealed month with the current version of each identity."""
-    rows = spark.read.parquet(path).filter(F.col("placed_month") == month)
-    staged = f"{path.rstrip('/')}__compact_{month}"
-    collapse(rows).write.mode("overwrite").parquet(staged)
-    fresh = spark.read.parquet(staged)
-    target = f"{path.rstrip('/')}/placed_month={month}"
-    fresh.drop("placed_month").write.mode("overwrite").parquet(target)
+    """Rewrite one sealed month with the current version of each identity.
+
+    The collapsed rows appear beside the old ones by one rename, and the old batches go afterwards.  A reader
+    meanwhile, or after a crash between, sees some versions twice, which collapse to the same state; it never
+    sees a hole.
+    """
+    files = spark._jvm.org.apache.hadoop.fs
+    folder = files.Path(f"{path.rstrip('/')}/placed_month={month}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(folder)]
+    name = f"batch=compact-{uuid.uuid4().hex}"
+    aside = f"{path.rstrip('/')}/_compacting/{name}"
+    collapse(spark.read.parquet(path).filter(F.col("placed_month") == month)).drop("placed_month", "batch").write.parquet(aside)
+    if not fs.rename(files.Path(aside), files.Path(folder, name)):
+        raise OSError(f"could not move {aside}")
+    for batch in old:
+        fs.delete(batch, True)
 
 
 def write_json(value, path: str | Path, *, compact: bool = False) -> None:

@@ -48,7 +48,8 @@ def raw_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turnover = F.col("o_totalprice").cast("decimal(18,2)")
     margin = F.col("l_tax").cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
     legs = rows.select(
-        (F.col("o_custkey") % 50).cast("string").alias("uid"),
+        # a third of the customers share fifty Uids, the others are Uids of their own
+        F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey") % 50).otherwise(F.col("o_custkey")).cast("string").alias("uid"),
         placed.alias("placed_at"),
         F.timestamp_micros(F.unix_micros(placed) + minutes * 60_000_000).alias("event_at"),
         F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "SIMPLE").otherwise("COMBINED").alias("bet_type"),

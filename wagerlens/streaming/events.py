@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.clock import minutes_between
 from ..functions.text import management_unit, market
+from ..operators.legs import newest
+from ..sources.sinks import append_log
 from ..sources.standin import row_key
 
 EVENT = (
@@ -56,11 +60,11 @@ def canonicalise(events: DataFrame) -> DataFrame:
 
 
 def ingest(events: DataFrame, path: str, checkpoint: str, *, drain: bool = True, every: str = "500 milliseconds") -> StreamingQuery:
-    """Append canonical events to the log.  Each batch has its own folder, overwritten if it is repeated, so
-    that a batch that ran twice is in the log once; the checkpoint advances after the write."""
+    """Append canonical events to the log, by month.  Each batch has its own folders there, overwritten if it is
+    repeated, so that a batch that ran twice is in the log once; the checkpoint advances after the write."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        append_log(batch, path, batch=f"stream-{batch_id}")
 
     writer = canonicalise(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
@@ -68,27 +72,30 @@ def ingest(events: DataFrame, path: str, checkpoint: str, *, drain: bool = True,
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch")
+    return spark.read.parquet(path).drop("batch", "placed_month")
 
 
 def latest_state(events: DataFrame) -> DataFrame:
     """The collapsed state as a streaming aggregation, for sinks in complete or update mode."""
     rows = canonicalise(events).drop("placed_month")
     rest = [c for c in rows.columns if c != "row_key"]
-    order = F.struct("version", "event_kind", "ggr", "net_revenue")
-    return rows.groupBy("row_key").agg(F.max_by(F.struct(*rest), order).alias("now")).select("row_key", "now.*")
+    return rows.groupBy("row_key").agg(F.max_by(F.struct(*rest), newest()).alias("now")).select("row_key", "now.*")
 
 
 def lag(progress: dict) -> dict[str, int]:
-    """Records behind, by source, of a query's progress, where offsets are numbers by topic and partition."""
-    out = {}
-    for source in progress.get("sources", []):
-        latest, done = source.get("latestOffset") or {}, source.get("endOffset") or {}
-        if isinstance(latest, dict) and isinstance(done, dict):
-            out[source.get("description", "")] = sum(
-                int(v) - int((done.get(topic) or {}).get(part, 0)) for topic, parts in latest.items() for part, v in parts.items()
-            )
-    return out
+    """How far a query is behind its sources: records where offsets are numbers by topic and partition, batches
+    of files where they are one number."""
+
+    def ahead(latest, done) -> int:
+        if isinstance(latest, dict):
+            done = done if isinstance(done, dict) else {}
+            return sum(ahead(v, done.get(k)) for k, v in latest.items())
+        return int(latest) - int(done or 0) if isinstance(latest, (int, float)) else 0
+
+    def read(offset):
+        return json.loads(offset) if isinstance(offset, str) and offset else offset or {}
+
+    return {s.get("description", ""): ahead(read(s.get("latestOffset")), read(s.get("endOffset"))) for s in progress.get("sources", [])}
 
 
 # ---- generated events ----------------------------------------------------------------------------
@@ -109,7 +116,7 @@ def pick(share: Column, entries: list[tuple[str, float]]) -> Column:
     return out.otherwise(F.lit(entries[-1][0]))
 
 
-def generate(spark: SparkSession, n: int, *, seed: int = 7, start_ms: int = 1_750_000_000_000, reversal_share: float = 0.03, duplicate_share: float = 0.02) -> DataFrame:
+def generate(spark: SparkSession, n: int, *, seed: int = 7, start_ms: int = 1_750_000_000_000, reversal_share: float = 0.03, duplicate_share: float = 0.02, regions: tuple[tuple[str, float], ...] = (("EUSKADI", 4), ("MADRID", 3), ("CATALUNYA", 1))) -> DataFrame:
     """n placements with repeats and later reversals; the same rows for the same seed, on any cluster.
 
     Uids follow a power law over a pool of n / 10, stakes are log-normal (Box-Muller over hashes).  A
@@ -131,7 +138,7 @@ def generate(spark: SparkSession, n: int, *, seed: int = 7, start_ms: int = 1_75
         pick(u("bt"), [("SIMPLE", 0.78), ("COMBINED", 0.22)]).alias("bet_type"), match.cast("long").alias("match_id"),
         F.concat(F.lit("Fixture "), match.cast("string")).alias("fixture"), F.concat(F.lit("League "), F.pmod(match, F.lit(56)).cast("string")).alias("competition"),
         market_name.alias("market"), F.concat(F.lit("Player "), F.floor(u("p") * 30).cast("string")).alias("player"),
-        pick(u("s"), [("1", 4), ("X", 2), ("2", 3)]).alias("selection"), pick(u("r"), [("RETABET EUSKADI", 4), ("MADRID", 3), ("CATALUNYA RETA", 1)]).alias("region"),
+        pick(u("s"), [("1", 4), ("X", 2), ("2", 3)]).alias("selection"), pick(u("r"), list(regions)).alias("region"),
         currency.alias("currency"), F.round(1.01 + F.pow(u("pr"), F.lit(3.0)) * 20, 3).alias("price"), turnover.alias("turnover"),
         F.round(F.when(u("w") < 0.45, -turnover * u("pr")).otherwise(turnover), 2).alias("ggr"),
         F.lit("placement").alias("event_kind"), F.lit("generator").alias("source"), (placed > kickoff).cast("int").alias("is_inplay"),
