@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wagerlens.llm import exact_dedup, near_dedup, pieces, queries, substring_dedup, suffix_dedup
+from wagerlens.llm import common, exact_dedup, near_dedup, pieces, queries, substring_dedup, suffix_dedup
 from wagerlens.llm.components import components
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -182,10 +182,10 @@ def test_index_probes_older_runs_and_compacts_levels(spark):
 def test_filters_pass_what_they_were_built_of_and_little_else(spark):
     digests = lambda low, high: spark.range(low, high).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
     n = 5_000
-    rows = n * 16 // exact_dedup.ROW_BITS + 1
-    bits = exact_dedup.filter_of(digests(0, n), rows)
-    assert exact_dedup.passing(digests(0, n), bits, rows).count() == n
-    assert exact_dedup.passing(digests(n, 3 * n), bits, rows).count() < 0.1 * 2 * n
+    rows = common.bitmap_rows(n)
+    bits = common.bitmap_of(digests(0, n), "digest", rows)
+    assert common.in_bitmap(digests(0, n), "digest", bits, rows).count() == n
+    assert common.in_bitmap(digests(n, 3 * n), "digest", bits, rows).count() < 0.1 * 2 * n
 
 
 def test_exact_dedup_over_many_memtables_equals_brute_force(spark):
@@ -331,6 +331,11 @@ def test_a_bucket_of_several_blocks_compares_all_its_pairs(spark, monkeypatch):
     test_near_dedup_equals_brute_force(spark)
 
 
+def test_a_large_bucket_meets_by_rare_grams(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", 2)
+    test_near_dedup_equals_brute_force(spark)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=60), st.lists(st.integers(0, 4), max_size=60), st.integers(0, 60))
 def test_banded_alignment(a, b, limit):

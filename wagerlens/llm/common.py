@@ -40,6 +40,45 @@ def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that keep() wrote, once nothing that is still to be computed reads them."""
+    for df in tables:
+        jvm, files = df.sparkSession._jvm, df.inputFiles()
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Bits of one row of a bitmap, as bitmap_construct_agg makes them, and most rows of one that is broadcast (8 MB).
+ROW_BITS, MOST_ROWS = 32768, 2048
+
+
+def bitmap_rows(n: int) -> int:
+    """Rows of a bitmap of 16 bits for each of n values."""
+    return n * 16 // ROW_BITS + 1
+
+
+def _slot(value: Column, rows: int) -> tuple[Column, Column]:
+    """A value's row in a bitmap of so many rows, and its bit there."""
+    h = F.pmod(F.xxhash64(value), F.lit(rows * ROW_BITS))
+    return F.shiftright(h, 15), h.bitwiseAND(F.lit(ROW_BITS - 1))
+
+
+def bitmap_of(values: DataFrame, column: str, rows: int) -> DataFrame:
+    """(slot, bits): a bitmap of the values' hashes, ROW_BITS bits a row."""
+    slot, bit = _slot(F.col(column), rows)
+    return values.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def in_bitmap(df: DataFrame, column: str, bits: DataFrame, rows: int) -> DataFrame:
+    """The rows of df whose value a bitmap may have; those left out are not among what it was built of."""
+    slot, bit = _slot(F.col(column), rows)
+    probed = df.withColumn("probe_slot", slot).withColumn("probe_bit", bit.cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(bits, probe_bit DIV 8 + 1, 1)")), 16, 10).cast("long")
+    found = probed.join(bits, (F.col("probe_slot") == F.col("slot")) & (F.getbit(byte, F.expr("probe_bit % 8")) == 1))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def whole_rows(df: DataFrame, *keys: Column) -> DataFrame:
     """df's rows as one struct, row, beside keys: no column of df can clash with an operator's own."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *keys)

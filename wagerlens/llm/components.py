@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,8 +35,10 @@ def components(links: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
+        older = edges, large
         edges, before = keep(small), state
         state = _state(edges)
+        discard(*older)
         if state == before:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

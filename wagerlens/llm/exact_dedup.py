@@ -28,11 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, keep
-
-#: Bits of one row of a filter, as bitmap_construct_agg makes them, and rows of a filter that is broadcast.
-ROW_BITS, MOST_ROWS = 32768, 2048
-
+from .common import MOST_ROWS, SPACE_CLASS, bitmap_of, bitmap_rows, in_bitmap, keep
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS, " ")
@@ -43,27 +39,6 @@ def _rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
 
 
-def _slot(rows: int) -> tuple[Column, Column]:
-    """A digest's row in a filter of so many rows, and its bit there."""
-    h = F.pmod(F.xxhash64("digest"), F.lit(rows * ROW_BITS))
-    return F.shiftright(h, 15), h.bitwiseAND(F.lit(ROW_BITS - 1))
-
-
-def filter_of(digests: DataFrame, rows: int) -> DataFrame:
-    """(slot, bits): a bitmap of the digests' hashes, ROW_BITS bits a row."""
-    slot, bit = _slot(rows)
-    return digests.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def passing(digests: DataFrame, bits: DataFrame, rows: int) -> DataFrame:
-    """The rows of digests that a filter may have; those left out are not among what it was built of."""
-    slot, bit = _slot(rows)
-    probed = digests.withColumn("probe_slot", slot).withColumn("probe_bit", bit.cast("int"))
-    byte = F.conv(F.hex(F.expr("substring(bits, probe_bit DIV 8 + 1, 1)")), 16, 10).cast("long")
-    found = probed.join(bits, (F.col("probe_slot") == F.col("slot")) & (F.getbit(byte, F.expr("probe_bit % 8")) == 1))
-    return found.select(*[F.col(f"`{c}`") for c in digests.columns])
-
-
 @dataclass(frozen=True)
 class Run:
     """Entries (digest, best, n) sorted by digest, and their filter."""
@@ -85,10 +60,10 @@ class DigestIndex:
 
     def _flush(self, entries: DataFrame, level: int) -> None:
         run = keep(entries.sortWithinPartitions("digest"))
-        rows = run.count() * 16 // ROW_BITS + 1
+        rows = bitmap_rows(run.count())
         if len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(Run(run, keep(filter_of(run, rows)), rows))
+        self.levels[level].append(Run(run, keep(bitmap_of(run, "digest", rows)), rows))
 
     def insert(self, rows: DataFrame) -> DataFrame:
         """Take a memtable, rows of (doc_id, row, digest); returns its digests that are hits."""
@@ -97,7 +72,7 @@ class DigestIndex:
         new = self.levels[0][-1].entries
         hits = [new.filter("n > 1").select("digest")]
         for run in older:
-            maybe = passing(new.select("digest"), run.bits, run.rows)
+            maybe = in_bitmap(new.select("digest"), "digest", run.bits, run.rows)
             hits.append(maybe.join(run.entries.select("digest"), "digest", "left_semi"))
         found = keep(reduce(DataFrame.unionByName, hits))
         self._compact()
@@ -125,10 +100,10 @@ class DigestIndex:
 
 def verified(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """Per digest that is a hit, whether all its texts are the same bytes."""
-    rows = min(hits.count() * 16 // ROW_BITS + 1, MOST_ROWS)
-    bits = F.broadcast(keep(filter_of(hits, rows)))  # MOST_ROWS rows of 4 KB at most
+    rows = min(bitmap_rows(hits.count()), MOST_ROWS)
+    bits = F.broadcast(keep(bitmap_of(hits, "digest", rows)))  # MOST_ROWS rows of 4 KB at most
     text = docs.select(normalised(F.col("text")).alias("norm"))
-    text = passing(text.select(F.unhex(F.sha2("norm", 256)).alias("digest"), "norm"), bits, rows)
+    text = in_bitmap(text.select(F.unhex(F.sha2("norm", 256)).alias("digest"), "norm"), "digest", bits, rows)
     return text.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
 
 

@@ -8,7 +8,8 @@ sketch is three of these minima in the order in which they stand in the text, an
 Equal texts are one text with many documents from the start.  Texts with a common sketch form a bucket,
 and two texts of a bucket are candidates.  First each meets its bucket's smallest text, so that a group of
 near copies of any size becomes one class.  Then all texts of a bucket that are still in different classes
-meet.  A bucket of over BLOCK texts (a passage that very many documents share) is not compared pair by pair:
+meet, a larger bucket dealt to pairs of blocks.  One of over LARGE texts (a passage that very many documents
+share) is not compared pair by pair:
 of each of its texts the rarest grams are taken, as many as an edit distance within the limit can destroy and
 one more, so that linked texts have one of them in common (the prefix lemma), and the texts of a rare gram
 meet instead.  So the classes are those of all candidates.
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD_TABLE, keep, small_batches, text_bytes, whole_hash, whole_rows
+from .common import FOLD_TABLE, MOST_ROWS, bitmap_of, bitmap_rows, discard, in_bitmap, keep, small_batches, text_bytes, whole_hash, whole_rows
 from .components import components
 from .pieces import RangeHash, expand, mixed
 from .substring_dedup import word_corpus
@@ -50,8 +51,8 @@ STEPS = (0, 1, 5)
 #: Texts of at most SHORT words by single words, those over 0.8 SHORT by pairs: linked texts share a kind.
 SHORT = 40
 COUNTERS, PAIR_BITS = 128, 2048
-#: Texts of a bucket that are compared pair by pair in one group.
-BLOCK = 512
+#: Texts that are compared pair by pair in one group, and buckets from which on rare grams take less work than pairs.
+BLOCK, LARGE = 512, 8192
 SIMILARITY = 0.8
 
 
@@ -417,8 +418,8 @@ def _apart(members: DataFrame, links: DataFrame, facts: DataFrame, docs: DataFra
     placed = keep(members.join(roots, "key", "left").select("sketch", "key", "n", F.coalesce("root", "key").alias("root")))
     several = placed.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sketch")
     split = keep(placed.join(several, "sketch"))
-    cells = split.filter(F.col("n") <= BLOCK).select(F.col("sketch").alias("cell"), "key", "root")
-    hot = keep(split.filter(F.col("n") > BLOCK).select("key", "root").distinct())
+    cells = split.filter(F.col("n") <= LARGE).select(F.col("sketch").alias("cell"), "key", "root")
+    hot = keep(split.filter(F.col("n") > LARGE).select("key", "root").distinct())
     if not hot.isEmpty():
         cells = cells.unionByName(_rare_grams(facts.join(hot, "key").select("key", "node"), docs, similarity).join(hot, "key").select("cell", "key", "root"))
     cells = keep(cells)
@@ -442,22 +443,28 @@ def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float =
     texts = keep(log.groupBy("node").agg(F.min(_rank()).alias("best"), F.count("*").alias("n")))
     sketched = _sketched(docs.select(_node(), "text"), sketches).groupBy("node")
     sketched = keep(sketched.agg(*[F.first(c).alias(c) for c in ("sketches", "n_words", "summary")]))
+    facts = keep(sketched.select("node", _key("node").alias("key"), "n_words", "summary"))
     rows = sketched.select(_key("node").alias("key"), F.explode("sketches").alias("sketch"))
     leaders = rows.groupBy("sketch").agg(F.min("key").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     members = keep(rows.join(leaders, "sketch"))
-    facts = sketched.select("node", _key("node").alias("key"), "n_words", "summary")
+    discard(sketched)
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b) of keys."""
         wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         chosen = texts.withColumn("key", _key("node")).join(wanted, "key").select(F.col("node").alias("wanted"), F.col("best.doc_id").alias("best_id"))
-        d = docs.select("doc_id", "text", _node())
+        chosen = keep(chosen)
+        size = min(bitmap_rows(chosen.count()), MOST_ROWS)
+        bits = F.broadcast(keep(bitmap_of(chosen, "wanted", size)))  # MOST_ROWS rows of 4 KB at most
+        d = in_bitmap(docs.select("doc_id", "text", _node()), "node", bits, size)  # other texts don't travel
         found = d.join(chosen, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
         candidates = keep(found.groupBy("node").agg(F.first("text").alias("text")))
         first = candidates.select(_key("node").alias("a"), F.col("node").alias("node_a"), F.col("text").alias("text_a"))
         second = candidates.select(_key("node").alias("b"), F.col("node").alias("node_b"), F.col("text").alias("text_b"))
         both = pairs.join(first, "a").join(second, "b").select("node_a", "node_b", "text_a", "text_b")
-        return keep(both.mapInArrow(_verify(similarity), "a binary, b binary"))
+        found = keep(both.mapInArrow(_verify(similarity), "a binary, b binary"))
+        discard(candidates)
+        return found
 
     led = keep(members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
     side = lambda s: facts.select(F.col("key").alias(s), F.col("n_words").alias(f"words_{s}"), F.col("summary").alias(f"summary_{s}"))
@@ -465,6 +472,7 @@ def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float =
     near = keep(near.mapInArrow(_near_enough(similarity), "a long, b long"))
     first = compared(near)
     met = _apart(members.select("sketch", "key", "n"), first, facts, docs, similarity)
+    discard(led)
     rest = keep(met.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     return texts, keep(first.unionByName(compared(rest)))
 
