@@ -84,14 +84,14 @@ def test_refresh_touches_its_class_only_and_holds_invariants(spark, generated, t
     log = E.canonicalise(generated)
     first = refresh.refresh(log, (1,))
     refresh.write(first, str(tmp_path))
-    assert {p.stem for p in tmp_path.glob("*.json")} == {"overview", "flow"}
+    assert {p.stem for p in tmp_path.glob("*.json")} == {"overview", "flow", "timing"}
     everything = refresh.refresh(log)
     assert A.check_invariants(everything) == []
     assert A.compare(first["overview"]["data"], everything["overview"]["data"]) == [] and first["flow"]["hash"] == everything["flow"]["hash"]
     meta = everything["overview"]["meta"]
     assert meta["pending_supersedence"] == meta["rows_stored"] - meta["identities"] > 0
     broken = json.loads(json.dumps(everything))
-    broken["flow"]["data"]["market"]["rows"][0]["legs"] += 1
+    broken["flow"]["data"]["by_market"]["rows"][0]["legs"] += 1
     assert any("market" in f for f in A.check_invariants(broken)) and any("hash" in f for f in A.check_invariants(broken))
 
 

@@ -54,7 +54,7 @@ def refresh(args) -> int:
     from .streaming.events import read_log
     from .streaming.refresh import refresh as run, write
 
-    made = run(read_log(_session(), args.log), tuple(args.classes))
+    made = run(read_log(_session(), args.log), tuple(args.classes), where=args.where or None)
     failures = check_invariants(made)
     for line in failures:
         print(line, file=sys.stderr)
@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
     command("build", build, raw={"required": True}, out={"required": True}, check={"action": "store_true"})
     command("generate", generate, events={"type": int, "default": 10_000}, seed={"type": int, "default": 7}, sink={"required": True}, brokers=text, topic=text)
     command("ingest", ingest, source=text, log={"required": True}, checkpoint={"required": True}, brokers=text, topic=text, follow={"action": "store_true"})
-    command("refresh", refresh, log={"required": True}, out={"required": True}, classes={"type": int, "nargs": "+", "default": [1, 2, 3]})
+    command("refresh", refresh, log={"required": True}, out={"required": True}, classes={"type": int, "nargs": "+", "default": [1, 2, 3]}, where=text)
     command("reconcile", reconcile, alpha={"required": True}, beta={"required": True}, out={"required": True}, parquet={"action": "store_true"})
     args = parser.parse_args(argv)
     return args.run(args)

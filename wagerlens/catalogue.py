@@ -308,8 +308,7 @@ def table_view(spark, sf_dir):
 
 
 def single_pass_query(spark, sf_dir):
-    rows = breakdown.single_pass(legs(spark, sf_dir))
-    return _doubles(rows.groupBy("dimension").agg(F.countDistinct("key").alias("n_keys"), F.sum("legs").alias("legs"), F.sum("turnover").alias("turnover"), F.max("legs").alias("largest")))
+    return _doubles(breakdown.single_pass(legs(spark, sf_dir)))
 
 
 def reconciled(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+#: Fixed values throughout: thresholds that results must agree with.
 @dataclass(frozen=True)
 class Settings:
     top_n: int = 15
@@ -62,7 +63,7 @@ OUTCOME_NAMES = {"1": "Home win (1)", "2": "Away win (2)", "X": "Draw (X)"}
 
 #: Refresh classes: seconds between runs and the artifacts that each owns.
 REFRESH_CLASSES = {
-    1: (5, ("overview", "flow")),
-    2: (60, ("prices", "anomalies", "quality")),
-    3: (300, ("sharp", "concentration")),
+    1: (5, ("overview", "flow", "timing")),
+    2: (60, ("prices", "data_quality")),
+    3: (300, ("concentration", "anomalies", "sharp")),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BUILDER_MARKETS, DEFAULTS, OUTCOME_NAMES
@@ -20,22 +20,27 @@ def top_keys(frame: DataFrame, key: str, n: int) -> DataFrame:
 def breakdown(frame: DataFrame, key: str, *, top_n: int = DEFAULTS.top_n, label: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(counts, money): counts has key, label, legs, share, betslips; money has key, currency, amount.
 
-    Ranks by count, as money can't be ordered across currencies.  A null key is a key.  At most top_n
-    keys are broadcast; money is summed apart from the counts, so that currencies multiply no count.
+    Ranks by count, as money can't be ordered across currencies.  A null key is a key.  One pass over the
+    frame counts and sums by key and currency; what follows reads that small table.  A second pass counts the
+    betslips of the at most top_n keys that are broadcast, and of the rest.
     """
-    head = F.broadcast(top_keys(frame, key, top_n).select(F.col(key).alias("head_key"), F.lit(True).alias("is_head")))
-    dealt = frame.join(head, F.col(key).eqNullSafe(F.col("head_key")), "left").withColumn(
-        "bucket", F.when(F.col("is_head"), F.coalesce(F.col(key).cast("string"), F.lit("__null__"))).otherwise(OTHER)
-    )
-    named = F.when(F.col("bucket") == OTHER, OTHER).otherwise((label if label is not None else F.col(key)).cast("string"))
-    counts = dealt.groupBy("bucket").agg(
-        F.count("*").alias("legs"), F.countDistinct("betslip_id").alias("betslips"), F.min(named).alias("label")
-    )
-    total = frame.agg(F.count("*").alias("total"))
-    counts = counts.crossJoin(F.broadcast(total)).select(  # one row of totals
+    named = (label if label is not None else F.col(key)).cast("string")
+    currency = F.when(money.known(F.col("currency")), F.col("currency"))
+    summed = frame.groupBy(F.col(key).alias("of_key"), currency.alias("currency")).agg(F.count("*").alias("legs"), F.sum("turnover").alias("amount"), F.min(named).alias("label"))
+    per_key = summed.groupBy("of_key").agg(F.sum("legs").alias("legs"), F.min("label").alias("label"))
+    head = per_key.orderBy(F.desc("legs"), F.asc_nulls_last("of_key")).limit(top_n)
+    head = F.broadcast(head.select(F.col("of_key").alias("head_key"), F.coalesce(F.col("of_key").cast("string"), F.lit("__null__")).alias("head_bucket")))
+
+    def dealt(rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(head, F.col(column).eqNullSafe(F.col("head_key")), "left").withColumn("bucket", F.coalesce("head_bucket", F.lit(OTHER)))
+
+    counts = dealt(per_key, "of_key").groupBy("bucket").agg(F.sum("legs").alias("legs"), F.min(F.when(F.col("bucket") != OTHER, F.col("label"))).alias("label"))
+    total = per_key.agg(F.sum("legs").alias("total"))
+    slips = dealt(frame.select(key, "betslip_id"), key).groupBy("bucket").agg(F.countDistinct("betslip_id").alias("betslips"))
+    counts = counts.join(F.broadcast(slips), "bucket").crossJoin(F.broadcast(total)).select(  # top_n + 1 rows, and one row
         F.col("bucket").alias("key"), F.coalesce("label", "bucket").alias("label"), "legs", ratio4(F.col("legs"), F.col("total")).alias("share"), "betslips"
     )
-    sums = money.by_currency(dealt, "bucket").select(F.col("bucket").alias("key"), "currency", "amount")
+    sums = dealt(summed, "of_key").groupBy("bucket", "currency").agg(F.sum("amount").alias("amount")).select(F.col("bucket").alias("key"), "currency", "amount")
     return counts, sums
 
 
@@ -70,23 +75,43 @@ def selections(legs: DataFrame, *, markets: int = DEFAULTS.selection_markets) ->
 
 #: Breakdowns by their dimension: (key column, label column).
 LEG_DIMENSIONS = {
-    "market": ("market_normalised", None),
-    "competition": ("competition", None),
-    "fixture": ("match_id", "fixture"),
+    "by_market": ("market_normalised", None),
+    "by_competition": ("competition", None),
+    "by_fixture": ("match_id", "fixture"),
 }
-SLIP_DIMENSIONS = {"region": ("region", None), "bet_type": ("bet_type", None)}
+SLIP_DIMENSIONS = {"by_region": ("region", None), "by_bet_type": ("bet_type", None)}
+
+#: All dimensions of a leg: its own, and those of its betslip.
+DIMENSIONS = {"market_normalised": None, "competition": None, "match_id": "fixture", "region": None, "bet_type": None, "player": None, "selection": None}
 
 
-def single_pass(legs: DataFrame, dimensions: tuple[str, ...] = ("market_normalised", "competition", "match_id", "region", "bet_type")) -> DataFrame:
-    """Counts and turnover of all dimensions from one scan: dimension, key, legs, currency, turnover.
+def single_pass(legs: DataFrame, dimensions: dict[str, str | None] = DIMENSIONS, *, top_n: int = DEFAULTS.top_n) -> DataFrame:
+    """The breakdowns of all dimensions from one scan, at the grain of legs: dimension, key (the top_n, and the
+    rest as one), label, currency, legs (of the key), betslips (that name it), turnover (by currency).
 
-    GROUPING SETS of each dimension with the currency; the keys are ranked by whoever reads it.
+    GROUPING SETS of each dimension with the betslip and the currency; a betslip's rows of one key are one
+    row from the first shuffle on, and only aggregates follow.
     """
-    sets = ", ".join(f"({d}, currency)" for d in dimensions)
-    legs.createOrReplaceTempView("single_pass_legs")
-    which = " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dimensions)
-    key = " ".join(f"WHEN grouping({d}) = 0 THEN CAST({d} AS STRING)" for d in dimensions)
-    return legs.sparkSession.sql(
-        f"SELECT CASE {which} END AS dimension, CASE {key} END AS key, currency, count(*) AS legs, sum(turnover) AS turnover "
-        f"FROM single_pass_legs GROUP BY GROUPING SETS ({sets})"
+    names = list(dimensions)
+    # one row a leg with its keys and labels as text
+    rows = legs.select(
+        *[F.col(d).cast("string").alias(f"k{i}") for i, d in enumerate(names)], "betslip_id",
+        F.when(money.known(F.col("currency")), F.col("currency")).alias("currency"), "turnover",
+        *[F.col(label).cast("string").alias(f"l{i}") for i, label in enumerate(dimensions.values()) if label],
+    )
+    entries = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(f"k{i}"), F.lit("__null__")).alias("key"), (F.col(f"l{i}") if dimensions[d] else F.col(f"k{i}")).alias("label")) for i, d in enumerate(names)])
+    long = rows.select(F.explode(entries).alias("e"), "betslip_id", "currency", "turnover").select("e.*", "betslip_id", "currency", "turnover")
+    slips = long.groupBy("dimension", "key", "betslip_id", "currency").agg(F.count("*").alias("legs"), F.sum("turnover").alias("turnover"), F.min("label").alias("label"))
+    per_key = slips.groupBy("dimension", "key", "currency").agg(F.sum("legs").alias("legs"), F.sum("turnover").alias("turnover"), F.min("label").alias("label"))
+    of_key = per_key.groupBy("dimension", "key").agg(F.sum("legs").alias("legs"))
+    order = Window.partitionBy("dimension").orderBy(F.desc("legs"), "key")
+    head = of_key.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n).select("dimension", "key", F.lit(True).alias("is_head"))
+    bucket = F.when(F.col("is_head"), F.col("key")).otherwise(OTHER)
+    head = F.broadcast(head)  # top_n rows a dimension
+    counted = slips.join(head, ["dimension", "key"], "left").groupBy("dimension", bucket.alias("bucket")).agg(F.countDistinct("betslip_id").alias("betslips"))
+    summed = per_key.join(head, ["dimension", "key"], "left").groupBy("dimension", bucket.alias("bucket"), "currency").agg(
+        F.sum("legs").alias("legs"), F.sum("turnover").alias("turnover"), F.min(F.when(F.col("is_head"), F.col("label"))).alias("label")
+    )
+    return summed.join(F.broadcast(counted), ["dimension", "bucket"]).select(  # top_n + 1 rows a dimension
+        "dimension", F.col("bucket").alias("key"), F.coalesce("label", "bucket").alias("label"), "currency", "legs", "betslips", "turnover"
     )

@@ -58,8 +58,8 @@ def current_legs(log: DataFrame, where: str | None = None) -> DataFrame:
 def by_dimension(legs: DataFrame, betslips: DataFrame, dimension: str, **more) -> tuple[DataFrame, DataFrame]:
     """A breakdown by name, of the dimensions that exist and no other."""
     for frame, names in ((legs, breakdown.LEG_DIMENSIONS), (betslips, breakdown.SLIP_DIMENSIONS)):
-        if dimension in names:
-            key, label = names[dimension]
+        if (known := f"by_{dimension}") in names:
+            key, label = names[known]
             return breakdown.breakdown(frame, key, label=F.col(label) if label else None, **more)
     raise ValueError(f"no dimension {dimension!r}")
 

@@ -242,10 +242,13 @@ prefix AS (SELECT market, rtrim(lo[1:coalesce(list_max(list_filter(range(1, leas
 named AS (SELECT nullif(trim(substr('Shots on target ' || array_to_string(list_transform(string_split(player, ' '), lambda t: upper(t[1]) || lower(t[2:])), ' '), len(pre) + 1)), '') AS player_name FROM legs JOIN prefix USING (market))
 SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS option_legs, count(player_name) AS named_legs, count(DISTINCT player_name) AS names FROM named""",
     "breakdowns_single_pass": f"""WITH {LEGS}, g AS (
-      SELECT 'market_normalised' AS dimension, market_normalised AS key, currency, count(*) AS n, sum(turnover) AS t FROM legs GROUP BY ALL
-      UNION ALL SELECT 'competition', competition, currency, count(*), sum(turnover) FROM legs GROUP BY ALL UNION ALL SELECT 'match_id', match_id::VARCHAR, currency, count(*), sum(turnover) FROM legs GROUP BY ALL
-      UNION ALL SELECT 'region', region, currency, count(*), sum(turnover) FROM legs GROUP BY ALL UNION ALL SELECT 'bet_type', bet_type, currency, count(*), sum(turnover) FROM legs GROUP BY ALL)
-      SELECT dimension, count(DISTINCT key) AS n_keys, sum(n)::BIGINT AS legs, sum(t)::DOUBLE AS turnover, max(n) AS largest FROM g GROUP BY 1""",
+      SELECT unnest([{{'dimension': 'market_normalised', 'key': market_normalised, 'label': market_normalised}}, {{'dimension': 'competition', 'key': competition, 'label': competition}}, {{'dimension': 'match_id', 'key': match_id::VARCHAR, 'label': fixture}},
+        {{'dimension': 'region', 'key': region, 'label': region}}, {{'dimension': 'bet_type', 'key': bet_type, 'label': bet_type}}, {{'dimension': 'player', 'key': player, 'label': player}}, {{'dimension': 'selection', 'key': selection, 'label': selection}}], recursive := true),
+        betslip_id, currency, turnover FROM legs),
+      h AS (SELECT dimension, key FROM (SELECT dimension, key, row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, key) AS k FROM g GROUP BY 1, 2) WHERE k <= 15),
+      b AS (SELECT g.dimension, coalesce(h.key, '__other__') AS key, CASE WHEN h.key IS NULL THEN '__other__' ELSE g.label END AS label, betslip_id, currency, turnover FROM g LEFT JOIN h ON g.dimension = h.dimension AND g.key = h.key),
+      n AS (SELECT dimension, key, count(DISTINCT betslip_id) AS betslips FROM b GROUP BY 1, 2)
+      SELECT b.dimension, b.key, min(label) AS label, currency, count(*) AS legs, any_value(n.betslips) AS betslips, sum(turnover)::DOUBLE AS turnover FROM b JOIN n ON b.dimension = n.dimension AND b.key = n.key GROUP BY b.dimension, b.key, currency""",
     "phases": f"""WITH {PHASED} SELECT position, names.phase, is_pre_match, count(row_key) AS legs, count(DISTINCT betslip_id) AS betslips, {_ratio("count(row_key)", "(SELECT count(*) FROM legs)")} AS share FROM names LEFT JOIN phased ON names.phase = phased.phase GROUP BY 1, 2, 3""",
     "phase_money": f"WITH {PHASED} SELECT phase, currency, count(*) AS n_rows, sum(turnover)::DOUBLE AS amount FROM phased WHERE phase IS NOT NULL GROUP BY 1, 2",
     "daily": f"""WITH {LEGS}, d AS (SELECT placed_at::DATE AS day, count(*) AS betslips, sum(legs)::BIGINT AS legs FROM betslips GROUP BY 1) SELECT day::VARCHAR AS day, betslips, legs, betslips >= max(betslips) OVER () * 0.01 AS in_operating_period FROM d""",

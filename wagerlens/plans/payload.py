@@ -50,24 +50,24 @@ def _cut(name: str, title: str, grain: str, df: DataFrame, order: list, limit: i
     return table(name, title, grain, rows, **more) | {"truncation": account if account["omitted"] else None}
 
 
-def _confirm(rows: list[dict], section: str, key: str, of: str) -> list[dict]:
-    return [r | {"verify_ref": {"section": section, "select": {key: str(r[of])}}} for r in rows]
+def _confirmed(part: dict, section: str, key: str, of: str) -> dict:
+    return part | {"rows": [r | {"verify_ref": {"section": section, "select": {key: str(r[of])}}} for r in part["rows"]]}
 
 
 def build(raw: DataFrame) -> Built:
     """raw: legs before enrichment, without repeated rows."""
     legs = prices.attach_value(leg_ops.enrich(raw)).persist()
     slips = leg_ops.betslips(legs).persist()
+    scored = sharp.score(legs).persist()
     try:
         moves = prices.movement(legs)
-        scored = sharp.score(legs).persist()
         backing, clusters = anomalies.repeat_backing(legs), anomalies.same_second_clusters(legs)
         sharp_moves = moves.filter("is_sharp_move")
         named = players.resolve(legs)
         units = concentration.populations(legs, slips)
-        spikes = _confirm(rows_of(anomalies.turnover_spikes(slips)), "timing.daily", "day", "day")
-        exposure = _confirm(rows_of(anomalies.abnormal_exposure(legs)), "flow.by_fixture", "key", "match_id")
-        flagged = _confirm(rows_of(scored.filter("flagged")), "sharp.eligible_windows", "uid", "uid")
+        spikes, exposed, flags = anomalies.turnover_spikes(slips), anomalies.abnormal_exposure(legs), scored.filter("flagged")
+        # the fixtures that exposure names, beside the most frequent ones
+        fixtures = breakdown.breakdown(legs.join(F.broadcast(exposed.orderBy(F.desc("share"), "currency", "match_id").limit(DEFAULTS.table_rows).select("match_id").distinct()), "match_id", "left_semi"), "match_id", top_n=DEFAULTS.table_rows, label=F.col("fixture"))
         ranked = lambda key, title, frame, grain, label=None: _ranked(f"flow.by_{title}", f"By {title}", grain, breakdown.breakdown(frame, key, label=label))
         sections = {
             "overview": {
@@ -84,7 +84,7 @@ def build(raw: DataFrame) -> Built:
             },
             "timing": {
                 "phases": table("timing.phases", "Legs by time phase", "leg", [plain(r) for r in timing.phases(legs)[0].orderBy("position").collect()]),
-                "daily": table("timing.daily", "Daily volume", "betslip", rows_of(timing.daily(slips))),
+                "daily": _cut("timing.daily", "Daily volume", "betslip", timing.daily(slips), [F.desc("day")], 5000),
             },
             "prices": {
                 "report": rows_of(prices.coverage(legs))[0],
@@ -96,21 +96,22 @@ def build(raw: DataFrame) -> Built:
             },
             "concentration": {"gini": rows_of(concentration.gini(units)), "top_shares": rows_of(concentration.top_shares(units)), "lorenz": rows_of(concentration.lorenz(units))},
             "anomalies": {
-                "turnover_spikes": table("anomalies.turnover_spikes", "Turnover spikes", "betslip", spikes),
-                "abnormal_exposure": table("anomalies.abnormal_exposure", "Abnormal exposure", "leg", exposure),
+                "turnover_spikes": _confirmed(_cut("anomalies.turnover_spikes", "Turnover spikes", "betslip", spikes, [F.desc("excess_ratio"), F.asc("currency"), F.asc("day")], DEFAULTS.table_rows), "timing.daily", "day", "day"),
+                "abnormal_exposure": _confirmed(_cut("anomalies.abnormal_exposure", "Abnormal exposure", "leg", exposed, [F.desc("share"), F.asc("currency"), F.asc("match_id")], DEFAULTS.table_rows), "anomalies.exposed_fixtures", "key", "match_id"),
+                "exposed_fixtures": _ranked("anomalies.exposed_fixtures", "Fixtures with abnormal exposure", "leg", fixtures),
                 "repeat_backing": _cut("anomalies.repeat_backing", "Repeated backing of one selection", "betslip", backing, [F.desc("betslips"), F.desc("legs"), F.asc("uid")], DEFAULTS.table_rows),
                 "same_second_clusters": _cut("anomalies.same_second_clusters", "Same-second clusters", "leg", clusters, [F.desc("cluster_size"), F.asc("uid"), F.asc("placed_at")], DEFAULTS.table_rows),
             },
             "sharp": {
                 "report": rows_of(sharp.report(legs, scored))[0],
-                "flagged_windows": table("sharp.flagged_windows", "Flagged windows", "betslip", flagged),
+                "flagged_windows": _confirmed(_cut("sharp.flagged_windows", "Flagged windows", "betslip", flags, [F.desc("score"), F.asc("uid")], DEFAULTS.table_rows), "sharp.eligible_windows", "uid", "uid"),
                 "eligible_windows": _cut("sharp.eligible_windows", "Windows eligible for flagging", "betslip", scored.filter(F.col("priced_units") >= DEFAULTS.flag_units), [F.desc("score"), F.asc("uid")], 5000),
                 "turnover": rows_of(money.by_currency(sharp.turnover_of(scored, slips))),
             },
         }
     finally:
-        legs.unpersist()
-        slips.unpersist()
+        for frame in (legs, slips, scored):
+            frame.unpersist()
     sections = plain(sections)
     sections["meta"] = meta(sections)
     return Built(sections, {"repeat_backing": backing, "same_second_clusters": clusters, "price_movement": sharp_moves})
@@ -155,7 +156,7 @@ def check(payload: dict) -> list[str]:
             if account and "shipped" in account and account["total"] != account["shipped"] + account["omitted"]:
                 out.append(f"{part['id']}: rows left out don't add up")
             for row in part.get("rows", ()) if isinstance(part, dict) and "id" in part else ():
-                if "verify_ref" in row and not resolve(payload, row["verify_ref"]) and part["id"] != "anomalies.abnormal_exposure":
+                if "verify_ref" in row and not resolve(payload, row["verify_ref"]):
                     out.append(f"{part['id']}: a verify_ref names no row")
     if payload["meta"]["payload_hash"] != payload_hash({k: v for k, v in payload.items() if k != "meta"}):
         out.append("meta: the hash is not of the payload")

@@ -6,18 +6,18 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, REFRESH_CLASSES
-from ..operators import anomalies, breakdown, concentration, legs as leg_ops, money, prices, quality, sharp, timing
+from ..operators import anomalies, breakdown, concentration, legs as leg_ops, money, players, prices, quality, sharp, timing
 from ..plans.artifacts import envelope, rows_of, truncate
 from ..sources.sinks import write_json
 
 
 def snapshot(log: DataFrame) -> DataFrame:
     """The current legs, enriched: all classes read this and nothing else."""
-    return leg_ops.enrich(leg_ops.collapse(log).drop("region", "market_normalised", "is_inplay", "minutes_to_kickoff", "placed_month"))
+    return leg_ops.enrich(leg_ops.collapse(log).drop("region", "market_normalised", "is_inplay", "minutes_to_kickoff", "placed_month", "batch"))
 
 
 def _overview(legs: DataFrame) -> dict:
@@ -26,19 +26,21 @@ def _overview(legs: DataFrame) -> dict:
         "universe": rows_of(leg_ops.universe(legs)),
         "money": rows_of(money.by_currency(slips)),
         "inflation": rows_of(money.inflation(legs, slips)),
-        "monthly": rows_of(timing.monthly(slips)),
-    }
+    } | _cut(monthly=(timing.monthly(slips), [F.desc("month")], 5000))
 
 
 def _flow(legs: DataFrame) -> dict:
-    slips = leg_ops.betslips(legs)
-    out = {}
-    for frame, dimensions in ((legs, breakdown.LEG_DIMENSIONS), (slips, breakdown.SLIP_DIMENSIONS)):
-        for name, (key, _) in dimensions.items():
-            counts, sums = breakdown.breakdown(frame, key)
-            out[name] = {"rows": rows_of(counts), "money": rows_of(sums)}
+    slips, named = leg_ops.betslips(legs), players.resolve(legs)
+    parts = {name: breakdown.breakdown(legs, key, label=F.col(label) if label else None) for name, (key, label) in breakdown.LEG_DIMENSIONS.items()}
+    parts |= {name: breakdown.breakdown(slips, key) for name, (key, _) in breakdown.SLIP_DIMENSIONS.items()}
+    parts["by_selection"] = breakdown.breakdown(breakdown.selections(legs), "selection_key", label=F.col("selection_label"))
+    parts["by_player"] = breakdown.breakdown(named.filter("player_name IS NOT NULL"), "player_name")
+    return {name: {"rows": rows_of(counts), "money": rows_of(sums)} for name, (counts, sums) in parts.items()}
+
+
+def _timing(legs: DataFrame) -> dict:
     counts, sums = timing.phases(legs)
-    return out | {"phases": {"rows": rows_of(counts), "money": rows_of(sums)}, "daily": rows_of(timing.daily(slips))}
+    return {"phases": {"rows": rows_of(counts), "money": rows_of(sums)}} | _cut(daily=(timing.daily(leg_ops.betslips(legs)), [F.desc("day")], 5000))
 
 
 def _prices(legs: DataFrame) -> dict:
@@ -51,9 +53,10 @@ def _prices(legs: DataFrame) -> dict:
     }
 
 
-def _cut(**tables: tuple[DataFrame, list[Column]]) -> dict:
-    """The first rows of each table in its order, and under truncation an account of what each leaves out."""
-    cut = {name: truncate(df, order, DEFAULTS.table_rows) for name, (df, order) in tables.items()}
+def _cut(**tables: tuple) -> dict:
+    """The first rows of each table (rows, order, and how many if not DEFAULTS.table_rows), and under truncation an
+    account of what each leaves out."""
+    cut = {name: truncate(df, order, *(limit or (DEFAULTS.table_rows,))) for name, (df, order, *limit) in tables.items()}
     return {name: shown for name, (shown, _) in cut.items()} | {"truncation": {name: account for name, (_, account) in cut.items()}}
 
 
@@ -66,37 +69,66 @@ def _anomalies(legs: DataFrame) -> dict:
     )
 
 
+def _repeats(legs: DataFrame) -> dict:
+    backing = anomalies.repeat_backing(prices.attach_value(legs))
+    moves = prices.movement(legs).filter("is_sharp_move")
+    return _cut(
+        repeat_backing=(backing, [F.desc("betslips"), F.desc("legs"), F.asc("uid"), F.asc("match_id"), F.asc("market_normalised"), F.asc("player"), F.asc("selection")]),
+        sharp_moves=(moves, [F.desc(F.abs(F.col("implied_prob_move"))), F.asc("match_id"), F.asc("market_normalised"), F.asc("player"), F.asc("selection")]),
+    )
+
+
+def _anomalies_whole(legs: DataFrame) -> dict:
+    first, second = _anomalies(legs), _repeats(legs)
+    return first | second | {"truncation": first["truncation"] | second["truncation"]}
+
+
 def _sharp(legs: DataFrame) -> dict:
     scored = sharp.score(prices.attach_value(legs))
     return _cut(flagged=(scored.filter("flagged"), [F.desc("score"), F.asc("uid")]))
 
 
+def _sharp_whole(legs: DataFrame) -> dict:
+    priced = prices.attach_value(legs)
+    scored = sharp.score(priced)
+    out = _cut(
+        flagged=(scored.filter("flagged"), [F.desc("score"), F.asc("uid")]),
+        eligible=(scored.filter(F.col("priced_units") >= DEFAULTS.flag_units), [F.desc("score"), F.asc("uid")], 5000),
+    )
+    return out | {"report": rows_of(sharp.report(priced, scored))}
+
+
 def _concentration(legs: DataFrame) -> dict:
     units = concentration.populations(legs, leg_ops.betslips(legs))
-    return {"gini": rows_of(concentration.gini(units)), "top_shares": rows_of(concentration.top_shares(units))}
+    return {"gini": rows_of(concentration.gini(units)), "top_shares": rows_of(concentration.top_shares(units)), "lorenz": rows_of(concentration.lorenz(units))}
 
 
 BUILDERS: dict[str, Callable[[DataFrame], dict]] = {
     "overview": _overview,
     "flow": _flow,
+    "timing": _timing,
     "prices": _prices,
-    "anomalies": _anomalies,
-    "quality": lambda legs: {"quality": rows_of(quality.data_quality(legs))},
-    "sharp": _sharp,
+    "data_quality": lambda legs: {"quality": rows_of(quality.data_quality(legs)), "players": rows_of(players.coverage(players.resolve(legs)))},
     "concentration": _concentration,
+    "anomalies": _anomalies_whole,
+    "sharp": _sharp_whole,
 }
 
 
-def refresh(log: DataFrame, classes: tuple[int, ...] = (1, 2, 3)) -> dict[str, dict]:
-    """Artifacts of the named classes only; a class's work is not done for another."""
+def refresh(log: DataFrame, classes: tuple[int, ...] = (1, 2, 3), *, where: str | None = None) -> dict[str, dict]:
+    """Artifacts of the named classes only; a class's work is not done for another.
+
+    where: a condition on the log's immutable columns, which reaches its files.
+    """
     began = time.time()
+    log = log.filter(where) if where else log
     position = leg_ops.stream_position(log).first().asDict()
     legs = snapshot(log).persist()
     try:
         out = {name: BUILDERS[name](legs) for c in classes for name in REFRESH_CLASSES[c][1]}
     finally:
         legs.unpersist()
-    meta = position | {"seconds": round(time.time() - began, 3), "intervals": {str(c): REFRESH_CLASSES[c][0] for c in classes}}
+    meta = position | {"seconds": round(time.time() - began, 3), "where": where, "intervals": {str(c): REFRESH_CLASSES[c][0] for c in classes}}
     return {name: envelope(name, data, meta) for name, data in out.items()}
 
 
