@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wagerlens.llm import decontaminate, license_scan, line_dedup, mixing, quality, sharding
+from wagerlens.llm import common, decontaminate, license_scan, line_dedup, mixing, quality, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, h int, shard int, copies int, text_key int"
 
@@ -414,6 +414,113 @@ def test_pipeline_stages(spark, sf):
     assert len(texts) == len(set(texts))
 
 
+def plain_quality(docs, model):
+    import zstandard
+
+    def size(text, dictionary):
+        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(press.compress(text[i : i + 512])) for i in range(0, len(text), 512))
+
+    kept = []
+    for i, t in docs:
+        t = (t or "").encode()
+        good, bad = size(t, model.good), size(t, model.bad)
+        evidence = (bad - good) / (len(t) * (bad + good) / 2) ** 0.5 if t else 0.0
+        if model.weight * evidence + model.offset >= 0:
+            kept.append(i)
+    return kept
+
+
+def plain_near(docs):
+    """The smallest doc_id of each class: all pairs, those ruled out whose words differ too much in any order."""
+    folded = [(i, tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))), t or "") for i, t in docs]
+    bags = [Counter(w) for _, w, _ in folded]
+    root = list(range(len(folded)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(folded)):
+        for b in range(a):
+            x, y = folded[a][1], folded[b][1]
+            most = int(0.2 * max(len(x), len(y)) + 1e-9)
+            if folded[a][2] != folded[b][2]:
+                if not x or not y or max(len(x), len(y)) - sum((bags[a] & bags[b]).values()) > most:
+                    continue
+                line = list(range(len(y) + 1))
+                for i, w in enumerate(x, 1):
+                    new = [i]
+                    for j, v in enumerate(y, 1):
+                        new.append(min(line[j] + 1, new[-1] + 1, line[j - 1] + (w != v)))
+                    line = new
+                if line[-1] > most:
+                    continue
+            root[find(a)] = find(b)
+    best = {}
+    for k, (i, _, _) in enumerate(folded):
+        best[find(k)] = min(best.get(find(k), i), i)
+    return sorted(best.values())
+
+
+def plain_clean(docs, items, n=13):
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    grams = {tuple(w[k : k + n]) for w in map(fold, items) if w for k in range(max(len(w) - n + 1, 1))}
+    lengths, kept = {len(g) for g in grams}, []
+    for i, t in docs:
+        w = fold(t)
+        hit = {p for m in lengths for k in range(len(w) - m + 1) if tuple(w[k : k + m]) in grams for p in range(k, k + m)}
+        if not hit or 20 * len(hit) < len(w):
+            kept.append(i)
+    return kept
+
+
+def plain_mixture(docs):
+    """How often each document is taken: whole times its source, and the remainder in order of hashes."""
+    sources = {}
+    for i, t, s in docs:
+        h = int(hashlib.md5(f"{'' if i is None else i}\x1f{t or ''}".encode()).hexdigest()[:12], 16)
+        sources.setdefault(s, []).append((h, i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
+    target, taken = brute_targets({s: sum(r[2] for r in rows_) for s, rows_ in sources.items()}), Counter()
+    for s, rows_ in sources.items():
+        size = sum(r[2] for r in rows_)
+        whole = int(target[s] // size) if size else 0
+        rest, before = target[s] - whole * size, 0
+        for _, i, n in sorted(rows_):
+            taken[i] += whole + (rest > 0 and (rest - before > n / 2 if n else before <= rest))
+            before += n
+    return +taken
+
+
+def test_each_stage_equals_brute_force(spark, sf):
+    """Every stage over its own input, against a plain version of the same decision."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    plain = {
+        "quality": lambda d: Counter(plain_quality([(i, t) for i, t, _ in d], model)), "near_duplicates": lambda d: Counter(plain_near([(i, t) for i, t, _ in d])),
+        "decontamination": lambda d: Counter(plain_clean([(i, t) for i, t, _ in d], items)), "mixture": plain_mixture, "shards": lambda d: Counter(i for i, _, _ in d),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        given = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+        out = common.keep(stage(spark, docs, sf))
+        assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == plain[name](given), name
+        docs = out
+
+
+def test_stages_take_nulls_repeated_rows_and_clashing_columns(spark, sf):
+    data = [(i, words(60, i), f"s{i % 3}") for i in range(30)] + [(1, words(60, 1), "s1"), (None, words(60, 2), None), (40, None, "s1"), (41, "", None), (42, words(60_000, 9), "s0")]
+    first = docs_of(spark, data)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = common.keep(stage(spark, first, sf))
+        assert out.columns == (first.columns if name != "shards" else [*[c for c in first.columns if c != "shard"], "shard", "slot"]), name
+        ids = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        assert 42 in ids and set(ids) <= {i for i, *_ in data}, name
+        if name == "near_duplicates":
+            assert ids[1] == 1 and len(ids) == sum(ids.values())
+
+
 def test_pipeline_without_documents(spark, sf, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
