@@ -71,6 +71,27 @@ def test_latest_state_runs_as_a_stream(spark, generated, tmp_path):
     assert spark.table("latest_state_test").count() == L.collapse(E.canonicalise(generated)).count()
 
 
+def test_stream_and_batch_agree_where_versions_tie(spark, tmp_path):
+    base = dict(uid="1", placed_at="2025-06-01T10:00:00.000Z", event_at="2025-06-01T12:00:00.000Z", bet_type="SIMPLE", match_id=1, fixture="F", competition="C", market="M", player="P", selection="1",
+                region="R", currency="EUR", price=2.0, turnover=10.0, net_revenue=0.1, source="s", is_inplay=0, minutes_to_kickoff=-120.0, emitted_at=5)
+    events = [base | {"event_kind": k, "ggr": g} for k, g in (("settlement", -3.0), ("reversal", 10.0), ("placement", 0.0))]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, events)) + "\n")
+    query = E.latest_state(E.read_event_files(spark, str(tmp_path / "in"), streaming=True)).writeStream.outputMode("complete").format("memory").queryName("ties_test").trigger(availableNow=True).start()
+    query.awaitTermination()
+    now = L.collapse(E.canonicalise(E.read_event_files(spark, str(tmp_path / "in")))).first()
+    assert [(r["event_kind"], r["ggr"]) for r in spark.table("ties_test").collect()] == [(now["event_kind"], now["ggr"])] == [("reversal", now["ggr"])]
+    assert all(v == 0 for v in E.lag(query.lastProgress).values())
+    assert E.lag({"sources": [{"description": "k", "latestOffset": {"t": {"0": 7, "1": 3}}, "endOffset": {"t": {"0": 5}}}, {"description": "f", "latestOffset": {"logOffset": 3}, "endOffset": {"logOffset": 1}}]}) == {"k": 5, "f": 2}
+
+
+def test_a_predicate_reaches_every_section(spark, generated):
+    made = refresh.refresh(E.canonicalise(generated), (1,), where="match_id < 100")
+    universe = made["overview"]["data"]["universe"][0]
+    assert 0 < universe["legs"] < L.collapse(E.canonicalise(generated)).count() and A.check_invariants(made) == []
+    assert {"by_selection", "by_player"} <= set(made["flow"]["data"]) and made["overview"]["meta"]["where"] == "match_id < 100"
+
+
 def test_windows_over_a_stream(spark, sf, tmp_path):
     source = spark.read.parquet(f"{sf}/events.parquet")
     source.repartition(2).write.parquet(str(tmp_path / "events"))

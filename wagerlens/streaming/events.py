@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,7 +94,13 @@ def lag(progress: dict) -> dict[str, int]:
         return int(latest) - int(done or 0) if isinstance(latest, (int, float)) else 0
 
     def read(offset):
-        return json.loads(offset) if isinstance(offset, str) and offset else offset or {}
+        """Offsets come as values, or as the text of a JSON or Python value."""
+        if not isinstance(offset, str):
+            return offset or {}
+        try:
+            return json.loads(offset)
+        except ValueError:
+            return ast.literal_eval(offset) or {}
 
     return {s.get("description", ""): ahead(read(s.get("latestOffset")), read(s.get("endOffset"))) for s in progress.get("sources", [])}
 
