@@ -41,7 +41,7 @@ def test_commands_of_the_stream(spark, tmp_path):
     assert main(["generate", "--events", "400", "--sink", f"file:{tmp_path / 'lines'}"]) == 0
     assert main(["ingest", "--source", str(tmp_path / "lines"), "--log", str(tmp_path / "log"), "--checkpoint", str(tmp_path / "check")]) == 0
     assert main(["refresh", "--log", str(tmp_path / "log"), "--out", str(tmp_path / "out"), "--classes", "1"]) == 0
-    assert {p.stem for p in (tmp_path / "out").glob("*.json")} == {"overview", "flow"}
+    assert {p.stem for p in (tmp_path / "out").glob("*.json")} == {"overview", "flow", "timing"}
     assert spark.read.parquet(str(tmp_path / "log")).count() > 400
 
 
