@@ -54,6 +54,8 @@ COUNTERS, PAIR_BITS = 128, 2048
 #: Texts that are compared pair by pair in one group, and buckets from which on rare grams take less work than pairs.
 BLOCK, LARGE = 512, 8192
 SIMILARITY = 0.8
+#: Pairs that are aligned together, and words from which on an alignment along anchors is tried first.
+SLICE, ANCHORED = 1024, 400
 
 
 class Grams:
@@ -197,7 +199,7 @@ def edits_within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int])
             continue
         cut[i] = (x, y)
         width = 8
-        while width < least + 2:
+        while width < least + 2 or (width < limits[i] and max(len(x), len(y)) < ANCHORED):  # short ones at once
             width *= 2
         waiting.setdefault(min(width, max(limits[i], 1)), []).append(i)
     while waiting:
@@ -247,7 +249,7 @@ def anchored_edits(x: np.ndarray, y: np.ndarray) -> int:
 def linked(left: list[bytes], right: list[bytes], similarity: float = SIMILARITY) -> list[bool]:
     """Whether the edit similarity of the folded words of each pair is at least `similarity`.
 
-    Pairs of which an alignment along common anchors needs few enough edits are linked; the others are
+    Long pairs of which an alignment along common anchors needs few enough edits are linked; all others are
     aligned in bands.
     """
     numbers: dict[bytes, int] = {}
@@ -262,7 +264,7 @@ def linked(left: list[bytes], right: list[bytes], similarity: float = SIMILARITY
     pairs = [(numbered(a), numbered(b)) for a, b in zip(left, right, strict=True)]
     longest = [max(len(a), len(b)) for a, b in pairs]
     limits = [int((1 - similarity) * n + 1e-9) for n in longest]
-    out = [bool(n) and anchored_edits(a, b) <= most for (a, b), n, most in zip(pairs, longest, limits, strict=True)]
+    out = [n >= ANCHORED and anchored_edits(a, b) <= most for (a, b), n, most in zip(pairs, longest, limits, strict=True)]
     rest = [i for i, n in enumerate(longest) if n and not out[i]]
     for i, d in zip(rest, edits_within([pairs[i] for i in rest], [limits[i] for i in rest]).tolist(), strict=True):
         out[i] = d >= 0
@@ -272,8 +274,8 @@ def linked(left: list[bytes], right: list[bytes], similarity: float = SIMILARITY
 def _verify(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
                 found = linked([text_bytes(t) for t in part.column(2)], [text_bytes(t) for t in part.column(3)], similarity)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(found))
 
