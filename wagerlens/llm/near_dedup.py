@@ -8,16 +8,17 @@ sketch is three of these minima in the order in which they stand in the text, an
 Equal texts are one text with many documents from the start.  Texts with a common sketch form a bucket,
 and two texts of a bucket are candidates.  First each meets its bucket's smallest text, so that a group of
 near copies of any size becomes one class.  Then all texts of a bucket that are still in different classes
-meet, a larger bucket dealt to pairs of blocks.  One of over LARGE texts (a passage that very many documents
-share) is not compared pair by pair:
-of each of its texts the rarest grams are taken, as many as an edit distance within the limit can destroy and
-one more, so that linked texts have one of them in common (the prefix lemma), and the texts of a rare gram
-meet instead.  So the classes are those of all candidates.
+meet: of each two classes first the pair that may be nearest, then all pairs that are left.  A bucket of over
+BLOCK texts is dealt to pairs of blocks.  One of over LARGE texts (a passage that very many documents share)
+is not compared pair by pair: of each of its texts the rarest grams are taken, as many as an edit distance
+within the limit can destroy and one more, so that linked texts have one of them in common (the prefix lemma),
+and the texts of a rare gram meet instead.  So the classes are those of all candidates.
 
 Candidates carry two summaries that bound their edit distance from below, words counted by hash (an edit
 changes one) and a bitmap of labelled pairs of words (an edit changes two); what these leave is verified by
-alignment of the words, along common anchors if that stays within the limit, else in bands: a link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.
-Linked texts form classes, by connected components.
+alignment of the words, of long texts along common anchors if that stays within the limit, else in bands: a
+link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.  Linked texts form classes, by
+connected components.
 
 Two texts with the same share s of labelled grams have a given sketch in common with chance s^3.  A
 similarity of 0.8 means s of some 0.66 at least for single words and 0.43 for pairs (every fifth word
@@ -351,18 +352,18 @@ def _meet(similarity: float):
         rows = rows.sort_by("n_words")
         keys, roots, n, own = (rows.column(c).to_numpy() for c in ("key", "root", "n_words", "own"))
         summary = _summaries(rows.column("summary").combine_chunks())
-        found = []
+        found = [np.empty((3, 0), dtype=np.int64)]
         for i in range(len(keys)):
             # only texts that are not too long, and come later in the order of length
             end = int(np.searchsorted(n, n[i] / similarity + 1, side="right"))
             others = np.arange(i + 1, end)
             others = others[(roots[others] != roots[i]) & ((own[others] != own[i]) if low < high else (keys[others] != keys[i]))]
             if len(others):
-                least = least_edits(summary[i][None, :], summary[others])
-                others = others[np.maximum(least, n[others] - n[i]) <= _limits(n[others], n[i], similarity)]
-                found.append(np.stack([np.minimum(keys[i], keys[others]), np.maximum(keys[i], keys[others])]))
-        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                least = np.maximum(least_edits(summary[i][None, :], summary[others]), n[others] - n[i])
+                near = least <= _limits(n[others], n[i], similarity)
+                others, least = others[near], least[near]
+                found.append(np.stack([np.minimum(keys[i], keys[others]), np.maximum(keys[i], keys[others]), least]))
+        return pa.table(dict(zip(("a", "b", "least"), (pa.array(x, pa.int64()) for x in np.concatenate(found, axis=1)), strict=True)))
 
     return meet
 
@@ -411,12 +412,17 @@ def _rare_grams(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFra
     return grams.join(often, "cell").withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= F.col("most")).select("cell", "key")
 
 
-def _apart(members: DataFrame, links: DataFrame, facts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a < b) of keys that share a bucket, are not in one class of links, and may be near enough.
+def _roots(links: DataFrame) -> DataFrame:
+    """(key, root) of the texts that have links."""
+    return keep(components(links).select(_key("node").alias("key"), _key("root").alias("root")))
+
+
+def _apart(members: DataFrame, roots: DataFrame, facts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of keys that share a bucket, are not in one class of links, and may be near enough, with the
+    least number of edits between them.
 
     members has sketch, key and n, the bucket's size; facts has node, key, n_words, summary.
     """
-    roots = components(links).select(_key("node").alias("key"), _key("root").alias("root"))
     placed = keep(members.join(roots, "key", "left").select("sketch", "key", "n", F.coalesce("root", "key").alias("root")))
     several = placed.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sketch")
     split = keep(placed.join(several, "sketch"))
@@ -429,7 +435,15 @@ def _apart(members: DataFrame, links: DataFrame, facts: DataFrame, docs: DataFra
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = cells.join(sizes.select("cell", "n"), "cell").join(facts.drop("node"), "key").select("*", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "root", "n_words", "own", "summary")
-    return dealt.groupBy("cell", "low", "high").applyInArrow(_meet(similarity), "a long, b long").distinct()
+    return dealt.groupBy("cell", "low", "high").applyInArrow(_meet(similarity), "a long, b long, least long").distinct()
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of keys whose classes, low and high, still differ."""
+    side = lambda s: roots.select(F.col("key").alias(s), F.col("root").alias(f"root_{s}"))
+    rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    one, two = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
+    return rows.select(*[F.col(c) for c in pairs.columns], F.least(one, two).alias("low"), F.greatest(one, two).alias("high")).filter("low < high")
 
 
 def _logged(docs: DataFrame) -> DataFrame:
@@ -473,10 +487,16 @@ def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float =
     near = led.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b", "summary_a", "summary_b")
     near = keep(near.mapInArrow(_near_enough(similarity), "a long, b long"))
     first = compared(near)
-    met = _apart(members.select("sketch", "key", "n"), first, facts, docs, similarity)
+    roots = _roots(first)
+    met = _apart(members.select("sketch", "key", "n"), roots, facts, docs, similarity)
     discard(led)
-    rest = keep(met.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    return texts, keep(first.unionByName(compared(rest)))
+    met = keep(met.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    # of each two classes the pair that may be nearest goes first; what that joins needs no other pair
+    nearest = _between(met, roots).groupBy("low", "high").agg(F.min(F.struct("least", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+    nearest = keep(nearest)
+    second = keep(first.unionByName(compared(nearest)))
+    rest = keep(_between(met.join(nearest, ["a", "b"], "left_anti"), _roots(second)).select("a", "b"))
+    return texts, keep(second.unionByName(compared(rest)))
 
 
 def classes(docs: DataFrame, log: DataFrame | None = None, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
