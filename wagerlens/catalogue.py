@@ -43,7 +43,8 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The legs as placements, a tenth of them reversed by a later version, and some delivered twice."""
+    """The legs as placements, a tenth of them reversed by a later version, some delivered twice, and a few settled
+    with another stake, which may not change."""
     return _staged(spark, sf_dir, "log", lambda: _version_log(spark, sf_dir))
 
 
@@ -54,7 +55,10 @@ def _version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("turnover").alias("ggr"), (F.col("turnover") * F.lit("0.08").cast("decimal(3,2)")).cast("decimal(18,2)").alias("net_revenue"),
         (F.col("version") + 1_000_000_000_000).alias("version"), F.lit("reversal").alias("event_kind"),
     )
-    return rows.unionByName(rows.filter(F.col("version") % 50 == 7)).unionByName(turned)
+    odd = rows.filter(F.col("version") % 1000 == 17).withColumns({
+        "turnover": (F.col("turnover") + 1).cast("decimal(18,2)"), "version": F.col("version") + 500, "event_kind": F.lit("settlement"),
+    })
+    return rows.unionByName(rows.filter(F.col("version") % 50 == 7)).unionByName(turned).unionByName(odd)
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:

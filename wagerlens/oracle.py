@@ -103,6 +103,7 @@ LOG = RAW + r""",
 log AS (
   SELECT * EXCLUDE (raw_n), 'placement' AS event_kind FROM (SELECT *, 0 AS raw_n FROM raw)
   UNION ALL BY NAME SELECT *, 'placement' AS event_kind FROM raw WHERE version % 50 = 7
+  UNION ALL BY NAME SELECT * REPLACE ((turnover + 1)::DECIMAL(18,2) AS turnover, version + 500 AS version), 'settlement' AS event_kind FROM raw WHERE version % 1000 = 17
   UNION ALL BY NAME SELECT * REPLACE (turnover AS ggr, (turnover * 0.08::DECIMAL(3,2))::DECIMAL(18,2) AS net_revenue, version + 1000000000000 AS version), 'reversal' AS event_kind FROM raw WHERE version % 10 = 3),
 now AS (
   SELECT * EXCLUDE (rn) FROM (
