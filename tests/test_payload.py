@@ -52,7 +52,7 @@ def test_command_of_reconciliation(spark, tmp_path):
     (tmp_path / "m_beta.json").write_text(json.dumps(BETA))
     assert main(["reconcile", "--alpha", str(tmp_path / "m_alpha.json"), "--beta", str(tmp_path / "m_beta.json"), "--out", str(tmp_path / "out")]) == 0
     (doc,) = json.loads((tmp_path / "out" / "canonical.json").read_text())
-    assert doc["score"]["value"] == {"home": 1, "away": 0} and len(json.loads((tmp_path / "out" / "reviews.json").read_text())) == len(doc["reviews"])
+    assert doc["score"]["value"] == {"home": 2, "away": 1} and len(json.loads((tmp_path / "out" / "reviews.json").read_text())) == len(doc["reviews"])
     assert rows(spark.range(1))
 
 
