@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import CHAT_SQL, format_chats, read_back, with_hostile
 from .common import table
 from .decontaminate import DECONTAMINATE_SQL, decontaminate
 from .exact_dedup import exact_dedup
@@ -16,6 +17,8 @@ from .quality import fit, score
 from .sharding import shard_rows
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .vector_codes import encode
+from .whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +63,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("evidence")
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond a long
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(format_chats(with_hostile(spark, sf_dir)))
+
+
 SUBSTRING_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS xx, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -116,6 +132,9 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality": op10_quality,
+        "op11_whiten_embeddings": op11_whiten_embeddings,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_format_chats": op13_format_chats,
     }
 
 
@@ -127,4 +146,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mix_sources": MIX_SQL,
         "op8_suffix_dedup": SUFFIX_SQL,
         "op9_exact_dedup": EXACT_SQL,
+        "op13_format_chats": CHAT_SQL,
     }
