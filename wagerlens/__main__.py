@@ -22,14 +22,17 @@ def build(args) -> int:
     from .sources.exports import read_exports
 
     built = payload.build(drop_repeats(read_exports(_session(), args.raw)))
-    failures = payload.check(built.payload)
-    for line in failures:
-        print(line, file=sys.stderr)
-    if args.check:
-        return int(bool(failures) or payload.drifted(built, args.out))
-    if not failures:
-        payload.write(built, args.out)
-    return int(bool(failures))
+    try:
+        failures = payload.check(built.payload)
+        for line in failures:
+            print(line, file=sys.stderr)
+        if args.check:
+            return int(bool(failures) or payload.drifted(built, args.out))
+        if not failures:
+            payload.write(built, args.out)
+        return int(bool(failures))
+    finally:
+        built.release()
 
 
 def generate(args) -> int:

@@ -23,7 +23,7 @@ def turnover_spikes(betslips: DataFrame, *, share: float = DEFAULTS.operating_sh
     spread = days.groupBy("currency").agg(F.median(F.abs(value - F.col("median"))).alias("mad")).filter("mad > 0")
     days = days.join(spread, "currency").withColumn("threshold", F.col("median") + multiplier * F.col("mad"))
     return days.filter(value > F.col("threshold")).select(
-        "currency", "day", value.alias("turnover"), "betslips", "median", "mad", "threshold", F.round(value / F.col("threshold"), 3).alias("excess_ratio")
+        "currency", "day", value.alias("turnover"), "betslips", "median", "mad", "threshold", F.round(F.try_divide(value, F.col("threshold")), 3).alias("excess_ratio")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio4
+from ..sources.pruning import pruned
 from . import breakdown, legs as leg_ops
 from .money import by_currency
 
@@ -51,7 +52,7 @@ def current_legs(log: DataFrame, where: str | None = None) -> DataFrame:
     if where:
         wanted = F.expr(where)
         mutable = [c for c in log.columns if c not in immutable and c.lower() in where.lower()]
-        return leg_ops.collapse(log).filter(wanted) if mutable else leg_ops.collapse(log.filter(wanted))
+        return leg_ops.collapse(log).filter(wanted) if mutable else leg_ops.collapse(pruned(log, where))
     return leg_ops.collapse(log)
 
 

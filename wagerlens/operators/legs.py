@@ -89,10 +89,13 @@ def cross_source_overlap(legs: DataFrame, tag: str = "source_file") -> DataFrame
     return shared.agg(F.count_if("shared").alias("overlap"))
 
 
-def newest() -> Column:
-    """Orders the versions of one identity; equal versions by kind of event, then by their facts."""
+def newest(columns: list[str]) -> Column:
+    """A version with all of its facts, as a struct whose order is total: by version, kind of event, revenue, and then by
+    every other fact, so that only equal rows tie."""
     kind = F.coalesce(F.array_position(F.array(*map(F.lit, ("placement", "settlement", "reversal"))), F.col("event_kind")), F.lit(0)).cast("int")
-    return F.struct(F.col("version"), kind, F.col("ggr"), F.col("net_revenue"))
+    leading = ("version", "ggr", "net_revenue", "turnover")
+    rest = sorted(c for c in columns if c not in leading)
+    return F.struct(F.col("version"), kind.alias("of_kind"), *[F.col(c) for c in leading[1:] if c in columns], *[F.col(c) for c in rest])
 
 
 def collapse(log: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def collapse(log: DataFrame) -> DataFrame:
     A partial aggregation before the shuffle; identities with many versions are combined there.
     """
     rest = [c for c in log.columns if c != "row_key"]
-    return log.groupBy("row_key").agg(F.max_by(F.struct(*rest), newest()).alias("now")).select("row_key", "now.*")
+    return log.groupBy("row_key").agg(F.max(newest(rest)).alias("now")).select("row_key", *[F.col(f"now.{c}") for c in rest])
 
 
 def immutable_conflicts(log: DataFrame) -> DataFrame:
@@ -126,10 +129,13 @@ def stream_position(log: DataFrame) -> DataFrame:
 def fingerprint(log: DataFrame) -> DataFrame:
     """Rows of the collapsed log and the exact sum of their hashes, as text, whatever their order.
 
-    A hash covers the identity, the version and every fact that a version may bring.
+    A hash (60 bits) covers the identity, the version and every fact that a version may bring, each with its length, so
+    that no two rows of different facts have one text and a null is no empty text.  A sum shows accidents and reordering;
+    it is no proof against someone who looks for rows that cancel out.
     """
-    facts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FACTS]
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *facts).cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)")
+    fact = lambda c: F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))
+    facts = [F.coalesce(fact(F.col(c)), F.lit("-")) for c in FACTS]
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *facts).cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
     return collapse(log).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("digest"))
 
 

@@ -110,7 +110,7 @@ def benjamini_hochberg(rows: DataFrame, p: str, q: float, out: str = "fdr_pass")
 
 def score(priced: DataFrame, *, least_betslips: int = DEFAULTS.score_betslips, least_units: int = DEFAULTS.flag_units, q: float = DEFAULTS.fdr_q) -> DataFrame:
     """All scored windows with beat_rate, wilson_lb, score, p_value, fdr_pass and flagged."""
-    baseline = scoring_units(priced).agg((F.count_if("beat") / F.count("*")).alias("baseline"))
+    baseline = scoring_units(priced).agg(F.try_divide(F.count_if("beat"), F.count("*")).alias("baseline"))
     rows = windows(priced).filter(F.col("betslips") >= least_betslips)
     rows = rows.withColumn("beat_rate", F.col("beats") / F.col("priced_units"))
     rows = rows.withColumn("wilson_lb", F.round(wilson_lower(F.col("beats"), F.col("priced_units"), DEFAULTS.wilson_z), 12))

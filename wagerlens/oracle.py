@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracle_feeds
 from .config import PHASES
+from .operators.legs import FACTS
 
 ORDER = "placed_at, row_key, version, ggr"
 
@@ -107,7 +108,7 @@ log AS (
   UNION ALL BY NAME SELECT * REPLACE (turnover AS ggr, (turnover * 0.08::DECIMAL(3,2))::DECIMAL(18,2) AS net_revenue, version + 1000000000000 AS version), 'reversal' AS event_kind FROM raw WHERE version % 10 = 3),
 now AS (
   SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY version DESC, CASE event_kind WHEN 'placement' THEN 1 WHEN 'settlement' THEN 2 WHEN 'reversal' THEN 3 ELSE 0 END DESC, ggr DESC, net_revenue DESC) AS rn FROM log)
+    SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY version DESC, CASE event_kind WHEN 'placement' THEN 1 WHEN 'settlement' THEN 2 WHEN 'reversal' THEN 3 ELSE 0 END DESC, ggr DESC, net_revenue DESC, turnover DESC) AS rn FROM log)
   WHERE rn = 1)"""
 
 TAGGED = RAW + r""",
@@ -297,7 +298,7 @@ SELECT count(*) AS player_centric_legs, count(*) AS template_legs, 0::BIGINT AS
       CASE WHEN count(DISTINCT event_at) > 1 THEN 'event_at' END, CASE WHEN count(DISTINCT currency) > 1 OR count(currency) BETWEEN 1 AND count(*) - 1 THEN 'currency' END, CASE WHEN count(DISTINCT turnover) > 1 THEN 'turnover' END) AS changed FROM log GROUP BY 1)
       SELECT * FROM k WHERE changed <> ''""",
     "stream_position": f"WITH {LOG} SELECT max(version) AS position, count(*) AS rows_stored, count(DISTINCT row_key) AS identities, count(*) - count(DISTINCT row_key) AS pending_supersedence FROM log",
-    "fingerprint": f"""WITH {LOG} SELECT count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', row_key, version::VARCHAR, event_kind, uid, bet_type, match_id::VARCHAR, market, player, selection, management_unit, fixture, competition, coalesce(currency, ''), price::VARCHAR, turnover::VARCHAR, ggr::VARCHAR, net_revenue::VARCHAR)), 1, 12))::BIGINT::HUGEINT)::VARCHAR AS digest FROM now""",
+    "fingerprint": f"""WITH {LOG} SELECT count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', {", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in FACTS)})), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM now""",
     "truncation_report": f"""WITH {CLUSTERS}, s AS (SELECT * FROM clusters ORDER BY cluster_size DESC, legs DESC, uid, placed_at LIMIT 50)
       SELECT count(*) AS total, sum(cluster_size)::BIGINT AS total_bets, (SELECT count(*) FROM s) AS shipped, (SELECT sum(cluster_size)::BIGINT FROM s) AS shipped_bets, count(*) - (SELECT count(*) FROM s) AS omitted FROM clusters""",
     "normalise_text": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+')) AS word FROM documents), f AS (SELECT doc_id, CASE WHEN word <> '' THEN {FOLD.format("word")} END AS name FROM w)

@@ -36,7 +36,11 @@ def plain(value, key: str = ""):
     return str(value)
 
 
-def rows_of(df: DataFrame, limit: int = 5000) -> list[dict]:
+#: Most rows of a table in a report; what is longer is cut in a stated order, with an account.
+LONGEST = 5000
+
+
+def rows_of(df: DataFrame, limit: int = LONGEST) -> list[dict]:
     """The rows of a report, in the order of all their columns; a table over its limit is an error."""
     rows = [plain(r) for r in df.limit(limit + 1).collect()]
     if len(rows) > limit:
@@ -54,6 +58,12 @@ def truncate(df: DataFrame, order: list[Column], limit: int, *, stake: str | Non
     return shown, account
 
 
+def cut(**tables: tuple) -> dict:
+    """The first rows of each table (rows, order, limit), and under truncation an account of what each leaves out."""
+    made = {name: truncate(df, order, limit) for name, (df, order, limit) in tables.items()}
+    return {name: shown for name, (shown, _) in made.items()} | {"truncation": {name: account for name, (_, account) in made.items()}}
+
+
 def payload_hash(value) -> str:
     """First 16 digits of the SHA-256 of the value's JSON with sorted keys."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=True, allow_nan=False).encode()).hexdigest()[:16]

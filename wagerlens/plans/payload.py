@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import platform
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 import pyspark
@@ -18,13 +18,20 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..operators import anomalies, breakdown, concentration, legs as leg_ops, money, players, prices, quality, sharp, timing
 from ..sources.sinks import write_csv, write_json
-from .artifacts import payload_hash, plain, rows_of, truncate
+from .artifacts import LONGEST, cut, payload_hash, plain, rows_of, truncate
 
 
 @dataclass
 class Built:
+    """A payload, the whole tables of what it cuts, and the frames that these are computed from until release()."""
+
     payload: dict
     frames: dict[str, DataFrame]
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for frame in self.held:
+            frame.unpersist()
 
 
 def table(name: str, title: str, grain: str, rows: list[dict], **more) -> dict:
@@ -55,10 +62,11 @@ def _confirmed(part: dict, section: str, key: str, of: str) -> dict:
 
 
 def build(raw: DataFrame) -> Built:
-    """raw: legs before enrichment, without repeated rows."""
+    """raw: legs before enrichment, without repeated rows.  Whoever has written what was built releases it."""
     legs = prices.attach_value(leg_ops.enrich(raw)).persist()
     slips = leg_ops.betslips(legs).persist()
     scored = sharp.score(legs).persist()
+    held = [legs, slips, scored]
     try:
         moves = prices.movement(legs)
         backing, clusters = anomalies.repeat_backing(legs), anomalies.same_second_clusters(legs)
@@ -66,13 +74,23 @@ def build(raw: DataFrame) -> Built:
         named = players.resolve(legs)
         units = concentration.populations(legs, slips)
         spikes, exposed, flags = anomalies.turnover_spikes(slips), anomalies.abnormal_exposure(legs), scored.filter("flagged")
+        daily, eligible, currency = timing.daily(slips), scored.filter(F.col("priced_units") >= DEFAULTS.flag_units), [F.asc_nulls_last("currency")]
+        # findings are confirmed by rows that are looked up by them, whatever else is cut
+        shown_spikes = _cut("anomalies.turnover_spikes", "Turnover spikes", "betslip", spikes, [F.desc("excess_ratio"), F.asc("currency"), F.asc("day")], DEFAULTS.table_rows)
+        shown_flags = _cut("sharp.flagged_windows", "Flagged windows", "betslip", flags, [F.desc("score"), F.asc("uid")], DEFAULTS.table_rows)
+        named_in = lambda rows, key: sorted({str(r[key]) for r in rows["rows"]})
+        spike_days = rows_of(daily.filter(F.col("day").cast("string").isin(named_in(shown_spikes, "day"))))
+        windows = rows_of(eligible.filter(F.col("uid").isin(named_in(shown_flags, "uid"))))
         # the fixtures that exposure names, beside the most frequent ones
         fixtures = breakdown.breakdown(legs.join(F.broadcast(exposed.orderBy(F.desc("share"), "currency", "match_id").limit(DEFAULTS.table_rows).select("match_id").distinct()), "match_id", "left_semi"), "match_id", top_n=DEFAULTS.table_rows, label=F.col("fixture"))
         ranked = lambda key, title, frame, grain, label=None: _ranked(f"flow.by_{title}", f"By {title}", grain, breakdown.breakdown(frame, key, label=label))
         sections = {
             "overview": {
-                "universe": rows_of(leg_ops.universe(legs))[0], "money": rows_of(money.by_currency(slips)), "inflation": rows_of(money.inflation(legs, slips)),
-                "months": rows_of(timing.monthly(slips)), "book": rows_of(quality.book_summary(legs, slips)),
+                "universe": rows_of(leg_ops.universe(legs))[0],
+                **cut(
+                    money=(money.by_currency(slips), currency, LONGEST), inflation=(money.inflation(legs, slips), currency, LONGEST),
+                    months=(timing.monthly(slips), [F.desc("month")], LONGEST), book=(quality.book_summary(legs, slips), currency, LONGEST),
+                ),
             },
             "data_quality": {"counters": rows_of(quality.data_quality(legs))[0], "players": rows_of(players.coverage(named))[0]},
             "flow": {
@@ -84,7 +102,7 @@ def build(raw: DataFrame) -> Built:
             },
             "timing": {
                 "phases": table("timing.phases", "Legs by time phase", "leg", [plain(r) for r in timing.phases(legs)[0].orderBy("position").collect()]),
-                "daily": _cut("timing.daily", "Daily volume", "betslip", timing.daily(slips), [F.desc("day")], 5000),
+                "daily": _cut("timing.daily", "Daily volume", "betslip", daily, [F.desc("day")], LONGEST),
             },
             "prices": {
                 "report": rows_of(prices.coverage(legs))[0],
@@ -94,9 +112,13 @@ def build(raw: DataFrame) -> Built:
                 },
                 "value_histogram": [plain(r) for r in prices.value_histogram(legs).orderBy("bin").collect()],
             },
-            "concentration": {"gini": rows_of(concentration.gini(units)), "top_shares": rows_of(concentration.top_shares(units)), "lorenz": rows_of(concentration.lorenz(units))},
+            "concentration": cut(
+                gini=(concentration.gini(units), [F.asc("population")], LONGEST), top_shares=(concentration.top_shares(units), [F.asc("population"), F.asc("cut")], LONGEST),
+                lorenz=(concentration.lorenz(units), [F.asc("population"), F.asc("point")], LONGEST),
+            ),
             "anomalies": {
-                "turnover_spikes": _confirmed(_cut("anomalies.turnover_spikes", "Turnover spikes", "betslip", spikes, [F.desc("excess_ratio"), F.asc("currency"), F.asc("day")], DEFAULTS.table_rows), "timing.daily", "day", "day"),
+                "turnover_spikes": _confirmed(shown_spikes, "anomalies.spike_days", "day", "day"),
+                "spike_days": table("anomalies.spike_days", "Days with turnover spikes", "betslip", spike_days),
                 "abnormal_exposure": _confirmed(_cut("anomalies.abnormal_exposure", "Abnormal exposure", "leg", exposed, [F.desc("share"), F.asc("currency"), F.asc("match_id")], DEFAULTS.table_rows), "anomalies.exposed_fixtures", "key", "match_id"),
                 "exposed_fixtures": _ranked("anomalies.exposed_fixtures", "Fixtures with abnormal exposure", "leg", fixtures),
                 "repeat_backing": _cut("anomalies.repeat_backing", "Repeated backing of one selection", "betslip", backing, [F.desc("betslips"), F.desc("legs"), F.asc("uid")], DEFAULTS.table_rows),
@@ -104,17 +126,22 @@ def build(raw: DataFrame) -> Built:
             },
             "sharp": {
                 "report": rows_of(sharp.report(legs, scored))[0],
-                "flagged_windows": _confirmed(_cut("sharp.flagged_windows", "Flagged windows", "betslip", flags, [F.desc("score"), F.asc("uid")], DEFAULTS.table_rows), "sharp.eligible_windows", "uid", "uid"),
-                "eligible_windows": _cut("sharp.eligible_windows", "Windows eligible for flagging", "betslip", scored.filter(F.col("priced_units") >= DEFAULTS.flag_units), [F.desc("score"), F.asc("uid")], 5000),
-                "turnover": rows_of(money.by_currency(sharp.turnover_of(scored, slips))),
+                "flagged_windows": _confirmed(shown_flags, "sharp.confirming_windows", "uid", "uid"),
+                "confirming_windows": table("sharp.confirming_windows", "Eligible windows that confirm the flags", "betslip", windows),
+                "eligible_windows": _cut("sharp.eligible_windows", "Windows eligible for flagging", "betslip", eligible, [F.desc("score"), F.asc("uid")], LONGEST),
+                **cut(turnover=(money.by_currency(sharp.turnover_of(scored, slips)), currency, LONGEST)),
             },
         }
-    finally:
-        for frame in (legs, slips, scored):
-            frame.unpersist()
+    except BaseException:
+        Built({}, {}, held).release()
+        raise
     sections = plain(sections)
     sections["meta"] = meta(sections)
-    return Built(sections, {"repeat_backing": backing, "same_second_clusters": clusters, "price_movement": sharp_moves})
+    whole = {
+        "repeat_backing": backing, "same_second_clusters": clusters, "price_movement": sharp_moves, "turnover_spikes": spikes, "abnormal_exposure": exposed,
+        "daily": daily, "eligible_windows": eligible, "gini": concentration.gini(units), "top_shares": concentration.top_shares(units), "lorenz": concentration.lorenz(units),
+    }
+    return Built(sections, whole, held)
 
 
 def meta(payload: dict) -> dict:
@@ -142,7 +169,7 @@ def check(payload: dict) -> list[str]:
         wanted = universe["betslips"] if part["grain"] == "betslip" else universe["legs"]
         if counted != wanted and name not in ("by_selection", "by_player"):
             out.append(f"flow.{name}: {counted} of {wanted}")
-    if sum(r["legs"] for r in payload["timing"]["phases"]["rows"]) > universe["legs"] or sum(r["betslips"] for r in payload["timing"]["daily"]["rows"]) != universe["betslips"]:
+    if sum(r["legs"] for r in payload["timing"]["phases"]["rows"]) > universe["legs"] or not payload["timing"]["daily"]["truncation"] and sum(r["betslips"] for r in payload["timing"]["daily"]["rows"]) != universe["betslips"]:
         out.append("timing: phases or days don't add up")
     report = payload["prices"]["report"]
     if report["eligible_legs"] + report["groups_total"] != report["pre_match_legs"]:
@@ -155,6 +182,10 @@ def check(payload: dict) -> list[str]:
             account = part.get("truncation") if isinstance(part, dict) else None
             if account and "shipped" in account and account["total"] != account["shipped"] + account["omitted"]:
                 out.append(f"{part['id']}: rows left out don't add up")
+        for name, account in content.get("truncation", {}).items() if section != "meta" else ():
+            if account["total"] != account["shipped"] + account["omitted"] or account["shipped"] != len(content[name]):
+                out.append(f"{section}.{name}: rows left out don't add up")
+        for part in content.values() if section != "meta" else ():
             for row in part.get("rows", ()) if isinstance(part, dict) and "id" in part else ():
                 if "verify_ref" in row and not resolve(payload, row["verify_ref"]):
                     out.append(f"{part['id']}: a verify_ref names no row")

@@ -73,14 +73,15 @@ def ingest(events: DataFrame, path: str, checkpoint: str, *, drain: bool = True,
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch", "placed_month")
+    """The log's versions, with the month that is their folder."""
+    return spark.read.parquet(path).drop("batch")
 
 
 def latest_state(events: DataFrame) -> DataFrame:
     """The collapsed state as a streaming aggregation, for sinks in complete or update mode."""
     rows = canonicalise(events).drop("placed_month")
     rest = [c for c in rows.columns if c != "row_key"]
-    return rows.groupBy("row_key").agg(F.max_by(F.struct(*rest), newest()).alias("now")).select("row_key", "now.*")
+    return rows.groupBy("row_key").agg(F.max(newest(rest)).alias("now")).select("row_key", *[F.col(f"now.{c}") for c in rest])
 
 
 def lag(progress: dict) -> dict[str, int]:

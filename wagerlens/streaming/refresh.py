@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, REFRESH_CLASSES
 from ..operators import anomalies, breakdown, concentration, legs as leg_ops, money, players, prices, quality, sharp, timing
-from ..plans.artifacts import envelope, rows_of, truncate
+from ..plans.artifacts import LONGEST, cut, envelope, rows_of
+from ..sources.pruning import pruned
 from ..sources.sinks import write_json
 
 
@@ -20,13 +21,21 @@ def snapshot(log: DataFrame) -> DataFrame:
     return leg_ops.enrich(leg_ops.collapse(log).drop("region", "market_normalised", "is_inplay", "minutes_to_kickoff", "placed_month", "batch"))
 
 
+def _with_money(counts: DataFrame, sums: DataFrame, key: str) -> dict:
+    """A table of few keys, and its amounts by currency, of which there may be many."""
+    cut = _cut(money=(sums, [F.asc_nulls_last("currency"), F.asc(key)], LONGEST))
+    return {"rows": rows_of(counts)} | cut
+
+
 def _overview(legs: DataFrame) -> dict:
     slips = leg_ops.betslips(legs)
+    order = [F.asc_nulls_last("currency")]
     return {
         "universe": rows_of(leg_ops.universe(legs)),
-        "money": rows_of(money.by_currency(slips)),
-        "inflation": rows_of(money.inflation(legs, slips)),
-    } | _cut(monthly=(timing.monthly(slips), [F.desc("month")], 5000))
+    } | _cut(
+        money=(money.by_currency(slips), order, LONGEST), inflation=(money.inflation(legs, slips), order, LONGEST),
+        monthly=(timing.monthly(slips), [F.desc("month")], LONGEST),
+    )
 
 
 def _flow(legs: DataFrame) -> dict:
@@ -35,12 +44,12 @@ def _flow(legs: DataFrame) -> dict:
     parts |= {name: breakdown.breakdown(slips, key) for name, (key, _) in breakdown.SLIP_DIMENSIONS.items()}
     parts["by_selection"] = breakdown.breakdown(breakdown.selections(legs), "selection_key", label=F.col("selection_label"))
     parts["by_player"] = breakdown.breakdown(named.filter("player_name IS NOT NULL"), "player_name")
-    return {name: {"rows": rows_of(counts), "money": rows_of(sums)} for name, (counts, sums) in parts.items()}
+    return {name: _with_money(counts, sums, "key") for name, (counts, sums) in parts.items()}
 
 
 def _timing(legs: DataFrame) -> dict:
     counts, sums = timing.phases(legs)
-    return {"phases": {"rows": rows_of(counts), "money": rows_of(sums)}} | _cut(daily=(timing.daily(leg_ops.betslips(legs)), [F.desc("day")], 5000))
+    return {"phases": _with_money(counts, sums, "phase")} | _cut(daily=(timing.daily(leg_ops.betslips(legs)), [F.desc("day")], LONGEST))
 
 
 def _prices(legs: DataFrame) -> dict:
@@ -54,10 +63,8 @@ def _prices(legs: DataFrame) -> dict:
 
 
 def _cut(**tables: tuple) -> dict:
-    """The first rows of each table (rows, order, and how many if not DEFAULTS.table_rows), and under truncation an
-    account of what each leaves out."""
-    cut = {name: truncate(df, order, *(limit or (DEFAULTS.table_rows,))) for name, (df, order, *limit) in tables.items()}
-    return {name: shown for name, (shown, _) in cut.items()} | {"truncation": {name: account for name, (_, account) in cut.items()}}
+    """cut() of tables of a page: (rows, order), and a limit if it is not DEFAULTS.table_rows."""
+    return cut(**{name: (df, order, *(limit or (DEFAULTS.table_rows,))) for name, (df, order, *limit) in tables.items()})
 
 
 def _anomalies(legs: DataFrame) -> dict:
@@ -93,14 +100,17 @@ def _sharp_whole(legs: DataFrame) -> dict:
     scored = sharp.score(priced)
     out = _cut(
         flagged=(scored.filter("flagged"), [F.desc("score"), F.asc("uid")]),
-        eligible=(scored.filter(F.col("priced_units") >= DEFAULTS.flag_units), [F.desc("score"), F.asc("uid")], 5000),
+        eligible=(scored.filter(F.col("priced_units") >= DEFAULTS.flag_units), [F.desc("score"), F.asc("uid")], LONGEST),
     )
     return out | {"report": rows_of(sharp.report(priced, scored))}
 
 
 def _concentration(legs: DataFrame) -> dict:
     units = concentration.populations(legs, leg_ops.betslips(legs))
-    return {"gini": rows_of(concentration.gini(units)), "top_shares": rows_of(concentration.top_shares(units)), "lorenz": rows_of(concentration.lorenz(units))}
+    return _cut(
+        gini=(concentration.gini(units), [F.asc("population")], LONGEST), top_shares=(concentration.top_shares(units), [F.asc("population"), F.asc("cut")], LONGEST),
+        lorenz=(concentration.lorenz(units), [F.asc("population"), F.asc("point")], LONGEST),
+    )
 
 
 BUILDERS: dict[str, Callable[[DataFrame], dict]] = {
@@ -118,10 +128,10 @@ BUILDERS: dict[str, Callable[[DataFrame], dict]] = {
 def refresh(log: DataFrame, classes: tuple[int, ...] = (1, 2, 3), *, where: str | None = None) -> dict[str, dict]:
     """Artifacts of the named classes only; a class's work is not done for another.
 
-    where: a condition on the log's immutable columns, which reaches its files.
+    where: a condition on the log's immutable columns, which reaches its files; of one on placed_at its folders too.
     """
     began = time.time()
-    log = log.filter(where) if where else log
+    log = pruned(log, where)
     position = leg_ops.stream_position(log).first().asDict()
     legs = snapshot(log).persist()
     try:
