@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +29,28 @@ def breakdown(frame: DataFrame, key: str, *, top_n: int = DEFAULTS.top_n, label:
     named = (label if label is not None else F.col(key)).cast("string")
     currency = F.when(money.known(F.col("currency")), F.col("currency"))
     summed = frame.groupBy(F.col(key).alias("of_key"), currency.alias("currency")).agg(F.count("*").alias("legs"), F.sum("turnover").alias("amount"), F.min(named).alias("label"))
+    return ranked(summed, lambda head: dealt(frame.select(key, "betslip_id"), key, head).groupBy("bucket").agg(F.countDistinct("betslip_id").alias("betslips")), top_n=top_n)
+
+
+def dealt(rows: DataFrame, column: str, head: DataFrame) -> DataFrame:
+    """rows with the bucket of a key: its own for one of the head, else the rest's."""
+    return rows.join(head, F.col(column).eqNullSafe(F.col("head_key")), "left").withColumn("bucket", F.coalesce("head_bucket", F.lit(OTHER)))
+
+
+def ranked(summed: DataFrame, betslips_of: Callable[[DataFrame], DataFrame], *, top_n: int = DEFAULTS.top_n) -> tuple[DataFrame, DataFrame]:
+    """A breakdown from sums by key and currency (of_key, currency, legs, amount, label).
+
+    betslips_of takes the head (head_key, head_bucket; at most top_n rows, broadcast) and counts bucket, betslips.
+    """
     per_key = summed.groupBy("of_key").agg(F.sum("legs").alias("legs"), F.min("label").alias("label"))
     head = per_key.orderBy(F.desc("legs"), F.asc_nulls_last("of_key")).limit(top_n)
     head = F.broadcast(head.select(F.col("of_key").alias("head_key"), F.coalesce(F.col("of_key").cast("string"), F.lit("__null__")).alias("head_bucket")))
-
-    def dealt(rows: DataFrame, column: str) -> DataFrame:
-        return rows.join(head, F.col(column).eqNullSafe(F.col("head_key")), "left").withColumn("bucket", F.coalesce("head_bucket", F.lit(OTHER)))
-
-    counts = dealt(per_key, "of_key").groupBy("bucket").agg(F.sum("legs").alias("legs"), F.min(F.when(F.col("bucket") != OTHER, F.col("label"))).alias("label"))
+    counts = dealt(per_key, "of_key", head).groupBy("bucket").agg(F.sum("legs").alias("legs"), F.min(F.when(F.col("bucket") != OTHER, F.col("label"))).alias("label"))
     total = per_key.agg(F.sum("legs").alias("total"))
-    slips = dealt(frame.select(key, "betslip_id"), key).groupBy("bucket").agg(F.countDistinct("betslip_id").alias("betslips"))
-    counts = counts.join(F.broadcast(slips), "bucket").crossJoin(F.broadcast(total)).select(  # top_n + 1 rows, and one row
+    counts = counts.join(F.broadcast(betslips_of(head)), "bucket").crossJoin(F.broadcast(total)).select(  # top_n + 1 rows, and one row
         F.col("bucket").alias("key"), F.coalesce("label", "bucket").alias("label"), "legs", ratio4(F.col("legs"), F.col("total")).alias("share"), "betslips"
     )
-    sums = dealt(summed, "of_key").groupBy("bucket", "currency").agg(F.sum("amount").alias("amount")).select(F.col("bucket").alias("key"), "currency", "amount")
+    sums = dealt(summed, "of_key", head).groupBy("bucket", "currency").agg(F.sum("amount").alias("amount")).select(F.col("bucket").alias("key"), "currency", "amount")
     return counts, sums
 
 
@@ -60,7 +70,11 @@ def selections(legs: DataFrame, *, markets: int = DEFAULTS.selection_markets) ->
 
     The label names the player only where a market has several.
     """
-    scoped = legs.join(F.broadcast(busiest_markets(legs, markets)), "market_normalised", "left_semi")
+    return labelled(legs.join(F.broadcast(busiest_markets(legs, markets)), "market_normalised", "left_semi"))
+
+
+def labelled(scoped: DataFrame) -> DataFrame:
+    """Adds selection_key and selection_label to rows of a few markets."""
     players = scoped.groupBy("market_normalised").agg(F.countDistinct("player").alias("n_players"))
     shown = F.col("selection")
     for token, name in OUTCOME_NAMES.items():

@@ -19,6 +19,11 @@ FACTS = ("row_key", "version", "event_kind", "uid", "bet_type", "match_id", "mar
 IMMUTABLE = ("uid", "placed_at", "event_at", "bet_type", "match_id", "market", "player", "selection", "currency", "price", "turnover")
 
 
+def second_of(uid: str = "uid", placed_at: str = "placed_at") -> Column:
+    """The Uid and second of a leg, within which betslips are told apart: base_id."""
+    return F.concat_ws("|", uid, F.coalesce(F.date_format(placed_at, "yyyyMMddHHmmss"), F.lit("NaT")))
+
+
 def enrich(legs: DataFrame) -> DataFrame:
     """Add region, is_brand_unit, uid_format, minutes_to_kickoff, is_inplay, market_normalised, base_id,
     betslip_id, had_key_collision and leg_count.
@@ -26,11 +31,10 @@ def enrich(legs: DataFrame) -> DataFrame:
     One shuffle, by base_id: its windows all refine that key.  Names are normalised behind it, in a stage
     of their own: fused with the scan and its joins they would make one method too long to be compiled.
     """
-    base = F.concat_ws("|", "uid", F.coalesce(F.date_format("placed_at", "yyyyMMddHHmmss"), F.lit("NaT")))
     simple = F.col("bet_type") == "SIMPLE"
     second = Window.partitionBy("base_id")
     kind = Window.partitionBy("base_id", "bet_type")
-    rows = legs.withColumn("base_id", base).select(
+    rows = legs.withColumn("base_id", second_of()).select(
         "*",
         F.count("*").over(second).alias("in_second"),
         F.count("*").over(kind).alias("of_kind"),
@@ -89,13 +93,21 @@ def cross_source_overlap(legs: DataFrame, tag: str = "source_file") -> DataFrame
     return shared.agg(F.count_if("shared").alias("overlap"))
 
 
+#: Kinds of event, from the first to the last.
+KINDS = ("placement", "settlement", "reversal")
+
+
+def order_of(columns: list[str]) -> list[str]:
+    """The columns that order versions, first to last; of_kind is the place of event_kind in KINDS, from 1, or 0."""
+    leading = ("version", "ggr", "net_revenue", "turnover")
+    return ["version", "of_kind", *(c for c in leading[1:] if c in columns), *sorted(c for c in columns if c not in leading)]
+
+
 def newest(columns: list[str]) -> Column:
     """A version with all of its facts, as a struct whose order is total: by version, kind of event, revenue, and then by
     every other fact, so that only equal rows tie."""
-    kind = F.coalesce(F.array_position(F.array(*map(F.lit, ("placement", "settlement", "reversal"))), F.col("event_kind")), F.lit(0)).cast("int")
-    leading = ("version", "ggr", "net_revenue", "turnover")
-    rest = sorted(c for c in columns if c not in leading)
-    return F.struct(F.col("version"), kind.alias("of_kind"), *[F.col(c) for c in leading[1:] if c in columns], *[F.col(c) for c in rest])
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_kind")), F.lit(0)).cast("int")
+    return F.struct(*[kind.alias(c) if c == "of_kind" else F.col(c) for c in order_of(columns)])
 
 
 def collapse(log: DataFrame) -> DataFrame:

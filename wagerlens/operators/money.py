@@ -33,6 +33,10 @@ def inflation(legs: DataFrame, betslips: DataFrame) -> DataFrame:
     """Per currency with a positive total: stakes summed over legs, over betslips, and their ratio."""
     over_legs = legs.filter(known(F.col("currency"))).groupBy("currency").agg(F.sum("turnover").alias("leg_turnover"))
     over_slips = betslips.filter(known(F.col("currency"))).groupBy("currency").agg(F.sum("turnover").alias("betslip_turnover"))
+    return ratio(over_legs, over_slips)
+
+
+def ratio(over_legs: DataFrame, over_slips: DataFrame) -> DataFrame:
     return (
         over_legs.join(over_slips, "currency")
         .filter("betslip_turnover > 0")

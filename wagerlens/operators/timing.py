@@ -20,9 +20,13 @@ def phases(legs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(counts, money) by phase; every phase has a row of counts, also without legs."""
     placed = legs.withColumn("phase", phase(F.col("minutes_to_kickoff"))).filter(F.col("phase").isNotNull())
     found = placed.groupBy("phase").agg(F.count("*").alias("legs"), F.countDistinct("betslip_id").alias("betslips"))
-    total = legs.agg(F.count("*").alias("total"))
-    names = phase_names(legs.sparkSession)
-    counts = names.join(found, "phase", "left").crossJoin(F.broadcast(total)).select(
+    return phase_table(found, legs.agg(F.count("*").alias("total"))), money.by_currency(placed, "phase")
+
+
+def phase_table(found: DataFrame, total: DataFrame) -> DataFrame:
+    """All phases in order, with the legs and betslips of those found, and shares of a total (one row)."""
+    names = phase_names(found.sparkSession)
+    return names.join(found, "phase", "left").crossJoin(F.broadcast(total)).select(
         "position",
         "phase",
         "is_pre_match",
@@ -30,14 +34,17 @@ def phases(legs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("betslips", F.lit(0)).alias("betslips"),
         ratio4(F.coalesce("legs", F.lit(0)), F.col("total")).alias("share"),
     )
-    return counts, money.by_currency(placed, "phase")
 
 
 def daily(betslips: DataFrame, *, operating_share: float = DEFAULTS.operating_share) -> DataFrame:
     """Per day: betslips, legs, whether the day has at least a share of the busiest day's betslips."""
     days = betslips.groupBy(F.to_date("placed_at").alias("day")).agg(F.count("*").alias("betslips"), F.sum("legs").alias("legs"))
+    return operating(days, operating_share)
+
+
+def operating(days: DataFrame, share: float = DEFAULTS.operating_share) -> DataFrame:
     busiest = F.max("betslips").over(Window.partitionBy())  # one row a day
-    return days.withColumn("in_operating_period", F.col("betslips") >= busiest * operating_share)
+    return days.withColumn("in_operating_period", F.col("betslips") >= busiest * share)
 
 
 def daily_money(betslips: DataFrame) -> DataFrame:
@@ -46,5 +53,9 @@ def daily_money(betslips: DataFrame) -> DataFrame:
 
 def monthly(betslips: DataFrame) -> DataFrame:
     months = betslips.groupBy(F.date_format("placed_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("betslips"))
+    return shares(months)
+
+
+def shares(months: DataFrame) -> DataFrame:
     total = F.sum("betslips").over(Window.partitionBy())  # one row a month
     return months.withColumn("share", ratio4(F.col("betslips"), total))
