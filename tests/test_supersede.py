@@ -4,6 +4,7 @@ import json
 import random
 
 from conftest import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wagerlens.operators import legs as L
@@ -35,7 +36,7 @@ def test_changes_equal_the_collapse_over_files_in_any_order_and_a_restart(spark,
     write(source, "2.json", versions[60:] + versions[:20])  # late versions and repeated ones, after a restart
     run()
     made = spark.read.parquet(out)
-    last = made.withColumn("n", F.row_number().over(L.Window.partitionBy("row_key").orderBy(F.desc("batch")))).filter("n = 1").drop("n", "batch", "replaced_version")
+    last = made.withColumn("n", F.row_number().over(Window.partitionBy("row_key").orderBy(F.desc("batch")))).filter("n = 1").drop("n", "batch", "replaced_version")
     wanted = L.collapse(E.canonicalise(E.read_event_files(spark, str(source))).drop("placed_month"))
     assert rows(last.select(*wanted.columns)) == rows(wanted)
     # changes only: once a batch for an identity, each after the one it replaces

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -55,9 +56,13 @@ def changes(events: DataFrame) -> DataFrame:
     an identity's first.  For sinks in update mode; the session keeps its state in RocksDB, of any size."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = canonicalise(events).drop("placed_month")
-    facts = T.StructType([f for f in rows.schema if f.name != "row_key"])
+    # instants as microseconds: the store gives times back in another zone than rows have them
+    times = [f.name for f in rows.schema if isinstance(f.dataType, T.TimestampType)]
+    kept = rows.withColumns({c: F.unix_micros(c) for c in times})
+    facts = T.StructType([f for f in kept.schema if f.name != "row_key"])
     out = T.StructType([T.StructField("row_key", T.StringType()), *[T.StructField(f.name, f.dataType) for f in facts], T.StructField("replaced_version", T.LongType())])
-    return rows.groupBy("row_key").transformWithState(NewestVersion(facts), outputStructType=out, outputMode="Update", timeMode="None")
+    changed = kept.groupBy("row_key").transformWithState(NewestVersion(facts), outputStructType=out, outputMode="Update", timeMode="None")
+    return changed.withColumns({c: F.timestamp_micros(c) for c in times})
 
 
 def write_changes(events: DataFrame, path: str, checkpoint: str, *, drain: bool = True, every: str = "500 milliseconds") -> StreamingQuery:
