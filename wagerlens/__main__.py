@@ -45,19 +45,30 @@ def generate(args) -> int:
 
 def ingest(args) -> int:
     from .streaming.events import ingest as run, read_event_files, read_event_log
+    from .streaming.watch import run_until_idle
 
     spark = _session()
     source = read_event_log(spark, args.brokers, args.topic) if args.brokers else read_event_files(spark, args.source, streaming=True)
-    run(source, args.log, args.checkpoint, drain=not args.follow).awaitTermination()
+    start = lambda: run(source, args.log, args.checkpoint, drain=not (args.follow or args.idle))
+    if args.idle:
+        watch = run_until_idle(start, spark, args.idle)
+        print(json.dumps({"rows": watch.rows, "batches": watch.batches, "position": watch.position, "lag": watch.lag}))
+    else:
+        start().awaitTermination()
     return 0
 
 
 def refresh(args) -> int:
     from .plans.artifacts import check_invariants
+    from .streaming import cadence
     from .streaming.events import read_log
     from .streaming.refresh import refresh as run, write
 
-    made = run(read_log(_session(), args.log), tuple(args.classes), where=args.where or None)
+    spark = _session()
+    if args.turns:
+        cadence.run(lambda: read_log(spark, args.log), args.out, tuple(args.classes), where=args.where or None, turns=args.turns if args.turns > 0 else None, check=check_invariants)
+        return 0
+    made = run(read_log(spark, args.log), tuple(args.classes), where=args.where or None)
     failures = check_invariants(made)
     for line in failures:
         print(line, file=sys.stderr)
@@ -97,8 +108,8 @@ def main(argv: list[str] | None = None) -> int:
     text = {"default": ""}
     command("build", build, raw={"required": True}, out={"required": True}, check={"action": "store_true"})
     command("generate", generate, events={"type": int, "default": 10_000}, seed={"type": int, "default": 7}, sink={"required": True}, brokers=text, topic=text)
-    command("ingest", ingest, source=text, log={"required": True}, checkpoint={"required": True}, brokers=text, topic=text, follow={"action": "store_true"})
-    command("refresh", refresh, log={"required": True}, out={"required": True}, classes={"type": int, "nargs": "+", "default": [1, 2, 3]}, where=text)
+    command("ingest", ingest, source=text, log={"required": True}, checkpoint={"required": True}, brokers=text, topic=text, follow={"action": "store_true"}, idle={"type": float, "default": 0.0})
+    command("refresh", refresh, log={"required": True}, out={"required": True}, classes={"type": int, "nargs": "+", "default": [1, 2, 3]}, where=text, turns={"type": int, "default": 0})
     command("reconcile", reconcile, alpha={"required": True}, beta={"required": True}, out={"required": True}, parquet={"action": "store_true"})
     args = parser.parse_args(argv)
     return args.run(args)

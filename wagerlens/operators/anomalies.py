@@ -8,20 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..functions.ranks import quantile as quantile_of
 from .legs import ORDER
 
 
 def turnover_spikes(betslips: DataFrame, *, share: float = DEFAULTS.operating_share, least_days: int = DEFAULTS.spike_days, multiplier: float = DEFAULTS.spike_multiplier) -> DataFrame:
-    """Days of a currency whose turnover is over median + multiplier x MAD of its operating days."""
+    """Days of a currency whose turnover is over median + multiplier x MAD of its operating days.
+
+    Median and MAD are exact order statistics of cents, found by histograms.
+    """
     known = betslips.filter(F.col("currency").isNotNull() & F.col("placed_at").isNotNull())
     days = known.groupBy("currency", F.to_date("placed_at").alias("day")).agg(F.sum("turnover").alias("turnover"), F.count("*").alias("betslips"))
     of_currency = Window.partitionBy("currency")  # one row a day
     days = days.withColumn("busiest", F.max("betslips").over(of_currency)).filter(F.col("betslips") >= F.col("busiest") * share)
     value = F.col("turnover").cast("double")
-    middle = days.groupBy("currency").agg(F.median(value).alias("median"), F.count("*").alias("days")).filter(F.col("days") >= least_days)
-    days = days.join(middle, "currency")
-    spread = days.groupBy("currency").agg(F.median(F.abs(value - F.col("median"))).alias("mad")).filter("mad > 0")
-    days = days.join(spread, "currency").withColumn("threshold", F.col("median") + multiplier * F.col("mad"))
+    days = days.withColumn("cents", (F.col("turnover") * 100).cast("long"))
+    # twice the median, and twice the distances from it, are whole cents
+    middle = quantile_of(days, "cents", 0.5, ["currency"]).filter(F.col("n") >= least_days).select("currency", (F.col("low") + F.col("high")).alias("twice"))
+    days = days.join(middle, "currency").withColumn("apart", F.abs(2 * F.col("cents") - F.col("twice")))
+    spread = quantile_of(days, "apart", 0.5, ["currency"]).select("currency", ((F.col("low") + F.col("high")) / F.lit(400.0)).alias("mad")).filter("mad > 0")
+    days = days.withColumn("median", F.col("twice") / F.lit(200.0)).join(spread, "currency").withColumn("threshold", F.col("median") + multiplier * F.col("mad"))
     return days.filter(value > F.col("threshold")).select(
         "currency", "day", value.alias("turnover"), "betslips", "median", "mad", "threshold", F.round(F.try_divide(value, F.col("threshold")), 3).alias("excess_ratio")
     )
@@ -78,9 +84,8 @@ def abnormal_exposure(
     per_fixture = known.groupBy("currency", "match_id").agg(
         F.sum("turnover").alias("fixture_turnover"), F.count("*").alias("n"), F.min_by("fixture", F.struct(*ORDER)).alias("fixture")
     ).filter(F.col("n") >= fixture_legs)
-    cut = per_fixture.groupBy("currency").agg(
-        F.percentile(F.col("fixture_turnover").cast("double"), F.lit(quantile)).alias("cutoff"), F.count("*").alias("eligible")
-    ).filter(F.col("eligible") >= fixtures)
+    cents = per_fixture.withColumn("cents", (F.col("fixture_turnover") * 100).cast("long"))
+    cut = quantile_of(cents, "cents", quantile, ["currency"], scale=100.0).filter(F.col("n") >= fixtures).select("currency", F.col("result").alias("cutoff"))
     chosen = per_fixture.join(cut, "currency").filter((F.col("fixture_turnover").cast("double") >= F.col("cutoff")) & (F.col("fixture_turnover") > 0))
     complete = known.filter(F.col("market_normalised").isNotNull() & F.col("player").isNotNull() & F.col("selection").isNotNull())
     by_selection = complete.join(chosen.select("currency", "match_id"), ["currency", "match_id"], "left_semi").groupBy(

@@ -11,7 +11,9 @@ from ..config import BUILDER_MARKETS, DEFAULTS, OUTCOME_NAMES
 from ..functions.stats import ratio4
 from . import money
 
-OTHER = "__other__"
+OTHER, NULL = "__other__", "__null__"
+#: Buckets in a word of bits, and most counters of one aggregation (its code is compiled as one).
+WORD, COUNTERS = 62, 64
 
 
 def top_keys(frame: DataFrame, key: str, n: int) -> DataFrame:
@@ -22,14 +24,60 @@ def top_keys(frame: DataFrame, key: str, n: int) -> DataFrame:
 def breakdown(frame: DataFrame, key: str, *, top_n: int = DEFAULTS.top_n, label: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(counts, money): counts has key, label, legs, share, betslips; money has key, currency, amount.
 
-    Ranks by count, as money can't be ordered across currencies.  A null key is a key.  One pass over the
-    frame counts and sums by key and currency; what follows reads that small table.  A second pass counts the
-    betslips of the at most top_n keys that are broadcast, and of the rest.
+    Ranks by count, as money can't be ordered across currencies.  A null key is a key.  The top_n keys are found first
+    (a job of its own, whose top_n rows become part of the plan); then every row knows its bucket where it is read, and
+    sums and betslips combine by bucket before any shuffle.
     """
-    named = (label if label is not None else F.col(key)).cast("string")
     currency = F.when(money.known(F.col("currency")), F.col("currency"))
-    summed = frame.groupBy(F.col(key).alias("of_key"), currency.alias("currency")).agg(F.count("*").alias("legs"), F.sum("turnover").alias("amount"), F.min(named).alias("label"))
-    return ranked(summed, lambda head: dealt(frame.select(key, "betslip_id"), key, head).groupBy("bucket").agg(F.countDistinct("betslip_id").alias("betslips")), top_n=top_n)
+    heads = [r["text"] for r in top_keys(frame, key, top_n).select(_text(F.col(key)).alias("text")).collect()]
+    place = _place(_text(F.col(key)), heads)
+    # labels as keys, of which the least is taken afterwards: the least text of a group doesn't fit a hash aggregation
+    shown = F.when(place < len(heads), label.cast("string")) if label is not None else F.lit(None).cast("string")
+    summed = frame.groupBy(place.alias("place"), currency.alias("currency"), shown.alias("label")).agg(F.count("*").alias("legs"), F.sum("turnover").alias("amount"))
+    bucket = _bucket(F.col("place"), heads)
+    counts = summed.groupBy("place").agg(F.sum("legs").alias("legs"), F.min("label").alias("label"))
+    slips = betslips_in(frame.select("betslip_id", place.alias("p0")), 1, len(heads))
+    counts = counts.join(F.broadcast(slips.select(F.col("place").alias("of_place"), "betslips")), F.col("place") == F.col("of_place"))  # a row a bucket
+    total = F.sum("legs").over(Window.partitionBy())
+    counts = counts.select(bucket.alias("key"), F.coalesce("label", bucket).alias("label"), "legs", ratio4(F.col("legs"), total).alias("share"), "betslips")
+    return counts, summed.groupBy("place", "currency").agg(F.sum("amount").alias("amount")).select(bucket.alias("key"), "currency", "amount")
+
+
+def _text(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit(NULL))
+
+
+def _place(text: Column, heads: list[str]) -> Column:
+    """A key's place among the heads; their number for all others."""
+    known = F.array(*map(F.lit, heads)).cast("array<string>")
+    return F.coalesce(F.nullif(F.array_position(known, text), F.lit(0)) - 1, F.lit(len(heads))).cast("int")
+
+
+def _bucket(place: Column, heads: list[str]) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, heads)).cast("array<string>"), place), F.lit(OTHER))
+
+
+def betslips_in(rows: DataFrame, dimensions: int, most: int) -> DataFrame:
+    """(d, place, betslips): exact counts of betslips by bucket, of all dimensions at once.
+
+    rows: betslip_id and p0, p1 ..., the place (0 to most) of the bucket in each dimension.  A bucket is a bit; a betslip's
+    bits are an OR over its legs, which combines before its shuffle, and every bit has a counter: no leg is multiplied, and no
+    pair of bucket and betslip is kept.
+    """
+    words = most // WORD + 1
+    bit = lambda p, w: F.when(p.between(w * WORD, w * WORD + WORD - 1), F.call_function("shiftleft", F.lit(1).cast("long"), p - w * WORD)).otherwise(F.lit(0).cast("long"))
+    pairs = [(d, w) for d in range(dimensions) for w in range(words)]
+    bits = rows.groupBy("betslip_id").agg(*[F.bit_or(bit(F.col(f"p{d}"), w)).alias(f"b{d}_{w}") for d, w in pairs])
+    if dimensions * (most + 1) <= COUNTERS:  # a counter for each bucket, in one row
+        buckets = [(d, place) for d in range(dimensions) for place in range(most + 1)]
+        totals = bits.agg(*[F.sum(F.getbit(f"b{d}_{place // WORD}", F.lit(place % WORD)).cast("long")).alias(f"n{d}_{place}") for d, place in buckets])
+        entries = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(place).alias("place"), F.col(f"n{d}_{place}").alias("betslips")) for d, place in buckets])
+        return totals.select(F.explode(entries).alias("e")).select("e.*").filter("betslips > 0")
+    # else betslips are counted by the bits they have, of which there are few kinds
+    words_of = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w"), F.col(f"b{d}_{w}").alias("bits")) for d, w in pairs])
+    kinds = bits.select(F.explode(words_of).alias("e")).select("e.*").filter("bits <> 0").groupBy("d", "w", "bits").agg(F.count("*").alias("n"))
+    found = kinds.select("d", "w", "n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("bits", b) == 1)).alias("b"))
+    return found.groupBy("d", (F.col("w") * WORD + F.col("b")).alias("place")).agg(F.sum("n").alias("betslips"))
 
 
 def dealt(rows: DataFrame, column: str, head: DataFrame) -> DataFrame:
@@ -44,7 +92,7 @@ def ranked(summed: DataFrame, betslips_of: Callable[[DataFrame], DataFrame], *,
     """
     per_key = summed.groupBy("of_key").agg(F.sum("legs").alias("legs"), F.min("label").alias("label"))
     head = per_key.orderBy(F.desc("legs"), F.asc_nulls_last("of_key")).limit(top_n)
-    head = F.broadcast(head.select(F.col("of_key").alias("head_key"), F.coalesce(F.col("of_key").cast("string"), F.lit("__null__")).alias("head_bucket")))
+    head = F.broadcast(head.select(F.col("of_key").alias("head_key"), F.coalesce(F.col("of_key").cast("string"), F.lit(NULL)).alias("head_bucket")))
     counts = dealt(per_key, "of_key", head).groupBy("bucket").agg(F.sum("legs").alias("legs"), F.min(F.when(F.col("bucket") != OTHER, F.col("label"))).alias("label"))
     total = per_key.agg(F.sum("legs").alias("total"))
     counts = counts.join(F.broadcast(betslips_of(head)), "bucket").crossJoin(F.broadcast(total)).select(  # top_n + 1 rows, and one row
@@ -100,32 +148,33 @@ DIMENSIONS = {"market_normalised": None, "competition": None, "match_id": "fixtu
 
 
 def single_pass(legs: DataFrame, dimensions: dict[str, str | None] = DIMENSIONS, *, top_n: int = DEFAULTS.top_n) -> DataFrame:
-    """The breakdowns of all dimensions from one scan, at the grain of legs: dimension, key (the top_n, and the
-    rest as one), label, currency, legs (of the key), betslips (that name it), turnover (by currency).
+    """The breakdowns of all dimensions at the grain of legs: dimension, key (the top_n, and the rest as one), label,
+    currency, legs (of the key), betslips (that name it), turnover (by currency).
 
-    GROUPING SETS of each dimension with the betslip and the currency; a betslip's rows of one key are one
-    row from the first shuffle on, and only aggregates follow.
+    As breakdown(): one pass finds the heads of all dimensions, a second one knows every row's buckets where it is read.
     """
-    names = list(dimensions)
-    # one row a leg with its keys and labels as text
-    rows = legs.select(
-        *[F.col(d).cast("string").alias(f"k{i}") for i, d in enumerate(names)], "betslip_id",
-        F.when(money.known(F.col("currency")), F.col("currency")).alias("currency"), "turnover",
-        *[F.col(label).cast("string").alias(f"l{i}") for i, label in enumerate(dimensions.values()) if label],
-    )
-    entries = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(f"k{i}"), F.lit("__null__")).alias("key"), (F.col(f"l{i}") if dimensions[d] else F.col(f"k{i}")).alias("label")) for i, d in enumerate(names)])
-    long = rows.select(F.explode(entries).alias("e"), "betslip_id", "currency", "turnover").select("e.*", "betslip_id", "currency", "turnover")
-    slips = long.groupBy("dimension", "key", "betslip_id", "currency").agg(F.count("*").alias("legs"), F.sum("turnover").alias("turnover"), F.min("label").alias("label"))
-    per_key = slips.groupBy("dimension", "key", "currency").agg(F.sum("legs").alias("legs"), F.sum("turnover").alias("turnover"), F.min("label").alias("label"))
-    of_key = per_key.groupBy("dimension", "key").agg(F.sum("legs").alias("legs"))
-    order = Window.partitionBy("dimension").orderBy(F.desc("legs"), "key")
-    head = of_key.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n).select("dimension", "key", F.lit(True).alias("is_head"))
-    bucket = F.when(F.col("is_head"), F.col("key")).otherwise(OTHER)
-    head = F.broadcast(head)  # top_n rows a dimension
-    counted = slips.join(head, ["dimension", "key"], "left").groupBy("dimension", bucket.alias("bucket")).agg(F.countDistinct("betslip_id").alias("betslips"))
-    summed = per_key.join(head, ["dimension", "key"], "left").groupBy("dimension", bucket.alias("bucket"), "currency").agg(
-        F.sum("legs").alias("legs"), F.sum("turnover").alias("turnover"), F.min(F.when(F.col("is_head"), F.col("label"))).alias("label")
+    names, spark = list(dimensions), legs.sparkSession
+    keys = [_text(F.col(d)).alias(f"k{i}") for i, d in enumerate(names)]
+    of = lambda c: F.coalesce(*[F.when(F.col(f"{c}{i}").isNotNull(), F.lit(i)) for i in range(len(names))]).alias("d")  # noqa: E731  the one column of a row that its set groups by
+    one = lambda c: F.coalesce(*[F.col(f"{c}{i}") for i in range(len(names))])
+    counts = legs.select(*keys).groupingSets([[f"k{i}"] for i in range(len(names))], *[f"k{i}" for i in range(len(names))]).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("d").orderBy(F.desc("n"), "key")  # Spark keeps top_n rows a task before it ranks
+    top = counts.select(of("k"), one("k").alias("key"), "n").filter("d IS NOT NULL").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+    heads: list[list[str]] = [[] for _ in names]
+    for r in top.orderBy("d", "rank").collect():  # top_n rows a dimension
+        heads[r["d"]].append(r["key"])
+    labels = {i: F.when(F.col(f"p{i}") < len(heads[i]), F.col(dimensions[d]).cast("string")) for i, d in enumerate(names) if dimensions[d]}
+    placed = legs.select("*", *[_place(k, heads[i]).alias(f"p{i}") for i, k in enumerate(_text(F.col(d)) for d in names)]).select(
+        "betslip_id", F.when(money.known(F.col("currency")), F.col("currency")).alias("currency"), "turnover", *[f"p{i}" for i in range(len(names))], *[c.alias(f"l{i}") for i, c in labels.items()]
     )
-    return summed.join(F.broadcast(counted), ["dimension", "bucket"]).select(  # top_n + 1 rows a dimension
-        "dimension", F.col("bucket").alias("key"), F.coalesce("label", "bucket").alias("label"), "currency", "legs", "betslips", "turnover"
+    columns = [f"p{i}" for i in range(len(names))] + [f"l{i}" for i in labels] + ["currency"]
+    sets = [[f"p{i}", "currency", *([f"l{i}"] if i in labels else [])] for i in range(len(names))]
+    grouped = placed.groupingSets(sets, *columns).agg(F.count("*").alias("legs"), F.sum("turnover").alias("turnover"))
+    label = F.coalesce(*[F.col(f"l{i}") for i in labels]) if labels else F.lit(None).cast("string")
+    summed = grouped.select(of("p"), one("p").alias("place"), label.alias("label"), "currency", "legs", "turnover").filter("d IS NOT NULL").groupBy("d", "place", "currency").agg(
+        F.sum("legs").alias("legs"), F.sum("turnover").alias("turnover"), F.min("label").alias("label")
     )
+    counted = betslips_in(placed.select("betslip_id", *[f"p{i}" for i in range(len(names))]), len(names), max(map(len, heads)))
+    shown = spark.createDataFrame([(i, p, d, k) for i, d in enumerate(names) for p, k in enumerate([*heads[i], OTHER])], "d int, place int, dimension string, key string")
+    joined = summed.join(F.broadcast(counted), ["d", "place"]).join(F.broadcast(shown), ["d", "place"])  # top_n + 1 rows a dimension
+    return joined.select("dimension", "key", F.coalesce("label", "key").alias("label"), "currency", "legs", "betslips", "turnover")

@@ -1,16 +1,16 @@
 """Concentration: Gini coefficient, Lorenz curve and top shares of any number of populations at once.
 
-Populations are told apart by a key.  A large population is not ranked in one task: units are dealt into
-ranges of their value first, every range's size and sum is taken, and ranks within a range start where
-the ranges before end.
+Populations are told apart by a key.  A large population is not ranked in one task: its values are dealt into
+ranges (functions.ranks), and ranks within a range start where the ranges before end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..functions.ranks import running
 
 
 def ranked(units: DataFrame, *, key: str = "population", value: str = "value") -> DataFrame:
@@ -21,30 +21,9 @@ def ranked(units: DataFrame, *, key: str = "population", value: str = "value") -
     """
     clean = units.filter(F.col(value).isNotNull() & (F.col(value) >= 0))
     distinct = clean.groupBy(key, value).agg(F.count("*").alias("many"))
-    # 256 ranges by the number of digits and the first of them: a few hundred rows of sums a population
-    size = F.floor(F.log2(F.col(value).cast("double") + 1) * 4).cast("int")
-    distinct = distinct.withColumn("range", size)
-    sums = distinct.groupBy(key, "range").agg(F.sum("many").alias("r_n"), F.sum(F.col(value) * F.col("many")).alias("r_sum"))
-    before = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key)
-    sums = sums.select(
-        F.col(key).alias("k"),
-        F.col("range").alias("r"),
-        F.coalesce(F.sum("r_n").over(before), F.lit(0)).alias("n_before"),
-        F.coalesce(F.sum("r_sum").over(before), F.lit(0)).alias("sum_before"),
-        F.sum("r_n").over(whole).alias("n"),
-        F.sum("r_sum").over(whole).alias("total"),
-    )
-    inside = Window.partitionBy(key, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    joined = distinct.join(sums, F.col(key).eqNullSafe(F.col("k")) & (F.col("range") == F.col("r")))
-    return joined.select(
-        key,
-        F.col(value).alias("value"),
-        "many",
-        (F.col("n_before") + F.sum("many").over(inside)).alias("rank"),
-        (F.col("sum_before") + F.sum(F.col(value) * F.col("many")).over(inside)).alias("cumulative"),
-        "n",
-        "total",
+    rows = running(distinct.withColumn("amount", F.col(value) * F.col("many")), value, ["many", "amount"], [key])
+    return rows.select(
+        key, F.col(value).alias("value"), "many", F.col("upto_many").alias("rank"), F.col("upto_amount").alias("cumulative"), F.col("all_many").alias("n"), F.col("all_amount").alias("total")
     )
 
 

@@ -152,15 +152,15 @@ def fingerprint(log: DataFrame) -> DataFrame:
 
 
 def universe(legs: DataFrame) -> DataFrame:
-    """One row of counters.  Each count of different values reads its own column and combines before its
-    shuffle; one aggregation with several of them would multiply every row by their number."""
-    out = legs.agg(
-        F.count("*").alias("legs"),
-        F.min(F.to_date("placed_at")).cast("string").alias("first_day"),
-        F.max(F.to_date("placed_at")).cast("string").alias("last_day"),
-        F.count_if("is_inplay").alias("inplay_legs"),
-    )
+    """One row of counters, from one scan and one shuffle of what differs: values by kind combine before it, and
+    the counters that need no values ride on the betslips."""
     kinds = {"betslips": "betslip_id", "uids": "uid", "fixtures": "match_id", "competitions": "competition", "markets": "market_normalised"}
-    for name, column in kinds.items():
-        out = out.crossJoin(F.broadcast(legs.agg(F.countDistinct(column).alias(name))))  # one row each
-    return out
+    entries = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(c).cast("string").alias("value")) for name, c in kinds.items()])
+    rows = legs.select(F.explode(entries).alias("e"), F.to_date("placed_at").alias("day"), F.col("is_inplay").cast("int").alias("inplay"))
+    found = rows.groupBy("e.kind", "e.value").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.sum("inplay").alias("inplay"))
+    slips = F.col("kind") == "betslips"  # of each leg one
+    return found.agg(
+        F.coalesce(F.sum(F.when(slips, F.col("n"))), F.lit(0)).alias("legs"), F.min(F.when(slips, F.col("first"))).cast("string").alias("first_day"),
+        F.max(F.when(slips, F.col("last"))).cast("string").alias("last_day"), F.coalesce(F.sum(F.when(slips, F.col("inplay"))), F.lit(0)).alias("inplay_legs"),
+        *[F.count_if((F.col("kind") == name) & F.col("value").isNotNull()).alias(name) for name in kinds],
+    )

@@ -6,10 +6,11 @@ one-sided and controlled for false discoveries over the family of all flag-eligi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..functions.ranks import running
 from ..functions.stats import binomial_upper_tail, floor_div, wilson_lower
 from .legs import ORDER
 from .prices import GROUP
@@ -87,24 +88,19 @@ def windows(priced: DataFrame) -> DataFrame:
 
 
 def percentile_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of ties over n, times 100, one decimal.  Ranks different values, not rows."""
-    kinds = rows.groupBy(value).agg(F.count("*").alias("peers"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # one row a value of the scored windows
-    kinds = kinds.select(
-        F.col(value).alias("of_value"), ((F.sum("peers").over(upto) - (F.col("peers") - 1) / 2) / F.sum("peers").over(Window.partitionBy())).alias("part")
-    )
+    """Average rank of ties over n, times 100, one decimal.  Ranks different values, not rows, within ranges."""
+    kinds = running(rows.groupBy(value).agg(F.count("*").alias("peers")), value, ["peers"], [])
+    kinds = kinds.select(F.col(value).alias("of_value"), ((F.col("upto_peers") - (F.col("peers") - 1) / 2) / F.col("all_peers")).alias("part"))
     return rows.join(kinds, F.col(value).eqNullSafe(F.col("of_value"))).withColumn(out, F.round(F.col("part") * 100, 1)).drop("of_value", "part")
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, q: float, out: str = "fdr_pass") -> DataFrame:
     """Step-up mask over one family: passes where p is at most the largest p_(i) <= q i / n.
 
-    The family must be ranked whole, so it ranks distinct p-values with their counts, one row each.
+    The family is ranked whole: distinct p-values with their counts, within ranges that add what the ranges before have.
     """
-    kinds = rows.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("peers"))
-    upto = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    kinds = kinds.withColumn("rank", F.sum("peers").over(upto)).withColumn("n", F.sum("peers").over(Window.partitionBy()))
-    limit = kinds.agg(F.max(F.when(F.col(p) <= q * F.col("rank") / F.col("n"), F.col(p))).alias("p_limit"))
+    kinds = running(rows.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("peers")), p, ["peers"], [])
+    limit = kinds.agg(F.max(F.when(F.col(p) <= q * F.col("upto_peers") / F.col("all_peers"), F.col(p))).alias("p_limit"))
     return rows.crossJoin(F.broadcast(limit)).withColumn(out, F.coalesce(F.col(p) <= F.col("p_limit"), F.lit(False))).drop("p_limit")
 
 

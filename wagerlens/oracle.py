@@ -174,10 +174,10 @@ clusters AS (
   FROM legs WHERE had_key_collision GROUP BY uid, placed_at)"""
 
 SPIKES = r"""
-days0 AS (SELECT currency, placed_at::DATE AS day, sum(turnover)::DOUBLE AS t, count(*) AS betslips FROM betslips WHERE currency IS NOT NULL GROUP BY 1, 2),
+days0 AS (SELECT currency, placed_at::DATE AS day, sum(turnover)::DOUBLE AS t, (sum(turnover) * 100)::BIGINT AS c, count(*) AS betslips FROM betslips WHERE currency IS NOT NULL GROUP BY 1, 2),
 days AS (SELECT * FROM (SELECT *, max(betslips) OVER (PARTITION BY currency) AS busiest FROM days0) WHERE betslips >= busiest * 0.01),
-mids AS (SELECT currency, median(t) AS med FROM days GROUP BY 1 HAVING count(*) >= 10),
-mads AS (SELECT currency, med, median(abs(t - med)) AS mad FROM days JOIN mids USING (currency) GROUP BY 1, 2 HAVING median(abs(t - med)) > 0),
+mids AS (SELECT currency, (2 * median(c))::BIGINT AS twice FROM days GROUP BY 1 HAVING count(*) >= 10),
+mads AS (SELECT currency, twice / 200.0::DOUBLE AS med, median(abs(2 * c - twice)) / 200.0::DOUBLE AS mad FROM days JOIN mids USING (currency) GROUP BY 1, twice HAVING median(abs(2 * c - twice)) > 0),
 spikes AS (SELECT currency, day, t AS turnover, betslips, med AS median, mad, med + 2.0 * mad AS threshold, round(t / (med + 2.0 * mad), 3) AS excess_ratio FROM days JOIN mads USING (currency) WHERE t > med + 2.0 * mad)"""
 
 EXPOSURE = r"""

@@ -64,10 +64,12 @@ def ingest(events: DataFrame, path: str, checkpoint: str, *, drain: bool = True,
     """Append canonical events to the log, by month.  Each batch has its own folders there, overwritten if it is
     repeated, so that a batch that ran twice is in the log once; the checkpoint advances after the write."""
 
+    from .watch import watched
+
     def write(batch: DataFrame, batch_id: int) -> None:
         append_log(batch, path, batch=f"stream-{batch_id}")
 
-    writer = canonicalise(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = watched(canonicalise(events)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
     return writer.start()
 
