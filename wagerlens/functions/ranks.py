@@ -3,7 +3,9 @@
 Values are dealt into ranges whose bounds come from a bounded sketch of each key's values; ranges are summed, and only
 those sums (RANGES rows a key) are cumulated in one place.  Bounds decide how the work is split, never a result.
 Order statistics are found by histograms: each pass counts the next DIGIT bits of the values that share the digits
-found so far, so a pass shuffles 2^DIGIT rows a key at most, whatever it counts.
+found so far, so a pass shuffles 2^DIGIT rows a key and task at most, whatever it counts.
+
+Both read their rows several times: hand them a table that is written, not a long plan.
 """
 
 from __future__ import annotations
@@ -52,10 +54,10 @@ def at_ranks(rows: DataFrame, value: str, ranks: DataFrame, keys: list[str]) ->
     based = rows.join(least.select(*names, "least"), _same(keys, names)).select(*keys, (F.col(value) - F.col("least")).alias("high"))
     wanted = ranks.select(*keys, "place").distinct().withColumns({"left": F.col("place"), "prefix": F.lit(0).cast("long")})
     for i in reversed(range(passes)):
-        seen = wanted.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("prefix").alias("of_prefix")).distinct()
+        seen = wanted.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "place", "left", F.col("prefix").alias("of_prefix"))
         step = based.withColumns({"prefix_of": F.shiftright("high", DIGIT * (i + 1)), "digit": F.shiftright("high", DIGIT * i).bitwiseAND(F.lit((1 << DIGIT) - 1))})
-        counts = step.join(seen, _same([*keys, "prefix_of"], [*names, "of_prefix"])).groupBy(*names, "of_prefix", "digit").agg(F.count("*").alias("n"))
-        found = wanted.join(counts, _same([*keys, "prefix"], [*names, "of_prefix"]))
+        # each pass names the one before once, so plans grow by a step a pass
+        found = step.join(seen, _same([*keys, "prefix_of"], [*names, "of_prefix"])).groupBy(*keys, "place", "left", F.col("of_prefix").alias("prefix"), "digit").agg(F.count("*").alias("n"))
         upto = Window.partitionBy(*keys, "place").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)  # 2^DIGIT rows a place
         found = found.withColumn("upto", F.sum("n").over(upto)).filter((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
         wanted = found.select(*keys, "place", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), (F.shiftleft("prefix", DIGIT) + F.col("digit")).alias("prefix"))

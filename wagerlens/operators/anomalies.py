@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.ranks import quantile as quantile_of
+from ..sources.staged import written
 from .legs import ORDER
 
 
@@ -22,10 +23,10 @@ def turnover_spikes(betslips: DataFrame, *, share: float = DEFAULTS.operating_sh
     of_currency = Window.partitionBy("currency")  # one row a day
     days = days.withColumn("busiest", F.max("betslips").over(of_currency)).filter(F.col("betslips") >= F.col("busiest") * share)
     value = F.col("turnover").cast("double")
-    days = days.withColumn("cents", (F.col("turnover") * 100).cast("long"))
+    days = written(days.withColumn("cents", (F.col("turnover") * 100).cast("long")))
     # twice the median, and twice the distances from it, are whole cents
     middle = quantile_of(days, "cents", 0.5, ["currency"]).filter(F.col("n") >= least_days).select("currency", (F.col("low") + F.col("high")).alias("twice"))
-    days = days.join(middle, "currency").withColumn("apart", F.abs(2 * F.col("cents") - F.col("twice")))
+    days = written(days.join(middle, "currency").withColumn("apart", F.abs(2 * F.col("cents") - F.col("twice"))))
     spread = quantile_of(days, "apart", 0.5, ["currency"]).select("currency", ((F.col("low") + F.col("high")) / F.lit(400.0)).alias("mad")).filter("mad > 0")
     days = days.withColumn("median", F.col("twice") / F.lit(200.0)).join(spread, "currency").withColumn("threshold", F.col("median") + multiplier * F.col("mad"))
     return days.filter(value > F.col("threshold")).select(
@@ -84,8 +85,8 @@ def abnormal_exposure(
     per_fixture = known.groupBy("currency", "match_id").agg(
         F.sum("turnover").alias("fixture_turnover"), F.count("*").alias("n"), F.min_by("fixture", F.struct(*ORDER)).alias("fixture")
     ).filter(F.col("n") >= fixture_legs)
-    cents = per_fixture.withColumn("cents", (F.col("fixture_turnover") * 100).cast("long"))
-    cut = quantile_of(cents, "cents", quantile, ["currency"], scale=100.0).filter(F.col("n") >= fixtures).select("currency", F.col("result").alias("cutoff"))
+    per_fixture = written(per_fixture.withColumn("cents", (F.col("fixture_turnover") * 100).cast("long")))
+    cut = quantile_of(per_fixture, "cents", quantile, ["currency"], scale=100.0).filter(F.col("n") >= fixtures).select("currency", F.col("result").alias("cutoff"))
     chosen = per_fixture.join(cut, "currency").filter((F.col("fixture_turnover").cast("double") >= F.col("cutoff")) & (F.col("fixture_turnover") > 0))
     complete = known.filter(F.col("market_normalised").isNotNull() & F.col("player").isNotNull() & F.col("selection").isNotNull())
     by_selection = complete.join(chosen.select("currency", "match_id"), ["currency", "match_id"], "left_semi").groupBy(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.ranks import running
+from ..sources.staged import written
 
 
 def ranked(units: DataFrame, *, key: str = "population", value: str = "value") -> DataFrame:
@@ -21,7 +22,7 @@ def ranked(units: DataFrame, *, key: str = "population", value: str = "value") -
     """
     clean = units.filter(F.col(value).isNotNull() & (F.col(value) >= 0))
     distinct = clean.groupBy(key, value).agg(F.count("*").alias("many"))
-    rows = running(distinct.withColumn("amount", F.col(value) * F.col("many")), value, ["many", "amount"], [key])
+    rows = running(written(distinct.withColumn("amount", F.col(value) * F.col("many"))), value, ["many", "amount"], [key])
     return rows.select(
         key, F.col(value).alias("value"), "many", F.col("upto_many").alias("rank"), F.col("upto_amount").alias("cumulative"), F.col("all_many").alias("n"), F.col("all_amount").alias("total")
     )

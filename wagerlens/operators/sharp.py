@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.ranks import running
 from ..functions.stats import binomial_upper_tail, floor_div, wilson_lower
+from ..sources.staged import written
 from .legs import ORDER
 from .prices import GROUP
 
@@ -89,7 +90,7 @@ def windows(priced: DataFrame) -> DataFrame:
 
 def percentile_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Average rank of ties over n, times 100, one decimal.  Ranks different values, not rows, within ranges."""
-    kinds = running(rows.groupBy(value).agg(F.count("*").alias("peers")), value, ["peers"], [])
+    kinds = running(written(rows.groupBy(value).agg(F.count("*").alias("peers"))), value, ["peers"], [])
     kinds = kinds.select(F.col(value).alias("of_value"), ((F.col("upto_peers") - (F.col("peers") - 1) / 2) / F.col("all_peers")).alias("part"))
     return rows.join(kinds, F.col(value).eqNullSafe(F.col("of_value"))).withColumn(out, F.round(F.col("part") * 100, 1)).drop("of_value", "part")
 
@@ -99,7 +100,7 @@ def benjamini_hochberg(rows: DataFrame, p: str, q: float, out: str = "fdr_pass")
 
     The family is ranked whole: distinct p-values with their counts, within ranges that add what the ranges before have.
     """
-    kinds = running(rows.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("peers")), p, ["peers"], [])
+    kinds = running(written(rows.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("peers"))), p, ["peers"], [])
     limit = kinds.agg(F.max(F.when(F.col(p) <= q * F.col("upto_peers") / F.col("all_peers"), F.col(p))).alias("p_limit"))
     return rows.crossJoin(F.broadcast(limit)).withColumn(out, F.coalesce(F.col(p) <= F.col("p_limit"), F.lit(False))).drop("p_limit")
 
