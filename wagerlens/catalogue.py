@@ -339,7 +339,7 @@ QUERIES: dict[str, Query] = {
     "rec_score": rec_score,
     "rec_match": lambda s, d: reconcile.reconcile_match(*feeds(s, d)),
     "rec_stats": lambda s, d: reconciled(s, d).stats,
-    "rec_reviews": lambda s, d: reconciled(s, d).reviews.select("match_ref", "review_id", "category", "entity_type", "entity_ref", "severity", "reason", "suggested_action", "alpha_id", "beta_id", "resolution", "target"),
+    "rec_reviews": lambda s, d: reconciled(s, d).reviews.select("match_ref", "review_id", "category", "entity_type", "entity_ref", "severity", "reason", "suggested_action", "alpha_id", "beta_id", "competing_values", "resolution", "target"),
     "rec_summary": lambda s, d: reconcile.summary(reconciled(s, d)),
     "rec_canonical": rec_canonical,
     "universe": lambda s, d: leg_ops.universe(legs(s, d)),

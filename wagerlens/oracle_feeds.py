@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-FEEDS = r"""
+import re
+
+from .functions.wording import ACTIONS, CHOICES, REASONS, sentence_sql
+
+TEMPLATE = r"""
 wide AS (SELECT s_suppkey::BIGINT AS m, 'm' || s_suppkey AS match_ref, s_name, n_nationkey::BIGINT AS n, string_split(lower(n_name), ' ')[1] AS g0, CASE WHEN n_regionkey % 2 = 0 THEN 'Silva' ELSE 'Costa' END AS surname,
   (n_nationkey + s_suppkey) % 4 % 3 AS goals, (n_nationkey * 3 + s_suppkey) % 7 AS shots, CASE WHEN n_nationkey % 2 = 0 THEN 'H' ELSE 'A' END AS side
   FROM supplier, nation WHERE (s_suppkey + n_nationkey) % 3 = 0),
@@ -86,26 +90,38 @@ stats AS (
   FROM players p, (SELECT unnest(['goals', 'shots', 'shots_on_target']) AS stat) s LEFT JOIN long_a x ON x.match_ref = p.match_ref AND x.alpha_id = p.alpha_id AND x.stat = s.stat
   LEFT JOIN long_b y ON y.match_ref = p.match_ref AND y.beta_id = p.beta_id AND y.stat = s.stat WHERE x.v IS NOT NULL OR y.v IS NOT NULL),
 keyed AS (SELECT *, market_type || coalesce('@' || line::VARCHAR, '') AS mref, concat_ws('|', market_type || coalesce('@' || line::VARCHAR, ''), player_ref) AS mkey FROM markets),
-lone AS (SELECT match_ref, mref, mkey, min(place) AS place, any_value(method) AS method FROM keyed WHERE status = 'unmatched' GROUP BY 1, 2, 3),
+lone AS (SELECT match_ref, mref, mkey, min(place) AS place, any_value(method) AS method, list_sort(list_distinct(list(alpha_code) FILTER (alpha_code IS NOT NULL))) AS alpha_codes,
+  list_sort(list_distinct(list(beta_code) FILTER (beta_code IS NOT NULL))) AS beta_codes FROM keyed WHERE status = 'unmatched' GROUP BY 1, 2, 3),
 found AS (
   SELECT match_ref, 0 AS step, 0 AS part, CASE role WHEN 'home' THEN 0 ELSE 1 END AS place, 'value_conflict' AS category, 'team' AS entity_type, role || ' team' AS entity_ref, 'high' AS severity,
-         'role-matched but names disagree: ''' || alpha_name || ''' vs ''' || beta_name || '''' AS reason, 'confirm the feeds refer to the same club' AS suggested_action, alpha_id, beta_id, NULL AS resolution, role AS target
+         @reason:team@ AS reason, @action:team@ AS suggested_action, alpha_id, beta_id, @values:alpha_name:beta_name@ AS competing_values, NULL AS resolution, role AS target
   FROM teams WHERE tier = 0
-  UNION ALL SELECT match_ref, 1, part, place, CASE WHEN status = 'provisional' THEN 'provisional_mapping' WHEN method = 'placeholder' THEN 'data_quality' ELSE 'entity_unmatched' END, 'player', canonical_name,
-         CASE WHEN status = 'provisional' OR method = 'placeholder' THEN 'medium' ELSE 'low' END,
-         CASE WHEN status = 'provisional' THEN 'low-confidence name match: ''' || alpha_name || ''' and ''' || beta_name || ''' (' || method || '); same team, but lexically weak' WHEN method = 'placeholder' THEN 'cannot be matched: no team and/or a placeholder label'
-              WHEN beta_id IS NULL THEN 'present in alpha only; no beta counterpart' ELSE 'present in beta only; no alpha counterpart' END,
-         CASE WHEN status = 'provisional' THEN 'confirm the two ids are the same player; add an alias if so' WHEN method = 'placeholder' THEN 'identify the player in the source feed, or drop the record'
-              WHEN beta_id IS NULL THEN 'confirm the player featured / add mapping if a beta id exists' ELSE 'confirm the player featured / add mapping if an alpha id exists' END,
-         alpha_id, beta_id, NULL, coalesce(alpha_id, '-') || '|' || coalesce(beta_id, '-') FROM players WHERE status <> 'matched'
-  UNION ALL SELECT match_ref, 2, 0, place, 'market_unmatched', 'market', mref, 'low', 'present in ' || regexp_replace(method, '_only$', '') || ' only; no counterpart in the other feed', 'confirm the market was not offered by the other provider', NULL, NULL, NULL, mkey FROM lone
-  UNION ALL SELECT match_ref, 3, 0, 0, 'value_conflict', 'match', 'final score', 'high', 'feeds disagree on the score; resolved to ' || chosen || ' on goal-tally evidence', 'confirm the settled result against an authoritative source', NULL, NULL, chosen || ' by ' || basis, 'score' FROM score WHERE NOT agreement
-  UNION ALL SELECT match_ref, 4, 0, 0, 'value_conflict', 'match', 'kickoff', 'high', 'kickoff instants differ after timezone normalization', 'confirm the true kickoff time', NULL, NULL, 'instants differ; defaulted to alpha', 'kickoff' FROM matches WHERE NOT kickoff_agreement
-  UNION ALL SELECT match_ref, 5, part, place * 10 + CASE stat WHEN 'goals' THEN 1 WHEN 'shots' THEN 2 ELSE 3 END, 'value_conflict', 'player_stat', canonical_name || ' · ' || stat, 'medium', stat || ' differs: alpha ' || alpha_value || ' vs beta ' || beta_value,
-         'confirm against match data; alpha taken as the stats prior', alpha_id, beta_id, 'alpha (stats-specialist feed)', coalesce(alpha_id, '-') || '|' || coalesce(beta_id, '-') || '|' || stat FROM stats WHERE NOT agreement
-  UNION ALL SELECT match_ref, 6, 0, place, 'price_divergence', 'selection', mref || ' · ' || selection, 'info', 'prices differ: alpha ' || alpha_price || ' vs beta ' || beta_price, 'expected between books, but verify on a settled market', NULL, NULL, NULL, mkey || '|' || selection FROM keyed WHERE NOT agreement),
+  UNION ALL SELECT match_ref, 1, part, place, CASE kind WHEN 'provisional' THEN 'provisional_mapping' WHEN 'placeholder' THEN 'data_quality' ELSE 'entity_unmatched' END, 'player', canonical_name,
+         CASE WHEN kind IN ('provisional', 'placeholder') THEN 'medium' ELSE 'low' END,
+         CASE kind WHEN 'provisional' THEN @reason:provisional@ WHEN 'placeholder' THEN @reason:placeholder@ WHEN 'alpha_only' THEN @reason:alpha_only@ ELSE @reason:beta_only@ END,
+         CASE kind WHEN 'provisional' THEN @action:provisional@ WHEN 'placeholder' THEN @action:placeholder@ WHEN 'alpha_only' THEN @action:alpha_only@ ELSE @action:beta_only@ END,
+         alpha_id, beta_id, CASE kind WHEN 'provisional' THEN @values:alpha_name:beta_name@ END, NULL, coalesce(alpha_id, '-') || '|' || coalesce(beta_id, '-')
+  FROM (SELECT *, CASE WHEN status = 'provisional' THEN 'provisional' WHEN method = 'placeholder' THEN 'placeholder' WHEN beta_id IS NULL THEN 'alpha_only' ELSE 'beta_only' END AS kind FROM players WHERE status <> 'matched') p
+  UNION ALL SELECT match_ref, 2, 0, place, 'market_unmatched', 'market', mref, 'low', @reason:market@, @action:market@, NULL, NULL, to_json({'alpha': coalesce(alpha_codes, []), 'beta': coalesce(beta_codes, [])})::VARCHAR, NULL, mkey FROM lone
+  UNION ALL SELECT match_ref, 3, 0, 0, 'value_conflict', 'match', 'final score', 'high', @reason:score@, @action:score@, NULL, NULL, to_json({'alpha_result': {'home': alpha_home, 'away': alpha_away}, 'beta_result': {'home': beta_home, 'away': beta_away},
+         'alpha_goal_tally': {'home': alpha_tally_home, 'away': alpha_tally_away}, 'beta_goal_tally': {'home': beta_tally_home, 'away': beta_tally_away}})::VARCHAR, @choice:score@, 'score' FROM score WHERE NOT agreement
+  UNION ALL SELECT match_ref, 4, 0, 0, 'value_conflict', 'match', 'kickoff', 'high', @reason:kickoff@, @action:kickoff@, NULL, NULL, @values:alpha_kickoff:beta_kickoff@, @choice:kickoff@, 'kickoff' FROM matches WHERE NOT kickoff_agreement
+  UNION ALL SELECT match_ref, 5, part, place * 10 + CASE stat WHEN 'goals' THEN 1 WHEN 'shots' THEN 2 ELSE 3 END, 'value_conflict', 'player_stat', canonical_name || ' · ' || stat, 'medium', @reason:stat@, @action:stat@, alpha_id, beta_id,
+         @values:alpha_value:beta_value@, @choice:stat@, coalesce(alpha_id, '-') || '|' || coalesce(beta_id, '-') || '|' || stat FROM stats WHERE NOT agreement
+  UNION ALL SELECT match_ref, 6, 0, place, 'price_divergence', 'selection', mref || ' · ' || selection, 'info', @reason:price@, @action:price@, NULL, NULL, @values:alpha_price:beta_price@, NULL, mkey || '|' || selection FROM keyed WHERE NOT agreement),
 reviews AS (SELECT *, 'R' || CASE WHEN k < 100 THEN lpad(k::VARCHAR, 2, '0') ELSE k::VARCHAR END AS review_id FROM (SELECT *, row_number() OVER (PARTITION BY match_ref ORDER BY step, part, place, entity_ref, target) AS k FROM found))"""
 
+
+
+def _said(mark: re.Match) -> str:
+    """What stands for a mark: a sentence that the query has too, or the feeds' competing values as JSON."""
+    kind, *names = mark[1].split(":")
+    if kind == "values":
+        return f"to_json({{'alpha': {names[0]}, 'beta': {names[1]}}})::VARCHAR"
+    return sentence_sql({"reason": REASONS, "action": ACTIONS, "choice": CHOICES}[kind][names[0]])
+
+
+FEEDS = re.sub(r"@([a-z_:]+)@", _said, TEMPLATE)
 _WITH = f"WITH RECURSIVE {FEEDS}"
 
 SQL: dict[str, str] = {
@@ -117,7 +133,7 @@ SQL: dict[str, str] = {
     "rec_score": f"{_WITH} SELECT * FROM score",
     "rec_match": f"{_WITH} SELECT * FROM matches",
     "rec_stats": f"{_WITH} SELECT * FROM stats",
-    "rec_reviews": f"{_WITH} SELECT match_ref, review_id, category, entity_type, entity_ref, severity, reason, suggested_action, alpha_id, beta_id, resolution, target FROM reviews",
+    "rec_reviews": f"{_WITH} SELECT match_ref, review_id, category, entity_type, entity_ref, severity, reason, suggested_action, alpha_id, beta_id, competing_values, resolution, target FROM reviews",
     "rec_summary": f"{_WITH} SELECT 'review' AS kind, severity AS value, count(*) AS n FROM reviews GROUP BY 2 UNION ALL SELECT 'player', status, count(*) FROM players GROUP BY 2",
     "rec_canonical": f"""{_WITH}, r AS (SELECT match_ref, count(*) AS reviews, count(*) FILTER (step = 0) AS t, count(*) FILTER (step = 1) AS p, count(*) FILTER (step = 5) AS s, bool_or(step = 3) AS sc, bool_or(step = 4) AS k FROM reviews GROUP BY 1),
       q AS (SELECT match_ref, count(*) AS markets, count(*) FILTER (status = 'unmatched' OR NOT agreement) AS marked FROM markets GROUP BY 1)
