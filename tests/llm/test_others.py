@@ -100,13 +100,78 @@ def test_fuzzy_labels_equal_brute_force():
             near = []
             for other, label, telling in license_scan.NOTICES:
                 errors = substring_distance(other, f" {folded} ")
-                if errors <= license_scan.allowed_edits(other) and set(telling) <= set(folded.split()):
+                if label and errors <= license_scan.allowed_edits(other) and set(telling) <= set(folded.split()):
                     near.append((errors / len(other), -len(other), label))
             got = license_scan.scan_text(folded.encode(), finder, phrases=())
             assert got["labels"] == (min(near)[2] if near else ""), folded
             assert got["score"] == pytest.approx(1 - min(near)[0] if near else 0.0)
 
 
+#: Headers and openings as they stand in files; the labels are what a reader would say (base labels stay, so LGPL and AGPL have gpl too).
+HEADERS = {
+    "Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache",
+    "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in\n# compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/": "mpl",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file": "mpl",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.": "cddl",
+    "Licensed under the Educational Community License, Version 2.0 (the \"License\"); you may\nnot use this file except in compliance with the License.": "ecl",
+    "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence.": "eupl",
+    "The Apache Software License, Version 1.1\n *\n * Copyright (c) 1999 The Apache Software Foundation.  All rights\n * reserved.\n *\n * Redistribution and use in source and binary forms, with or without modification, are permitted provided": "apache",
+    "Copyright (c) 1998 The OpenSSL Project.  All rights reserved.\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted": "openssl",
+    "Copyright (c) 2009, A. Person. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    "Copyright 2001 A. Person. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal": "mit",
+    "The MIT License (MIT) Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "University of Illinois/NCSA Open Source License. Copyright (c) 2004 A. Group. All rights reserved. Permission is hereby granted, free of charge, to any person obtaining a copy of": "ncsa",
+    "PERMISSION & CONDITIONS: Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use": "ofl",
+    "This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages": "zlib",
+    "This software is provided \"as is\" without any express or implied warranty, and the maker keeps all rights": "",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this": "isc",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS": "0bsd",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided": "postgresql",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "boost",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by": "gpl,lgpl",
+    "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3": "agpl,gpl",
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy": "unlicense",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at": "epl",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc",
+    "You may not use this file except in compliance with the license of your company's handbook": "",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)": "boost",
+}
+
+
+@pytest.mark.parametrize("header", list(HEADERS))
+def test_headers_of_real_files(header):
+    finder = license_scan.NoticeFinder()
+    for text in (header, f"/* {header} */ int main() {{}} " + "and more code " * 50, "x " * 400 + header.upper()):
+        got = license_scan.scan_text(text.encode(), finder)
+        assert got["labels"] == HEADERS[header]
+        assert (got["score"] > 0.8) == bool(HEADERS[header])
+
+
+def test_two_licenses_each_with_a_shared_sentence():
+    finder = license_scan.NoticeFinder()
+    both = [h for h in HEADERS if "EUPL" in h or "Version 1.1 (the" in h]
+    for texts in (both, both[::-1]):
+        assert license_scan.scan_text((" . ".join(texts)).encode(), finder)["labels"] == "eupl,mpl"
+        assert license_scan.scan_text((" pad" * 500).join(texts).encode(), finder)["labels"] == "eupl,mpl"
+    far = "the mozilla public license " + "word " * 80 + "you may not use this file except in compliance with the license"
+    assert license_scan.scan_text(far.encode(), finder)["labels"] == ""
+
+
+def test_base_columns_equal_sql(spark, sf):
+    """The base half of the contract in SQL: words, phrases' places, first and last, labels."""
+    import duckdb
+
+    con = duckdb.connect()
+    wanted = con.execute(rf"""
+      WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM '{sf}/documents.parquet'),
+      p AS (SELECT doc_id, len(w) AS n, list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS m, list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS a,
+            list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS g FROM w)
+      SELECT doc_id, n, len(m) + len(a) + len(g), list_min(m || a || g), list_max(m || a || g), concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) FROM p""").fetchall()
+    got = license_scan.license_scan(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted) and any(r[2] for r in wanted)
+
+
 def test_license_scan_without_documents(spark):
     assert license_scan.license_scan(docs_of(spark, [])).count() == 0
 

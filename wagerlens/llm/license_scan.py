@@ -6,8 +6,10 @@ exact search for the seeds finds every candidate place; the regex library's boun
 verifies the stretch around it and reports the span and its errors.
 
 The words that tell a notice from another license's must stand in the span exactly: an error in the name of
-the license is another license.  Where matches of several notices overlap, the nearest wins: the smallest
-share of letters in error, then the longer notice.
+the license is another license.  Sentences that several licenses share don't label by themselves: the license
+named nearest to the sentence, within NEAR letters, is the label; where none is named, it is the license that
+never names itself, if there is such a one, else there is no match.  Where matches of several notices overlap,
+the nearest wins: the smallest share of letters in error, then the longer notice.
 
 One pass over the documents, no shuffle.  score: 1 with an exact notice or phrase, less by the share of
 letters in error for the best fuzzy match, 0 without any.
@@ -36,6 +38,7 @@ PHRASES = (
 )
 
 #: Short notices, as folded words, the labels that the fuzzy search adds, and their telling words.
+#: The label of a sentence in SHARED is the license that never names itself, or empty.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", ()),
     ("released under the mit license", "mit", ("mit",)),
@@ -43,7 +46,8 @@ NOTICES = (
     ("distributed under the terms of the mit license", "mit", ("mit",)),
     ("licensed under the apache license version 2 0", "apache", ("apache",)),
     ("released under the apache license", "apache", ("apache",)),
-    ("you may not use this file except in compliance with the license", "apache", ()),
+    ("the apache software license version 1 1", "apache", ("apache",)),
+    ("you may not use this file except in compliance with the license", "", ()),
     ("under the terms of the gnu general public license", "gpl", ("gnu", "general")),
     ("released under the gnu general public license", "gpl", ("gnu", "general")),
     ("under the terms of the gnu lesser general public license", "lgpl", ("gnu", "lesser")),
@@ -51,12 +55,14 @@ NOTICES = (
     ("under the terms of the gnu affero general public license", "agpl", ("gnu", "affero")),
     ("subject to the terms of the mozilla public license", "mpl", ("mozilla",)),
     ("licensed under the mozilla public license", "mpl", ("mozilla",)),
+    ("this file are subject to the mozilla public license", "mpl", ("mozilla",)),
     ("redistribution and use in source and binary forms with or without modification", "bsd", ()),
     ("released under the bsd license", "bsd", ("bsd",)),
     ("licensed under the bsd license", "bsd", ("bsd",)),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", ()),
+    ("with or without fee is hereby granted provided that the above copyright notice", "isc", ("provided",)),
+    ("with or without fee is hereby granted the software is provided as is", "0bsd", ()),
     ("licensed under the isc license", "isc", ("isc",)),
-    ("this software is provided as is without any express or implied warranty", "zlib", ()),
+    ("without any express or implied warranty in no event will the authors be held liable", "zlib", ()),
     ("released under the zlib license", "zlib", ("zlib",)),
     ("permission is hereby granted free of charge to any person or organization obtaining a copy", "boost", ("organization",)),
     ("distributed under the boost software license", "boost", ("boost",)),
@@ -68,13 +74,33 @@ NOTICES = (
     ("the person who associated a work with this deed has dedicated the work to the public domain", "cc0", ()),
     ("licensed under the artistic license", "artistic", ("artistic",)),
     ("licensed under the european union public licence", "eupl", ("european", "union")),
+    ("licensed under the eupl version", "eupl", ("eupl",)),
+    ("licensed under the educational community license", "ecl", ("educational", "community")),
     ("this font software is licensed under the sil open font license", "ofl", ("font",)),
     ("licensed under the microsoft public license", "ms-pl", ("microsoft",)),
     ("released under the postgresql license", "postgresql", ("postgresql",)),
+    ("without fee and without a written agreement is hereby granted", "postgresql", ()),
     ("licensed under the python software foundation license", "psf", ("python", "foundation")),
     ("licensed under the university of illinois ncsa open source license", "ncsa", ("illinois",)),
 )
 
+#: Sentences of several licenses, and the names by which each of these is told.
+SHARED = {
+    "permission is hereby granted free of charge to any person obtaining a copy": (
+        ("mit license", "mit"), ("university of illinois", "ncsa"), ("ncsa open source license", "ncsa"), ("font software", "ofl"), ("sil open font license", "ofl"),
+    ),
+    "you may not use this file except in compliance with the license": (
+        ("apache license", "apache"), ("mozilla public license", "mpl"), ("netscape public license", "npl"), ("common development and distribution license", "cddl"),
+        ("educational community license", "ecl"), ("eupl", "eupl"), ("european union public licence", "eupl"), ("common public attribution license", "cpal"),
+    ),
+    "redistribution and use in source and binary forms with or without modification": (
+        ("bsd license", "bsd"), ("apache software license", "apache"), ("apache software foundation", "apache"), ("openssl project", "openssl"), ("php license", "php"),
+    ),
+}
+
+#: How far from a shared sentence, in letters of folded text, its license may be named.
+NEAR = 300
+
 
 def allowed_edits(notice: str) -> int:
     """One error for each twelve letters."""
@@ -88,9 +114,23 @@ def seeds_of(notice: str, edits: int) -> list[tuple[int, bytes]]:
     return [(cuts[k], raw[cuts[k] : cuts[k + 1]]) for k in range(n)]
 
 
+def named_near(folded: bytes, start: int, end: int, names: list[tuple[bytes, str]], label: str) -> str:
+    """The label of the name nearest to a span, in front of it or behind; else the given one."""
+    best = (NEAR + 1, -1, label)
+    for i, (key, of) in enumerate(names):
+        at = folded.rfind(key, max(start - NEAR, 0), start + 1)
+        if at >= 0:
+            best = min(best, (start + 1 - at - len(key), i, of))
+        at = folded.find(key, max(end - 1, 0), end + NEAR)
+        if at >= 0:
+            best = min(best, (at + 1 - end, i, of))
+    return best[2]
+
+
 class NoticeFinder:
-    def __init__(self, notices=NOTICES):
+    def __init__(self, notices=NOTICES, shared=SHARED):
         self.notices = []
+        self.names = {text.encode(): [(f" {name} ".encode(), label) for name, label in names] for text, names in shared.items()}
         for text, label, telling in notices:
             edits = allowed_edits(text)
             pattern = regex.compile(b"(?:" + regex.escape(text.encode(), literal_spaces=True) + b"){e<=%d}" % edits, regex.BESTMATCH)
@@ -118,7 +158,9 @@ class NoticeFinder:
                     stretches += [(low, m.start()), (m.end(), high)]
                     first, last = folded.rfind(b" ", 0, m.start() + 1) + 1, folded.find(b" ", max(m.end() - 1, 0))
                     if telling <= set(folded[first : last if last >= 0 else None].split()):
-                        found.append((sum(m.fuzzy_counts) / len(notice), -len(notice), m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                        of = named_near(folded, m.start(), m.end(), self.names.get(notice, []), label)
+                        if of:
+                            found.append((sum(m.fuzzy_counts) / len(notice), -len(notice), m.start(), m.end(), of, sum(m.fuzzy_counts)))
         out: list[tuple[int, int, str, int, int]] = []
         for _, length, start, end, label, errors in sorted(set(found)):
             at = bisect.bisect_left(out, (start,))
