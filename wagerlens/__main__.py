@@ -44,11 +44,16 @@ def generate(args) -> int:
 
 
 def ingest(args) -> int:
-    from .streaming.events import ingest as run, read_event_files, read_event_log
+    from .streaming.events import ingest as run, read_event_files, read_event_log, read_event_rows
     from .streaming.watch import run_until_idle
 
     spark = _session()
-    source = read_event_log(spark, args.brokers, args.topic) if args.brokers else read_event_files(spark, args.source, streaming=True)
+    if args.brokers:
+        source = read_event_log(spark, args.brokers, args.topic)
+    elif args.rows:
+        source = read_event_rows(spark, args.source, args.checkpoint, max_rows=args.rows)
+    else:
+        source = read_event_files(spark, args.source, streaming=True)
     start = lambda: run(source, args.log, args.checkpoint, drain=not (args.follow or args.idle))
     if args.idle:
         watch = run_until_idle(start, spark, args.idle)
@@ -108,10 +113,12 @@ def main(argv: list[str] | None = None) -> int:
     text = {"default": ""}
     command("build", build, raw={"required": True}, out={"required": True}, check={"action": "store_true"})
     command("generate", generate, events={"type": int, "default": 10_000}, seed={"type": int, "default": 7}, sink={"required": True}, brokers=text, topic=text)
-    command("ingest", ingest, source=text, log={"required": True}, checkpoint={"required": True}, brokers=text, topic=text, follow={"action": "store_true"}, idle={"type": float, "default": 0.0})
+    command("ingest", ingest, source=text, log={"required": True}, checkpoint={"required": True}, brokers=text, topic=text, follow={"action": "store_true"}, idle={"type": float, "default": 0.0}, rows={"type": int, "default": 0})
     command("refresh", refresh, log={"required": True}, out={"required": True}, classes={"type": int, "nargs": "+", "default": [1, 2, 3]}, where=text, turns={"type": int, "default": 0})
     command("reconcile", reconcile, alpha={"required": True}, beta={"required": True}, out={"required": True}, parquet={"action": "store_true"})
     args = parser.parse_args(argv)
+    if getattr(args, "rows", 0) and not (args.follow or args.idle):
+        parser.error("--rows takes one batch a trigger: give --idle or --follow")
     return args.run(args)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.clock import minutes_between
 from ..functions.text import management_unit, market
 from ..operators.legs import newest
+from ..sources.lines import MAX_ROWS, read_line_stream
 from ..sources.sinks import append_log
 from ..sources.standin import row_key
 
@@ -29,6 +30,12 @@ def read_event_files(spark: SparkSession, path: str, *, streaming: bool = False,
     return spark.read.schema(EVENT).json(path)
 
 
+def read_event_rows(spark: SparkSession, path: str, checkpoint: str, *, max_rows: int = MAX_ROWS) -> DataFrame:
+    """JSON lines as a stream in batches of at most max_rows rows, for a query with that checkpoint."""
+    lines = read_line_stream(spark, path, f"{checkpoint.rstrip('/')}-positions", max_rows=max_rows)
+    return lines.select(F.from_json("value", EVENT).alias("e")).select("e.*")
+
+
 def read_event_log(spark: SparkSession, brokers: str, topic: str, *, per_trigger: int = 10_000) -> DataFrame:
     """A Kafka topic from its beginning (needs the connector); the checkpoint commits what a sink has written."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)

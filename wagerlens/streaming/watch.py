@@ -65,6 +65,11 @@ class Watch(StreamingQueryListener):
         if self._mine(event.id):
             self.error = event.exception
 
+    def wake(self) -> None:
+        """Idle time counts from now."""
+        with self._lock:
+            self.busy_at = self._clock()
+
     def idle(self) -> float:
         """Seconds since the last batch that had rows."""
         with self._lock:
@@ -78,7 +83,11 @@ def run_until_idle(start: Callable[[], StreamingQuery], spark, seconds: float, *
     try:
         query = start()
         watch.of(query)
-        while query.isActive and (watch.idle() < seconds or query.status["isTriggerActive"] and query.status["isDataAvailable"]):
+        ready = False  # a query that still opens its sources isn't idle
+        while query.isActive and (not ready or watch.idle() < seconds or query.status["isTriggerActive"] and query.status["isDataAvailable"]):
+            if not ready and (watch.batches or query.status["message"].startswith("Waiting")):
+                ready = True
+                watch.wake()
             query.awaitTermination(poll)
         query.stop()
         if query.exception():
