@@ -122,7 +122,7 @@ def score(priced: DataFrame, *, least_betslips: int = DEFAULTS.score_betslips, l
 
 
 def report(priced: DataFrame, scored: DataFrame, *, least_units: int = DEFAULTS.flag_units, q: float = DEFAULTS.fdr_q) -> DataFrame:
-    """One row of counts: windows scored, eligible, flagged, and what plainer rules would have flagged."""
+    """One row: windows scored, eligible, flagged, what plainer rules would have flagged, and the rate of all units that beat."""
     counts = scored.agg(
         F.count("*").alias("scored_windows"),
         F.count_if(F.col("priced_units") >= least_units).alias("flag_eligible_windows"),
@@ -133,7 +133,7 @@ def report(priced: DataFrame, scored: DataFrame, *, least_units: int = DEFAULTS.
         F.median("priced_units").alias("median_units_per_window"),
         (q * F.count_if("flagged")).alias("expected_false_discoveries"),
     )
-    units = scoring_units(priced).agg(F.count("*").alias("scoring_units_total"), F.sum("legs").alias("legs_in_scope"))
+    units = scoring_units(priced).agg(F.count("*").alias("scoring_units_total"), F.sum("legs").alias("legs_in_scope"), F.try_divide(F.count_if("beat"), F.count("*")).alias("baseline_beat_rate"))
     return counts.crossJoin(units)  # one row each
 
 

@@ -353,7 +353,7 @@ SQL |= {
     "sharp_flags": f"WITH {_flagged('0.9')} SELECT uid, round(p_value, 8) AS p_value, fdr_pass, flagged FROM flags",
     "sharp_report": f"""WITH {_flagged('0.1')} SELECT count(*) AS scored_windows, count(*) FILTER (priced_units >= 20) AS flag_eligible_windows, count(*) FILTER (flagged) AS flagged_windows, count(*) FILTER (p_value <= 0.05) AS flags_under_raw_alpha,
       round_even(count(*) * 0.10, 0)::BIGINT AS flags_under_top_decile, count(*) FILTER (multi_currency) AS multi_currency_windows, median(priced_units)::DOUBLE AS median_units_per_window, (0.1 * count(*) FILTER (flagged))::DOUBLE AS expected_false_discoveries,
-      (SELECT count(*) FROM units) AS scoring_units_total, (SELECT sum(legs)::BIGINT FROM units) AS legs_in_scope FROM flags""",
+      (SELECT count(*) FROM units) AS scoring_units_total, (SELECT sum(legs)::BIGINT FROM units) AS legs_in_scope, (SELECT count(*) FILTER (beat) / nullif(count(*), 0) FROM units) AS baseline_beat_rate FROM flags""",
     "lorenz_points": f"""WITH {POPULATIONS}, steps AS (SELECT *, sum(v) OVER (PARTITION BY population ORDER BY r ROWS UNBOUNDED PRECEDING) AS upto FROM ranked WHERE n >= 2 AND total > 0),
       grid AS (SELECT DISTINCT population, n, total, unnest(range(0, 101)) AS i FROM steps)
       SELECT g.population, g.i AS point, round(g.i / 100, 4) AS p, round(CASE WHEN g.i = 0 THEN 0.0 ELSE ((s.upto - s.v)::DOUBLE + s.v::DOUBLE * (g.i / 100 * g.n - (s.r - 1))) / g.total::DOUBLE END, 6) AS share

@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import invariants
+
 MONEY = ("turnover", "ggr", "stake", "amount", "net_revenue", "unresolved_units", "by_currency")
 
 
@@ -118,7 +120,8 @@ def check_invariants(payload: dict) -> list[str]:
     """What a payload of overview, flow, prices and sharp must satisfy; the failures as text.
 
     Legs and betslips are conserved by every breakdown and by the phases, money stands under a currency,
-    pre-match, eligible and in-play legs add up, truncation accounts reconcile, the hash is of the data.
+    pre-match, eligible and in-play legs add up, rates are of their counts, each flagged window passes the gate,
+    the hash is of the data.
     """
     failures = [f"money outside a currency: {p}" for p in money_shape({k: v["data"] for k, v in payload.items()})]
     for name, artifact in payload.items():
@@ -133,13 +136,10 @@ def check_invariants(payload: dict) -> list[str]:
         if legs != wanted and name not in ("by_selection", "by_player"):
             failures.append(f"{name}: {legs} rows counted, {wanted} exist")
     if "prices" in payload and universe:
-        c = payload["prices"]["data"]["coverage"][0]
-        if c["eligible_legs"] + c["groups_total"] != c["pre_match_legs"]:
-            failures.append("prices: eligible legs and groups don't add up to pre-match legs")
-        if c["reference_from_other_uid"] + c["reference_from_same_uid"] != c["eligible_legs"]:
-            failures.append("prices: references don't add up to eligible legs")
-        if c["eligible_legs"] and abs(c["population_beat_rate"] - c["beats"] / c["eligible_legs"]) > 1e-4:
-            failures.append("prices: beat rate")
+        failures += invariants.of_prices(payload["prices"]["data"]["coverage"][0])
+    if "sharp" in payload:
+        data, covered = payload["sharp"]["data"], payload.get("prices", {}).get("data", {}).get("coverage", [None])
+        failures += invariants.of_sharp(data["report"][0], covered[0], data["flagged"], data["truncation"]["flagged"])
     return failures
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..operators import anomalies, breakdown, concentration, legs as leg_ops, money, players, prices, quality, sharp, timing
 from ..sources.sinks import write_csv, write_json
+from . import invariants
 from .artifacts import LONGEST, cut, payload_hash, plain, rows_of, truncate
 
 
@@ -171,12 +172,8 @@ def check(payload: dict) -> list[str]:
             out.append(f"flow.{name}: {counted} of {wanted}")
     if sum(r["legs"] for r in payload["timing"]["phases"]["rows"]) > universe["legs"] or not payload["timing"]["daily"]["truncation"] and sum(r["betslips"] for r in payload["timing"]["daily"]["rows"]) != universe["betslips"]:
         out.append("timing: phases or days don't add up")
-    report = payload["prices"]["report"]
-    if report["eligible_legs"] + report["groups_total"] != report["pre_match_legs"]:
-        out.append("prices: eligible legs and groups are not all pre-match legs")
-    counts = payload["sharp"]["report"]
-    if not counts["flagged_windows"] <= counts["flag_eligible_windows"] <= counts["scored_windows"]:
-        out.append("sharp: flagged, eligible and scored windows are no chain")
+    report, flags = payload["prices"]["report"], payload["sharp"]["flagged_windows"]
+    out += invariants.of_prices(report) + invariants.of_sharp(payload["sharp"]["report"], report, flags["rows"], flags.get("truncation"))
     for section, content in payload.items():
         for part in content.values() if section != "meta" else ():
             account = part.get("truncation") if isinstance(part, dict) else None
