@@ -251,6 +251,31 @@ def test_decontamination_equals_brute_force(spark):
     assert spans[0]["start"] == 100 and spans[0]["end"] == 115
 
 
+def test_a_text_of_many_thousand_hit_windows(spark):
+    """Spans of all lengths, some that touch, some a word apart, in one text that stands in the table three times."""
+    passage, rng = words(2000, 11, 900).split(), random.Random(4)
+    bench = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    text, wanted, at = [], [], 0
+    for i in range(1500):
+        low = rng.randrange(1900)
+        part = passage[low : low + rng.choice((13, 13, 14, 20, 60))]
+        wanted.append((at, at + len(part)))
+        gap = i % 3  # without a gap spans touch and are one
+        text += part + [f"gap{i}x{k}" for k in range(gap)]
+        at += len(part) + gap
+    merged = []
+    for start, end in wanted:
+        if merged and merged[-1][1] == start:
+            merged[-1] = (merged[-1][0], end)
+        else:
+            merged.append((start, end))
+    got = rows(decontaminate.decontaminate(docs_of(spark, [(1, " ".join(text))] * 3), bench))
+    assert len(got) == 3 and len(merged) == 1000
+    for r in got:
+        assert [tuple(s.values() if isinstance(s, dict) else s) for s in r["spans"]] == merged
+        assert r["n_hit"] == sum(e - s for s, e in merged) and r["n_words"] == len(text)
+
+
 def test_large_benchmarks_find_the_same(spark, monkeypatch):
     """Windows joined by a shuffle, and a filter of the largest and the smallest size."""
     docs, items = contamination()

@@ -4,8 +4,9 @@ Items and documents are folded alike (A-Z lower-cased, words between ASCII break
 are its runs of `n` words, or all of it if it is shorter.  The windows, joined by spaces, form a set;
 a document's windows of the same lengths, where their outer words pass a filter, are probed against it by a
 hash join on the window text itself, so a hit is verified by the equality of the words.  Documents are read
-and cut into words once, whatever the benchmark's size.  Only hits are shuffled, to be merged into spans a
-document; the items of a window are looked up for hits alone.
+twice, whatever the benchmark's size: for their windows, and for their numbers of words.  Only hits are
+shuffled; sorted by place, a hit that begins after all that came before it has ended opens a span, so time
+and memory are in proportion to a text's hits.  The items of a window are looked up for hits alone.
 
 The set is broadcast if it has at most `broadcast_rows` windows, counted before; a larger one is joined by a
 shuffle of the windows that pass.  The filter has 16 bits a window, within 8 KB and 512 KB.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BREAK_CLASS, fold_case, keep, whole_rows
@@ -109,21 +110,17 @@ def spans(hit_rows: DataFrame, named: DataFrame) -> DataFrame:
     """Per document with hits: merged spans [start, end) of words, n_hit, found (item ids, sorted as text)."""
     which = hit_rows.select("doc_id", "text_key", "gram").distinct().join(named.select("gram", "item"), "gram")
     which = which.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.array_sort(F.collect_set("item")).alias("found"))
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct(F.col("at"), (F.col("at") + F.col("n_gram")).alias("end")))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda done, w: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= w["at"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], w["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(w["at"].alias("start"), w["end"].alias("end"))))),
+    ends = hit_rows.groupBy("doc_id", "text_key", "at").agg(F.max(F.col("at") + F.col("n_gram")).alias("end"))  # repeated rows are one
+    text = Window.partitionBy("doc_id", "text_key").orderBy("at")  # the hits of one text, sorted and read once
+    reached = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    opens = ends.withColumn("opens", F.when(F.col("at") <= reached, 0).otherwise(1))
+    placed = opens.withColumn("span", F.sum("opens").over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = placed.groupBy("doc_id", "text_key", "span").agg(F.min("at").alias("start"), F.max("end").alias("end"))
+    whole = merged.groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("n_hit")
     )
-    whole = hit_rows.groupBy("doc_id", "text_key").agg(merged.alias("spans"))
     joined = whole.join(which, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
-    return joined.select("doc_id", "text_key", "spans", "found", n_hit.alias("n_hit"))
+    return joined.select("doc_id", "text_key", "spans", "found", "n_hit")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 13, share: int = 20) -> DataFrame:
