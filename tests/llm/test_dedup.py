@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wagerlens.llm import common, exact_dedup, near_dedup, pieces, queries, substring_dedup, suffix_dedup
-from wagerlens.llm.components import components
+from wagerlens.llm.components import components, joined_by
 
 WORDS = [f"w{i}" for i in range(400)]
 SCHEMA = "doc_id long, text string, chunk string, tag long, row string, digest string, node int, size int"
@@ -351,8 +351,9 @@ def test_banded_alignment(a, b, limit):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
-def test_components(spark, links):
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40), st.integers(0, 40))
+def test_components(spark, links, early):
+    """Of all links at once, and of some of them that the others join later."""
     import itertools
 
     root = {x: x for x in itertools.chain(*links)}
@@ -365,8 +366,16 @@ def test_components(spark, links):
     for a, b in links:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a int, b int")).collect()}
-    assert got == {x: find(x) for x in root if any(find(x) == find(y) for y in root if y != x)}
+    wanted = sorted((x, find(x)) for x in root if any(find(x) == find(y) for y in root if y != x))
+    table = lambda some: spark.createDataFrame(some, "a int, b int")
+    assert sorted(map(tuple, components(table(links)).collect())) == wanted
+    some = common.keep(components(table(links[:early])))
+    assert sorted(map(tuple, joined_by(some, table(links[early:])).collect())) == wanted
+
+
+def test_a_long_chain_is_one_component(spark):
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(chain).groupBy("root").count().collect() == [(0, 301)]
 
 
 def test_empty_tables(spark):

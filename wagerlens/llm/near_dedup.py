@@ -18,7 +18,10 @@ Candidates carry two summaries that bound their edit distance from below, words
 changes one) and a bitmap of labelled pairs of words (an edit changes two); what these leave is verified by
 alignment of the words, of long texts along common anchors if that stays within the limit, else in bands: a
 link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.  Linked texts form classes, by
-connected components.
+connected components; links found later join classes, and are looked for and followed only where some are left.
+
+A place in a text counts to 16,777,215: of longer texts the grams beyond have one place, and minima among them
+stand in the order of their hashes.
 
 Two texts with the same share s of labelled grams have a given sketch in common with chance s^3.  A
 similarity of 0.8 means s of some 0.66 at least for single words and 0.43 for pairs (every fifth word
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLD_TABLE, MOST_ROWS, bitmap_of, bitmap_rows, discard, in_bitmap, keep, small_batches, text_bytes, whole_hash, whole_rows
-from .components import components
+from .components import components, joined_by
 from .pieces import RangeHash, expand, mixed
 from .substring_dedup import word_corpus
 
@@ -412,9 +415,9 @@ def _rare_grams(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFra
     return grams.join(often, "cell").withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= F.col("most")).select("cell", "key")
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    """(key, root) of the texts that have links."""
-    return keep(components(links).select(_key("node").alias("key"), _key("root").alias("root")))
+def _by_key(roots: DataFrame) -> DataFrame:
+    """(key, root) of (node, root)."""
+    return roots.select(_key("node").alias("key"), _key("root").alias("root"))
 
 
 def _apart(members: DataFrame, roots: DataFrame, facts: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -451,9 +454,9 @@ def _logged(docs: DataFrame) -> DataFrame:
     return keep(docs.select("doc_id", _node(), F.monotonically_increasing_id().alias("place")))
 
 
-def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame]:
-    """(texts, links): texts has node (digest of the text), best (its smallest document), n; links has pairs
-    (a, b) of different texts, enough of them for the classes of all candidates."""
+def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, links, roots): texts has node (digest of the text), best (its smallest document), n; links has pairs
+    (a, b) of different texts, enough of them for the classes of all candidates; roots has (node, root) of their classes."""
     small_batches(docs.sparkSession)
     log = _logged(docs) if log is None else log
     texts = keep(log.groupBy("node").agg(F.min(_rank()).alias("best"), F.count("*").alias("n")))
@@ -466,7 +469,9 @@ def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float =
     discard(sketched)
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b) of keys."""
+        """Links among pairs (a, b) of keys, a written table."""
+        if pairs.isEmpty():
+            return docs.sparkSession.createDataFrame([], "a binary, b binary")
         wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         chosen = texts.withColumn("key", _key("node")).join(wanted, "key").select(F.col("node").alias("wanted"), F.col("best.doc_id").alias("best_id"))
         chosen = keep(chosen)
@@ -487,22 +492,23 @@ def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float =
     near = led.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b", "summary_a", "summary_b")
     near = keep(near.mapInArrow(_near_enough(similarity), "a long, b long"))
     first = compared(near)
-    roots = _roots(first)
-    met = _apart(members.select("sketch", "key", "n"), roots, facts, docs, similarity)
+    roots = keep(components(first))
+    met = _apart(members.select("sketch", "key", "n"), _by_key(roots), facts, docs, similarity)
     discard(led)
     met = keep(met.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     # of each two classes the pair that may be nearest goes first; what that joins needs no other pair
-    nearest = _between(met, roots).groupBy("low", "high").agg(F.min(F.struct("least", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+    nearest = _between(met, _by_key(roots)).groupBy("low", "high").agg(F.min(F.struct("least", "a", "b")).alias("pair")).select("pair.a", "pair.b")
     nearest = keep(nearest)
-    second = keep(first.unionByName(compared(nearest)))
-    rest = keep(_between(met.join(nearest, ["a", "b"], "left_anti"), _roots(second)).select("a", "b"))
-    return texts, keep(second.unionByName(compared(rest)))
+    second = compared(nearest)
+    roots = joined_by(roots, second)
+    rest = keep(_between(met.join(nearest, ["a", "b"], "left_anti"), _by_key(roots)).select("a", "b"))
+    third = compared(rest)
+    return texts, first.unionByName(second).unionByName(third), joined_by(roots, third)
 
 
 def classes(docs: DataFrame, log: DataFrame | None = None, *, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """Per different text: node, best (document), class_best (the class's smallest document), n_found_links, class_size."""
-    texts, found = links(docs, log, similarity=similarity, sketches=sketches)
-    roots = components(found)
+    texts, found, roots = links(docs, log, similarity=similarity, sketches=sketches)
     # both are written, so that a class of very many texts is split in the join of the two
     rooted = keep(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))))
     heads = keep(rooted.groupBy("root").agg(F.min("best").alias("class_best"), F.sum("n").alias("class_size")))
