@@ -140,6 +140,25 @@ def test_every_removed_byte_comes_from_the_suffix_arrays(spark, monkeypatch):
     assert piece.tolist() == [1] and first.tolist() == [0] and many.tolist() == [n - 49] and least.tolist() == [1]
 
 
+def test_equal_pieces_of_many_chunks_stand_in_the_suffix_arrays_once(monkeypatch):
+    seen, plain = [], suffix_dedup.strings_of_shard
+    monkeypatch.setattr(suffix_dedup, "strings_of_shard", lambda data, *more: seen.append(len(data)) or plain(data, *more))
+    one, two = text(1, 30).encode(), text(2, 30).encode()
+    pieces = [one, two, one, one + two[:60], two, one]
+    smallest, largest = np.array([5, 8, 1, 7, 8, 0]), np.array([5, 8, 4, 7, 8, 0])
+    judge = suffix_dedup.judge_strings(50, 1 << 20)
+    piece, first, many, least = judge(np.frombuffer(b"".join(pieces), dtype=np.uint8), np.array([len(p) for p in pieces]), np.ones(6, dtype=int), smallest, largest)
+    assert sum(seen) == len(one) + len(two) + len(one + two[:60])
+    windows = len(one) - 49
+    assert list(zip(piece.tolist(), first.tolist(), many.tolist(), least.tolist(), strict=True)) == [(0, 0, windows, 0), (1, 0, 11, 7), (2, 0, windows, 0), (3, 0, windows, 0), (4, 0, 11, 7)]
+
+
+def test_pieces_of_one_hash_are_told_apart():
+    pieces = [b"aaa", b"bbb", b"aaa", b"bbb", b"aa"]
+    one, same = suffix_dedup.equal_pieces(np.frombuffer(b"".join(pieces), dtype=np.uint8), np.array([3, 3, 3, 3, 2]), np.zeros(5, dtype=np.uint64))
+    assert [pieces[one[i]] for i in same] == pieces and same[0] == same[2]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=200), st.integers(1, 40))
 def test_window_numbers(ids, window):

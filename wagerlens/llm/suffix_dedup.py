@@ -2,8 +2,9 @@
 
 Texts are cut into pieces by content (see pieces.py), so that equal strings of `length` bytes are always
 in one bucket.  A bucket's pieces, one copy for each chunk of documents that has it, are split into shards of
-bounded size.  Pieces none of whose strings' hashes occur twice, and which stand in one document only, are
-proved to repeat nothing and left out; suffix arrays decide all others.  Each shard gets a
+bounded size.  Equal pieces of several chunks are one piece there.  Pieces none of whose strings' hashes occur
+twice, and which stand in one document only, are proved to repeat nothing and left out; suffix arrays decide all
+others.  Each shard gets a
 suffix array by Larsson-Sadakane refinement (groups by the first 5 bytes, then unsorted groups only,
 doubling the sorted depth by the ranks there; a suffix ends with its piece) and its common prefixes by
 Kasai's relation: they are compared only where the byte before differs and carried on, less one, elsewhere.
@@ -118,21 +119,19 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, end: np.ndarray | None
     prior = np.where(first, -1, data[np.maximum(place - 1, 0)].astype(np.int16))
     theirs = np.where((before < 0) | first[before], -2, data[np.maximum(before - 1, 0)].astype(np.int16))
     measured = np.flatnonzero((before >= 0) & (prior != theirs))
-    wide = _heads(data)
+    wide = np.append(_heads(data), np.uint64(0))
     left, right = measured, before[measured]
     length = np.zeros(len(measured), dtype=np.int64)
     going = np.arange(len(measured))
-    while len(going):
+    while len(going):  # 8 bytes at once, while both have so many
         a, b = left[going] + length[going], right[going] + length[going]
-        room = np.minimum(end[left[going]] - a, end[right[going]] - b)
-        inside = room > 0
-        going, a, b, room = going[inside], a[inside], b[inside], room[inside]
-        odd = wide[a] ^ wide[b]
-        # leading bytes in which they agree
-        same = sum((odd < np.uint64(1 << (64 - 8 * j))).astype(np.int64) for j in range(1, 9))
-        same = np.minimum(same, room)
-        length[going] += same
-        going = going[same == 8]
+        going = going[(wide[a] == wide[b]) & (np.minimum(end[left[going]] - a, end[right[going]] - b) >= 8)]
+        length[going] += 8
+    a, b = left + length, right + length
+    odd = wide[a] ^ wide[b]
+    # leading bytes in which they agree
+    same = sum((odd < np.uint64(1 << (64 - 8 * j))).astype(np.int64) for j in range(1, 9))
+    length += np.minimum(same, np.minimum(end[left] - a, end[right] - b))
     known = np.full(n, np.iinfo(np.int64).min // 2, dtype=np.int64)
     known[measured] = length + measured
     known[before < 0] = place[before < 0]
@@ -149,17 +148,47 @@ def strings_of_shard(data: np.ndarray, end: np.ndarray, valid: np.ndarray, lengt
     return order[real], np.cumsum(np.diff(number, prepend=number[:1]) > 0)
 
 
+def equal_pieces(data: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first piece of each different string, which of these each piece equals); equal hashes are compared
+    byte by byte, and a piece of another string than its hash's first one stays its own."""
+    start = np.cumsum(sizes) - sizes
+    order = np.lexsort((sizes, hashes))  # stable
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (sizes[order[1:]] != sizes[order[:-1]])
+    again = np.flatnonzero(~new)
+    mine, theirs = order[again], order[new][np.cumsum(new) - 1][again]
+    differs = data[expand(start[mine], sizes[mine])] != data[expand(start[theirs], sizes[mine])]
+    alike = np.ones(len(mine), dtype=bool)
+    alike[np.repeat(np.arange(len(mine)), sizes[mine])[differs]] = False
+    head = np.arange(len(sizes))
+    head[mine[alike]] = theirs[alike]
+    return np.unique(head, return_inverse=True)
+
+
 def judge_strings(length: int, shard_bytes: int):
-    """Runs of strings whose smallest document is under the largest that has the piece, by suffix arrays."""
+    """Runs of strings whose smallest document is under the largest that has the piece, by suffix arrays.
+
+    Equal pieces of several chunks stand in the arrays once, with the smallest and largest document of all.
+    """
 
     def judge(data, sizes, counts, smallest, largest):
-        windows = np.maximum(sizes - length + 1, 0)
-        start = expand(np.cumsum(sizes) - sizes, windows)
-        hashes = RangeHash(data)(start, start + length)
-        some = may_repeat(hashes, np.repeat(np.arange(len(sizes)), windows), smallest < largest)
-        chosen = data[expand((np.cumsum(sizes) - sizes)[some], sizes[some])]
-        piece, first, many, least = _indexed(chosen, sizes[some], smallest[some], largest[some], length, shard_bytes)
-        return some[piece], first, many, least
+        start, hashes_of = np.cumsum(sizes) - sizes, RangeHash(data)
+        one, same = equal_pieces(data, sizes, hashes_of(start, start + sizes))
+        low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+        np.minimum.at(low, same, smallest)
+        np.maximum.at(high, same, largest)
+        windows = np.maximum(sizes[one] - length + 1, 0)
+        at = expand(start[one], windows)
+        some = may_repeat(hashes_of(at, at + length), np.repeat(np.arange(len(one)), windows), low < high)
+        chosen = one[some]
+        piece, first, many, least = _indexed(data[expand(start[chosen], sizes[chosen])], sizes[chosen], low[some], high[some], length, shard_bytes)
+        # a run holds for every piece of its string that has a document over its smallest
+        found = np.bincount(some[piece], minlength=len(one))
+        runs = expand((np.cumsum(found) - found)[same], found[same])
+        owner = np.repeat(np.arange(len(sizes)), found[same])
+        real = least[runs] < largest[owner]
+        runs, owner = runs[real], owner[real]
+        return owner, first[runs], many[runs], least[runs]
 
     return judge
 
