@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows, same_as_sql
 from hypothesis import HealthCheck, given, settings
@@ -306,6 +307,57 @@ def test_near_copies_meet_although_longer_texts_share_their_passage(spark):
     assert len(set(found.values())) == len(data) - 4
 
 
+def test_texts_of_one_passage_end_by_their_own_words_before_any_row_is_sent(spark):
+    """70 % of each text is one passage, the rest its own: of 780 pairs none is linked, and all but a few end in their bucket."""
+    passage = text(71, 560)
+    data = [f"{passage} {' '.join(f'v{random.Random(1000 * i + j).randrange(3000)}' for j in range(240))}" for i in range(40)]
+    grams = near_dedup.Grams([t.encode() for t in data])
+    summary, wide = near_dedup.summaries_of(grams), grams.word_counts(near_dedup.WIDE)
+    cell = pa.table({
+        "key": pa.array(range(40), pa.int64()), "root": pa.array(range(40), pa.int64()), "n_words": pa.array(grams.words, pa.int32()), "own": pa.array([0] * 40, pa.int64()),
+        "summary": pa.array([x.tobytes() for x in summary], pa.binary()), "wide": pa.array([x.tobytes() for x in wide], pa.binary()),
+        "listed": pa.array([None] * 40, pa.list_(pa.int64())),
+    })
+    left = near_dedup._meet(0.8)((pa.scalar(1), pa.scalar(0), pa.scalar(0)), cell)
+    assert left.num_rows < 20
+    assert len({r["class_id"] for r in rows(near_dedup.near_dedup(docs_of(spark, list(enumerate(data)))))}) == 40
+
+
+def test_a_pair_of_many_buckets_meets_in_the_first_only():
+    """Sixty near copies of one text in four buckets: each pair comes once, whatever buckets its texts have."""
+    base = text(72, 100).split()
+    data = [" ".join(base[:i] + ["x"] + base[i + 1 :]).encode() for i in range(60)]
+    grams = near_dedup.Grams(data)
+    summary, wide = near_dedup.summaries_of(grams), grams.word_counts(near_dedup.WIDE)
+    buckets = [-5, 3, 8, 11]
+    has = [sorted({-5, b} if i % 3 == 0 else {3, 8, b} if i % 3 == 1 else {8, b}) for i in range(60) for b in [11]]
+    found = []
+    for cell in buckets:
+        own = [i for i in range(60) if cell in has[i]]
+        rows_ = pa.table({
+            "key": pa.array(own, pa.int64()), "root": pa.array(own, pa.int64()), "n_words": pa.array(grams.words[own], pa.int32()), "own": pa.array([0] * len(own), pa.int64()),
+            "summary": pa.array([summary[i].tobytes() for i in own], pa.binary()), "wide": pa.array([wide[i].tobytes() for i in own], pa.binary()), "listed": pa.array([has[i] for i in own], pa.list_(pa.int64())),
+        })
+        met = near_dedup._meet(0.8)((pa.scalar(cell), pa.scalar(0), pa.scalar(0)), rows_)
+        found += list(zip(met.column("a").to_pylist(), met.column("b").to_pylist(), strict=True))
+    assert sorted(found) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+
+
+@pytest.mark.parametrize("many", [1, 3])
+def test_listed_buckets_lose_no_link(spark, monkeypatch, many):
+    monkeypatch.setattr(near_dedup, "MANY", many)
+    test_near_dedup_equals_brute_force(spark)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=400), st.lists(st.sampled_from("abcdefg"), max_size=400), st.sampled_from([1, 3, 1024]))
+def test_word_counts_bound_the_edits_from_below(a, b, counters):
+    a, b = a + ["a"] * (300 if len(a) > 100 else 0), b + ["a"] * (290 if len(b) > 200 else 0)  # counters stop at 255
+    wide = near_dedup.Grams([" ".join(a).encode(), " ".join(b).encode()]).word_counts(counters)
+    mine, theirs = Counter(a), Counter(b)
+    assert 0 <= near_dedup.fewest_changes(wide[:1], wide[1:])[0] <= max((mine - theirs).total(), (theirs - mine).total())
+
+
 def test_near_dedup_finds_pairs_at_its_threshold(spark):
     """Scattered replacements down to a similarity of 0.8, and short texts with one middle word replaced."""
     rng, data, pairs = random.Random(3), [], []

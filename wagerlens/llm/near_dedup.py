@@ -15,7 +15,9 @@ within the limit can destroy and one more, so that linked texts have one of them
 and the texts of a rare gram meet instead.  So the classes are those of all candidates.
 
 Candidates carry two summaries that bound their edit distance from below, words counted by hash (an edit
-changes one) and a bitmap of labelled pairs of words (an edit changes two); what these leave is verified by
+changes one) and a bitmap of labelled pairs of words (an edit changes two), and texts that meet in a bucket the
+words in more counters too: of a passage that many texts share, whose own words differ, most pairs end there,
+before any text or row of theirs is sent.  What these leave is verified by
 alignment of the words, of long texts along common anchors if that stays within the limit, else in bands: a
 link is an edit similarity, 1 - edits / words of the longer, of at least 0.8.  Linked texts form classes, by
 connected components; links found later join classes, and are looked for and followed only where some are left.
@@ -54,9 +56,12 @@ SKETCHES = 64
 STEPS = (0, 1, 5)
 #: Texts of at most SHORT words by single words, those over 0.8 SHORT by pairs: linked texts share a kind.
 SHORT = 40
-COUNTERS, PAIR_BITS = 128, 2048
+#: Counters of words in the summary that all pairs are judged by, and in that of the texts that meet in buckets.
+COUNTERS, WIDE, PAIR_BITS = 128, 1024, 2048
 #: Texts that are compared pair by pair in one group, and buckets from which on rare grams take less work than pairs.
 BLOCK, LARGE = 512, 8192
+#: Buckets of over MANY texts are listed with their texts: a pair that has several of these meets in the first.
+MANY = 32
 SIMILARITY = 0.8
 #: Pairs that are aligned together, and words from which on an alignment along anchors is tried first.
 SLICE, ANCHORED = 1024, 400
@@ -70,12 +75,12 @@ class Grams:
         self.words = corpus.last - corpus.first
         self._corpus, self._of = corpus, RangeHash(corpus.data)
 
-    def word_counts(self) -> np.ndarray:
-        """Each text's words by hash, in COUNTERS counters that stop at 255."""
+    def word_counts(self, counters: int) -> np.ndarray:
+        """Each text's words by hash, in so many counters that stop at 255."""
         item = expand(self._corpus.first, self.words)
-        kind = (mixed(self._of(self._corpus.item_start[item], self._corpus.item_end[item])) % np.uint64(COUNTERS)).astype(np.int64)
-        counts = np.bincount(np.repeat(np.arange(len(self.words)), self.words) * COUNTERS + kind, minlength=len(self.words) * COUNTERS)
-        return np.minimum(counts, 255).astype(np.uint8).reshape(len(self.words), COUNTERS)
+        kind = (mixed(self._of(self._corpus.item_start[item], self._corpus.item_end[item])) % np.uint64(counters)).astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(len(self.words)), self.words) * counters + kind, minlength=len(self.words) * counters)
+        return np.minimum(counts, 255).astype(np.uint8).reshape(len(self.words), counters)
 
     def labelled(self, k: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the runs of k words of some texts, with their occurrence labels, in text order; how many of each)."""
@@ -131,7 +136,7 @@ def summaries_of(grams: Grams) -> np.ndarray:
     value, many = grams.labelled(2, every)
     bits = np.zeros((len(every), PAIR_BITS), dtype=bool)
     bits[np.repeat(every, many), (value % np.uint64(PAIR_BITS)).astype(np.int64)] = True
-    return np.concatenate([grams.word_counts(), np.packbits(bits, axis=1)], axis=1)
+    return np.concatenate([grams.word_counts(COUNTERS), np.packbits(bits, axis=1)], axis=1)
 
 
 def least_edits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -143,6 +148,12 @@ def least_edits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(words, (lost + 1) // 2)
 
 
+def fewest_changes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lower bounds of the edit distances of pairs with word counts x and y: the words that the other text lacks."""
+    either = np.maximum(x, y).sum(axis=1, dtype=np.int64)
+    return either - np.minimum(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64))
+
+
 def _banded(a: list[np.ndarray], b: list[np.ndarray], width: int) -> np.ndarray:
     """Edit distances of pairs along a band of `width` diagonals to either side; right if <= width."""
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -299,7 +310,7 @@ def _in_parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, in
 
 
 def _sketched(rows: DataFrame, sketches: int) -> DataFrame:
-    """Per row (node, text) with words: node, its sketches, n_words, and its summary."""
+    """Per row (node, text) with words: node, its sketches, n_words, its summary, and its words in WIDE counters."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +318,7 @@ def _sketched(rows: DataFrame, sketches: int) -> DataFrame:
             for low, high in _in_parts(texts):
                 grams = Grams(texts[low:high])
                 owner, made = sketches_of(grams, sketches=sketches)
-                summary = summaries_of(grams)
+                summary, wide = summaries_of(grams), grams.word_counts(WIDE)
                 order = np.argsort(owner, kind="stable")
                 real, kinds = np.unique(owner, return_counts=True)
                 ends = np.concatenate([[0], np.cumsum(kinds * sketches)]).astype(np.int32)
@@ -317,11 +328,12 @@ def _sketched(rows: DataFrame, sketches: int) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(made[order].view(np.int64).ravel())),
                         pa.array(grams.words[real], pa.int32()),
                         pa.array([c.tobytes() for c in summary[real]], pa.binary()),
+                        pa.array([c.tobytes() for c in wide[real]], pa.binary()),
                     ],
-                    ["node", "sketches", "n_words", "summary"],
+                    ["node", "sketches", "n_words", "summary", "wide"],
                 )
 
-    return rows.mapInArrow(sketch, "node binary, sketches array<long>, n_words int, summary binary")
+    return rows.mapInArrow(sketch, "node binary, sketches array<long>, n_words int, summary binary, wide binary")
 
 
 def _summaries(column: pa.Array) -> np.ndarray:
@@ -346,24 +358,43 @@ def _near_enough(similarity: float):
     return near
 
 
+def _earlier(listed: pa.Array, cell: int) -> np.ndarray:
+    """In bits, which of the listed buckets before cell each text has; those of one text only are left out."""
+    owner = np.repeat(np.arange(len(listed)), listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    bucket = listed.flatten().to_numpy(zero_copy_only=False)
+    owner, bucket = owner[bucket < cell], bucket[bucket < cell]
+    _, which, texts = np.unique(bucket, return_inverse=True, return_counts=True)
+    number = np.cumsum(texts > 1) - 1
+    several = texts[which] > 1
+    bits = np.zeros((len(listed), max(int((texts > 1).sum()), 1)), dtype=bool)
+    bits[owner[several], number[which[several]]] = True
+    return np.packbits(bits, axis=1)
+
+
 def _meet(similarity: float):
-    """Of a cell's texts the pairs in different classes whose summaries allow a link.  A cell has one block
-    of a bucket, or two of which each text meets the other's."""
+    """Of a cell's texts the pairs in different classes whose summaries allow a link, but those that an earlier
+    listed bucket has too.  A cell has one block of a bucket, or two of which each text meets the other's."""
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        _, low, high = (k.as_py() for k in key)
+        cell, low, high = (k.as_py() for k in key)
         rows = rows.sort_by("n_words")
         keys, roots, n, own = (rows.column(c).to_numpy() for c in ("key", "root", "n_words", "own"))
-        summary = _summaries(rows.column("summary").combine_chunks())
+        summary, wide = (_summaries(rows.column(c).combine_chunks()) for c in ("summary", "wide"))
+        earlier = _earlier(rows.column("listed").combine_chunks(), cell)
         found = [np.empty((3, 0), dtype=np.int64)]
         for i in range(len(keys)):
             # only texts that are not too long, and come later in the order of length
             end = int(np.searchsorted(n, n[i] / similarity + 1, side="right"))
             others = np.arange(i + 1, end)
             others = others[(roots[others] != roots[i]) & ((own[others] != own[i]) if low < high else (keys[others] != keys[i]))]
+            others = others[~(earlier[i] & earlier[others]).any(axis=1)]
             if len(others):
                 least = np.maximum(least_edits(summary[i][None, :], summary[others]), n[others] - n[i])
-                near = least <= _limits(n[others], n[i], similarity)
+                most = _limits(n[others], n[i], similarity)
+                near = least <= most
+                others, least, most = others[near], least[near], most[near]
+                least = np.maximum(least, fewest_changes(wide[i][None, :], wide[others]))
+                near = least <= most
                 others, least = others[near], least[near]
                 found.append(np.stack([np.minimum(keys[i], keys[others]), np.maximum(keys[i], keys[others]), least]))
         return pa.table(dict(zip(("a", "b", "least"), (pa.array(x, pa.int64()) for x in np.concatenate(found, axis=1)), strict=True)))
@@ -424,7 +455,7 @@ def _apart(members: DataFrame, roots: DataFrame, facts: DataFrame, docs: DataFra
     """Pairs (a < b) of keys that share a bucket, are not in one class of links, and may be near enough, with the
     least number of edits between them.
 
-    members has sketch, key and n, the bucket's size; facts has node, key, n_words, summary.
+    members has sketch, key and n, the bucket's size; facts has node, key, n_words, summary, wide.
     """
     placed = keep(members.join(roots, "key", "left").select("sketch", "key", "n", F.coalesce("root", "key").alias("root")))
     several = placed.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sketch")
@@ -435,9 +466,10 @@ def _apart(members: DataFrame, roots: DataFrame, facts: DataFrame, docs: DataFra
         cells = cells.unionByName(_rare_grams(facts.join(hot, "key").select("key", "node"), docs, similarity).join(hot, "key").select("cell", "key", "root"))
     cells = keep(cells)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    listed = split.filter(F.col("n").between(MANY + 1, LARGE)).groupBy("key").agg(F.collect_list("sketch").alias("listed"))
     blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = cells.join(sizes.select("cell", "n"), "cell").join(facts.drop("node"), "key").select("*", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "root", "n_words", "own", "summary")
+    dealt = cells.join(sizes.select("cell", "n"), "cell").join(facts.drop("node").join(listed, "key", "left"), "key").select("*", F.pmod(F.xxhash64("key"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "root", "n_words", "own", "summary", "wide", "listed")
     return dealt.groupBy("cell", "low", "high").applyInArrow(_meet(similarity), "a long, b long, least long").distinct()
 
 
@@ -461,8 +493,8 @@ def links(docs: DataFrame, log: DataFrame | None = None, *, similarity: float =
     log = _logged(docs) if log is None else log
     texts = keep(log.groupBy("node").agg(F.min(_rank()).alias("best"), F.count("*").alias("n")))
     sketched = _sketched(docs.select(_node(), "text"), sketches).groupBy("node")
-    sketched = keep(sketched.agg(*[F.first(c).alias(c) for c in ("sketches", "n_words", "summary")]))
-    facts = keep(sketched.select("node", _key("node").alias("key"), "n_words", "summary"))
+    sketched = keep(sketched.agg(*[F.first(c).alias(c) for c in ("sketches", "n_words", "summary", "wide")]))
+    facts = keep(sketched.select("node", _key("node").alias("key"), "n_words", "summary", "wide"))
     rows = sketched.select(_key("node").alias("key"), F.explode("sketches").alias("sketch"))
     leaders = rows.groupBy("sketch").agg(F.min("key").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     members = keep(rows.join(leaders, "sketch"))
