@@ -77,14 +77,28 @@ def lorenz(units: DataFrame, *, key: str = "population", points: int = DEFAULTS.
 def populations(legs: DataFrame, betslips: DataFrame, *, least_slips: int = DEFAULTS.gini_betslips, least_fixtures: int = DEFAULTS.gini_fixtures) -> DataFrame:
     """The four populations as (population, value): turnover of Uids by currency, betslips of Uids, legs of
     fixtures, turnover of fixtures by currency."""
-    money = betslips.filter(F.col("currency").isNotNull())
-    enough = money.groupBy("currency").agg(F.count("*").alias("n")).filter(F.col("n") >= least_slips).select("currency")
-    by_uid = money.join(enough, "currency", "left_semi").groupBy("currency", "uid").agg(F.sum("turnover").alias("value"))
-    slips = betslips.groupBy("uid").agg(F.count("*").cast("decimal(28,2)").alias("value"))
-    per_fixture = legs.groupBy("match_id").agg(F.count("*").cast("decimal(28,2)").alias("value"))
-    fixture_money = legs.filter(F.col("currency").isNotNull()).groupBy("currency", "match_id").agg(F.sum("turnover").alias("value"))
-    wide = fixture_money.groupBy("currency").agg(F.count("*").alias("n")).filter(F.col("n") >= least_fixtures).select("currency")
-    fixture_money = fixture_money.join(wide, "currency", "left_semi")
+    return populations_of(stake_sums(betslips), fixture_sums(legs), least_slips=least_slips, least_fixtures=least_fixtures)
+
+
+def stake_sums(betslips: DataFrame) -> DataFrame:
+    """Betslips and turnover by currency and Uid."""
+    return betslips.groupBy("currency", "uid").agg(F.count("*").alias("n"), F.sum("turnover").alias("turnover"))
+
+
+def fixture_sums(legs: DataFrame) -> DataFrame:
+    """Legs and turnover by currency and fixture."""
+    return legs.groupBy("currency", "match_id").agg(F.count("*").alias("n"), F.sum("turnover").alias("turnover"))
+
+
+def populations_of(by_uid: DataFrame, by_fixture: DataFrame, *, least_slips: int = DEFAULTS.gini_betslips, least_fixtures: int = DEFAULTS.gini_fixtures) -> DataFrame:
+    """The populations from stake_sums and fixture_sums."""
+    many = lambda: F.sum("n").cast("decimal(28,2)").alias("value")
+    slips, per_fixture = by_uid.groupBy("uid").agg(many()), by_fixture.groupBy("match_id").agg(many())
+    known = F.col("currency").isNotNull()
+    enough = by_uid.filter(known).groupBy("currency").agg(F.sum("n").alias("slips")).filter(F.col("slips") >= least_slips).select("currency")
+    by_uid = by_uid.filter(known).join(enough, "currency", "left_semi").withColumnRenamed("turnover", "value")
+    wide = by_fixture.filter(known).groupBy("currency").agg(F.count("*").alias("fixtures")).filter(F.col("fixtures") >= least_fixtures).select("currency")
+    fixture_money = by_fixture.filter(known).join(wide, "currency", "left_semi").withColumnRenamed("turnover", "value")
     parts = [
         by_uid.select(F.concat(F.lit("uid_turnover:"), "currency").alias("population"), "value"),
         slips.select(F.lit("uid_betslips").alias("population"), "value"),
